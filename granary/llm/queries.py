@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import chat_format, quality_rules, url_filter
+from granary.llm import chat_format, decontaminate, html_extract, near_dup, packing, quality_rules, url_filter
 from granary.llm.common import table
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
@@ -28,5 +34,25 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES = {"op1_chat_prefix_targets": op1_chat_prefix_targets, "op2_url_redirects": op2_url_redirects, "op4_quality_rules": op4_quality_rules}
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_from", "hit_to")
+
+
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_chat_prefix_targets": op1_chat_prefix_targets, "op2_url_redirects": op2_url_redirects, "op4_quality_rules": op4_quality_rules,
+    "op5_decontaminate": op5_decontaminate, "op6_html_main_text": op6_html_main_text, "op8_pack": op8_pack,
+    "op9_near_dup": op9_near_dup,
+}
 SQL: dict[str, str] = {}
