@@ -7,9 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.session import importable, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["checkpoint", "components", "importable", "shared_dir", "table"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a copy that survives the loss of executors."""
+    importable(df.sparkSession)
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import chat_format, decontaminate, html_extract, near_dup, packing, quality_rules, url_filter
+from granary.llm import chat_format, decontaminate, html_extract, line_dedup, near_dup, packing, quality_rules, url_filter
 from granary.llm.common import table
 
 
@@ -42,6 +42,11 @@ def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.coalesce(F.size("deleted_lines"), F.lit(0)).cast("long").alias("n_deleted"), "deleted_lines")
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -52,7 +57,7 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_chat_prefix_targets": op1_chat_prefix_targets, "op2_url_redirects": op2_url_redirects, "op4_quality_rules": op4_quality_rules,
-    "op5_decontaminate": op5_decontaminate, "op6_html_main_text": op6_html_main_text, "op8_pack": op8_pack,
+    "op5_decontaminate": op5_decontaminate, "op6_html_main_text": op6_html_main_text, "op7_line_dedup": op7_line_dedup, "op8_pack": op8_pack,
     "op9_near_dup": op9_near_dup,
 }
 SQL: dict[str, str] = {}
