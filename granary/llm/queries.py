@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import chat_format, decontaminate, html_extract, line_dedup, lm_score, near_dup, packing, quality_rules, url_filter
+from granary.llm import chat_format, decontaminate, html_extract, line_dedup, lm_score, near_dup, packing, quality_rules, substring_dedup, url_filter
 from granary.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op2_url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.page_id", "host", "path", "rule", "verdict")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
@@ -60,7 +64,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat_prefix_targets": op1_chat_prefix_targets, "op2_url_redirects": op2_url_redirects, "op4_quality_rules": op4_quality_rules,
+QUERIES = {"op1_chat_prefix_targets": op1_chat_prefix_targets, "op2_url_redirects": op2_url_redirects, "op3_substring_dedup": op3_substring_dedup, "op4_quality_rules": op4_quality_rules,
     "op5_decontaminate": op5_decontaminate, "op6_html_main_text": op6_html_main_text, "op7_line_dedup": op7_line_dedup, "op8_pack": op8_pack,
     "op9_near_dup": op9_near_dup, "op10_lm_score": op10_lm_score,
 }
