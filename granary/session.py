@@ -21,3 +21,19 @@ def importable(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a copy in the cluster's shared folder, which survives the loss of executors.
+
+    A checkpoint also hands on the size that Spark infers for its plan, and the size of a join is the product of
+    its sides; in loops that number outgrows the driver, so the rows are taken over under a plan that says nothing about them."""
+    import tempfile
+
+    spark = df.sparkSession
+    importable(spark)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="granary-checkpoints-")
+        spark.sparkContext.setCheckpointDir(named)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
