@@ -116,6 +116,7 @@ def test_url_rules_and_aliases(spark):
     assert got[1] == ("a.example.com", "/en/9", "com/en/", "block") and got[2] == ("b.example.com", "/en/70", "example.com/en/7", "allow")
     assert got[3] == ("notexample.com", "/en/7", "com/en/", "block") and got[4] == ("com", "/en/", "com/en/", "block")
     assert got[5] == got[6] == ("", "", None, "allow")
+    assert got[14] == ("h.net", "/de/1", "net/de/", "allow")
     assert got[7][2:] == (None, "block") and got[8][2:] == (None, "block")  # aliases of a blocked address, over two steps
     assert got[9][2:] == got[10][2:] == got[11][2:] == (None, "allow")  # one explicit allow outweighs
     assert got[12][2:] == (None, "block") and got[13][2:] == (None, "allow")
