@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import chat_format, decontaminate, html_extract, line_dedup, lm_score, near_dup, packing, quality_rules, substring_dedup, url_filter
+from granary.llm import chat_format, decontaminate, html_extract, line_dedup, lm_score, near_dup, packing, quality_rules, sql, substring_dedup, url_filter
 from granary.llm.common import table
 
 
@@ -68,4 +68,4 @@ QUERIES = {"op1_chat_prefix_targets": op1_chat_prefix_targets, "op2_url_redirect
     "op5_decontaminate": op5_decontaminate, "op6_html_main_text": op6_html_main_text, "op7_line_dedup": op7_line_dedup, "op8_pack": op8_pack,
     "op9_near_dup": op9_near_dup, "op10_lm_score": op10_lm_score,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_chat_prefix_targets": sql.OP1, "op2_url_redirects": sql.OP2, "op5_decontaminate": sql.OP5, "op9_near_dup": sql.OP9}
