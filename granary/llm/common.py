@@ -25,10 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy that survives the loss of executors."""
-    importable(df.sparkSession)
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a copy that survives the loss of executors.
+
+    A checkpoint also hands on the size and the constraints that Spark infers for its plan. In loops over joins these
+    multiply from round to round (the size of a join is the product of its sides) until planning outgrows the driver,
+    so the rows are taken over under a plan that says nothing about them.
+    """
+    spark = df.sparkSession
+    importable(spark)
+    shared_dir(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -42,23 +49,21 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     left = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
     left = checkpoint(left.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    labels = None
-    turn = 0
+    parents: list[DataFrame] = []
     while not left.isEmpty():
-        turn += 1
-        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("rank"), c.alias("node"))
+        turn = F.lit(len(parents))
+        rank = lambda c: F.struct(F.xxhash64(turn, c).alias("rank"), c.alias("node"))
         both = left.select("u", "v").union(left.select(F.col("v"), F.col("u")))
         nearest = both.groupBy("u").agg(F.min(rank(F.col("v"))).alias("m"))
         parent = checkpoint(nearest.select(F.col("u").alias("node"), F.least(F.col("m"), rank(F.col("u")))["node"].alias("parent")))
-        a, b = parent.toDF("u", "pu"), parent.toDF("v", "pv")
-        moved = left.join(a, "u").join(b, "v").where("pu <> pv")
+        parents.append(parent)
+        moved = left.join(parent.toDF("u", "pu"), "u").join(parent.toDF("v", "pv"), "v").where("pu <> pv")
         left = checkpoint(moved.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
-        if labels is None:
-            labels = parent.toDF("node", "root")
-        else:
-            step = parent.toDF("root", "next")
-            labels = checkpoint(labels.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
-    if labels is None:
+    if not parents:
         return spark.createDataFrame([], "node long, component long")
+    labels = parents[0].toDF("node", "root")
+    for parent in parents[1:]:
+        labels = labels.join(parent.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    labels = checkpoint(labels)
     least = labels.groupBy("root").agg(F.min("node").alias("component"))
-    return labels.join(least, "root").select("node", "component")
+    return checkpoint(labels.join(least, "root").select("node", "component"))

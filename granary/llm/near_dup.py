@@ -8,8 +8,8 @@ each text as many bucket keys.
 Texts with the same set are one class, told by a 128-bit digest of the sorted set, and only a class's least id
 goes on. In a bucket no pairs are enumerated: in each round some members are hubs, and every member that is not yet known to be
 connected to a hub is compared with it on full sets. Members that the links found so far connect count as one. A bucket is done once its members
-are all connected, or all have been hubs; the number of hubs grows fourfold from round to round, so there are few
-rounds, and every two texts of a bucket are compared unless they are connected anyway. So nothing but the banding can miss a link:
+are all connected, or all have been hubs; the number of hubs grows eightfold from round to round, so there are few
+rounds, and every two texts of a bucket are compared, once, unless they are connected anyway. So nothing but the banding can miss a link:
 a pair at the threshold shares no bucket with odds of (1 - 0.85**4)**20 = 4e-7.
 
 Defined results: a text of fewer words than five is one shingle; null and empty texts have none and are
@@ -101,7 +101,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of the pairs with sets a and b that are similar enough."""
+    """(u, v) of the pairs whose sets a and b are similar enough."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,16 +127,15 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     distinct = checkpoint(known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     slots = distinct.select("node", "n", F.posexplode("bands").alias("band", "key"))
     shared = slots.groupBy("band", "key").count().where("count > 1").select("band", "key")
-    members = checkpoint(slots.join(shared, ["band", "key"]).select("band", "key", "node", "n", F.lit(None).cast("long").alias("component")))
-    links = None
+    members = checkpoint(slots.join(shared, ["band", "key"]).select("band", "key", "node", "n", F.col("node").alias("component")))
+    found = None
     if not members.isEmpty():
         wanted = members.select("node").distinct()
         packed = checkpoint(full_sets(docs.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").dropDuplicates(["node"])))
-        links = _link(members, packed, percent)
-    if links is None:
+        found = _link(members, packed, percent)
+    if found is None:
         tied = distinct.select("set_key", F.col("node").alias("component"))
     else:
-        found = components(links)
         tied = distinct.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     tied = checkpoint(tied)
     out = rows.select("doc_id", "n_shingles", "set_key").join(tied, "set_key", "left")
@@ -145,32 +144,34 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def _link(members: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
-    """Links that connect what the buckets' similar pairs connect."""
-    links = None
+    """(node, component) of the nodes that links connect; `members` start as components of their own."""
+    labels = members.select("node", "component").distinct()
     done, width = 0, 1
-    while True:
+    tested = None
+    while not members.isEmpty():
         # Hubs by an order that differs from bucket to bucket.
         ranked = members.withColumn("rank", F.xxhash64("band", "key", "node"))
-        slot = F.struct("rank", "node")
-        # The hubs' structs are few; taking the least `done + width` of a bucket is a bounded aggregation.
-        hubs = _least(ranked.select("band", "key", slot.alias("slot"), "n", "component"), done, width)
-        pairs = ranked.join(hubs, ["band", "key"]).where((F.col("node") != F.col("hub")) & ((F.col("rank") > F.col("hub_rank")) | ((F.col("rank") == F.col("hub_rank")) & (F.col("node") > F.col("hub")))))
-        pairs = pairs.where(~F.col("component").eqNullSafe(F.col("hub_component")) | F.col("component").isNull())
-        pairs = pairs.where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-        pairs = checkpoint(pairs.select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct())
+        hubs = _least(ranked.select("band", "key", F.struct("rank", "node").alias("slot"), "n", "component"), done, width)
+        after = (F.col("rank") > F.col("hub_rank")) | ((F.col("rank") == F.col("hub_rank")) & (F.col("node") > F.col("hub")))
+        pairs = ranked.join(hubs, ["band", "key"]).where(after & (F.col("component") != F.col("hub_component")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
+        pairs = pairs.select("node", "hub", "component", "hub_component", F.least("node", "hub").alias("p"), F.greatest("node", "hub").alias("q")).dropDuplicates(["p", "q"])
+        if tested is not None:  # two texts meet in many buckets and rounds, and are compared once
+            pairs = pairs.join(tested, ["p", "q"], "left_anti")
+        pairs = checkpoint(pairs)
+        tested = pairs.select("p", "q") if tested is None else checkpoint(tested.union(pairs.select("p", "q")))
+        done, width = done + width, 8 * width
+        step = None
         if not pairs.isEmpty():
-            with_a = pairs.join(packed.toDF("u", "a"), "u")
-            new = checkpoint(confirmed(with_a.join(packed.toDF("v", "b"), "v").select("u", "v", "a", "b"), percent))
-            links = new if links is None else checkpoint(links.union(new).distinct())
-        done, width = done + width, 4 * width
-        found = components(links) if links is not None else None
-        plain = members.drop("component")
-        joined = plain.join(found, "node", "left") if found is not None else plain.withColumn("component", F.lit(None).cast("long"))
-        mark = F.coalesce("component", "node")
-        open_ = joined.groupBy("band", "key").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.count("*").alias("m")).where(f"lo <> hi and m > {done + 1}").select("band", "key")
-        members = checkpoint(joined.join(open_, ["band", "key"]).select("band", "key", "node", "n", "component"))
-        if members.isEmpty():
-            return links if links is not None else members.select(F.col("node").alias("u"), F.col("node").alias("v"))
+            full = pairs.join(packed.toDF("node", "a"), "node").join(packed.toDF("hub", "b"), "hub")
+            # Confirmed links hold between whole components.
+            links = confirmed(full.select(F.col("component").alias("u"), F.col("hub_component").alias("v"), "a", "b"), percent)
+            step = components(links).toDF("component", "next")
+            labels = labels.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+            members = members.join(step, "component", "left").select("band", "key", "node", "n", F.coalesce("next", "component").alias("component"))
+            members = checkpoint(members)
+        open_ = members.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where(f"lo <> hi and m > {done + 1}").select("band", "key")
+        members = checkpoint(members.join(open_, ["band", "key"]))
+    return labels
 
 
 def _least(ranked: DataFrame, skip: int, take: int) -> DataFrame:
