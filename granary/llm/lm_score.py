@@ -40,7 +40,7 @@ from granary.llm.elias_fano import EliasFano
 from granary.llm.text import runs, words
 
 FOLDS, STEPS = 10, 28
-SHARD_CHARS, RUN_BYTES = 24_000_000, 6_000_000
+SHARD_CHARS, TOKENS = 8_000_000, 1_000_000
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 NONE = np.uint32(0xFFFFFFFF)
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -64,6 +64,22 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.insert(h, to[1:], END), to + np.arange(len(to))
 
 
+def token_runs(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, hashes, offsets) of consecutive texts with about TOKENS tokens."""
+    first, held, size = 0, [], 0
+    for at, data, off in runs(column):
+        h, to = tokens(data, off)
+        if not held:
+            first = at
+        held.append((h, to + size))
+        size += len(h)
+        if size >= TOKENS:
+            yield first, np.concatenate([x for x, _ in held]), np.concatenate([held[0][1][:1], *[x[1:] for _, x in held]])
+            held, size = [], 0
+    if held:
+        yield first, np.concatenate([x for x, _ in held]), np.concatenate([held[0][1][:1], *[x[1:] for _, x in held]])
+
+
 def training(batch: pa.RecordBatch) -> pa.Array:
     keep = pa.array([not is_held_out(d) for d in batch.column(0).to_pylist()], pa.bool_())
     return batch.column(1).filter(keep)
@@ -268,8 +284,8 @@ class Trie:
 def count_words(docs: DataFrame, base: str, shards: int) -> list[tuple[int, int]]:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, off in runs(training(batch), RUN_BYTES):
-                h, n = np.unique(tokens(data, off)[0], return_counts=True)
+            for _, h, _ in token_runs(training(batch)):
+                h, n = np.unique(h, return_counts=True)
                 at = cuts(shard_of(h, shards), shards)
                 some = np.flatnonzero(np.diff(at)).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array([f(x[at[s] : at[s + 1]]).tobytes() for s in some], pa.binary()) for x, f in ((h, np.asarray), (n, narrow))]], names=["shard", "h", "n"])
@@ -295,8 +311,7 @@ def count_runs(docs: DataFrame, base: str, sizes: list[tuple[int, int]]) -> tupl
         vocabulary = Words(base, sizes)
         trie = Trie(base, sizes, ())
         for batch in batches:
-            for _, data, off in runs(training(batch), RUN_BYTES):
-                h, to = tokens(data, off)
+            for _, h, to in token_runs(training(batch)):
                 w = vocabulary.of(h)[0]
                 u = np.concatenate([[0], w[:-1]])
                 u[to[:-1]] = vocabulary.V
@@ -364,8 +379,7 @@ def score(docs: DataFrame) -> DataFrame:
         trie = Trie(base, sizes, numbers)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for at, data, off in runs(batch.column(1), RUN_BYTES):
-                h, to = tokens(data, off)
+            for at, h, to in token_runs(batch.column(1)):
                 known, low, high = trie.score(h, to)
                 n = len(to) - 1
                 sums = [np.add.reduceat(x, to[:-1]) for x in (known.astype(np.int64), low, high)]
