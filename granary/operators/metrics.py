@@ -86,6 +86,19 @@ def agent_metrics(agents: DataFrame) -> DataFrame:
     return _unpivot(agents.agg(F.count_if(healthy).alias("agents_healthy"), F.count_if(~healthy).alias("agents_degraded"), F.coalesce(F.sum(F.when(healthy, room)), F.lit(0)).alias("agents_capacity")))
 
 
+def snapshot(parts: list[DataFrame]) -> DataFrame:
+    """All metrics in long form."""
+    return reduce(DataFrame.unionByName, parts)
+
+
+def readiness(probes: DataFrame) -> DataFrame:
+    """probes (place, store, error; null or blank: fine) to one row: ok if all are, and the first error."""
+    bad = F.coalesce(F.trim("error"), F.lit("")) != ""
+    return probes.agg(
+        F.coalesce(F.bool_and(~bad), F.lit(True)).alias("ok"), F.min(F.when(bad, F.struct("place", "store", "error"))).alias("x"), F.count_if(bad).alias("errors"),
+    ).select("ok", "errors", F.col("x.store").alias("first_store"), F.col("x.error").alias("first_error"))
+
+
 def latest(df: DataFrame, at: str, k: int = 5) -> DataFrame:
     return df.orderBy(F.desc(at), "id").limit(k)
 

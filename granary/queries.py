@@ -297,6 +297,40 @@ def a5_token_metrics(spark, d):
     return metrics.token_metrics(load(spark, d, "tokens"), RETENTION_NOW)
 
 
+@query(
+    "select * from (" + _BACKUP_METRICS + """) b union all select 'jobs_active', '', count(*) filter (where status in ('running', 'finalizing')) from jobs
+       union all select 'jobs_by_status', status, count(*) from jobs group by status union all select 'tokens_total', '', count(*) from tokens
+       union all select 'tokens_revoked', '', count(*) filter (where revoked_at is not null) from tokens union all select 'tokens_expired', '', count(*) filter (where expires_at <= timestamp '1998-08-01 00:00:00') from tokens
+       union all select 'audit_events_total', '', count(*) from audit_events""",
+    "backups jobs tokens audit_events",
+)
+def a1_snapshot(spark, d):
+    kept = metrics.job_metrics(load(spark, d, "jobs")).where("metric in ('jobs_active', 'jobs_by_status')")
+    events = load(spark, d, "audit_events").agg(F.count("*").alias("value")).select(F.lit("audit_events_total").alias("metric"), F.lit("").alias("label"), "value")
+    return metrics.snapshot([metrics.backup_metrics(load(spark, d, "backups")), kept, metrics.token_metrics(load(spark, d, "tokens"), RETENTION_NOW), events])
+
+
+@query(
+    """select bool_and(error = '') as ok, count(*) filter (where error <> '') as errors, min_by(store, place) filter (where error <> '') as first_store, min_by(error, place) filter (where error <> '') as first_error
+       from (select s_suppkey as place, s_name as store, case when s_suppkey % 40 = 7 then 'down' else '' end as error from supplier) x"""
+)
+def a8_readiness(spark, d):
+    probes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("place"), F.col("s_name").alias("store"), F.when(F.col("s_suppkey") % 40 == 7, "down").otherwise("").alias("error"))
+    return metrics.readiness(probes)
+
+
+@query(
+    "select n_nationkey as id, '{\"kind\":\"nation\",\"name\":\"' || n_name || '\"}' as value from nation union all select r_regionkey, '{\"kind\":\"region\",\"size\":' || r_regionkey || '}' from region"
+)
+def sk13_rendered(spark, d):
+    from granary.sources import render
+
+    a = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.lit("nation").alias("kind"), F.col("n_name").alias("name"))
+    b = table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.lit("region").alias("kind"), F.col("r_regionkey").alias("size"))
+    whole = render.union_of([a, b])
+    return whole.select("id", F.to_json(F.struct("kind", "name", "size")).alias("value"))
+
+
 _AGENTS_NOW = "2024-01-28 00:00:00"
 _AGENTS = f"""select agent_id, capacity, heartbeat_at, case when heartbeat_at < timestamp '{_AGENTS_NOW}' - interval 86400 second then 'degraded' else 'healthy' end as status
     from (select *, row_number() over (partition by agent_id order by arrival desc) as n from heartbeats) h where n = 1"""

@@ -368,3 +368,17 @@ def test_rate_limit_window_is_anchored(spark):
     df = spark.createDataFrame([("c", i, s) for i, s in rows], "client string, id long, s int").withColumn("at", F.lit("2026-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("s").cast("decimal(18,6)")))
     got = {r.id: r.allowed for r in replay.rate_limited(df, "client", "at", 10, 2, "id").collect()}
     assert got == {1: True, 2: True, 3: False, 4: False, 5: True, 6: True, 7: False, 8: True}
+
+
+def test_rendering(spark):
+    from granary.sources import render
+
+    df = render.union_of([spark.createDataFrame([("x", 1)], "name string, b int"), spark.createDataFrame([("y",)], "a string")])
+    assert df.columns == ["a", "b", "name"]
+    assert render.shown(df).split("\n")[0].split() == ["A", "B", "NAME"] and '"name": "x"' in render.shown(df, indent=True)
+
+
+def test_readiness(spark):
+    probes = spark.createDataFrame([(2, "jobs", "lost"), (1, "users", None), (3, "audit", "gone")], "place int, store string, error string")
+    assert tuple(metrics.readiness(probes).first()) == (False, 2, "jobs", "lost")
+    assert tuple(metrics.readiness(probes.where("error is null")).first()) == (True, 0, None, None)
