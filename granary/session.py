@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,17 +24,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the cluster's shared folder, which survives the loss of executors.
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder; one of our own only where the cluster names none, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = "file://" + tempfile.mkdtemp(prefix="granary-checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(named)
+    return named
 
-    A checkpoint also hands on the size that Spark infers for its plan, and the size of a join is the product of
-    its sides; in loops that number outgrows the driver, so the rows are taken over under a plan that says nothing about them."""
-    import tempfile
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a copy that survives the loss of executors.
+
+    A checkpoint also hands on the size and the constraints that Spark infers for its plan. In loops over joins these
+    multiply from round to round (the size of a join is the product of its sides) until planning outgrows the driver,
+    so the rows are taken over under a plan that says nothing about them."""
     spark = df.sparkSession
     importable(spark)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="granary-checkpoints-")
-        spark.sparkContext.setCheckpointDir(named)
+    shared_dir(spark)
     kept = df.checkpoint(eager=True)._jdf
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
