@@ -363,8 +363,9 @@ def test_encoder_equals_tokenizer():
     whole, bits = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
     r = random.Random(3)
     alphabet = [*"ab Z'ét\n\n  .,!$9²Ⅷ_-\t　漢字́‍😀sdmrl\\\r\x0b\x1c\x85\0", "'s", "'ll", " the", " \n", "  ", "\n\n", "<|endoftext|>", " ", "a", "b"]
-    for _ in range(4000):
-        x = "".join(r.choices(alphabet, k=r.randint(0, 25)))
+    for k in range(6000):
+        odd = lambda: chr(r.choice([r.randrange(0x20, 0x7F), r.randrange(0x20, 0x250), r.randrange(0x9, 0x3000), r.randrange(0x9, 0xD7FF), r.randrange(0x10000, 0x1FFFF), 32]))
+        x = "".join(r.choices(alphabet, k=r.randint(0, 25)) if k % 2 else [odd() for _ in range(r.randint(0, 20))])
         assert bits(x) == np.array(whole.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), repr(x)
 
 
