@@ -2,42 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.session import importable, table
+from granary.session import checkpoint, importable, shared_dir, table
 
 __all__ = ["checkpoint", "components", "importable", "shared_dir", "table"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where the cluster names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="granary-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    context = spark.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy that survives the loss of executors.
-
-    A checkpoint also hands on the size and the constraints that Spark infers for its plan. In loops over joins these
-    multiply from round to round (the size of a join is the product of its sides) until planning outgrows the driver,
-    so the rows are taken over under a plan that says nothing about them.
-    """
-    spark = df.sparkSession
-    importable(spark)
-    shared_dir(spark)
-    kept = df.checkpoint(eager=True)._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected links (u, v), longs: rows (node, component), component the least node.
 

@@ -5,6 +5,13 @@ signature values, the least and the greatest hash of the set, so half as many ha
 signature has values; both agree between two sets with the probability of their similarity. BANDS bands of ROWS values give
 each text as many bucket keys.
 
+How alike two texts can be is bounded before they are compared: shingles that no other candidate has can't be shared,
+so with sizes n and n - u shingles that are not its own, two texts share at most the lesser n - u. Texts that can't reach the
+threshold with any size in their bucket leave it. A sketch of SKETCH * 64 parities bounds the difference of two sets from below, and
+pairs beyond what the threshold allows are not compared. Both bounds are exact, so nothing is lost by them. Hubs are those with the fewest shingles of their own. So in a large group
+of copies of one text, with changes here and there, the text itself is the first hub, what is close enough is connected to it at once, and what
+is too far from all is never compared.
+
 Texts with the same set are one class, told by a 128-bit digest of the sorted set, and only a class's least id
 goes on. In a bucket no pairs are enumerated: in each round some members are hubs, and every member that is not yet known to be
 connected to a hub is compared with it on full sets. Members that the links found so far connect count as one. A bucket is done once its members
@@ -33,12 +40,14 @@ from granary.llm.text import mix, runs, shingles, words
 
 SIZE = 5
 BANDS, ROWS = 20, 4
+#: Words of a parity sketch.
+SKETCH = 8
 PERMUTATIONS = BANDS * ROWS // 2
 PERCENT = 85
 
 _draw = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 MULTIPLY, ADD = _draw[:PERMUTATIONS] | np.uint64(1), _draw[PERMUTATIONS:]
-LONG_SET = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+LONG_SET = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
 
 def min_max(x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -62,6 +71,14 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key
 
 
+def parities(x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each set 64 * SKETCH bits: the parity of how many of its hashes fall on the bit."""
+    bits = 64 * SKETCH
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    odd = np.bincount(row * bits + (x & np.uint64(bits - 1)).astype(np.int64), minlength=(len(offsets) - 1) * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1, bitorder="little").view(np.int64)
+
+
 def sets_of(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, sorted distinct shingle hashes of each text)."""
     for at, data, off in runs(column):
@@ -71,7 +88,7 @@ def sets_of(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (null without shingles), bands."""
+    """doc_id, n_shingles, set_key (null without shingles), bands, sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,11 +97,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                 some = [s for s in sets if len(s)]
                 keys: list = [None] * len(sets)
                 bands: list = [None] * len(sets)
+                sketches: list = [None] * len(sets)
                 if some:
-                    rows = band_keys(min_max(np.concatenate(some), np.concatenate([[0], np.cumsum(n[n > 0])]))).view(np.int64)
-                    for i, s, r in zip(np.flatnonzero(n).tolist(), some, rows, strict=True):
-                        keys[i], bands[i] = xxhash.xxh3_128_digest(s), r
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands"])
+                    x, to = np.concatenate(some), np.concatenate([[0], np.cumsum(n[n > 0])])
+                    rows = band_keys(min_max(x, to)).view(np.int64)
+                    for i, s, r, p in zip(np.flatnonzero(n).tolist(), some, rows, parities(x, to), strict=True):
+                        keys[i], bands[i], sketches[i] = xxhash.xxh3_128_digest(s), r, p
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, LONG_SET)
 
@@ -100,6 +119,28 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select("node", "text").mapInArrow(work, "node long, packed binary")
 
 
+def own_shingles(packed: DataFrame) -> DataFrame:
+    """(node, u): how many of a candidate's shingles no other candidate has; without those that have none."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+                node = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.concatenate(sets) if sets else [], pa.int64())], names=["node", "shingle"])
+
+    held = packed.mapInArrow(work, "node long, shingle long").groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    return held.where("node = last").groupBy("node").agg(F.count("*").alias("u"))
+
+
+def _possible(members: DataFrame, percent: int) -> DataFrame:
+    """Members that can still be similar enough to one of their bucket, by the least size in it."""
+    least = members.groupBy("band", "key").agg(F.min("n").alias("least"))
+    shared = F.col("n") - F.col("u")
+    return members.join(least, ["band", "key"]).where(100 * shared >= percent * (F.col("n") + F.greatest("least", shared) - shared)).drop("least")
+
+
 def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     """(u, v) of the pairs whose sets a and b are similar enough."""
 
@@ -124,15 +165,17 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = checkpoint(signatures(docs))
     known = rows.where("set_key is not null and doc_id is not null")
     # One row for each distinct set; equal sets have equal bands.
-    distinct = checkpoint(known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    distinct = checkpoint(known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     slots = distinct.select("node", "n", F.posexplode("bands").alias("band", "key"))
     shared = slots.groupBy("band", "key").count().where("count > 1").select("band", "key")
-    members = checkpoint(slots.join(shared, ["band", "key"]).select("band", "key", "node", "n", F.col("node").alias("component")))
+    members = checkpoint(slots.join(shared, ["band", "key"]).select("band", "key", "node", "n"))
     found = None
     if not members.isEmpty():
         wanted = members.select("node").distinct()
         packed = checkpoint(full_sets(docs.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").dropDuplicates(["node"])))
-        found = _link(members, packed, percent)
+        # Only members get a sketch: it would weigh more than all else if it went through the search for shared buckets.
+        members = members.join(own_shingles(packed), "node", "left").join(distinct.select("node", "sketch"), "node").select("band", "key", "node", "n", "sketch", F.coalesce("u", F.lit(0)).alias("u"), F.col("node").alias("component"))
+        found = _link(checkpoint(_possible(members, percent)), packed, percent)
     if found is None:
         tied = distinct.select("set_key", F.col("node").alias("component"))
     else:
@@ -149,11 +192,15 @@ def _link(members: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
     done, width = 0, 1
     tested = None
     while not members.isEmpty():
-        # Hubs by an order that differs from bucket to bucket.
-        ranked = members.withColumn("rank", F.xxhash64("band", "key", "node"))
-        hubs = _least(ranked.select("band", "key", F.struct("rank", "node").alias("slot"), "n", "component"), done, width)
-        after = (F.col("rank") > F.col("hub_rank")) | ((F.col("rank") == F.col("hub_rank")) & (F.col("node") > F.col("hub")))
-        pairs = ranked.join(hubs, ["band", "key"]).where(after & (F.col("component") != F.col("hub_component")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
+        # Among texts with as few own shingles, the order of hubs differs from bucket to bucket.
+        ranked = members.withColumn("slot", F.struct("u", F.xxhash64("band", "key", "node").alias("rank"), "node"))
+        hubs = _least(ranked.select("band", "key", "slot", "n", "sketch", "component"), done, width)
+        shared = F.least(F.col("n") - F.col("u"), F.col("hub_n") - F.col("hub_slot.u"))
+        able = 100 * shared >= percent * (F.col("n") + F.col("hub_n") - shared)
+        # Two sets differ in at least as many elements as their parities do in bits.
+        differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("hub_sketch")[i])) for i in range(SKETCH)), F.lit(0))
+        able = able & ((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("hub_n")))
+        pairs = ranked.join(hubs, ["band", "key"]).where((F.col("slot") > F.col("hub_slot")) & (F.col("component") != F.col("hub_component")) & able)
         pairs = pairs.select("node", "hub", "component", "hub_component", F.least("node", "hub").alias("p"), F.greatest("node", "hub").alias("q")).dropDuplicates(["p", "q"])
         if tested is not None:  # two texts meet in many buckets and rounds, and are compared once
             pairs = pairs.join(tested, ["p", "q"], "left_anti")
@@ -167,7 +214,7 @@ def _link(members: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
             links = confirmed(full.select(F.col("component").alias("u"), F.col("hub_component").alias("v"), "a", "b"), percent)
             step = components(links).toDF("component", "next")
             labels = labels.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
-            members = members.join(step, "component", "left").select("band", "key", "node", "n", F.coalesce("next", "component").alias("component"))
+            members = members.join(step, "component", "left").select("band", "key", "node", "n", "sketch", "u", F.coalesce("next", "component").alias("component"))
             members = checkpoint(members)
         open_ = members.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where(f"lo <> hi and m > {done + 1}").select("band", "key")
         members = checkpoint(members.join(open_, ["band", "key"]))
@@ -177,15 +224,15 @@ def _link(members: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
 def _least(ranked: DataFrame, skip: int, take: int) -> DataFrame:
     """From each bucket the members in places skip to skip + take."""
     if skip == 0 and take == 1:
-        hubs = ranked.groupBy("band", "key").agg(F.min(F.struct("slot", "n", "component")).alias("x"))
+        hubs = ranked.groupBy("band", "key").agg(F.min(F.struct("slot", "n", "component", "sketch")).alias("x"))
     else:
         from pyspark.sql import Window
 
         # Spark keeps only the first rows of each group on both sides of the shuffle (window group limit).
         order = Window.partitionBy("band", "key").orderBy("slot")
         placed = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= skip + take).where(F.col("place") > skip)
-        hubs = placed.select("band", "key", F.struct("slot", "n", "component").alias("x"))
-    return hubs.select("band", "key", F.col("x.slot.node").alias("hub"), F.col("x.slot.rank").alias("hub_rank"), F.col("x.n").alias("hub_n"), F.col("x.component").alias("hub_component"))
+        hubs = placed.select("band", "key", F.struct("slot", "n", "component", "sketch").alias("x"))
+    return hubs.select("band", "key", F.col("x.slot.node").alias("hub"), F.col("x.slot").alias("hub_slot"), F.col("x.n").alias("hub_n"), F.col("x.component").alias("hub_component"), F.col("x.sketch").alias("hub_sketch"))
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
