@@ -43,3 +43,20 @@ def test_stages(spark, sf):
             assert len(hit) > n / 2
     assert check_packing(docs.collect(), 1024) > 0
     assert {r.doc_id for r in docs.collect()} == set(after) and tokenizer_path()
+
+
+def test_stages_on_odd_and_empty_tables(spark, sf):
+    import corpus_pipeline
+
+    from tests.llm.test_operators import ODD, words
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(d, t, None, None, None) for d, t in ODD] + [(50, " ".join(words(90, 5)), "en", "s", 1), (51, " ".join(words(90, 5)), "en", "s", 1)]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            alone = stage(spark, spark.createDataFrame(data, schema), sf).collect()  # each stage also on what the first one would have dropped
+            assert bool(alone) == bool(data) or name == "quality_rules"
+            out = stage(spark, docs, sf)
+            docs = spark.createDataFrame(out.collect(), out.schema)
+        assert {r.doc_id for r in docs.collect()} == ({5, 50} if data else set())
