@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-ONE = np.uint64(1)
-ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Widths of the steps to a bit in a word, and masks of their lower bits.
+HALVES = tuple((np.uint64(w), np.uint64((1 << w) - 1)) for w in (32, 16, 8, 4, 2, 1))
 
 
 class EliasFano:
@@ -63,15 +63,16 @@ class EliasFano:
         if not ones:
             x = ~x
         left = (k - count[word]).astype(np.uint8)
-        place = np.zeros(len(k), np.uint64)
-        for width in (32, 16, 8, 4, 2, 1):
-            half = x & np.uint64((1 << width) - 1)
-            n = np.bitwise_count(half)
+        place = word.astype(np.uint64) << np.uint64(6)
+        for width, half in HALVES:  # is it among the lower bits? else take what is above them
+            n = np.bitwise_count(x & half)
             above = left >= n
-            left = np.where(above, left - n, left)
-            x = np.where(above, x >> np.uint64(width), half)
-            place += above.astype(np.uint64) * np.uint64(width)
-        return word.astype(np.int64) * 64 + place.astype(np.int64)
+            n *= above
+            left -= n
+            step = above * width
+            x >>= step
+            place += step
+        return place.astype(np.int64)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:

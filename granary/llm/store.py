@@ -52,7 +52,7 @@ def load(uri: str) -> dict[str, np.ndarray]:
         with system.open_input_file(target) as f:
             data = np.frombuffer(f.read_buffer(), np.uint8)
     else:
-        data = np.memmap(path, np.uint8, "r")
+        data = np.asarray(np.memmap(path, np.uint8, "r"))
     end = 0
     while data[end] != 10:
         end += 63 if end == 0 else 64
