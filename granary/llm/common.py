@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.session import checkpoint, importable, shared_dir, table
 
-__all__ = ["checkpoint", "components", "importable", "shared_dir", "table"]
+__all__ = ["checkpoint", "components", "drop_shuffles", "importable", "shared_dir", "table"]
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let shuffle files go whose plans nothing refers to any more. Spark removes them when the driver collects garbage, which can be much later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def components(edges: DataFrame) -> DataFrame:
