@@ -17,6 +17,7 @@ Defined results: a null or empty text is the end id alone; repeated rows are pac
 
 from __future__ import annotations
 
+import json
 import sys
 import zlib
 from array import array
@@ -51,18 +52,23 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.added = [x.content for x in self.whole.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.path, self.whole = path, None
+        self.added = [x["content"] for x in file["added_tokens"]]
         # The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {x: x for x in shown} | {256 + k: x for k, x in enumerate(x for x in range(256) if x not in set(shown))}
-        ranks = {bytes(byte_of[ord(c)] for c in token): i for token, i in self.whole.get_vocab(with_added_tokens=False).items() if token not in self.added}
+        ranks = {bytes(byte_of[ord(c)] for c in token): i for token, i in file["model"]["vocab"].items() if token not in self.added}
         self.merge = tiktoken.Encoding("bytes", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> bytes:
         if any(x in text for x in self.added):
+            if self.whole is None:
+                from tokenizers import Tokenizer
+
+                self.whole = Tokenizer.from_file(self.path)
             return packed(self.whole.encode(text, add_special_tokens=False).ids)
         return packed(self.merge(text))
 

@@ -18,7 +18,7 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Texts are worked on in runs of about so many bytes (a longer text is a run of its own).
-RUN = 2_000_000
+RUN = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,7 +49,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, max(1 << 21, 1 << (n - 1).bit_length()) if n else 1)[:n]
+    return _powers(base, max(1 << 20, 1 << (n - 1).bit_length()) if n else 1)[:n]
 
 
 def runs(column: pa.Array, size: int = RUN) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
