@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,12 @@ __all__ = ["checkpoint", "components", "drop_shuffles", "importable", "shared_di
 
 
 def drop_shuffles(spark: SparkSession) -> None:
-    """Let shuffle files go whose plans nothing refers to any more. Spark removes them when the driver collects garbage, which can be much later."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let shuffle files go whose plans nothing refers to any more. Spark removes them when the driver collects garbage, which can be much
+    later. The first round frees what Python holds of the plans, the second the plans."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def components(edges: DataFrame) -> DataFrame:
