@@ -2,13 +2,15 @@
 
 Documents that overlap are found through shared lines, told by a hash of the line without outer white space. The first document (least
 id) that holds a line is its anchor. Every other document that holds the line is paired with the anchor, if
-the line is rare (at most RARE documents hold it) or the two share at least SHARED lines. A line held by
-many documents so gives one pair for each of them at most, never all pairs.
+the line is evidence by itself: rare (at most RARE documents hold it), or long (LONG words or 16 * LONG bytes), then however many hold
+it. Runs of SHARED lines with text have anchors in the same way, however many documents hold them, and so has all the text of a
+document with fewer lines. A line or run held by many documents so gives one pair for each of them at most, never all pairs.
 
 A pair is aligned with patience diff: lines that occur once in both documents and in the same order are
 fixed points, the stretches between them are aligned in turn, and equal lines next to fixed points join them. Runs of
-aligned lines are common blocks. A block that holds a rare shared line, or at least BLOCK lines with text,
-is deleted from the later document.
+aligned lines are common blocks. A block that holds a rare or long shared line, or at least BLOCK lines with text, or is part of a
+copy of the whole text, is deleted from the later document. What stays by definition is a short line that more than RARE documents hold, where it stands
+alone or with one other such line between lines of the document's own.
 
 Only hashes of lines are shuffled for the search; texts move once, to meet the lists of deleted lines.
 
@@ -33,12 +35,18 @@ from pyspark.sql import types as T
 from granary.llm.common import checkpoint
 
 RARE, SHARED, BLOCK = 100, 3, 3
+#: Words of a long line; scripts without spaces count by bytes.
+LONG = 10
 WHITE = b" \t\n\x0b\x0c\r"
 
 
 def digest(line: bytes) -> int:
+    """0 without text; odd for a long line."""
     line = line.strip(WHITE)
-    return (xxhash.xxh3_64_intdigest(line) >> 1 or 1) if line else 0
+    if not line:
+        return 0
+    long = len(line) >= 16 * LONG or len(line) >= 2 * LONG - 1 and len(line.split()) >= LONG
+    return (xxhash.xxh3_64_intdigest(line) >> 2 or 1) << 1 | long
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
@@ -101,6 +109,9 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 def blocks(a: list[int], b: list[int], rare: set[int], block: int = BLOCK) -> list[int]:
     """Places in b of the common blocks to delete."""
+    text = [x for x in b if x]
+    if len(text) < block and text == [x for x in a if x]:
+        rare = rare.union(text)
     out: list[int] = []
     run: list[int] = []
     before = (-2, -2)
@@ -117,12 +128,17 @@ def blocks(a: list[int], b: list[int], rare: set[int], block: int = BLOCK) -> li
 def repeated_lines(docs: DataFrame, rare: int = RARE, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
     """later, gone: the (place, line hash) of lines to delete from document `later`."""
     seen = checkpoint(line_hashes(docs).groupBy("doc_id").agg(F.min("lines").alias("lines")))
-    held = seen.select("doc_id", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
-    lines = held.groupBy("line").agg(F.min("doc_id").alias("anchor"), F.count("*").alias("n")).where("n > 1")
-    lines = checkpoint(lines)
-    pairs = held.join(lines, "line").where("doc_id <> anchor")
-    pairs = pairs.groupBy("anchor", "doc_id").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("n") <= rare, F.col("line"))).alias("rare"))
-    pairs = checkpoint(pairs.where((F.size("rare") > 0) | (F.col("n") >= shared)).select("anchor", F.col("doc_id").alias("later"), "rare"))
+    size = min(shared, block)
+    text = seen.select("doc_id", F.filter("lines", lambda x: x != 0).alias("lines")).where(F.size("lines") > 0)
+    held = text.select("doc_id", F.lit(False).alias("run"), F.explode(F.array_distinct("lines")).alias("line"))
+    # A text shorter than a run is one run.
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("lines") - size + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("lines", i, size)))
+    held = held.union(text.select("doc_id", F.lit(True), F.explode(F.array_distinct(runs))))
+    lines = held.groupBy("run", "line").agg(F.min("doc_id").alias("anchor"), F.count("*").alias("n")).where("n > 1")
+    lines = checkpoint(lines.where(F.col("run") | (F.col("n") <= rare) | (F.col("line") % 2 == 1)).drop("n"))
+    pairs = held.join(lines, ["run", "line"]).where("doc_id <> anchor")
+    pairs = pairs.groupBy("anchor", F.col("doc_id").alias("later")).agg(F.collect_list(F.when(~F.col("run"), F.col("line"))).alias("rare"))
+    pairs = checkpoint(pairs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

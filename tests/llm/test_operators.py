@@ -354,6 +354,18 @@ def test_line_dedup_odd(spark, odd, empty):
     assert line_dedup.dedup(odd).count() == len(ODD) and line_dedup.dedup(empty).count() == 0
 
 
+def test_line_dedup_of_frequent_lines(spark):
+    long = " ".join(words(60, 11))
+    data = [(i, "one short line") for i in range(130)] + [(1000 + i, "first of two\n\nsecond of two") for i in range(130)]
+    data += [(2000 + i, f"own {i}\n{long}\nmenu\nend {i}") for i in range(130)]
+    # three frequent lines, each with another first holder
+    data += [(2900 + i, f"start {i}\n{x}\nstop {i}") for i, x in enumerate(("red", "green", "blue"))] + [(3000 + i, f"top {i}\nred\ngreen\nblue\ntail {i}") for i in range(130)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(data, DOC)).collect()}
+    for i in range(1, 130):
+        assert got[i] == got[1000 + i] == "" and got[2000 + i] == f"own {i}\nend {i}" and got[3000 + i] == f"top {i}\ntail {i}"
+    assert all(got[d] == t for d, t in data if d in (0, 1000, 2000, 2900, 2901, 2902, 3000))
+
+
 # 8
 
 
