@@ -15,6 +15,9 @@ from granary.llm import decontaminate, line_dedup, near_dup, packing, quality_ru
 from granary.llm.common import shared_dir, table
 from granary.llm.queries import tokenizer_path
 
+#: Percent of shared five-word shingles from which two documents count as near copies here; op9's query has its own, 85.
+SIMILAR = 80
+
 
 def _same_columns(before: DataFrame, after: DataFrame) -> DataFrame:
     """Texts may have changed: n_chars follows them."""
@@ -33,7 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dup.keep_first(docs)
+    return near_dup.keep_first(docs, SIMILAR)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,3 +60,20 @@ def test_stages_on_odd_and_empty_tables(spark, sf):
             out = stage(spark, docs, sf)
             docs = spark.createDataFrame(out.collect(), out.schema)
         assert {r.doc_id for r in docs.collect()} == ({5, 50} if data else set())
+
+
+def test_near_dedup_from_four_fifths(spark, sf):
+    import corpus_pipeline
+
+    from tests.llm.test_operators import words
+
+    near_dedup = dict(corpus_pipeline.STAGES)["near_dedup"]
+    base = words(94, 8)
+    # 90 shingles; a changed word at either end costs one, in the middle five: 82 of 98 shared (0.837), 75 of 105 (0.714)
+    close = [base[0] + "x", *base[1:50], "new", *base[51:-2], "last", base[-1]]
+    apart = [*base[:20], "x", *base[21:40], "y", *base[41:60], "z", *base[61:]]
+    data = [(d, " ".join(t), None, None, None) for d, t in ((1, base), (2, close), (3, apart))]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [plain.shingle_set(r[1]) for r in data]
+    assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85 and len(sets[0] & sets[2]) / len(sets[0] | sets[2]) < 0.8
+    assert {r.doc_id for r in near_dedup(spark, docs, sf).collect()} == {1, 3}
