@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from granary.session import checkpoint
 
-#: Restore chains are walked at most so deep; deeper ones count as cycles.
-MAX_DEPTH = 95
-
 
 def ancestors(start: DataFrame, backups: DataFrame) -> DataFrame:
     """ids of all present ancestors of `start`; missing parents are ignored.
@@ -32,28 +29,28 @@ def ancestors(start: DataFrame, backups: DataFrame) -> DataFrame:
 def restore_plans(backups: DataFrame, wanted: DataFrame) -> DataFrame:
     """Steps of the restore of each wanted backup (column backup_id), root first: (backup_id, step_no, id, type, parent_id, manifest_id, problem).
 
-    problem: '' or `missing` (not there), `missing_parent`, `cycle`. The recursion carries the path and stops at a repeat.
+    problem: '' or `missing` (not there), `missing_parent`, `cycle`. Path doubling as in `ancestors`, with depths: a chain of n needs
+    log2(n) rounds, however long it is, and a cycle ends with no new pairs.
     """
-    spark = backups.sparkSession
-    rows = spark.sql(
-        """
-        with recursive walk(backup_id, id, parent_id, depth, path, looped) as (
-          select w.backup_id, b.id, b.parent_id, 0, array(b.id), false from {wanted} w join {backups} b on b.id = w.backup_id
-          union all
-          select w.backup_id, b.id, b.parent_id, w.depth + 1, concat(w.path, array(b.id)), array_contains(w.path, b.id)
-          from walk w join {backups} b on b.id = w.parent_id where not w.looped and w.depth < """
-        + str(MAX_DEPTH)
-        + """)
-        select backup_id, id, parent_id, depth, looped from walk
-        """,
-        wanted=wanted.select("backup_id").distinct(),
-        backups=backups.select("id", "parent_id"),
-    )
+    edges = backups.where("parent_id is not null").select("id", F.col("parent_id").alias("up"))
+    jump = checkpoint(edges.join(backups.select(F.col("id").alias("up")), "up", "left_semi").select("id", "up"))  # the ancestor `far` steps up
+    linked = jump.select("id", F.lit(True).alias("linked"))
+    rows = checkpoint(wanted.select("backup_id").distinct().join(backups.select(F.col("id").alias("backup_id")), "backup_id").select("backup_id", F.col("backup_id").alias("id"), F.lit(0).cast("long").alias("depth")))
+    far = 1
+    while True:
+        # Only in a cycle is one met again; the least depth is its place.
+        more = rows.join(jump, "id").groupBy("backup_id", F.col("up").alias("id")).agg((F.min("depth") + far).alias("depth"))
+        more = checkpoint(more.join(rows.select("backup_id", "id"), ["backup_id", "id"], "left_anti"))
+        if more.isEmpty():
+            break
+        rows = checkpoint(rows.union(more))
+        jump, far = checkpoint(jump.toDF("id", "mid").join(jump.toDF("mid", "up"), "mid").select("id", "up")), 2 * far
+    rows = rows.join(backups.select("id", "parent_id"), "id").join(linked, "id", "left")
     top = Window.partitionBy("backup_id")
-    rows = rows.withColumn("deepest", F.max("depth").over(top)).withColumn("cycle", F.max("looped").over(top) | (F.col("deepest") >= MAX_DEPTH))
-    ends = F.max(F.when((F.col("depth") == F.col("deepest")) & F.col("parent_id").isNotNull(), True).otherwise(False)).over(top)
-    rows = rows.withColumn("open", ends).where("not looped")
-    steps = rows.select("backup_id", (F.col("deepest") - F.col("depth") + F.when(F.col("cycle"), 0).otherwise(1)).cast("long").alias("step_no"), "id", F.when(F.col("cycle"), "cycle").when(F.col("open"), "missing_parent").otherwise("").alias("problem"))
+    rows = rows.withColumn("deepest", F.max("depth").over(top))
+    last = F.col("depth") == F.col("deepest")
+    rows = rows.withColumn("cycle", F.max(last & F.col("linked").isNotNull()).over(top)).withColumn("open", F.max(last & F.col("parent_id").isNotNull()).over(top))
+    steps = rows.select("backup_id", (F.col("deepest") - F.col("depth") + 1).alias("step_no"), "id", F.when(F.col("cycle"), "cycle").when(F.col("open"), "missing_parent").otherwise("").alias("problem"))
     steps = steps.join(backups.select("id", "type", "parent_id", "manifest_id"), "id")
     missing = wanted.select("backup_id").distinct().join(backups.select(F.col("id").alias("backup_id")), "backup_id", "left_anti")
     lost = missing.select("backup_id", F.lit(0).cast("long").alias("step_no"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("string").alias("manifest_id"), F.lit("missing").alias("problem"))

@@ -128,6 +128,14 @@ def test_restore_plan_problems(spark):
     assert {(b, p) for b, _, _, p in got} == {("a", "cycle"), ("c", "missing_parent"), ("nothing", "missing")}
 
 
+def test_restore_plan_of_a_long_chain(spark):
+    pairs = [("b0", None), *[(f"b{i}", f"b{i - 1}") for i in range(1, 131)]]
+    got = plans(spark, pairs, "b130", "b96")
+    assert got == sorted([(w, i + 1, f"b{i}", "") for w, n in (("b130", 131), ("b96", 97)) for i in range(n)])
+    loop = plans(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "b")], "a", "c")
+    assert loop == [("a", 1, "d", "cycle"), ("a", 2, "c", "cycle"), ("a", 3, "b", "cycle"), ("a", 4, "a", "cycle"), ("c", 1, "b", "cycle"), ("c", 2, "d", "cycle"), ("c", 3, "c", "cycle")]
+
+
 def test_parents(spark):
     rows = [("f1", "full", "2026-04-01 00:00:00"), ("i1", "incr", "2026-04-02 00:00:00"), ("i2", "incr", "2026-04-09 00:00:00")]
     b = spark.createDataFrame([(i, "t", "s", k, "m", e) for i, k, e in rows], "id string, target_id string, storage_id string, type string, manifest_id string, ended_at string").withColumn("ended_at", F.col("ended_at").cast("timestamp_ntz"))
