@@ -186,6 +186,21 @@ def test_substring_near_and_hot_passages(spark):
     assert got[1006].spans and got[1007].spans  # the two long texts
 
 
+def test_substring_passage_at_several_places(spark):
+    base, other = words(60, 21), words(80, 22)
+    data = [(1, words(20, 23) + base + words(20, 24)), (2, words(30, 25) + base + words(40, 26) + base + words(30, 27) + base + words(5, 28))]
+    data += [(3, words(20, 33) + other + words(20, 34)), (4, words(10, 35) + other[:40] + words(30, 36) + other + words(10, 37))]
+    # three times in the earlier one
+    data += [(5, words(9, 40) + 3 * (words(70, 41) + words(60, 42)) + words(9, 43)), (6, words(25, 44) + words(60, 42) + words(25, 45))]
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in data], DOC)
+    got = {r.doc_id: r for r in substring_dedup.repeats(df).collect()}
+    cover = lambda d: {k for s in got[d].spans for k in range(s["start"], s["end"])}
+    assert {*range(30, 90), *range(130, 190), *range(220, 280)} <= cover(2) and set(range(20, 80)) <= cover(1)
+    assert set(range(80, 160)) <= cover(4) and {*range(79, 139), *range(209, 269), *range(339, 399)} <= cover(5)
+    left = {r.doc_id: r.text.split() for r in substring_dedup.clean(df).collect()}
+    assert not set(base) & set(left[2]) and left[1] == data[0][1] and left[5] == data[4][1]
+
+
 def test_substring_odd(spark, odd, empty):
     got = [(r.doc_id, len(r.spans)) for r in substring_dedup.repeats(odd.withColumn("spans", F.lit(1)).withColumn("doc", F.lit(2))).collect()]
     assert len(got) == len(ODD) and dict(got)[5] >= 1 and dict(got)[1] == dict(got)[4] == 0
