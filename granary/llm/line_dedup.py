@@ -8,7 +8,8 @@ document with fewer lines. A line or run held by many documents so gives one pai
 
 A pair is aligned with patience diff: lines that occur once in both documents and in the same order are
 fixed points, the stretches between them are aligned in turn, and equal lines next to fixed points join them. Runs of
-aligned lines are common blocks. A block that holds a rare or long shared line, or at least BLOCK lines with text, or is part of a
+aligned lines are common blocks. Where the anchor has a block in another order or at several places, alignment can leave it out; so lines
+that are evidence and runs of BLOCK lines with text which it left are then looked up in the anchor, and are common blocks as well. A block that holds a rare or long shared line, or at least BLOCK lines with text, or is part of a
 copy of the whole text, is deleted from the later document. What stays by definition is a short line that more than RARE documents hold, where it stands
 alone or with one other such line between lines of the document's own.
 
@@ -122,7 +123,39 @@ def blocks(a: list[int], b: list[int], rare: set[int], block: int = BLOCK) -> li
             run = []
         run.append(j)
         before = (i, j)
-    return out
+    return out + moved(a, b, rare, block, set(out))
+
+
+def moved(a: list[int], b: list[int], rare: set[int], block: int, gone: set[int]) -> list[int]:
+    """Places in b, but for those in `gone`, of the blocks that a has in another order or at several places."""
+    left = [j for j, x in enumerate(b) if x and j not in gone]
+    if not left:
+        return []
+    out: set[int] = set()
+    at: dict[int, list[int]] = {}
+    for i, x in enumerate(a):
+        if x in rare:
+            at.setdefault(x, []).append(i)
+    for j in left:
+        if j in out:
+            continue
+        best = range(0)
+        for i in at.get(b[j], ()):
+            lo, hi = 0, 1
+            while lo < i and lo < j and a[i - lo - 1] == b[j - lo - 1]:
+                lo += 1
+            while i + hi < len(a) and j + hi < len(b) and a[i + hi] == b[j + hi]:
+                hi += 1
+            if lo + hi > len(best):
+                best = range(j - lo, j + hi)
+        out.update(best)
+    text = [x for x in a if x]
+    runs = {tuple(text[i : i + block]) for i in range(len(text) - block + 1)}
+    places = [j for j, x in enumerate(b) if x]
+    for k in range(len(places) - block + 1):
+        if tuple(b[j] for j in places[k : k + block]) in runs:
+            out.update(range(places[k], places[k + block - 1] + 1))
+    return sorted(out - gone)
 
 
 def repeated_lines(docs: DataFrame, rare: int = RARE, shared: int = SHARED, block: int = BLOCK) -> DataFrame:

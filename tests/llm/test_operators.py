@@ -381,6 +381,18 @@ def test_line_dedup_of_frequent_lines(spark):
     assert all(got[d] == t for d, t in data if d in (0, 1000, 2000, 2900, 2901, 2902, 3000))
 
 
+def test_line_dedup_of_moved_and_repeated_lines(spark):
+    data = [(1, "a1\nY line\nX line\nb1"), *[(i, f"a{i}\nX line\nY line\nb{i}") for i in range(2, 91)]]
+    data += [(101, "c101\ntwice\nd101\ntwice\ne101"), *[(i, f"c{i}\ntwice\nd{i}") for i in range(102, 191)]]
+    # a run of frequent lines behind the one that aligns
+    run, head = "p\nq\n\nr", "\n".join(f"h{i}" for i in range(9))
+    data += [(1000, f"f1000\n{run}\ng1000\n{head}\nend"), *[(i, f"f{i}\n{head}\ng{i}\n{run}\nk{i}") for i in range(1001, 1150)]]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(data, DOC)).collect()}
+    assert all(got[d] == t for d, t in data if d in (1, 101, 1000))
+    assert all(got[i] == f"a{i}\nb{i}" for i in range(2, 91)) and all(got[i] == f"c{i}\nd{i}" for i in range(102, 191))
+    assert all(got[i] == f"f{i}\ng{i}\nk{i}" for i in range(1001, 1150))
+
+
 # 8
 
 
