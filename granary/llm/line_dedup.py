@@ -1,22 +1,26 @@
 """Line dedup by pairwise alignment.
 
-Documents that overlap are found through shared lines, told by a hash of the line without outer white space. The first document (least
-id) that holds a line is its anchor. Every other document that holds the line is paired with the anchor, if
-the line is evidence by itself: rare (at most RARE documents hold it), or long (LONG words or 16 * LONG bytes), then however many hold
-it. Runs of SHARED lines with text have anchors in the same way, however many documents hold them, and so has all the text of a
-document with fewer lines. A line or run held by many documents so gives one pair for each of them at most, never all pairs.
+Lines are told by a hash of the line without outer white space. What two documents share is looked for in windows of one to BLOCK lines
+that follow each other (lines without text not counted). A window is evidence of an overlap if it is rare (at most RARE documents hold
+it), or has BLOCK lines, LONG words (or 16 * LONG bytes), or all the text of a document; then however many hold it. The first
+document (least id) that holds a window is its anchor, and every other one that holds it is paired with the anchor: one pair for each window and
+document at most, never all pairs. So of two documents that share a block, the later one meets a document that holds each window of
+the block, be it the other or one before both.
 
 A pair is aligned with patience diff: lines that occur once in both documents and in the same order are
 fixed points, the stretches between them are aligned in turn, and equal lines next to fixed points join them. Runs of
-aligned lines are common blocks. Where the anchor has a block in another order or at several places, alignment can leave it out; so lines
-that are evidence and runs of BLOCK lines with text which it left are then looked up in the anchor, and are common blocks as well. A block that holds a rare or long shared line, or at least BLOCK lines with text, or is part of a
-copy of the whole text, is deleted from the later document. What stays by definition is a short line that more than RARE documents hold, where it stands
-alone or with one other such line between lines of the document's own.
+aligned lines are common blocks, and those that hold evidence are deleted from the later document. Where the anchor has a block in another order
+or at several places, alignment can leave it out; so windows of evidence that it left are then looked up in the anchor, and are deleted as well.
 
-Only hashes of lines are shuffled for the search; texts move once, to meet the lists of deleted lines.
+All told, a line with text is deleted exactly if it lies in a window of evidence that a document with a lesser id holds too. What stays is a
+block of fewer than BLOCK lines and LONG words that more than RARE documents hold: such are short phrases that everyone uses, and the method looks for
+shared lines that are rare. Lines of white space alone fall between two lines of one deleted window, and with a copy of the whole text.
+
+Only hashes of lines are shuffled for the search; texts move once, to meet the lists of deleted lines. The lines of an anchor
+go once to each group of SPLIT pairs, not to each pair.
 
 Defined results: null and empty texts have no line and stay as they are; lines of white space alone are no
-evidence, but fall with the block they stand in; of rows that repeat an id the one with the least list of line hashes is
+evidence; of rows that repeat an id the one with the least list of line hashes is
 compared, and what is deleted from it is deleted from the others where they have the same lines in the same places; a
 null id is neither anchor nor changed; an empty table gives an empty one; other columns stay (but for an old `deleted_lines`).
 """
@@ -27,6 +31,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,20 +39,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm.common import checkpoint
+from granary.llm.text import mix
 
-RARE, SHARED, BLOCK = 100, 3, 3
-#: Words of a long line; scripts without spaces count by bytes.
+RARE, BLOCK = 100, 3
+#: Words of a long window; scripts without spaces count by bytes. At most 15.
 LONG = 10
+#: Pairs of one anchor that are aligned together.
+SPLIT = 500
 WHITE = b" \t\n\x0b\x0c\r"
 
 
 def digest(line: bytes) -> int:
-    """0 without text; odd for a long line."""
+    """0 without text; else 59 bits of a hash, then 4 bits: the line's words (or bytes / 16), LONG at most."""
     line = line.strip(WHITE)
     if not line:
         return 0
-    long = len(line) >= 16 * LONG or len(line) >= 2 * LONG - 1 and len(line.split()) >= LONG
-    return (xxhash.xxh3_64_intdigest(line) >> 2 or 1) << 1 | long
+    weight = LONG if len(line) >= 16 * LONG else max(min(LONG, len(line.split())), len(line) // 16)
+    return (xxhash.xxh3_64_intdigest(line) >> 5 or 1) << 4 | weight
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
@@ -108,91 +116,135 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def blocks(a: list[int], b: list[int], rare: set[int], block: int = BLOCK) -> list[int]:
+def is_strong(window: tuple[int, ...], block: int = BLOCK) -> bool:
+    """Evidence however many documents hold it."""
+    return len(window) >= block or sum(x & 15 for x in window) >= LONG
+
+
+def windows(lines: list[int], block: int = BLOCK) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(place among the lines with text, window) of all windows of up to `block` lines."""
+    text = [x for x in lines if x]
+    for i in range(len(text)):
+        for size in range(1, min(block, len(text) - i) + 1):
+            yield i, tuple(text[i : i + size])
+
+
+def evidence(a: list[int], b: list[int], rare: set[tuple[int, ...]], block: int, held: set[tuple[int, ...]]) -> list[tuple[int, int]]:
+    """Windows of b that are evidence and that a, whose windows are `held`, has too: (first, last) places of their lines."""
+    place = [j for j, x in enumerate(b) if x]
+    whole = [b[j] for j in place]
+    if whole == [x for x in a if x] and len(whole) < block:
+        return [(place[0], place[-1])] if whole else []
+    return [(place[i], place[i + len(w) - 1]) for i, w in windows(b, block) if (w in rare or is_strong(w, block)) and w in held]
+
+
+def blocks(a: list[int], b: list[int], rare: set[tuple[int, ...]], block: int, held: set[tuple[int, ...]]) -> list[int]:
     """Places in b of the common blocks to delete."""
-    text = [x for x in b if x]
-    if len(text) < block and text == [x for x in a if x]:
-        rare = rare.union(text)
-    out: list[int] = []
-    run: list[int] = []
-    before = (-2, -2)
-    for i, j in [*patience(a, b), (-9, -9)]:
-        if run and (i, j) != (before[0] + 1, before[1] + 1):
-            if any(b[k] in rare for k in run) or sum(b[k] != 0 for k in run) >= block:
-                out += run
-            run = []
-        run.append(j)
-        before = (i, j)
-    return out + moved(a, b, rare, block, set(out))
-
-
-def moved(a: list[int], b: list[int], rare: set[int], block: int, gone: set[int]) -> list[int]:
-    """Places in b, but for those in `gone`, of the blocks that a has in another order or at several places."""
-    left = [j for j, x in enumerate(b) if x and j not in gone]
-    if not left:
-        return []
+    if a == b and a:
+        return list(range(len(b)))
+    marks = evidence(a, b, rare, block, held)
+    left = set(marks)
     out: set[int] = set()
-    at: dict[int, list[int]] = {}
-    for i, x in enumerate(a):
-        if x in rare:
-            at.setdefault(x, []).append(i)
-    for j in left:
-        if j in out:
-            continue
-        best = range(0)
-        for i in at.get(b[j], ()):
-            lo, hi = 0, 1
-            while lo < i and lo < j and a[i - lo - 1] == b[j - lo - 1]:
-                lo += 1
-            while i + hi < len(a) and j + hi < len(b) and a[i + hi] == b[j + hi]:
-                hi += 1
-            if lo + hi > len(best):
-                best = range(j - lo, j + hi)
-        out.update(best)
-    text = [x for x in a if x]
-    runs = {tuple(text[i : i + block]) for i in range(len(text) - block + 1)}
-    places = [j for j, x in enumerate(b) if x]
-    for k in range(len(places) - block + 1):
-        if tuple(b[j] for j in places[k : k + block]) in runs:
-            out.update(range(places[k], places[k + block - 1] + 1))
-    return sorted(out - gone)
-
-
-def repeated_lines(docs: DataFrame, rare: int = RARE, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+    aligned = patience(a, b)
+    at = 0
+    while at < len(aligned):  # runs of aligned lines
+        to = at + 1
+        while to < len(aligned) and aligned[to] == (aligned[to - 1][0] + 1, aligned[to - 1][1] + 1):
+            to += 1
+        lo, hi = aligned[at][1], aligned[to - 1][1]
+        inside = marks[bisect_left(marks, (lo, -1)) : bisect_left(marks, (hi + 1, -1))]
+        for window in inside:
+            if window[1] <= hi:
+                out.update(range(window[0], window[1] + 1))
+                left.discard(window)
+        at = to
+    for lo, hi in left:  # in another order in a, or at several places
+        out.update(range(lo, hi + 1))
+    return sorted(out)
+
+
+def held_windows(seen: DataFrame, block: int) -> DataFrame:
+    """doc_id, window (hash), at (its first place in the document * 16 + its size), strong: each window of a document once."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.column(1).slice(at, 500)
+                lists = pa.array(part, pa.list_(pa.int64()))
+                lines = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                row = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                row, lines = row[lines != 0], lines[lines != 0]
+                n = len(lines)
+                first = np.searchsorted(row, np.arange(len(part)))
+                place = np.arange(n) - first[row]
+                found: list[list[np.ndarray]] = [[], [], [], []]
+                key = np.zeros(n, np.uint64)
+                weight = np.zeros(n, np.int64)
+                size_of = np.bincount(row, minlength=len(part))
+                for size in range(1, block + 1):
+                    k = np.flatnonzero(place + size <= size_of[row])  # windows that end within their text
+                    key[k] = mix(key[k] * np.uint64(0xD6E8FEB86659FD93) + lines[k + size - 1])
+                    weight[k] += (lines[k + size - 1] & np.uint64(15)).astype(np.int64)
+                    whole = (size < block) & (place[k] == 0) & (size_of[row[k]] == size)
+                    for column, x in zip(found, (row[k], key[k], place[k] * 16 + size, (weight[k] >= LONG) | (size == block)), strict=True):
+                        column.append(x)
+                    # all the text of a document is evidence against an equal one only
+                    w = k[whole]
+                    for column, x in zip(found, (row[w], mix(key[w] + np.uint64(size)), place[w] * 16 + size, np.ones(len(w), bool)), strict=True):
+                        column.append(x)
+                rows, keys, places, strong = (np.concatenate(x) for x in found)
+                order = np.lexsort((places, keys, rows))
+                rows, keys, places, strong = rows[order], keys[order], places[order], strong[order]
+                new = np.concatenate([[True], (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])]) if len(rows) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + rows[new]]), pa.array(keys[new].view(np.int64)), pa.array(places[new]), pa.array(strong[new])], names=["doc_id", "window", "at", "strong"])
+
+    return seen.mapInArrow(work, "doc_id long, window long, at long, strong boolean")
+
+
+def repeated_lines(docs: DataFrame, rare: int = RARE, block: int = BLOCK) -> DataFrame:
     """later, gone: the (place, line hash) of lines to delete from document `later`."""
     seen = checkpoint(line_hashes(docs).groupBy("doc_id").agg(F.min("lines").alias("lines")))
-    size = min(shared, block)
-    text = seen.select("doc_id", F.filter("lines", lambda x: x != 0).alias("lines")).where(F.size("lines") > 0)
-    held = text.select("doc_id", F.lit(False).alias("run"), F.explode(F.array_distinct("lines")).alias("line"))
-    # A text shorter than a run is one run.
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("lines") - size + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("lines", i, size)))
-    held = held.union(text.select("doc_id", F.lit(True), F.explode(F.array_distinct(runs))))
-    lines = held.groupBy("run", "line").agg(F.min("doc_id").alias("anchor"), F.count("*").alias("n")).where("n > 1")
-    lines = checkpoint(lines.where(F.col("run") | (F.col("n") <= rare) | (F.col("line") % 2 == 1)).drop("n"))
-    pairs = held.join(lines, ["run", "line"]).where("doc_id <> anchor")
-    pairs = pairs.groupBy("anchor", F.col("doc_id").alias("later")).agg(F.collect_list(F.when(~F.col("run"), F.col("line"))).alias("rare"))
-    pairs = checkpoint(pairs)
+    held = held_windows(seen, block)
+    firsts = held.groupBy("window").agg(F.min("doc_id").alias("anchor"), F.count("*").alias("n"), F.max("strong").alias("strong")).where("n > 1")
+    firsts = checkpoint(firsts.where(F.col("strong") | (F.col("n") <= rare)).select("window", "anchor"))
+    pairs = held.join(firsts, "window").where("doc_id <> anchor")
+    # Strong windows are told from the lines themselves.
+    pairs = checkpoint(pairs.groupBy("anchor", F.col("doc_id").alias("later")).agg(F.collect_list(F.when(~F.col("strong"), F.col("at"))).alias("rare")))
+    parts = F.ceil(F.col("n") / SPLIT).cast("int")
+    groups = pairs.groupBy("anchor").agg(F.count("*").alias("n")).select("anchor", parts.alias("parts"))
+    groups = checkpoint(groups)
+    at = F.struct("anchor", F.pmod(F.xxhash64("later"), F.col("parts")).cast("int").alias("part"))
+    # The lines of both sides, the anchor's once for each of its parts; a part is worked on from its anchor's row on.
+    later = pairs.join(groups, "anchor").select(at.alias("at"), "later", "rare").join(seen.toDF("later", "lines"), "later").select("at", "later", "rare", "lines")
+    firsts = seen.toDF("anchor", "lines").join(groups, "anchor").select("anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "lines")
+    firsts = firsts.select(F.struct("anchor", "part").alias("at"), F.lit(None).cast("long").alias("later"), F.lit(None).cast("array<long>").alias("rare"), "lines")
+    both = firsts.union(later).repartition("at").sortWithinPartitions("at", F.col("later").asc_nulls_first()).select("later", "rare", "lines")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[int] = []
+        held: set[tuple[int, ...]] = set()
         for batch in batches:
             later, found = [], []
-            for d, r, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if gone := blocks(a, b, set(r), block):
+            for row in range(batch.num_rows):
+                d, r, b = (c[row].as_py() for c in batch.columns)
+                if d is None:
+                    a, held = b, {w for _, w in windows(b, block)}
+                    continue
+                text = [x for x in b if x] if r else []
+                if gone := blocks(a, b, {tuple(text[x >> 4 : (x >> 4) + (x & 15)]) for x in r}, block, held):
                     later.append(d)
-                    found.append([{"place": k, "line": b[k]} for k in sorted(gone)])
+                    found.append([{"place": k, "line": b[k]} for k in gone])
             yield pa.RecordBatch.from_arrays([pa.array(later, pa.int64()), pa.array(found, pa.list_(pa.struct([("place", pa.int32()), ("line", pa.int64())])))], names=["later", "gone"])
 
-    # The anchor's side can be hot; both sides come straight from their shuffle, so Spark splits such partitions.
-    with_a = checkpoint(pairs.join(seen.toDF("anchor", "a"), "anchor"))
-    both = with_a.join(seen.toDF("later", "b"), "later").select("later", "rare", "a", "b")
     gone = both.mapInArrow(work, "later long, gone array<struct<place:int,line:long>>")
     return gone.groupBy("later").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
-def dedup(docs: DataFrame, rare: int = RARE, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+def dedup(docs: DataFrame, rare: int = RARE, block: int = BLOCK) -> DataFrame:
     """docs with the text that is left, and `deleted_lines`: places (from 0) of the deleted lines, null for none."""
     docs = docs.drop("deleted_lines")
-    gone = checkpoint(repeated_lines(docs.select("doc_id", "text"), rare, shared, block).toDF("__later", "deleted_lines"))
+    gone = checkpoint(repeated_lines(docs.select("doc_id", "text"), rare, block).toDF("__later", "deleted_lines"))
     joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("__later"), "left").drop("__later")
     place, at = joined.columns.index("text"), joined.columns.index("deleted_lines")
     schema = T.StructType([*docs.schema.fields, T.StructField("deleted_lines", T.ArrayType(T.IntegerType()))])

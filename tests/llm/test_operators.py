@@ -370,24 +370,34 @@ def test_main_text_of_deep_and_long_pages():
 # 7
 
 
-def line_plain(rows):
-    """Pairs, alignment and deletion without Spark."""
-    lines = {d: [line_dedup.digest(x.encode()) for x in t.split("\n")] for d, t in rows if d is not None and t is not None}
-    holders = defaultdict(set)
+def line_plain(rows, rare=100, block=3, long=10):
+    """By all windows of all documents, without pairs or alignment: {doc_id: places of the deleted lines}."""
+    strip = lambda x: x.strip(" \t\n\x0b\x0c\r")
+    lines = {d: [strip(x) for x in t.split("\n")] for d, t in rows if d is not None and t is not None}
+    size = lambda x: max(min(long, len(x.encode().split())), min(long, len(x.encode()) // 16))
+    holders, of = defaultdict(set), defaultdict(list)
     for d, ls in lines.items():
-        for x in ls:
-            if x:
-                holders[x].add(d)
-    shared, rare = defaultdict(set), defaultdict(set)
-    for x, ds in holders.items():
-        for d in ds - {min(ds)}:
-            shared[min(ds), d].add(x)
-            if len(ds) <= line_dedup.RARE:
-                rare[min(ds), d].add(x)
+        at = [k for k, x in enumerate(ls) if x]
+        for i in range(len(at)):
+            for n in range(1, block + 1):
+                if i + n <= len(at):
+                    w = tuple(ls[k] for k in at[i : i + n])
+                    holders[w].add(d)
+                    of[d].append((at[i], at[i + n - 1], w))
+        if at and len(at) < block:
+            w = ("all", *(ls[k] for k in at))
+            holders[w].add(d)
+            of[d].append((at[0], at[-1], w))
     gone = defaultdict(set)
-    for (a, d), xs in shared.items():
-        if rare[a, d] or len(xs) >= line_dedup.SHARED:
-            gone[d] |= set(line_dedup.blocks(lines[a], lines[d], rare[a, d]))
+    for d, ws in of.items():
+        for first, last, w in ws:
+            strong = w[0] == "all" or len(w) == block or sum(map(size, w)) >= long
+            if min(holders[w]) < d and (strong or len(holders[w]) <= rare):
+                gone[d].update(range(first, last + 1))
+    copies = {}
+    for d, ls in sorted(lines.items()):
+        if any(ls) and copies.setdefault(tuple(ls), d) != d:
+            gone[d] = set(range(len(ls)))
     return gone
 
 
@@ -400,6 +410,23 @@ def test_line_dedup(spark, docs, rows):
         assert got[d].text == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d])
 
 
+def test_line_dedup_loses_no_link(spark):
+    """A block that many hold, each of its lines also alone in an earlier document; random documents of few lines against all windows."""
+    five = [f"line {x} of the block" for x in "abcde"]
+    for copies in (90, 102, 300):
+        data = [(k, f"before {k}\n{x}\nafter {k}") for k, x in enumerate(five)] + [(100 + i, "\n".join([f"top {i}", *five, f"end {i}"])) for i in range(copies)]
+        got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(data, DOC)).collect()}
+        assert all(got[100 + i] == f"top {i}\nend {i}" for i in range(1, copies)) and got[100] == (data[5][1] if copies > 100 else "top 0\nend 0")
+    r = random.Random(12)
+    kinds = [*"abcdefgh", "", " ", "nine words in a line of text that is", "this line of text has ten words or even more of them"]
+    data = [(d, "\n".join(r.choice(kinds) for _ in range(r.randrange(1, 9)))) for d in range(250)]
+    want = line_plain(data, rare=20)
+    for x in line_dedup.dedup(spark.createDataFrame(data, DOC), rare=20).collect():
+        lines = dict(data)[x.doc_id].split("\n")
+        assert {k for k in x.deleted_lines or [] if lines[k].strip()} == {k for k in want[x.doc_id] if lines[k].strip()}, x.doc_id
+    assert any(want.values())
+
+
 def test_patience():
     assert line_dedup.patience([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1), (2, 2), (3, 4)]
     assert line_dedup.patience([], [1]) == [] == line_dedup.patience([1], [])
