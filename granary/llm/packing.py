@@ -5,12 +5,14 @@
 groups, about one for every GROUP_CHARS characters, so that a task's memory doesn't grow with the corpus and a lost
 task gives the same result again. In a group pieces of full length are sequences by themselves. For the others best fit
 decreasing gives the incumbent; if it has more sequences than a lower bound on all packings, bin completion
-looks for a better one: depth first, always around the largest piece left, over the fillings that no other filling
-dominates (a filling is dominated if another one holds pieces at least as long in the same room), best filled
-first, cutting branches whose waste would exceed what the incumbent allows.
+looks for a better one: depth first, always around the largest piece left, over all fillings that no other filling
+dominates (a filling is dominated if a piece in stock could take the place of none, one or several of its pieces and still
+fit), best filled first, cutting branches whose waste would exceed what one sequence fewer than the incumbent allows. All
+pieces are searched once, as far as one descent and some way back; then the worst filled sequences of the incumbent, then twice as many, and so on.
 
-Groups cost at most one partly filled sequence each. With integer lengths many pieces are equally long, so
-the search works on counts of lengths.
+Packing is NP-hard: the search of a group ends after NODES branches at the latest, and the incumbent stands. That bounds time only; no piece
+is left out, and fillings are listed in full while the search goes on. Groups cost at most one partly filled sequence each. With integer
+lengths many pieces are equally long, so the search works on counts of lengths.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each; an empty table gives an empty one; other columns are left out. Null ids are packed as any other.
 """
@@ -18,6 +20,7 @@ Defined results: a null or empty text is the end id alone; repeated rows are pac
 from __future__ import annotations
 
 import json
+import re
 import sys
 import zlib
 from array import array
@@ -34,8 +37,8 @@ CAPACITY = 1024
 END = 2
 #: Pieces of about so many characters of text are packed together.
 GROUP_CHARS = 12_000_000
-#: Branches tried for a group before the incumbent stands. It bounds the search, not what is packed.
-MAX_NODES = 4_000
+#: Branches tried for a group before the incumbent stands, and for one set of its sequences.
+NODES, TRY = 1_200, 300
 PIECES = "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
@@ -44,11 +47,14 @@ PLACED = PIECES + ", sequence_id long, offset long"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+LONG_SPACE = re.compile(r"\s{50000}")
+
+
 class Encoder:
     """Token ids of texts by a byte-level BPE vocabulary file, as little-endian unsigned 32-bit integers.
 
     The ids are those of `tokenizers` with that file. In such a vocabulary a token's id is its merge's rank, so the merging
-    itself is left to `tiktoken`, which does it several times as fast; a text that holds an added token's string goes to `tokenizers`."""
+    itself is left to `tiktoken`, which does it several times as fast. A text that holds an added token's string, or a run of white space longer than `tiktoken`'s stack allows, goes to `tokenizers`."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -64,7 +70,7 @@ class Encoder:
         self.merge = tiktoken.Encoding("bytes", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> bytes:
-        if any(x in text for x in self.added):
+        if any(x in text for x in self.added) or LONG_SPACE.search(text):
             if self.whole is None:
                 from tokenizers import Tokenizer
 
@@ -154,93 +160,132 @@ def least(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(counts: dict[int, int], sizes: list[int], room: int, most: int = 6) -> list[list[int]]:
-    """Undominated ways to fill room from the lengths in stock (`sizes` ascending), the fullest first: a
-    filling that leaves room for a piece in stock, or from which one piece can be changed for a longer one that still fits, is left out."""
-    found: dict[tuple, int] = {}
-    tried = 0
-
-    def extend(chosen: list[int], left: int, top: int) -> None:
-        nonlocal tried
-        k = bisect_right(sizes, min(left, top)) - 1
-        fitted = False
-        while k >= 0 and tried < 60:
-            x = sizes[k]
-            if counts[x] - chosen.count(x) > 0:
-                fitted = True
-                tried += 1
-                extend([*chosen, x], left - x, x)
-                if found and min(found.values()) == 0 and len(found) >= most:
-                    return
+def fillings(counts: dict[int, int], sizes: list[int], room: int, waste: int) -> Iterator[list[int]]:
+    """All undominated ways to fill room from the lengths in stock (`sizes` ascending) that leave `waste` of it at most, the fullest first."""
+    small = sizes[: bisect_right(sizes, room)]
+    full = (2 << room) - 1
+    sums = [1]  # sums[k]: bits of the sums that lengths small[:k] give
+    for x in small:
+        m = sums[-1]
+        if m != full:
+            n, step = min(counts[x], room // x), 1
+            while n:
+                step = min(step, n)
+                m |= m << x * step
+                n, step = n - step, 2 * step
+            m &= full
+        sums.append(m)
+    stock = 0
+    for x in small:
+        stock |= 1 << x
+
+    def ways(k: int, want: int) -> Iterator[list[int]]:
+        """From small[:k], with exactly that sum."""
+        if not want:
+            yield []
+        while k and sums[k] >> want & 1 and want:
             k -= 1
-        if not fitted and chosen:
-            free = lambda y: counts[y] - chosen.count(y) > 0
-            if left and any(free(y) for x in set(chosen) for y in sizes[bisect_right(sizes, x) : bisect_right(sizes, x + left)]):
-                return
-            found.setdefault(tuple(chosen), left)
-
-    extend([], room, room)
-    ways = sorted(found, key=lambda w: (found[w], len(w)))[:most]
-    return [list(w) for w in ways] or [[]]
-
-
-def complete(lengths: list[int], capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> list[list[int]]:
-    """Lengths of each sequence: bin completion branch and bound, with best fit decreasing as first incumbent."""
-    best = best_fit(lengths, capacity)
+            x = small[k]
+            for n in range(min(counts[x], want // x), 0, -1):
+                if sums[k] >> want - n * x & 1:
+                    for w in ways(k, want - n * x):
+                        yield n * [x] + w
+
+    for left in range(min(waste, room) + 1):
+        for way in ways(len(small), room - left):
+            if undominated(way, left, counts, stock):
+                yield way
+
+
+def undominated(way: list[int], left: int, counts: dict[int, int], stock: int) -> bool:
+    """Whether no piece in stock (bits of lengths) could take the place of none, one (if it is longer) or several pieces of the filling, and still fit."""
+    one = many = 0  # bits of lengths, and of sums of several
+    for x in way:
+        many |= (many | one) << x
+        one |= 1 << x
+        if counts[x] == way.count(x):
+            stock &= ~(1 << x)
+    if stock & ((2 << left) - 1):
+        return False
+    better, reach = many, one | many
+    for _ in range(left):
+        reach <<= 1
+        better |= reach
+    return not better & stock
+
+
+def search(lengths: list[int], capacity: int, target: int, nodes: int) -> tuple[list[list[int]] | None, int]:
+    """A packing into at most `target` sequences if the search finds one within so many branches; the branches it took."""
     counts: dict[int, int] = {}
     for x in lengths:
         counts[x] = counts.get(x, 0) + 1
-    bound = least(counts, capacity)
-    if len(best) <= bound:
-        return best
     sizes = sorted(counts)
-    total, nodes = sum(lengths), 0
+    spare = target * capacity - sum(lengths)  # what may be wasted in all
     bins: list[list[int]] = []
     stack: list[Iterator[list[int]]] = []
-    waste = 0
+    used = 0
 
     def take(b: list[int], sign: int) -> None:
+        nonlocal spare
+        spare -= sign * (capacity - sum(b))
         for x in b:
-            counts[x] = counts.get(x, 0) - sign
-            if not counts[x]:
-                sizes.pop(bisect_right(sizes, x) - 1)
+            n = counts.get(x, 0) - sign
+            if n and x not in counts:
+                insort(sizes, x)
+            counts[x] = n
+            if not n:
+                sizes.pop(bisect_left(sizes, x))
                 del counts[x]
-            elif sign < 0 and counts[x] == 1:
-                sizes.insert(bisect_right(sizes, x), x)
 
-    def branches() -> Iterator[list[int]]:
+    def around_largest() -> Iterator[list[int]]:
         top = sizes[-1]
-        take([top], 1)
-        ways = fillings(counts, sizes, capacity - top)
-        take([top], -1)
-        return iter([[top, *w] for w in ways])
-
-    stack.append(branches())
-    while stack and nodes < max_nodes and len(best) > bound:
+        stock = dict(counts)
+        stock[top] -= 1
+        if not stock[top]:
+            del stock[top]
+        return ([top, *w] for w in fillings(stock, sorted(stock), capacity - top, spare))
+
+    if spare < 0:
+        return None, 0
+    stack.append(around_largest())
+    while stack and used < nodes:
         b = next(stack[-1], None)
         if b is None:
             stack.pop()
             if bins:
-                gone = bins.pop()
-                waste -= capacity - sum(gone)
-                take(gone, -1)
-            continue
-        nodes += 1
-        lost = capacity - sum(b)
-        # with one sequence fewer than the incumbent, no more than this may be wasted in all
-        if waste + lost > (len(best) - 1) * capacity - total:
+                take(bins.pop(), -1)
             continue
+        used += 1
         take(b, 1)
         bins.append(b)
-        waste += lost
-        if sizes:
-            stack.append(branches())
+        if not sizes:
+            return bins, used
+        stack.append(around_largest())
+    return None, used
+
+
+def complete(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
+    """Lengths of each sequence: best fit decreasing as first incumbent, then bin completion over its worst filled sequences."""
+    best = best_fit(lengths, capacity)
+    counts: dict[int, int] = {}
+    for x in lengths:
+        counts[x] = counts.get(x, 0) + 1
+    bound = least(counts, capacity)
+    if len(best) > bound:  # one descent, over the best filling around each largest piece, and what can be changed at its end
+        found, used = search(lengths, capacity, len(best) - 1, len(best) + TRY)
+        best, nodes = found or best, nodes - max(0, used - len(best))
+    n = 8
+    while len(best) > bound and nodes > 0:
+        best.sort(key=sum)
+        n = min(n, len(best))
+        found, used = search([x for b in best[:n] for x in b], capacity, n - 1, min(nodes, TRY if n < len(best) else nodes))
+        nodes -= used
+        if found:
+            best, n = found + best[n:], 8
+        elif n == len(best):
+            break
         else:
-            if len(bins) < len(best):
-                best = [list(x) for x in bins]
-            gone = bins.pop()
-            waste -= capacity - sum(gone)
-            take(gone, -1)
+            n *= 2
     return best
 
 

@@ -486,6 +486,36 @@ def test_encoder_equals_tokenizer():
         assert bits(x) == np.array(whole.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), repr(x)
 
 
+def test_encoder_of_long_runs():
+    from tokenizers import Tokenizer
+
+    whole, bits = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
+    for x in (1_000_000 * " ", "a" + 400_000 * " \n\t" + "b", 10_000_000 * " ", 49_999 * "\n" + "x", 1_000_000 * "ab", 1_000_000 * "7"):
+        assert bits(x) == np.array(whole.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_fillings_are_all_undominated_ones():
+    """Against the definition: every sub-multiset, every part of it, every piece in stock."""
+    from itertools import combinations
+
+    r = random.Random(9)
+    for _ in range(300):
+        stock = sorted(r.randint(1, 12) for _ in range(r.randint(0, 8)))
+        room, counts = r.randint(1, 25), {x: stock.count(x) for x in stock}
+        subsets = {tuple(sorted(c, reverse=True)) for k in range(len(stock) + 1) for c in combinations(stock, k) if sum(c) <= room}
+        want = set()
+        for f in subsets:
+            left, rest = room - sum(f), [y for y in counts if counts[y] > f.count(y)]
+            parts = [c for k in range(len(f) + 1) for c in combinations(f, k)]
+            if not any(sum(c) <= y <= sum(c) + left and (len(c) != 1 or y > c[0]) for c in parts for y in rest):
+                want.add(f)
+        got = [tuple(f) for f in packing.fillings(counts, sorted(counts), room, room)]
+        assert len(got) == len(set(got)) and set(got) == want and got == sorted(got, key=lambda f: -sum(f))
+        some = r.randint(0, room)
+        assert [tuple(f) for f in packing.fillings(counts, sorted(counts), room, some)] == [f for f in got if sum(f) >= room - some]
+    assert list(packing.fillings({1: 500, 900: 1}, [1, 900], 124, 124)) == [124 * [1]]
+
+
 def check_packing(out, capacity):
     by = defaultdict(list)
     for r in out:
