@@ -596,6 +596,32 @@ def test_near_duplicates_of_many_kinds(spark):
     assert got == plain.near_components(data)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b = words(120, 1), words(120, 2)
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    data = [(5, " ".join(a)), (5, " ".join(b)), (9, near(b)), (11, near(a)), (12, " ".join(words(120, 3))), (12, ""), (12, None), (13, " ".join(words(120, 3)))]
+    for _ in range(2):
+        got = [(r.doc_id, r.component_id, r.kept) for r in near_dup.classes(spark.createDataFrame(data, DOC)).collect()]
+        assert sorted(got) == [(5, 5, True), (5, 5, True), (9, 5, False), (11, 5, False), (12, 12, True), (12, 12, True), (12, 12, True), (13, 12, False)]
+    # without any near copy
+    got = [(r.doc_id, r.component_id) for r in near_dup.classes(spark.createDataFrame([(7, " ".join(a)), (7, " ".join(b)), (8, " ".join(b))], DOC)).collect()]
+    assert sorted(got) == [(7, 7), (7, 7), (8, 7)]
+
+
+def test_near_duplicates_in_a_hot_bucket(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SALT", 10)
+    base = words(150, 31)
+    data = []
+    for i in range(200):
+        r = random.Random(i)
+        w = list(base)
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        data.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.classes(spark.createDataFrame(data, DOC)).collect()}
+    assert got == plain.near_components(data)
+
+
 def test_near_duplicates_odd(spark, odd, empty):
     got = near_dup.classes(odd.withColumn("node", F.lit(1)).withColumn("key", F.lit(2))).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id == 6} == {5} and all(r.kept for r in got if r.doc_id in (None, 1, 2, 3, 4))
