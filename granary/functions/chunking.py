@@ -106,6 +106,21 @@ def decompressed(data: pd.Series, algorithm: pd.Series) -> pd.Series:
     return pd.Series([None if d is None else d if a == "none" else zlib.decompress(d, wbits=31) if a == "gzip" else unpack(d) for d, a in zip(data, algorithm, strict=True)])
 
 
+@F.pandas_udf(T.BinaryType())
+def try_decompressed(data: pd.Series, algorithm: pd.Series) -> pd.Series:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+
+    def one(d, a):
+        try:
+            return None if d is None else d if a == "none" else zlib.decompress(d, wbits=31) if a == "gzip" else unpack(d)
+        except (zlib.error, zstandard.ZstdError):
+            return None
+
+    return pd.Series([one(d, a) for d, a in zip(data, algorithm, strict=True)])
+
+
 # Fixed values of the envelope: its first bytes, version and number of the cipher.
 MAGIC, VERSION, AES_GCM = b"GRNE", 1, 1
 
@@ -125,9 +140,18 @@ def sealed(data: Column, key: Column, key_id: Column, nonce: Column, digest: Col
 
 def opened(envelope: Column, key: Column, digest: Column) -> Column:
     """The plain bytes; fails on any change of header, digest or ciphertext."""
+    body, head = _split(envelope)
+    return F.aes_decrypt(body, key, F.lit("GCM"), F.lit("DEFAULT"), F.concat(head, digest))
+
+
+def try_plain(envelope: Column, algorithm: Column, key: Column, digest: Column) -> Column:
+    """The plain, decompressed bytes, or null where anything was changed."""
+    body, head = _split(envelope)
+    return try_decompressed(F.try_aes_decrypt(body, key, F.lit("GCM"), F.lit("DEFAULT"), F.concat(head, digest)), algorithm)
+
+
+def _split(envelope: Column) -> tuple[Column, Column]:
     number = lambda at, n: F.conv(F.hex(F.substring(envelope, at, n)), 16, 10).cast("int")
     nonce_length, name_length = number(7, 1), number(8, 2)
     size = F.lit(9) + nonce_length + name_length
-    head = F.substring(envelope, F.lit(1), size)
-    body = F.substring(envelope, size + 1, F.length(envelope))
-    return F.aes_decrypt(body, key, F.lit("GCM"), F.lit("DEFAULT"), F.concat(head, digest))
+    return F.substring(envelope, size + 1, F.length(envelope)), F.substring(envelope, F.lit(1), size)

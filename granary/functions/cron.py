@@ -52,8 +52,7 @@ def _mask(field: str, lo: int, hi: int, names: dict[str, int]) -> int:
             if b < a:
                 raise ValueError(f"range {span!r} runs backwards")
         else:
-            a = number(span)
-            b = hi if "/" in part else a
+            a = b = number(span)  # a step after a single value changes nothing
         for v in range(a, b + 1, by):
             out |= 1 << v
     return out

@@ -2,40 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from granary.operators.folds import scan
+from granary.session import checkpoint
 
 FIELDS = ("id", "actor_id", "action", "resource_type", "resource_id", "metadata_json")
 
 
+def event_body() -> Column:
+    body = [F.coalesce(F.col(c), F.lit("")) for c in FIELDS]
+    return F.concat_ws("|", F.col("seq").cast("string"), *body, F.unix_micros(F.col("occurred_at").cast("timestamp")).cast("string"))
+
+
 def event_digest(previous: Column) -> Column:
     """SHA-256 over the event and the digest of the one before."""
-    body = [F.coalesce(F.col(c), F.lit("")) for c in FIELDS]
-    return F.sha2(F.concat_ws("|", F.col("seq").cast("string"), *body, F.unix_micros(F.col("occurred_at").cast("timestamp")).cast("string"), previous), 256)
+    return F.sha2(F.concat_ws("|", event_body(), previous), 256)
 
 
-def chained(events: DataFrame, shards: int = 1) -> DataFrame:
-    """events with prev_hash and hash. A chain is serial by nature: each event needs the digest before it. With `shards` chains, one for
-    each value of seq modulo shards, they run side by side."""
-    entry = F.struct("seq", F.concat_ws("|", F.col("seq").cast("string"), *[F.coalesce(F.col(c), F.lit("")) for c in FIELDS], F.unix_micros(F.col("occurred_at").cast("timestamp")).cast("string")).alias("body"))
-    groups = events.groupBy(F.pmod("seq", F.lit(shards)).alias("shard")).agg(F.sort_array(F.collect_list(entry)).alias("x"))
-    start = F.struct(F.lit("").alias("last"), F.array().cast("array<struct<seq:bigint,prev_hash:string,hash:string>>").alias("out"))
+def chained(events: DataFrame) -> DataFrame:
+    """events with prev_hash and hash. Each event needs the digest before it, so the log is one fold in order of seq."""
 
-    def step(a, x):
-        digest = F.sha2(F.concat_ws("|", x["body"], a["last"]), 256)
-        return F.struct(digest.alias("last"), F.concat(a["out"], F.array(F.struct(x["seq"].cast("long").alias("seq"), a["last"].alias("prev_hash"), digest.alias("hash")))).alias("out"))
+    def step(last: str, body: str) -> tuple[str, tuple[str, str]]:
+        digest = hashlib.sha256(f"{body}|{last}".encode()).hexdigest()
+        return digest, (last, digest)
 
-    hashes = groups.select(F.explode(F.aggregate("x", start, step)["out"]).alias("h")).select("h.*")
-    return events.join(hashes, "seq")
+    return scan(events, [], [F.col("seq")], {"body": event_body()}, "", step, {"prev_hash": T.StringType(), "hash": T.StringType()})
 
 
-def chain_violations(events: DataFrame, shards: int = 1) -> DataFrame:
+def chain_violations(events: DataFrame) -> DataFrame:
     """(seq, problem) of events that break the order, the link to the one before or their own digest.
 
     The event before is found by an equi-join on the expected seq, so no sort of the whole log in one task is needed."""
-    before = events.select((F.col("seq") + shards).alias("__seq"), F.col("hash").alias("__hash"))
+    before = events.select((F.col("seq") + 1).alias("__seq"), F.col("hash").alias("__hash"))
     df = events.join(before, events["seq"] == before["__seq"], "left")
-    first = F.col("seq") <= shards
+    first = F.col("seq") <= 1
     problem = (
         F.when(~first & F.col("__hash").isNull(), "gap").when(~F.col("prev_hash").eqNullSafe(F.when(first, F.lit("")).otherwise(F.col("__hash"))), "link")
         .when(F.col("hash") != event_digest(F.col("prev_hash")), "digest")
@@ -73,6 +78,49 @@ def missing_refs(refs: DataFrame, objects: DataFrame) -> DataFrame:
     return refs.withColumn("object_key", object_key(F.col("hash"))).join(objects, "object_key", "left_anti").select("manifest_id", "sequence", "object_key")
 
 
+def verify_chunks(refs: DataFrame, stored: DataFrame, key: Column, opened) -> DataFrame:
+    """(manifest_id, sequence, hash, problem) of references whose stored chunk is missing, can't be opened, or has another digest or size.
+
+    refs: (manifest_id, sequence, hash, size); stored: (object_key, envelope, algorithm); opened(envelope, algorithm, key, digest) gives the plain bytes, or null."""
+    df = refs.withColumn("object_key", object_key(F.col("hash"))).join(stored.select("object_key", "envelope", "algorithm"), "object_key", "left")
+    df = df.withColumn("plain", opened(F.col("envelope"), F.col("algorithm"), key, F.col("hash").cast("binary")))
+    problem = (
+        F.when(F.col("envelope").isNull(), "missing").when(F.col("plain").isNull(), "unreadable").when(F.sha2("plain", 256) != F.col("hash"), "digest")
+        .when(F.length("plain") != F.col("size"), "size")
+    )
+    return df.select("manifest_id", "sequence", "hash", problem.alias("problem")).where("problem is not null")
+
+
+#: Bits for each entry of a Bloom filter, and probes of each look-up. Fixed values.
+BLOOM_BITS, BLOOM_PROBES = 10, 7
+
+
+def _probes(digest: Column, bits: Column) -> Column:
+    """Places of a digest's bits: two numbers of 60 bits of the digest, the second added again and again."""
+    part = lambda at: F.pmod(F.conv(F.substring(digest, at, 15), 16, 10).cast("long"), bits)
+    return F.transform(F.sequence(F.lit(0), F.lit(BLOOM_PROBES - 1)), lambda i: F.pmod(part(1) + i.cast("long") * part(16), bits))
+
+
+def membership(lookups: DataFrame, entries: DataFrame) -> DataFrame:
+    """Distinct hashes of `lookups` with `maybe` (Bloom filter over `entries`: never false for a member) and `present` (exact).
+
+    The filter is a table of 64-bit words; a look-up meets the words of its probes, and only those that pass go on to the exact join."""
+    held = checkpoint(entries.select("hash").distinct())
+    bits = F.lit(max(1, BLOOM_BITS * held.count())).cast("long")
+    word, bit = F.shiftright("place", 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(64)).cast("int"))
+    filter_ = held.select(F.explode(_probes(F.col("hash"), bits)).alias("place")).groupBy(word.alias("word")).agg(F.bit_or(bit).alias("set"))
+    asked = lookups.select("hash").distinct()
+    places = asked.select("hash", F.explode(_probes(F.col("hash"), bits)).alias("place")).select("hash", word.alias("word"), bit.alias("bit"))
+    hit = places.join(filter_, "word", "left").groupBy("hash").agg(F.bool_and(F.coalesce(F.col("set").bitwiseAND(F.col("bit")) != 0, F.lit(False))).alias("maybe"))
+    present = held.join(hit.where("maybe").select("hash"), "hash", "left_semi").withColumn("present", F.lit(True))
+    return hit.join(present, "hash", "left").select("hash", "maybe", F.coalesce("present", F.lit(False)).alias("present"))
+
+
+def canonical(*fields: str) -> Column:
+    """JSON of the fields in the order given, without blanks; null fields are left out, as a signature is."""
+    return F.to_json(F.struct(*fields))
+
+
 def dedup(refs: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """refs with `duplicate`: another one with the same hash comes first (by manifest, sequence). A minimum per hash, aggregated before the
     shuffle, and a join: no sort of a hot hash's references."""

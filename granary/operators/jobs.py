@@ -65,9 +65,9 @@ def backup_requests(requests: DataFrame) -> DataFrame:
     kind = F.when(given("type"), F.col("type")).when(given("parent_id"), "incr").otherwise("full")
     df = requests.withColumn("type", kind)
     problem = (
-        F.when(~given("target_id"), "target_id is required").when(~given("storage_id"), "storage_id is required").when(~F.col("type").isin("full", "incr", "diff"), "unsupported backup type")
-        .when((F.col("type") == "full") & given("parent_id"), "parent_id requires incremental or differential backup type")
-        .when(F.col("type").isin("incr", "diff") & ~given("parent_id"), "parent_id is required for incremental or differential backup").otherwise("")
+        F.when(~given("target_id"), "no target given").when(~given("storage_id"), "no storage given").when(~F.col("type").isin("full", "incr", "diff"), "unknown type")
+        .when((F.col("type") == "full") & given("parent_id"), "a full backup has no parent")
+        .when(F.col("type").isin("incr", "diff") & ~given("parent_id"), "this type needs a parent").otherwise("")
     )
     return df.withColumn("problem", problem)
 

@@ -59,20 +59,22 @@ def restore_plans(backups: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def point_in_time_warning(at: str) -> F.Column:
     """A restore to a point after the backup's end needs stream backups."""
-    return F.when(F.lit(at).cast("timestamp_ntz") > F.col("ended_at"), "point-in-time replay requires stream backups after the selected snapshot")
+    return F.when(F.lit(at).cast("timestamp_ntz") > F.col("ended_at"), "the backup ends before the wanted instant: changes recorded after it are needed as well")
 
 
 def attach_parents(due: DataFrame, backups: DataFrame, as_of: bool = False) -> DataFrame:
     """due (id, target_id, storage_id, type[, due_at]) with parent_id: the newest backup (by end, then least id) of the same target and storage
     that has a manifest; only full ones for `diff`. Without one the type becomes full. as_of: only parents that ended by due_at.
 
-    The newest is found by one aggregation before the join."""
+    The newest is found by one aggregation before the join; as_of by a last value over backups and due runs of a target and storage in order of time."""
     fits = backups.where("coalesce(manifest_id, '') <> ''")
     if as_of:
-        pairs = due.select("id", "target_id", "storage_id", "type", "due_at").join(fits.select("target_id", "storage_id", F.col("id").alias("bid"), F.col("type").alias("btype"), "ended_at"), ["target_id", "storage_id"])
-        ok = (F.col("ended_at") <= F.col("due_at")) & ((F.col("type") != "diff") | (F.col("btype") == "full")) & F.col("btype").isin("full", "incr", "diff")
-        best = pairs.where(ok).groupBy("id").agg(F.min(F.struct((-F.unix_micros(F.col("ended_at").cast("timestamp"))).alias("age"), "bid"))["bid"].alias("found"))
-        out = due.join(best, "id", "left")
+        some = fits.where(F.col("type").isin("full", "incr", "diff")).select("target_id", "storage_id", F.col("ended_at").alias("at"), F.col("id").alias("bid"), (F.col("type") == "full").alias("full"), F.lit(None).cast("string").alias("id"))
+        asked = due.select("target_id", "storage_id", F.col("due_at").alias("at"), F.lit(None).cast("string").alias("bid"), F.lit(None).cast("boolean").alias("full"), "id")
+        # at one instant backups come first, the least id last
+        order = Window.partitionBy("target_id", "storage_id").orderBy("at", F.col("bid").isNull(), F.desc("bid")).rowsBetween(Window.unboundedPreceding, 0)
+        newest = some.union(asked).select("id", F.last("bid", ignorenulls=True).over(order).alias("a"), F.last(F.when(F.col("full"), F.col("bid")), ignorenulls=True).over(order).alias("f")).where("id is not null")
+        out = due.join(newest, "id", "left").withColumn("found", F.when(F.col("type") == "diff", F.col("f")).otherwise(F.col("a"))).drop("f", "a")
     else:
         newest = lambda c: F.min(F.when(c, F.struct((-F.unix_micros(F.col("ended_at").cast("timestamp"))).alias("age"), "id")))["id"]
         best = fits.groupBy("target_id", "storage_id").agg(newest(F.col("type") == "full").alias("f"), newest(F.col("type").isin("full", "incr", "diff")).alias("a"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from granary.session import importable
 
 ACTIVE = ("running", "finalizing")
 
@@ -21,32 +27,33 @@ def _unpivot(row: DataFrame, label="") -> DataFrame:
     return row.select(stacked.alias("x")).select("x.*")
 
 
-def _by_sets(df: DataFrame, keys: list[str], aggregates: list, names: dict[str, dict[str, str]]) -> DataFrame:
-    """One scan: grouping sets over each key alone; names: key -> {aggregate column: metric}."""
-    sets = df.groupingSets([[F.col(k)] for k in keys], *map(F.col, keys)).agg(*aggregates, F.grouping_id().alias("g"))
-    out = []
-    for i, k in enumerate(keys):
-        g = sum(1 << (len(keys) - 1 - j) for j in range(len(keys)) if j != i)
-        for column, metric in names[k].items():
-            out.append(F.when(F.col("g") == g, F.struct(F.lit(metric).alias("metric"), F.col(k).cast("string").alias("label"), F.col(column).cast("long").alias("value"))))
-    return sets.select(F.explode(F.filter(F.array(*out), lambda x: x.isNotNull())).alias("x")).select("x.*").where("value is not null")
+def _by_sets(df: DataFrame, keys: list[str], aggregates: list, names: dict[str, dict[str, str]], totals: dict[str, str]) -> DataFrame:
+    """One scan: grouping sets over each key alone and over none; names: key -> {aggregate column: metric}; totals (0 without rows): {aggregate column: metric}."""
+    sets = df.groupingSets([*[[F.col(k)] for k in keys], []], *map(F.col, keys)).agg(*aggregates, F.grouping_id().alias("g"))
+    everything = (1 << len(keys)) - 1
+    entry = lambda g, metric, label, column: F.when(F.col("g") == g, F.struct(F.lit(metric).alias("metric"), label.cast("string").alias("label"), F.col(column).cast("long").alias("value")))
+    out = [entry(everything & ~(1 << (len(keys) - 1 - i)), metric, F.col(k), column) for i, k in enumerate(keys) for column, metric in names[k].items()]
+    out += [entry(everything, metric, F.lit(""), column) for column, metric in totals.items()]
+    long = sets.select(F.explode(F.filter(F.array(*out), lambda x: x.isNotNull())).alias("x")).select("x.*").where("value is not null")
+    zero = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(m) for m in totals.values()])).alias("metric"), F.lit("").alias("label"), F.lit(0).cast("long").alias("value"))
+    whole = long.where(F.col("metric").isin(*totals.values())).unionByName(zero).groupBy("metric", "label").agg(F.max("value").alias("value"))
+    return long.where(~F.col("metric").isin(*totals.values())).unionByName(whole)
 
 
 def backup_metrics(backups: DataFrame) -> DataFrame:
-    counts = _by_sets(
+    return _by_sets(
         backups, ["type", "target_id", "storage_id"],
-        [F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"), F.max(F.unix_seconds(F.col("ended_at").cast("timestamp"))).alias("latest")],
+        [
+            F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"), F.max(F.unix_seconds(F.col("ended_at").cast("timestamp"))).alias("latest"), F.sum("chunk_count").alias("chunks"),
+            F.count_if("protected").alias("protected"),
+        ],
         {
             "type": {"n": "backups_by_type"},
             "target_id": {"n": "backups_by_target", "bytes": "backups_bytes_by_target", "latest": "backups_latest_by_target"},
             "storage_id": {"n": "backups_by_storage", "bytes": "backups_bytes_by_storage", "latest": "backups_latest_by_storage"},
         },
+        {"n": "backups_total", "bytes": "backups_bytes_total", "chunks": "backups_chunks_total", "protected": "backups_protected", "latest": "backups_latest_completed"},
     )
-    totals = backups.agg(
-        F.count("*").alias("backups_total"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("backups_bytes_total"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("backups_chunks_total"),
-        F.count_if("protected").alias("backups_protected"), F.coalesce(F.max(F.unix_seconds(F.col("ended_at").cast("timestamp"))), F.lit(0)).alias("backups_latest_completed"),
-    )
-    return counts.unionByName(_unpivot(totals))
 
 
 def job_metrics(jobs: DataFrame) -> DataFrame:
@@ -54,10 +61,9 @@ def job_metrics(jobs: DataFrame) -> DataFrame:
     marked = jobs.select("status", "operation", "agent_id", active.alias("active"))
     sets = _by_sets(
         marked, ["status", "operation", "agent_id"], [F.count("*").alias("n"), F.count_if("active").alias("m")],
-        {"status": {"n": "jobs_by_status"}, "operation": {"n": "jobs_by_operation", "m": "jobs_active_by_operation"}, "agent_id": {"m": "jobs_active_by_agent"}},
+        {"status": {"n": "jobs_by_status"}, "operation": {"n": "jobs_by_operation", "m": "jobs_active_by_operation"}, "agent_id": {"m": "jobs_active_by_agent"}}, {"m": "jobs_active"},
     )
-    shown = sets.where("(label <> '' or metric = 'jobs_by_status') and (value > 0 or metric in ('jobs_by_status', 'jobs_by_operation'))")
-    return shown.unionByName(_unpivot(marked.agg(F.count_if("active").alias("jobs_active"))))
+    return sets.where("metric = 'jobs_active' or (label <> '' or metric = 'jobs_by_status') and (value > 0 or metric in ('jobs_by_status', 'jobs_by_operation'))")
 
 
 def inventory_metrics(targets: DataFrame, storages: DataFrame, schedules: DataFrame, policies: DataFrame, rules: DataFrame, users: DataFrame) -> DataFrame:
@@ -133,12 +139,20 @@ def nonzero_sorted(long: DataFrame) -> DataFrame:
 
 
 def entropy(df: DataFrame, key: str, data: str) -> DataFrame:
-    """Shannon entropy of the bytes of each row's data, in bits: byte counts first, then one sum."""
-    cells = df.select(F.col(key).alias("key"), F.explode(F.filter(F.split(F.regexp_replace(F.hex(F.col(data).cast("binary")), "(..)", "$1,"), ","), lambda x: x != "")).alias("byte"))
-    counts = cells.groupBy("key", "byte").agg(F.count("*").alias("n"))
-    sums = counts.groupBy("key").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    some = sums.select("key", (F.log2("total") - F.col("s") / F.col("total")).alias("entropy"))
-    return df.select(F.col(key).alias("key")).join(some, "key", "left").select("key", F.coalesce("entropy", F.lit(0.0)).alias("entropy"))
+    """Shannon entropy of the bytes of each row's data, in bits."""
+    importable(df.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.column("data"):
+                n = np.bincount(np.frombuffer(x.as_buffer(), np.uint8), minlength=1) if x.is_valid and len(x.as_buffer()) else np.ones(1)
+                n = n[n > 0]
+                out.append(float(np.log2(n.sum()) - (n * np.log2(n)).sum() / n.sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.float64())], names=["key", "entropy"])
+
+    some = df.select(F.col(key).alias("key"), F.col(data).cast("binary").alias("data"))
+    return some.mapInArrow(work, T.StructType([some.schema["key"], T.StructField("entropy", T.DoubleType())]))
 
 
 def algorithm_for(entropy_col, empty) -> F.Column:

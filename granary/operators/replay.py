@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from granary.operators.folds import scan
 
 
 def until(records: DataFrame, stream: list[str], order: list[str], stop: Column, inclusive: bool = False) -> DataFrame:
@@ -27,32 +30,38 @@ def stops(position: Column, at: Column, target_position=None, target_time: str |
     return out
 
 
+def last_changes(changes: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The last change of each key, deletes included."""
+    columns = [c for c in changes.columns if c not in key]
+    return changes.groupBy(*key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("x")).select(*key, "x.*")
+
+
 def applied(changes: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """State after changes (operation: insert, update, replace, delete): the last change of each key, unless it deletes."""
-    columns = [c for c in changes.columns if c not in key]
-    last = changes.groupBy(*key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("x")).select(*key, "x.*")
-    return last.where("operation <> 'delete'")
+    return last_changes(changes, key, order).where("operation <> 'delete'")
+
+
+def resume_points(records: DataFrame, stream: list[str], position: str) -> DataFrame:
+    """Where a capture of each stream goes on: its last position, as a manifest keeps it (column marker)."""
+    return records.groupBy(*stream).agg(F.max(position).alias("marker"))
+
+
+def resumed(records: DataFrame, points: DataFrame, stream: list[str], position: str) -> DataFrame:
+    """Records after their stream's resume point; all of a stream that has none."""
+    return records.join(points, stream, "left").where(F.col("marker").isNull() | (F.col(position) > F.col("marker"))).drop("marker")
 
 
 def rate_limited(requests: DataFrame, client: str, at: str, window_seconds: int, limit: int, tie: str) -> DataFrame:
     """requests with `allowed`: a client's window starts with its first request and again with the first one that comes when it has
     run out; within it the first `limit` are let through.
 
-    Where a window starts depends on the one before, so a client's requests are folded in order. A fold over an
-    array of (instant, id) per client; the streaming twin keeps two numbers per client instead."""
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    entry = F.struct(micros.alias("t"), F.col(tie).alias("id"))
-    groups = requests.groupBy(client).agg(F.sort_array(F.collect_list(entry)).alias("x"))
-    start = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("denied"))
+    Where a window starts depends on the one before, so a client's requests are folded in order, with two numbers as state."""
     width = window_seconds * 1_000_000
 
-    def step(a, x):
-        fresh = a["start"].isNull() | (x["t"] - a["start"] >= width)
-        full = ~fresh & (a["n"] >= limit)
-        return F.struct(
-            F.when(fresh, x["t"]).otherwise(a["start"]).alias("start"), F.when(fresh, 1).otherwise(a["n"] + F.when(full, 0).otherwise(1)).alias("n"),
-            F.when(full, F.concat(a["denied"], F.array(x["id"].cast("long")))).otherwise(a["denied"]).alias("denied"),
-        )
+    def step(state: tuple[int | None, int], t: int) -> tuple[tuple[int | None, int], tuple[bool]]:
+        first, n = state
+        if first is None or t - first >= width:
+            return (t, 1), (True,)
+        return (first, n + (n < limit)), (n < limit,)
 
-    denied = groups.select(F.explode(F.aggregate("x", start, step)["denied"]).alias("__denied"))
-    return requests.join(denied, F.col(tie) == F.col("__denied"), "left").withColumn("allowed", F.col("__denied").isNull()).drop("__denied")
+    return scan(requests, [client], [F.col(at), F.col(tie)], {"t": F.unix_micros(F.col(at).cast("timestamp"))}, (None, 0), step, {"allowed": T.BooleanType()})

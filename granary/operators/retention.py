@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.functions.durations import seconds_of
+from granary.operators.folds import scan
 from granary.operators.lineage import ancestors
 
 KINDS = ("count", "time", "size", "gfs")
@@ -66,17 +68,15 @@ def time_rule(df: DataFrame, params: dict, now: str, out: str) -> DataFrame:
 def size_rule(df: DataFrame, params: dict, scope: list[str], out: str) -> DataFrame:
     """Greedy: newest first, a backup that would exceed the rest of the room is skipped and later smaller ones may still fit.
 
-    That depends on each decision before it, so it is a fold over a scope's backups in one row: (time, id, size) of the
-    unprotected ones only. What is kept comes back by an equi-join on id."""
+    That depends on each decision before it, so it is a fold over a scope's backups in order."""
     room = whole_number(_first(params, "max_bytes", "bytes"))
-    entry = F.struct((-F.unix_micros(F.col("t").cast("timestamp"))).alias("age"), "id", "size_bytes")
-    keys = scope or ["__all"]
-    base = df if scope else df.withColumn("__all", F.lit(0))
-    groups = base.where("not protected").groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("x"))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<string>").alias("ids"))
-    step = lambda a, x: F.when(a["total"] + x["size_bytes"] <= room, F.struct((a["total"] + x["size_bytes"]).alias("total"), F.concat(a["ids"], F.array(x["id"])).alias("ids"))).otherwise(a)
-    kept = groups.select(F.explode(F.aggregate("x", start, step)["ids"]).alias("__kept"))
-    return df.join(kept, df["id"] == kept["__kept"], "left").withColumn(out, F.when(F.col("__kept").isNotNull(), "size")).drop("__kept")
+
+    def step(total: int, size: int | None) -> tuple[int, tuple[str | None]]:
+        if size is None or total + size > room:
+            return total, (None,)
+        return total + size, ("size",)
+
+    return scan(df, scope, [F.desc("t"), F.col("id")], {"size": F.when(~F.col("protected"), F.col("size_bytes"))}, 0, step, {out: T.StringType()})
 
 
 def tier_rule(df: DataFrame, tier: str, n: int, scope: list[str], out: str) -> DataFrame:

@@ -8,8 +8,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions import chunking, cron, statements
+from granary.functions import chunking, cron, durations, statements
 from granary.operators import admission, catalog, integrity, jobs, lineage, metrics, replay, retention, schedules
+from granary.plans import backup
 from granary.plans.fixtures import NOW, RETENTION_NOW, load, with_tables
 from granary.session import table
 from granary.sources import stores
@@ -380,12 +381,10 @@ def a9_a10_c5_dedup_stats(spark, d):
 
 
 def _flagged(spark, d):
-    """References with duplicates marked; (manifest, sequence) repeats in the test table, so a row number completes the order."""
-    refs = load(spark, d, "chunk_refs")
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("hash").orderBy("manifest_id", "sequence"))
-    return refs.withColumn("duplicate", place > 1)
+    """References with duplicates marked; (manifest, sequence) repeats in the test table, so of equal places one more is counted out by a number of its own."""
+    refs = load(spark, d, "chunk_refs").groupBy("manifest_id", "sequence", "hash", "size").agg(F.count("*").alias("times"))
+    flagged = integrity.dedup(refs.withColumn("sequence", F.struct("sequence", "size")))
+    return flagged.withColumn("sequence", F.col("sequence.sequence")).select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("__time")).withColumn("duplicate", F.col("duplicate") | (F.col("__time") > 1)).drop("times", "__time")
 
 
 @query(
@@ -614,14 +613,14 @@ def j2_parents(spark, d):
 
 
 _WALK = """with recursive w(backup_id, id, parent_id, depth) as (
-    select id, id, parent_id, 0 from backups where ends_with(id, '7')
+    select id, id, parent_id, 0 from backups
     union all select w.backup_id, b.id, b.parent_id, w.depth + 1 from w join backups b on b.id = w.parent_id),
     s as (select backup_id, id, max(depth) over (partition by backup_id) - depth + 1 as step_no from w) """
 
 
 def _restore(spark, d):
     backups = load(spark, d, "backups")
-    return lineage.restore_plans(backups, backups.where("id like '%7'").select(F.col("id").alias("backup_id")))
+    return lineage.restore_plans(backups, backups.select(F.col("id").alias("backup_id")))
 
 
 @query(_WALK + "select s.backup_id, cast(s.step_no as bigint) as step_no, s.id, b.type, b.manifest_id, '' as problem from s join backups b on b.id = s.id", "backups")
@@ -710,25 +709,21 @@ def j15_chain_ready(spark, d):
 # integrity
 
 
-def _chained(spark, d):
-    return integrity.chained(load(spark, d, "audit_events").where("seq <= 2000"))
+_CHAIN = """e as (select seq, concat_ws('|', cast(seq as varchar), id, actor_id, action, resource_type, resource_id, metadata_json, cast(epoch_us(occurred_at) as varchar)) as body from audit_events),
+            h as (select list_reduce(list([body] order by seq), lambda a, x: list_append(a, sha256(x[1] || '|' || a[len(a)])), ['']) as hashes from e),
+            c as (select seq, hashes[seq] as prev_hash, hashes[seq + 1] as hash from (select unnest(range(1, len(hashes))) as seq, hashes from h) x)"""
 
 
-@query(
-    """with recursive e as (select seq, concat_ws('|', cast(seq as varchar), id, actor_id, action, resource_type, resource_id, metadata_json, cast(epoch_us(occurred_at) as varchar)) as body from audit_events),
-            c(seq, hash) as (select seq, sha256(body || '|') from e where seq <= 64 union all select e.seq, sha256(e.body || '|' || c.hash) from c join e on e.seq = c.seq + 64)
-       select seq, hash from c""",
-    "audit_events",
-)
+@query(f"with {_CHAIN} select seq, hash from c", "audit_events")
 def i1_sk7_audit_chain(spark, d):
-    return integrity.chained(load(spark, d, "audit_events"), shards=64).select("seq", "hash")
+    return integrity.chained(load(spark, d, "audit_events")).select("seq", "hash")
 
 
-@query("select cast(seq as bigint) as seq, problem from (values (500, 'digest'), (901, 'link')) v(seq, problem)")
+@query("select seq, case when seq % 1000 = 500 then 'digest' else 'link' end as problem from audit_events where seq % 1000 in (500, 901)", "audit_events")
 def i1_tampered_chain(spark, d):
-    events = _chained(spark, d)
-    bad = events.withColumn("action", F.when(F.col("seq") == 500, "job.other").otherwise(F.col("action")))
-    bad = bad.withColumn("prev_hash", F.when(F.col("seq") == 901, "0").otherwise(F.col("prev_hash")))
+    events = integrity.chained(load(spark, d, "audit_events"))
+    bad = events.withColumn("action", F.when(F.col("seq") % 1000 == 500, "job.other").otherwise(F.col("action")))
+    bad = bad.withColumn("prev_hash", F.when(F.col("seq") % 1000 == 901, "0").otherwise(F.col("prev_hash")))
     return integrity.chain_violations(bad)
 
 
@@ -757,6 +752,130 @@ def c1_c12_c15_chunk_restore(spark, d):
     return whole.select(F.col("key").alias("name"), F.sha2(joined, 256).alias("digest"), "pieces")
 
 
+def _seal():
+    return F.lit(b"0123456789abcdef"), F.lit("k1"), F.lit("none")
+
+
+@query(
+    """with e as (select distinct hash from chunk_refs c join backups b on b.manifest_id = c.manifest_id where b.type = 'full' and b.protected), m as (select greatest(1, 10 * count(*)) as bits from e),
+            p as (select hash, bits, cast('0x' || substr(hash, 1, 15) as bigint) % bits as p, cast('0x' || substr(hash, 16, 15) as bigint) % bits as q from (select distinct hash from chunk_refs) x, m),
+            a as (select hash, (p + i * q) % bits as place from p, range(7) r(i)), f as (select distinct place from a where hash in (select hash from e))
+       select hash, bool_and(f.place is not null) as maybe, hash in (select hash from e) as present from a left join f using (place) group by hash""",
+    "chunk_refs backups",
+)
+def c6_membership(spark, d):
+    """Look-ups of all hashes in an index of those that protected full backups hold: a Bloom filter, then exactly."""
+    return integrity.membership(load(spark, d, "chunk_refs"), _held_refs(spark, d))
+
+
+def _text_chunks(spark, d):
+    """Each document as a stream of its own, in chunks of the service's sizes."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    parts = chunking.chunks(docs, "doc_id", "text")
+    return parts.select(F.col("key").alias("manifest_id"), F.col("sequence").cast("long").alias("sequence"), F.sha2("data", 256).alias("hash"), "size", "data")
+
+
+_NO_OBJECTS = "object_key string"
+
+
+@query(
+    """with c as (select cast(doc_id as varchar) as manifest_id, sha256(text) as hash, strlen(text) as size from documents where text <> ''),
+            f as (select *, row_number() over (partition by hash order by manifest_id) > 1 or substr(hash, 1, 1) = '0' as duplicate from c)
+       select manifest_id, cast(0 as bigint) as sequence, hash, duplicate, case when duplicate then 0 else size + 51 end as stored_size from f"""
+)
+def c13_c14_upload(spark, d):
+    """Objects whose hash starts with 0 are there already. An envelope adds 51 bytes: header, nonce and tag."""
+    chunks = _text_chunks(spark, d)
+    existing = chunks.where("substring(hash, 1, 1) = '0'").select(integrity.object_key(F.col("hash")).alias("object_key")).distinct()
+    refs, _ = backup.uploaded(chunks, existing, *_seal())
+    return refs.select("manifest_id", "sequence", "hash", "duplicate", "stored_size")
+
+
+@query(
+    """select manifest_id, cast(0 as bigint) as sequence, problem from (select cast(doc_id as varchar) as manifest_id, case when substr(hash, 1, 1) = '1' then 'missing' when substr(hash, 1, 1) = '2' then 'unreadable'
+         when substr(hash, 1, 1) = '3' then 'size' end as problem from (select doc_id, sha256(text) as hash from documents where text <> '') x) y where problem is not null"""
+)
+def j6_bad_chunks(spark, d):
+    """Chunks by the first digit of their hash: 1 are lost, 2 have a changed byte, 3 a wrong size in the manifest."""
+    chunks = _text_chunks(spark, d)
+    key, key_id, none = _seal()
+    refs, objects = backup.uploaded(chunks, spark.createDataFrame([], _NO_OBJECTS), key, key_id, none)
+    digit = F.substring("object_key", 9 + 3, 1)
+    cut = F.concat(F.expr("substring(envelope, 1, length(envelope) - 1)"), F.unhex(F.lpad(F.hex((F.conv(F.hex(F.expr("substring(envelope, length(envelope), 1)")), 16, 10).cast("long") + 1) % 256), 2, "0")))
+    stored = objects.withColumn("envelope", F.when(digit == "2", cut).otherwise(F.col("envelope"))).where(digit != "1")
+    refs = refs.withColumn("size", F.col("size") + F.when(F.substring("hash", 1, 1) == "3", 1).otherwise(0))
+    return integrity.verify_chunks(refs, stored, key, chunking.try_plain).select("manifest_id", "sequence", "problem")
+
+
+@query(
+    f"""with a as ({_PARENTS}), t as (select s.id, s.target_id from schedules s),
+            c as (select 'm-' || t.id as manifest_id, row_number() over (partition by t.id order by cast(doc_id as varchar)) - 1 as sequence, sha256(text) as hash, strlen(text) as size from t join documents d on t.target_id = 't-' || cast(d.doc_id % 20 as varchar) where text <> ''),
+            f as (select *, row_number() over (partition by hash order by manifest_id, sequence) > 1 as duplicate from c),
+            n as (select manifest_id, count(*) as chunks, cast(sum(size) as bigint) as bytes_in, count(*) filter (where not duplicate) as uploaded_chunks from f group by manifest_id)
+       select a.id, a.type, a.parent_id, coalesce(chunks, 0) as chunks, coalesce(bytes_in, 0) as bytes_in, coalesce(uploaded_chunks, 0) as uploaded_chunks from a left join n on n.manifest_id = 'm-' || a.id""",
+    "schedules backups",
+)
+def c17_backup_run(spark, d):
+    """A run of every schedule, with the documents of its target as streams."""
+    requests = load(spark, d, "schedules").select("id", "target_id", "storage_id", F.col("backup_type").alias("type"))
+    streams = table(spark, d, "documents").select(F.concat(F.lit("t-"), (F.col("doc_id") % 20).cast("string")).alias("target_id"), F.col("doc_id").cast("string").alias("name"), F.col("text").cast("binary").alias("data"))
+    manifests, _, _ = backup.run(requests, streams, load(spark, d, "backups"), spark.createDataFrame([], _NO_OBJECTS), *_seal())
+    return manifests.select("id", "type", "parent_id", "chunks", "bytes_in", "uploaded_chunks")
+
+
+@query(
+    """select manifest_id, sha256('{"id":"' || manifest_id || '","job_id":"' || job_id || '","target_id":"' || target_id || '","storage_id":"' || storage_id || '","type":"' || type || '"' || case when parent_id is null then '' else ',"parent_id":"' || parent_id || '"' end || '}') as digest from backups""",
+    "backups",
+)
+def i2_manifest_digest(spark, d):
+    """Digest of the canonical form, without the signature."""
+    b = load(spark, d, "backups").withColumn("signature", F.lit("s"))
+    body = integrity.canonical("id", "job_id", "target_id", "storage_id", "type", "parent_id")
+    return b.withColumn("id", F.col("manifest_id")).select("manifest_id", F.sha2(body, 256).alias("digest"))
+
+
+@query(
+    """select object_key, case when substr(object_key, 6, 1) in ('0', '1') then 'exists' else 'written' end as outcome from (select distinct 'data/' || substr(hash, 1, 2) || '/' || substr(hash, 3, 2) || '/' || hash as object_key from chunk_refs) x""",
+    "chunk_refs",
+)
+def sk3_put_if_absent(spark, d):
+    keys = load(spark, d, "chunk_refs").select(integrity.object_key(F.col("hash")).alias("object_key"))
+    fresh, refused = stores.put_if_absent(keys, keys.where("substring(object_key, 6, 1) in ('0', '1')").distinct())
+    return fresh.select("object_key", F.lit("written").alias("outcome")).unionByName(refused.select("object_key", F.lit("exists").alias("outcome")))
+
+
+@query("select cast(doc_id as varchar) as name, algorithm, sha256(text) as digest from documents, (values ('none'), ('gzip'), ('zstd')) v(algorithm) where text is not null")
+def c8_codecs(spark, d):
+    """Through each codec and back."""
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("name"), F.col("text").cast("binary").alias("data"), F.explode(F.array(*map(F.lit, ("none", "gzip", "zstd")))).alias("algorithm"))
+    back = docs.select("name", "algorithm", chunking.compressed("data", "algorithm").alias("data")).select("name", "algorithm", chunking.decompressed("data", "algorithm").alias("data"))
+    return back.select("name", "algorithm", F.sha2("data", 256).alias("digest"))
+
+
+@query("select cast(doc_id as varchar) as name, '47524E4501010C0002' || upper(substr(sha256(text), 1, 24)) || '6B31' as header, strlen(text) + 51 as size, sha256(text) as digest from documents where text is not null")
+def c10_c11_envelopes(spark, d):
+    """Magic, version, cipher, lengths, nonce and key id; then the sealed text, which opens to what it was."""
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("name"), F.col("text").cast("binary").alias("data"), F.sha2("text", 256).alias("hash"))
+    key, key_id, _ = _seal()
+    sealed = docs.withColumn("envelope", chunking.sealed(F.col("data"), key, key_id, F.unhex(F.substring("hash", 1, 24)), F.col("hash").cast("binary")))
+    opened = chunking.opened(F.col("envelope"), key, F.col("hash").cast("binary"))
+    return sealed.select("name", F.hex(F.substring("envelope", 1, 23)).alias("header"), F.length("envelope").cast("long").alias("size"), F.sha2(opened, 256).alias("digest"))
+
+
+@query("select seq from audit_events where occurred_at >= timestamp '2024-01-20 00:00:00' - interval 252 hour and occurred_at <= timestamp '2024-01-18 12:00:00'", "audit_events")
+def f4_f6_time_range(spark, d):
+    """From so long before now (a week and a half) to an instant."""
+    now = datetime(2024, 1, 20)
+    since, until = durations.time_bound("1.5w", now), durations.time_bound("2024-01-18T13:00:00+01:00", now)
+    return catalog.filter_audit(load(spark, d, "audit_events"), since=since, until=until).select("seq")
+
+
+@query("select id, 'count' as reason from (select *, row_number() over (partition by target_id order by ended_at desc, id) as n from backups) x where n <= 3", "backups")
+def f21_param_aliases(spark, d):
+    """keep for n, as text with a fraction."""
+    return _rule_only(retention.count_rule(retention.with_time(load(spark, d, "backups")), {"keep": "3.7"}, ["target_id"], "r"), "r")
+
+
 # schedules
 
 _GRID = "select unnest(generate_series(timestamp '2024-01-04 00:00:00', timestamp '2024-01-05 00:00:00', interval 1 minute)) as due_at"
@@ -764,7 +883,21 @@ _GRID = "select unnest(generate_series(timestamp '2024-01-04 00:00:00', timestam
 
 @query(f"select s.id, g.due_at from schedules s, ({_GRID}) g where not s.paused and g.due_at > s.created_at and minute(g.due_at) % 20 = 5 and hour(g.due_at) between 8 and 18 and dayofweek(g.due_at) in (1, 2, 3, 4, 5)", "schedules")
 def t2_minute_grid(spark, d):
-    return schedules.minute_runs(load(spark, d, "schedules"), "5/20 8-18 * * mon-fri", "2024-01-04 00:00:00", NOW).select("id", "due_at")
+    return schedules.minute_runs(load(spark, d, "schedules"), "5-59/20 8-18 * * mon-fri", "2024-01-04 00:00:00", NOW).select("id", "due_at")
+
+
+#: Expressions with the SQL that says when they fit a minute.
+_CRONS = {
+    "*/15 * * * *": "minute(t) % 15 = 0", "5/20 * * * *": "minute(t) = 5", "1-30/7,59 6 * * *": "(minute(t) in (1, 8, 15, 22, 29, 59)) and hour(t) = 6", "@daily": "hour(t) = 0 and minute(t) = 0", "0 0 12 ? jan-mar 7": "hour(t) = 12 and minute(t) = 0 and dayofweek(t) = 0",
+    "30 4 1,15 * fri": "hour(t) = 4 and minute(t) = 30 and (day(t) in (1, 15) or dayofweek(t) = 5)", "0 22 * * Mon-Fri": "hour(t) = 22 and minute(t) = 0 and dayofweek(t) between 1 and 5", "@weekly": "hour(t) = 0 and minute(t) = 0 and dayofweek(t) = 0",
+}
+
+
+@query(" union all ".join(f"select '{e}' as expression, t as at from (select unnest(generate_series(timestamp '2024-01-01 00:00:00', timestamp '2024-01-31 23:59:00', interval 1 minute)) as t) g where {c}" for e, c in _CRONS.items()))
+def t1_cron_minutes(spark, d):
+    grid = spark.range(1).select(F.explode(F.expr("sequence(timestamp_ntz '2024-01-01 00:00:00', timestamp_ntz '2024-01-31 23:59:00', interval 1 minute)")).alias("at"))
+    fits = F.array_compact(F.array(*[F.when(cron.minute_fits(cron.parse(e), F.col("at")), F.lit(e)) for e in _CRONS]))
+    return grid.select(F.explode(fits).alias("expression"), "at")
 
 
 def _states(spark, d):
@@ -812,7 +945,15 @@ def t3_windows(spark, d):
     return schedules.due(s, datetime(2024, 1, 5, 3)).where("due_at is not null").select("id", "due_at")
 
 
-@query()
+@query(
+    """with k as (select id, created_at, day, list_transform(string_split(id || ':' || strftime(day, '%Y-%m-%d'), ''), lambda c: cast(ord(c) as uhugeint)) as bytes
+              from schedules, (select unnest(generate_series(timestamp '2023-12-01 00:00:00', timestamp '2024-01-20 00:00:00', interval 1 day)) as day) g where not paused),
+            h as (select id, created_at, day, list_reduce(bytes, lambda a, b: xor(a, b) * cast(1099511628211 as uhugeint) % cast('18446744073709551616' as uhugeint), cast('14695981039346656037' as uhugeint)) as h from k),
+            r as (select id, created_at, day + interval 21 hour + to_microseconds(cast(h % 5400000000000 // 1000 as bigint)) as run_at from h),
+            n as (select id, min(run_at) as next_run from r where run_at > created_at and run_at > timestamp '2024-01-07 00:00:00' group by id)
+       select n.id, r.run_at as due_at, n.next_run from n left join r on r.id = n.id and r.run_at > r.created_at and r.run_at <= timestamp '2024-01-07 00:00:00'""",
+    "schedules",
+)
 def t4_stable_jitter(spark, d):
     s = _states(spark, d).withColumn("expression", F.lit("@between 22:00-23:30 Europe/Paris random"))
     return schedules.due(s, datetime(2024, 1, 7)).select("id", "due_at", "next_run")
@@ -866,8 +1007,8 @@ def m6_prune_tokens(spark, d):
 
 
 @query(
-    """select id, type, case when storage_id = '' then 'storage_id is required' when type not in ('full', 'incr', 'diff') then 'unsupported backup type' when type = 'full' and parent_id <> '' then 'parent_id requires incremental or differential backup type'
-         when type in ('incr', 'diff') and parent_id = '' then 'parent_id is required for incremental or differential backup' else '' end as problem
+    """select id, type, case when storage_id = '' then 'no storage given' when type not in ('full', 'incr', 'diff') then 'unknown type' when type = 'full' and parent_id <> '' then 'a full backup has no parent'
+         when type in ('incr', 'diff') and parent_id = '' then 'this type needs a parent' else '' end as problem
        from (select id, storage_id, parent_id, case when type <> '' then type when parent_id <> '' then 'incr' else 'full' end as type from (select id, case when chunk_count = 3 then '' else storage_id end as storage_id,
              case when chunk_count % 3 = 0 then '' else coalesce(parent_id, '') end as parent_id, case when chunk_count % 4 = 0 then '' when chunk_count = 5 then 'stream' else type end as type from backups) a) b""",
     "backups",
@@ -901,6 +1042,14 @@ def w10_replay_through(spark, d):
     return replay.until(records, ["stream"], ["id"], replay.stops(F.col("id"), F.col("at"), 4000, equal_only=True), inclusive=True).select("id")
 
 
+@query("select event_id as id, user_id % 4 as stream from events e where event_id > coalesce((select max(event_id) from events b where b.user_id % 4 = e.user_id % 4 and b.user_id % 4 < 3 and b.ts < timestamp '2024-01-10 00:00:00'), -1)")
+def w9_resume_points(spark, d):
+    """A capture up to an instant leaves a marker for three of the streams; the next one goes on behind them."""
+    records = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("at"), (F.col("user_id") % 4).alias("stream"))
+    points = replay.resume_points(records.where("stream < 3 and at < timestamp_ntz '2024-01-10 00:00:00'"), ["stream"], "id")
+    return replay.resumed(records, points, ["stream"], "id").select("id", "stream")
+
+
 @query("select user_id as \"key\", value from (select *, row_number() over (partition by user_id order by event_id desc) as n from events) x where n = 1 and event_type <> 'error'")
 def w11_apply_changes(spark, d):
     changes = table(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "insert").otherwise("update").alias("operation"), "value")
@@ -926,5 +1075,3 @@ def w3_pruned_agents(spark, d):
     return pruned(_agents(spark, d), _AGENTS_NOW, 100_000).select("agent_id")
 
 
-# cron text is parsed here once, so that a bad expression fails at import
-cron.parse("5/20 8-18 * * mon-fri")

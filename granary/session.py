@@ -25,12 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where the cluster names none, as in tests."""
+    """The cluster's shared folder: what spark.checkpoint.dir names, else what setCheckpointDir has set; one of our own only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    already = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not named and not already.isEmpty():
+        named = already.get().rsplit("/", 1)[0]  # Spark adds a folder for each application
+        spark.conf.set("spark.checkpoint.dir", named)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="granary-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    if already.isEmpty():
         spark.sparkContext.setCheckpointDir(named)
     return named
 

@@ -2,7 +2,7 @@
 
 The log is a folder of JSON-lines files named by the first position they hold (`<position>.jsonl`, zero-padded or not), each line
 with `position` (a number), `time`, `operation`, `key` and `payload`. A stream's offset is the last position read, kept in the checkpoint, so a
-restarted query goes on where it was: that is the resume point. Files are read by the executors; the driver lists names only.
+restarted query goes on where it was: that is the resume point. Files are read by the executors; the driver lists names and reads the end of the newest file.
 
     spark.dataSource.register(ChangeLog)
     spark.readStream.format("change_log").option("path", folder).option("after", "0").load()
@@ -48,6 +48,24 @@ def _lines(path: str, file: str) -> Iterator[dict]:
                 yield json.loads(line)
 
 
+def _last_position(path: str, file: str) -> int | None:
+    """Position of the last whole line, read from the end of the file."""
+    system, _ = _system(path)
+    with system.open_input_file(file) as f:
+        size, width = f.size(), 1 << 16
+        while True:
+            at = max(0, size - width)
+            lines = f.read_at(size - at, at).split(b"\n")
+            for line in reversed(lines[0 if at == 0 else 1 :]):
+                try:
+                    return json.loads(line)["position"]
+                except ValueError:  # blank, or still being written
+                    continue
+            if at == 0:
+                return None
+            width *= 4
+
+
 def _spans(path: str, after: int, to: int) -> list[Span]:
     """Files that can hold such records: a file ends where the next one begins."""
     files = _files(path)
@@ -84,7 +102,8 @@ class Stream(DataSourceStreamReader):
         files = _files(self.path)
         if not files:
             return {"position": self.after}
-        return {"position": max([self.after, *(r["position"] for r in _lines(self.path, files[-1][1]))])}
+        last = _last_position(self.path, files[-1][1])
+        return {"position": max(self.after, files[-1][0] - 1 if last is None else last)}
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
         return _spans(self.path, start["position"], end["position"])

@@ -35,11 +35,17 @@ def object_bytes(spark: SparkSession, root: str, key: str, offset: int = 0, leng
 
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
-    """Committed manifests, one a row, and `problem` for those that are too long, of another version or unreadable; nothing is dropped."""
+    """Committed manifests, one a row, and `problem` for those that are too long (their content is not read), unreadable or of another version; nothing is dropped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.manifest").load(root)
-    parsed = files.select("path", "length", F.from_json(F.col("content").cast("string"), MANIFEST).alias("m"))
-    problem = F.when(F.col("length") > MAX_MANIFEST_BYTES, "too long").when(F.col("m.id").isNull(), "unreadable").when(F.col("m.version") != 1, "version")
-    return parsed.select("path", "m.*", problem.alias("problem"))
+    content = lambda c: F.from_json(c, MANIFEST).alias("m")
+    short = files.where(F.col("length") <= MAX_MANIFEST_BYTES).select("path", content(F.col("content").cast("string")), F.lit(None).cast("string").alias("problem"))
+    long = files.where(F.col("length") > MAX_MANIFEST_BYTES).select("path", content(F.lit(None).cast("string")), F.lit("too long").alias("problem"))
+    problem = F.coalesce("problem", F.when(F.col("m.id").isNull(), "unreadable").when(F.col("m.version") != 1, "version"))
+    return short.union(long).select("path", "m.*", problem.alias("problem"))
+
+
+def exists(spark: SparkSession, root: str, key: str) -> bool:
+    return not objects(spark, root).where(F.col("object_key") == key).isEmpty()
 
 
 def manifest_refs(manifests: DataFrame) -> DataFrame:
@@ -52,11 +58,16 @@ def manifest_path() -> F.Column:
     return F.concat(F.lit("manifests/"), F.date_format("finished_at", "yyyy/MM/dd"), F.lit("/"), F.col("id"), F.lit(".manifest"))
 
 
+def put_if_absent(df: DataFrame, existing: DataFrame, key: str = "object_key") -> tuple[DataFrame, DataFrame]:
+    """(rows to write, keys refused): only objects whose key is not there; of repeated keys within df one is written."""
+    return df.dropDuplicates([key]).join(existing.select(key), key, "left_anti"), df.join(existing.select(key), key, "left_semi").select(key).distinct()
+
+
 def write_new_objects(df: DataFrame, existing: DataFrame, path: str, key: str = "object_key") -> DataFrame:
-    """Append only objects whose key is not there; returns the refused keys. Repeated keys within df are written once."""
-    fresh = df.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
+    """Append only objects whose key is not there; returns the refused keys."""
+    fresh, refused = put_if_absent(df, existing, key)
     fresh.write.mode("append").parquet(path)
-    return df.join(existing.select(key), key, "left_semi").select(key).distinct()
+    return refused
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:

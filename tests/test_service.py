@@ -390,3 +390,60 @@ def test_readiness(spark):
     probes = spark.createDataFrame([(2, "jobs", "lost"), (1, "users", None), (3, "audit", "gone")], "place int, store string, error string")
     assert tuple(metrics.readiness(probes).first()) == (False, 2, "jobs", "lost")
     assert tuple(metrics.readiness(probes.where("error is null")).first()) == (True, 0, None, None)
+
+
+def test_audit_chain_of_one_log(spark):
+    import hashlib
+
+    n = 3000
+    events = spark.range(1, n + 1).selectExpr("id as seq", "concat('e', id) as id", "'u' as actor_id", "'a' as action", "'r' as resource_type", "cast(null as string) as resource_id", "'{}' as metadata_json", "timestamp_ntz '2024-01-01 00:00:00' as occurred_at")
+    rows = integrity.chained(events.repartition(7)).orderBy("seq").collect()
+    last = ""
+    for r in rows:
+        assert r.prev_hash == last
+        last = hashlib.sha256(f"{r.seq}|{r.id}|u|a|r||{{}}|1704067200000000|{last}".encode()).hexdigest()
+        assert r.hash == last
+    whole = spark.createDataFrame(rows, integrity.chained(events).schema)
+    assert len(rows) == n and integrity.chain_violations(whole).count() == 0
+    assert [tuple(x) for x in integrity.chain_violations(whole.where("seq <> 100")).collect()] == [(101, "gap")]
+    assert integrity.chained(events.limit(0)).count() == 0
+
+
+def test_bloom_filter_never_misses(spark):
+    entries = spark.range(2000).selectExpr("sha2(concat('x', id), 256) as hash")
+    lookups = spark.range(6000).selectExpr("sha2(concat('x', id), 256) as hash")
+    got = integrity.membership(lookups, entries).collect()
+    assert len(got) == 6000 and sum(r.present for r in got) == 2000 and all(r.maybe for r in got if r.present)
+    assert sum(r.maybe for r in got) < 2000 + 200  # 10 bits and 7 probes: about 0.8 % false
+    assert integrity.membership(lookups, entries.limit(0)).where("maybe or present").count() == 0
+
+
+def test_cron_step_after_a_value():
+    assert cron.parse("5/20 * * * *").minutes == 1 << 5 and cron.parse("5-59/20 * * * *").minutes == 1 << 5 | 1 << 25 | 1 << 45
+
+
+def test_parents_as_of(spark):
+    backups = [("f1", "t", "s", "full", "2024-01-01 00:00:00"), ("i1", "t", "s", "incr", "2024-01-02 00:00:00"), ("i0", "t", "s", "incr", "2024-01-02 00:00:00"), ("f2", "t", "s", "full", "2024-01-05 00:00:00"), ("o", "u", "s", "full", "2024-01-01 00:00:00")]
+    b = spark.createDataFrame(backups, "id string, target_id string, storage_id string, type string, at string").selectExpr("id", "target_id", "storage_id", "type", "cast(at as timestamp_ntz) as ended_at", "concat('m-', id) as manifest_id")
+    due = [("d1", "incr", "2024-01-02 00:00:00"), ("d2", "diff", "2024-01-04 00:00:00"), ("d3", "incr", "2023-12-31 00:00:00"), ("d4", "full", "2024-01-09 00:00:00"), ("d5", "diff", "2024-01-05 00:00:00")]
+    d = spark.createDataFrame(due, "id string, type string, at string").selectExpr("id", "'t' as target_id", "'s' as storage_id", "type", "cast(at as timestamp_ntz) as due_at")
+    got = {r.id: (r.type, r.parent_id) for r in lineage.attach_parents(d, b, as_of=True).collect()}
+    assert got == {"d1": ("incr", "i0"), "d2": ("diff", "f1"), "d3": ("full", None), "d4": ("full", None), "d5": ("diff", "f2")}
+
+
+def test_restore_plans_of_many_long_chains(spark):
+    """All of 1,500 backups in one chain: more than a million plan rows."""
+    n = 1500
+    b = spark.range(n).selectExpr("concat('b', id) as id", "if(id = 0, 'full', 'incr') as type", "if(id = 0, null, concat('b', id - 1)) as parent_id", "concat('m', id) as manifest_id")
+    got = lineage.restore_plans(b, b.selectExpr("id as backup_id")).groupBy("backup_id").agg(F.count("*").alias("n"), F.max("step_no").alias("top"), F.max("problem").alias("p")).collect()
+    assert len(got) == n and all(r.n == r.top == int(r.backup_id[1:]) + 1 and r.p == "" for r in got)
+
+
+def test_too_long_manifests_are_refused_unread(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.manifest").write_text('{"id": "m", "version": 1}')
+    (tmp_path / "b.manifest").write_text('{"id": "m2", "version": 1, "signature": "' + 100 * "x" + '"}')
+    (tmp_path / "c.manifest").write_text("{")
+    monkeypatch.setattr(stores, "MAX_MANIFEST_BYTES", 80)
+    got = {r.path[-10:]: (r.id, r.problem) for r in stores.read_manifests(spark, str(tmp_path)).collect()}
+    assert got == {"a.manifest": ("m", None), "b.manifest": (None, "too long"), "c.manifest": (None, "unreadable")}
+    assert stores.exists(spark, str(tmp_path), "a.manifest") and not stores.exists(spark, str(tmp_path), "z")

@@ -48,11 +48,11 @@ def test_rate_limit(spark, events, tmp_path):
 def test_apply_changes(spark, events, tmp_path):
     changes = events.select(F.col("user_id").alias("key"), F.col("event_id").alias("place"), F.when(F.col("event_type") == "error", "delete").otherwise("update").alias("operation"), "value")
     stream = replayed(spark, changes, str(tmp_path), "place")
-    stateful.apply_changes(stream, str(tmp_path / "out"), ["key"], "place", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").iterdir())
-    got = {r.key: r.value for r in spark.read.parquet(str(tmp_path / "out" / f"batch={last}")).collect()}
+    stateful.apply_changes(stream, str(tmp_path / "out"), ["key"], "place", str(tmp_path / "c"), compact=2).trigger(availableNow=True).start().awaitTermination()
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "changes").iterdir())
+    got = {r.key: r.value for r in stateful.current(spark, str(tmp_path / "out"), ["key"], "place").collect()}
     want = {r.key: r.value for r in replay.applied(changes, ["key"], ["place"]).collect()}
-    assert got == want and last >= 1
+    assert got == want and last >= 1 and (tmp_path / "out" / "base").exists()
 
 
 def test_change_log_resumes(spark, tmp_path):
