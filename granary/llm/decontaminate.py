@@ -1,7 +1,9 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-The automaton is built on the driver over the normalised words of all test items (a broadcast of checked size)
-and accepts every run of words of any item. Training words are streamed through it; it tracks the length of
+The automaton is built on the driver over the normalised words of test items and accepts every run of words of any item. A benchmark of more than
+PART_CHARS characters is dealt to several automata (items longer than that in pieces that overlap by a window less a word), which are broadcast and
+streamed one after the other; what they find is joined for each document, so memory does not grow with the benchmark and the result does not depend
+on the parts. Training words are streamed through it; it tracks the length of
 the longest run of item words that ends at each word. A window is `window` consecutive words of an item, or a
 shorter item as a whole; every word inside an occurrence of a window is hit.
 
@@ -24,12 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from granary.llm.common import checkpoint, importable
 from granary.llm.text import ALNUM, runs, words
 
 WINDOW = 10
-#: The benchmark is broadcast; more than so many characters of it are refused (split it and run in turn).
-MAX_BENCHMARK_CHARS = 200_000_000
+#: Characters of the items of one automaton; it takes about 170 bytes for each on the driver while it is built.
+PART_CHARS = 1_000_000
 FOUND = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_from array<int>, hit_to array<int>"
 
 
@@ -156,37 +160,105 @@ def hits(auto: Automaton, h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, d
     return np.cumsum(hit)[:-1] > 0, items
 
 
-def load(benchmark: DataFrame, window: int = WINDOW) -> Automaton:
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+def pieces(benchmark: DataFrame, window: int, part_chars: int) -> DataFrame:
+    """(item_id, text, n): each item, a longer one than half a part in pieces that overlap."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[str, str, int]] = []
+            for name, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if len(text) <= part_chars // 2:
+                    out.append((name, text, 0))
+                    continue
+                data = np.frombuffer(text.encode(), np.uint8)
+                _, starts, ends, _ = words(data, np.array([0, len(data)]), ALNUM)
+                at = 0
+                while at < len(starts):
+                    to = max(at + window, int(np.searchsorted(starts, starts[at] + part_chars // 2)))
+                    out.append((name, data[starts[at] : ends[min(to, len(starts)) - 1]].tobytes().decode(), at))
+                    at = len(starts) if to >= len(starts) else to - window + 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [(), (), ()], (pa.string(), pa.string(), pa.int64()), strict=True)], names=["item_id", "text", "n"])
+
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").where("text is not null")
+    return rows.mapInArrow(work, "item_id string, text string, n long")
+
+
+def automata(benchmark: DataFrame, window: int = WINDOW, part_chars: int = PART_CHARS) -> Iterator[tuple[Automaton, bool]]:
+    """(automaton, whether it is the last) of each part of the benchmark."""
+    importable(benchmark.sparkSession)
+    rows = pieces(benchmark, window, part_chars)
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if size > MAX_BENCHMARK_CHARS:
-        raise ValueError(f"{size} characters of benchmark items; at most {MAX_BENCHMARK_CHARS} fit the automaton")
-    return build([("null" if r.item_id is None else r.item_id, r.text) for r in rows.collect()], window)
+    parts = -(-size // part_chars) or 1
+    if parts > 1:
+        rows = checkpoint(rows.withColumn("part", F.pmod(F.xxhash64("item_id", "n"), F.lit(parts))))
+    for k in range(parts):
+        mine = rows.where(F.col("part") == k) if parts > 1 else rows
+        yield build([(r.item_id, r.text) for r in mine.select("item_id", "text").collect()], window), k == parts - 1
+
+
+STATE = T.StructType([T.StructField("__from", T.ArrayType(T.IntegerType())), T.StructField("__to", T.ArrayType(T.IntegerType())), T.StructField("__items", T.ArrayType(T.StringType()))])
+
+
+def streamed(docs: DataFrame, benchmark: DataFrame, window: int, text: str, finish, schema, part_chars: int = PART_CHARS) -> DataFrame:
+    """docs through all automata. The last one's tasks hand each run of texts to `finish`: (batch of all columns, first row, bytes, offsets, starts and ends
+    of the words, offsets in words, which words are hit, items of each text); what it yields are the rows."""
+    place, width = docs.columns.index(text), len(docs.columns)
+    spark = docs.sparkSession
+
+    def merged(batch: pa.RecordBatch, at: int, n: int, to: np.ndarray, hit: np.ndarray, items: dict[int, set]) -> None:
+        if batch.num_columns > width:  # what the automata before have found
+            before = [batch.column(width + k).slice(at, n).to_pylist() for k in range(3)]
+            for i, (from_, end, names) in enumerate(zip(*before, strict=True)):
+                for x, y in zip(from_, end, strict=True):
+                    hit[to[i] + x : to[i] + y] = True
+                if names:
+                    items.setdefault(i, set()).update(names)
 
+    def stage(auto, last: bool):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at, data, off in runs(batch.column(place)):
+                    h, starts, ends, to = words(data, off, ALNUM)
+                    hit, items = hits(auto.value, h, to)
+                    n = len(off) - 1
+                    merged(batch, at, n, to, hit, items)
+                    if last:
+                        yield from finish(batch.slice(at, n).select(range(width)), data, off, starts, ends, to, hit, items)
+                        continue
+                    spans = [span(hit[a:b]) for a, b in zip(to[:-1], to[1:], strict=True)]
+                    found = [pa.array([x for x, _ in spans], pa.list_(pa.int32())), pa.array([x for _, x in spans], pa.list_(pa.int32())), pa.array([sorted(items.get(i, ())) for i in range(n)], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*batch.slice(at, n).columns[:width], *found], names=[*batch.schema.names[:width], *STATE.names])
+
+        return work
+
+    df = docs
+    for auto, last in automata(benchmark, window, part_chars):
+        shared = spark.sparkContext.broadcast(auto)
+        if last:
+            return df.mapInArrow(stage(shared, True), schema)
+        df = checkpoint(df.mapInArrow(stage(shared, False), T.StructType([*docs.schema.fields, *STATE.fields])))
+        shared.unpersist()
+    raise AssertionError("a benchmark has at least one part")
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_chars: int = PART_CHARS) -> DataFrame:
     """For each row of docs its digest columns and its hit spans [hit_from, hit_to) in words."""
-    auto = docs.sparkSession.sparkContext.broadcast(load(benchmark, window))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, data, off in runs(batch.column(1)):
-                h, _, _, to = words(data, off, ALNUM)
-                hit, items = hits(auto.value, h, to)
-                count = np.concatenate([[0], np.cumsum(hit)])
-                n_hit = count[to[1:]] - count[to[:-1]]
-                spans = [span(hit[a:b]) if n else ([], []) for a, b, n in zip(to[:-1], to[1:], n_hit, strict=True)]
-                names = [sorted(items.get(i, ())) for i in range(len(off) - 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(at, len(off) - 1), pa.array(np.diff(to)), pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in names], pa.int64()),
-                        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]), pa.array(n_hit > 0),
-                        pa.array([x for x, _ in spans], pa.list_(pa.int32())), pa.array([x for _, x in spans], pa.list_(pa.int32())),
-                    ],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_from", "hit_to"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, FOUND)
+    def finish(batch, data, off, starts, ends, to, hit, items) -> Iterator[pa.RecordBatch]:
+        count = np.concatenate([[0], np.cumsum(hit)])
+        n_hit = count[to[1:]] - count[to[:-1]]
+        spans = [span(hit[a:b]) if n else ([], []) for a, b, n in zip(to[:-1], to[1:], n_hit, strict=True)]
+        names = [sorted(items.get(i, ())) for i in range(len(off) - 1)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0), pa.array(np.diff(to)), pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in names], pa.int64()),
+                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]), pa.array(n_hit > 0),
+                pa.array([x for x, _ in spans], pa.list_(pa.int32())), pa.array([x for _, x in spans], pa.list_(pa.int32())),
+            ],
+            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_from", "hit_to"],
+        )
+
+    return streamed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window, "text", finish, FOUND, part_chars)
 
 
 def span(hit: np.ndarray) -> tuple[list[int], list[int]]:
@@ -194,38 +266,29 @@ def span(hit: np.ndarray) -> tuple[list[int], list[int]]:
     return np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_share: float = 0.5, text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_share: float = 0.5, text: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
     """docs without the hit spans, and without documents of which more than max_share of the words is hit. Null texts stay."""
-    auto = docs.sparkSession.sparkContext.broadcast(load(benchmark, window))
     place = docs.columns.index(text)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(place)
-            new: dict[int, str | None] = {}
-            for at, data, off in runs(column):
-                h, starts, ends, to = words(data, off, ALNUM)
-                hit, _ = hits(auto.value, h, to)
-                count = np.concatenate([[0], np.cumsum(hit)])
-                n_hit = count[to[1:]] - count[to[:-1]]
-                for i in np.flatnonzero(n_hit).tolist():
-                    a, b = int(to[i]), int(to[i + 1])
-                    if n_hit[i] > max_share * (b - a):
-                        new[at + i] = None
-                        continue
-                    kept, from_ = [], int(off[i])
-                    for x, y in zip(*span(hit[a:b]), strict=True):
-                        kept.append(data[from_ : starts[a + x]].tobytes())
-                        from_ = int(ends[a + y - 1])
-                    kept.append(data[from_ : off[i + 1]].tobytes())
-                    new[at + i] = b"".join(kept).decode("utf-8", "replace")
-            if new:
-                texts = column.to_pylist()
-                stay = np.ones(len(texts), bool)
-                for i, x in new.items():
-                    texts[i], stay[i] = x, x is not None
-                columns = [pa.array(texts, pa.string()) if k == place else c for k, c in enumerate(batch.columns)]
-                batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(stay))
-            yield batch
-
-    return docs.mapInArrow(work, docs.schema)
+    def finish(batch, data, off, starts, ends, to, hit, items) -> Iterator[pa.RecordBatch]:
+        count = np.concatenate([[0], np.cumsum(hit)])
+        n_hit = count[to[1:]] - count[to[:-1]]
+        some = np.flatnonzero(n_hit).tolist()
+        if some:
+            texts, stay = batch.column(place).to_pylist(), np.ones(len(off) - 1, bool)
+            for i in some:
+                a, b = int(to[i]), int(to[i + 1])
+                if n_hit[i] > max_share * (b - a):
+                    stay[i] = False
+                    continue
+                kept, from_ = [], int(off[i])
+                for x, y in zip(*span(hit[a:b]), strict=True):
+                    kept.append(data[from_ : starts[a + x]].tobytes())
+                    from_ = int(ends[a + y - 1])
+                kept.append(data[from_ : off[i + 1]].tobytes())
+                texts[i] = b"".join(kept).decode("utf-8", "replace")
+            columns = [pa.array(texts, pa.string()) if k == place else c for k, c in enumerate(batch.columns)]
+            batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(stay))
+        yield batch
+
+    return streamed(docs, benchmark, window, text, finish, docs.schema, part_chars)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import checkpoint
+from granary.llm.common import checkpoint, importable
 from granary.llm.text import mix
 
 RARE, BLOCK = 100, 3
@@ -243,6 +243,7 @@ def repeated_lines(docs: DataFrame, rare: int = RARE, block: int = BLOCK) -> Dat
 
 def dedup(docs: DataFrame, rare: int = RARE, block: int = BLOCK) -> DataFrame:
     """docs with the text that is left, and `deleted_lines`: places (from 0) of the deleted lines, null for none."""
+    importable(docs.sparkSession)
     docs = docs.drop("deleted_lines")
     gone = checkpoint(repeated_lines(docs.select("doc_id", "text"), rare, block).toDF("__later", "deleted_lines"))
     joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("__later"), "left").drop("__later")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import checkpoint, components
+from granary.llm.common import checkpoint, components, importable
 from granary.llm.text import mix, runs, shingles, words
 
 SIZE = 5
@@ -172,6 +172,7 @@ def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
 
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
+    importable(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = checkpoint(signatures(docs))
     known = rows.where("set_key is not null and doc_id is not null")

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.common import importable
+
 CAPACITY = 1024
 END = 2
 #: Pieces of about so many characters of text are packed together.
@@ -324,5 +326,6 @@ def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Documents to placed pieces; groups by the characters of all texts."""
+    importable(docs.sparkSession)
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     return pack(tokenise(docs, tokenizer, capacity), max(1, -(-chars // GROUP_CHARS)), capacity)

@@ -256,6 +256,24 @@ def test_decontamination(spark, docs, rows, sf, odd, empty):
     assert decontaminate.find(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_in_parts(spark, docs, sf):
+    """A benchmark dealt to many automata, with items longer than a part, gives what one automaton gives."""
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    long = docs.select((F.col("doc_id") + 10**6).alias("item_id"), "text").where("doc_id % 40 = 0")
+    bench = bench.unionByName(long)
+    key = lambda r: (r.doc_id, r.n_words)
+    one = sorted(decontaminate.find(docs, bench).collect(), key=key)
+    size = bench.agg(F.sum(F.length("text"))).first()[0]
+    assert sum(r.contaminated for r in one) > 5
+    assert sorted(decontaminate.find(docs, bench, part_chars=size // 4).collect(), key=key) == one
+    assert decontaminate.clean(docs, bench, part_chars=size // 3).orderBy("doc_id").collect() == decontaminate.clean(docs, bench).orderBy("doc_id").collect()
+    w = words(300, 77)
+    item = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    df = spark.createDataFrame([(k, " ".join(["x", *w[k : k + 10], "y"])) for k in range(291)], DOC)
+    assert decontaminate.find(df, item, part_chars=300).where("n_hit = 10 and n_items = 1").count() == 291
+    assert decontaminate.find(df.limit(0), item, part_chars=300).count() == 0
+
+
 def test_decontamination_random():
     r = random.Random(4)
     for trial in range(150):
