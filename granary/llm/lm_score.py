@@ -3,18 +3,23 @@
 Training counts the words of the training documents (first pass), then their runs of three (second pass), and writes
 a trie of three levels to the shared folder, cut by the first word into shards:
 
-- words: the sorted hashes of all training words as one Elias-Fano sequence, with exact counts; a word's id is its place;
+- words: the sorted hashes of a shard's training words as one Elias-Fano sequence, with exact counts; a word's id is its shard and its place there;
 - pairs and triples: for each parent a monotone pointer (Elias-Fano) to its run of successors; successor ids are made
   monotone across runs by adding the last value of the run before, and stored as Elias-Fano; each n-gram has its
   smoothed probability and each parent the weight of its lower order, both in steps of 1/STEPS of a log10 in one byte.
 
+A word with more than HOT occurrences is split: its successors are dealt by a hash over as many further shards as it has multiples of HOT, where they have a
+parent of their own. Its pairs keep their share of the word's occurrences, and how many different successors it has in all shards is put together in one
+small table of such words. So no shard grows with one word's share of the corpus.
+
 Smoothing is Witten-Bell: P(w | h) = (c(hw) + T(h) P(w | shorter h)) / (c(h) + T(h)), T(h) being the number of words seen after
 h. The lowest order is (c + 0.1) / (N + 0.1 (V + 1)). Nothing is pruned. A document is preceded by a mark that is only context
 and closed by an end that is predicted as a token.
 
 Scoring maps the files, works on batches of documents and looks up each distinct pair and triple of a batch once, by a search
-relative to the parent's run. Shuffled are n-grams that are counted within a task first, one row for each shard
-and run of texts; a hot n-gram is one entry of it. Shards hold about SHARD_CHARS characters' n-grams, whatever the input's size.
+relative to the parent's run. A worker holds the shards it used last, up to ROOM bytes; the driver holds a few totals, no list of shards. Shuffled are n-grams that are counted
+within a task first, one row for each shard and run of texts; a hot n-gram is one entry of it. Shards hold about SHARD_CHARS characters' n-grams, whatever the
+input's size. The shared folder should be mounted on the workers; where it is not, shards are read whole.
 
 Words: A to Z in lower case, then runs of anything but space and \\t to \\r; told by a 64-bit hash.
 
@@ -27,7 +32,9 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +42,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import store
-from granary.llm.common import checkpoint, shared_dir
+from granary.llm.common import checkpoint, importable, shared_dir
 from granary.llm.elias_fano import EliasFano
-from granary.llm.text import runs, words
+from granary.llm.text import mix, runs, words
 
 FOLDS, STEPS = 10, 28
 SHARD_CHARS, TOKENS = 8_000_000, 1_000_000
+#: Occurrences of a first word from which its successors are dealt over several shards, and bytes of shards that a worker holds open.
+HOT, ROOM = 500_000, 200_000_000
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
-NONE = np.uint32(0xFFFFFFFF)
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -119,41 +127,110 @@ def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(n[order], first) if len(key) else n[:0]
 
 
+@dataclass(frozen=True)
+class Totals:
+    """Of the training documents: shards, bits of a place in a shard, distinct words, tokens, documents, words of shard 0, and what a hot word is."""
+
+    shards: int
+    bits: int
+    V: int
+    N: int
+    docs: int
+    first: int
+    hot: int
+
+    @property
+    def mark(self) -> int:
+        """Id of the mark before a document: the place after shard 0's words."""
+        return self.first
+
+    @property
+    def width(self) -> int:
+        """Bytes of an id; one value is left over."""
+        return -(-(self.id_bits + 1) // 8)
+
+    @property
+    def id_bits(self) -> int:
+        return self.bits + (self.shards - 1).bit_length()
+
+    def place(self, u: np.ndarray) -> np.ndarray:
+        return u & ((1 << self.bits) - 1)
+
+    def parts(self, count: np.ndarray) -> np.ndarray:
+        """Shards over which words with so many occurrences are dealt."""
+        return 1 + count // self.hot
+
+    def shard(self, u: np.ndarray, v: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Where the run (u, v) is; count: occurrences of u."""
+        part = (mix(v.astype(np.uint64)) % self.parts(count).astype(np.uint64)).astype(np.int64)
+        return ((u >> self.bits) + part) % self.shards
+
+
+class Recent:
+    """What was loaded last, up to ROOM bytes; None for what isn't there."""
+
+    def __init__(self, load: Callable):
+        self.load, self.held, self.size = load, OrderedDict(), 0
+
+    def __getitem__(self, s: int):
+        if s in self.held:
+            self.held.move_to_end(s)
+            return self.held[s][0]
+        try:
+            x, size = self.load(s)
+        except FileNotFoundError:
+            x, size = None, 0
+        self.held[s] = x, size
+        self.size += size
+        while self.size > ROOM and len(self.held) > 1:
+            self.size -= self.held.popitem(last=False)[1][1]
+        return x
+
+
+def weight_of(x: dict[str, np.ndarray]) -> int:
+    return sum(a.nbytes for a in x.values())
+
+
+def grouped(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places) of each shard that occurs."""
+    if not len(shard):
+        return
+    order = np.argsort(shard, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0]))
+    for a, b in zip(at, [*at[1:], len(order)], strict=True):
+        yield int(shard[order[a]]), order[a:b]
+
+
 class Words:
     """First level: ids and counts of all training words."""
 
-    def __init__(self, base: str, shards: list[tuple[int, int]]):
-        """shards: (distinct words, tokens) of each."""
-        self.base, self.n = base, len(shards)
-        self.first = np.concatenate([[0], np.cumsum([v for v, _ in shards])]).astype(np.int64)
-        self.V, self.N = int(self.first[-1]), sum(t for _, t in shards)
-        self.open: dict[int, tuple[EliasFano, np.ndarray]] = {}
-
-    def shard(self, s: int) -> tuple[EliasFano, np.ndarray]:
-        if s not in self.open:
-            x = store.load(f"{self.base}/words-{s}")
-            self.open[s] = EliasFano(int(x["n"][0]), int(x["n"][1]), x["low"], x["high"], x["zeros"]), x["counts"]
-        return self.open[s]
-
-    def ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: unknown) and counts of rising hashes."""
-        ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        at = cuts(shard_of(h, self.n), self.n)
-        for s in np.flatnonzero(np.diff(at)).tolist():
-            if self.first[s + 1] > self.first[s]:
-                a, b = at[s], at[s + 1]
-                seq, n = self.shard(s)
-                place = seq.find(h[a:b])
-                known = place >= 0
-                ids[a:b] = np.where(known, place + self.first[s], -1)
-                counts[a:b][known] = n[place[known]]
-        return ids, counts
+    def __init__(self, base: str, shards: int, bits: int):
+        self.base, self.n, self.bits = base, shards, bits
+        self.shards = Recent(self.load)
+
+    def load(self, s: int):
+        x = store.load(f"{self.base}/words-{s}")
+        return (EliasFano(int(x["n"][0]), int(x["n"][1]), x["low"], x["high"], x["zeros"]), x["counts"]), weight_of(x)
 
     def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (-1: unknown) and counts of hashes."""
         distinct, back = np.unique(h, return_inverse=True)
-        ids, counts = self.ids(distinct)
+        ids, counts = np.full(len(distinct), -1, np.int64), np.zeros(len(distinct), np.int64)
+        for s, at in grouped(shard_of(distinct, self.n)):
+            if self.shards[s]:
+                seq, n = self.shards[s]
+                place = seq.find(distinct[at])
+                known = place >= 0
+                ids[at] = np.where(known, (s << self.bits) | place, -1)
+                counts[at[known]] = n[place[known]]
         return ids[back], counts[back]
 
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ids), np.int64)
+        for s, at in grouped(ids >> self.bits):
+            out[at] = self.shards[s][1][ids[at] & ((1 << self.bits) - 1)]
+        return out
+
 
 class Level:
     """Successors of the parents 0 .. n-1 with their codes, and the weight codes of the parents."""
@@ -193,51 +270,71 @@ class Level:
 
 
 class Trie:
-    def __init__(self, base: str, shards: list[tuple[int, int]], numbers: tuple[int, ...]):
-        self.base, self.words, self.numbers = base, Words(base, shards), set(numbers)
-        self.open: dict[int, tuple[Level, Level]] = {}
-
-    def shard(self, s: int) -> tuple[Level, Level]:
-        if s not in self.open:
-            x = store.load(f"{self.base}/runs-{s}")
-            self.open[s] = Level(x, "pair"), Level(x, "triple")
-        return self.open[s]
+    def __init__(self, base: str, totals: Totals):
+        self.base, self.t, self.words = base, totals, Words(base, totals.shards, totals.bits)
+        self.shards = Recent(self.load)
+        try:
+            self.hot = store.load(f"{base}/hot")
+        except FileNotFoundError:  # no word is split
+            self.hot = {"u": np.zeros(0, np.int64), "kinds": np.zeros(0, np.int64)}
+
+    def load(self, s: int):
+        x = store.load(f"{self.base}/runs-{s}")
+        return (int(x["own"][0]), x["foreign"], Level(x, "pair"), Level(x, "triple")), weight_of(x)
+
+    def parents(self, s: int, u: np.ndarray) -> np.ndarray:
+        """Places of u among the parents of a shard, or -1."""
+        own, foreign, _, _ = self.shards[s]
+        at = np.searchsorted(foreign, u)
+        there = np.zeros(len(u), bool)
+        there[at < len(foreign)] = foreign[at[at < len(foreign)]] == u[at < len(foreign)]
+        return np.where(u >> self.t.bits == s, self.t.place(u), np.where(there, own + at, -1))
+
+    def kinds(self, u: np.ndarray) -> np.ndarray:
+        """Different successors of hot words."""
+        return self.hot["kinds"][np.searchsorted(self.hot["u"], u)]
 
     def score(self, h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token: known, base and model log10 probability."""
-        w = self.words
-        ids, counts = w.of(h)
-        low = (counts + 0.1) / (w.N + 0.1 * (w.V + 1))
+        t = self.t
+        ids, counts = self.words.of(h)
+        low = (counts + 0.1) / (t.N + 0.1 * (t.V + 1))
         base = np.log10(low)
-        before = np.concatenate([[-1], ids[:-1]])
-        before[off[:-1]] = w.V  # the mark before a document
+        # the word before, and its occurrences; before a document the mark
+        before, occurs = np.concatenate([[-1], ids[:-1]]), np.concatenate([[0], counts[:-1]])
+        before[off[:-1]], occurs[off[:-1]] = t.mark if t.docs else -1, t.docs
         p = low.copy()
         # distinct pairs of known words
         pair = np.flatnonzero((ids >= 0) & (before >= 0))
-        key = before[pair] * (w.V + 1) + ids[pair]
-        distinct, back = np.unique(key, return_inverse=True)
-        u, v = distinct // (w.V + 1), distinct % (w.V + 1)
-        hit, weight = np.full(len(u), -1, np.int64), np.ones(len(u))
-        prob = np.zeros(len(u))
+        names = np.unique(np.concatenate([ids[pair], before[pair]]))
+        n = max(1, len(names))
+        key = np.searchsorted(names, before[pair]) * n + np.searchsorted(names, ids[pair])
+        distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
+        u, v, c = names[distinct // n], names[distinct % n], occurs[pair][first]
+        hit, weight, prob = np.full(len(u), -1, np.int64), np.ones(len(u)), np.zeros(len(u))
         onward = np.ones(len(u))  # weight of the lower order after the pair
-        shard = self.shards_of(u)
-        at = cuts(shard, w.n)
-        for s in np.flatnonzero(np.diff(at)).tolist():
-            if s not in self.numbers:
+        shard = t.shard(u, v, c)
+        for s, at in grouped(shard):
+            if self.shards[s] is None:
                 continue
-            a, b = at[s], at[s + 1]
-            pairs, triples = self.shard(s)
-            parent = u[a:b] - w.first[s]
-            place = hit[a:b] = pairs.find(parent, v[a:b])
-            weight[a:b] = DECODED[pairs.weights[parent]]
-            known = np.flatnonzero(place >= 0)
-            prob[a:b][known] = DECODED[pairs.codes[place[known]]]
-            onward[a:b][known] = DECODED[triples.weights[place[known]]]
+            _, _, pairs, triples = self.shards[s]
+            parent = self.parents(s, u[at])
+            at, parent = at[parent >= 0], parent[parent >= 0]
+            place = hit[at] = pairs.find(parent, v[at])
+            weight[at] = DECODED[pairs.weights[parent]]
+            known = place >= 0
+            prob[at[known]] = DECODED[pairs.codes[place[known]]]
+            onward[at[known]] = DECODED[triples.weights[place[known]]]
+        split = np.flatnonzero(t.parts(c) > 1)
+        if len(split):  # shares of the occurrences, not yet of occurrences and kinds
+            kinds = self.kinds(u[split])
+            prob[split] *= c[split] / (c[split] + kinds)
+            weight[split] = kinds / (c[split] + kinds)
         p[pair] = prob[back] + weight[back] * low[pair]
         # an unknown word after a known one still pays the weight
         lone = np.flatnonzero((ids < 0) & (before >= 0))
         if len(lone):
-            p[lone] *= self.weights(before[lone])
+            p[lone] *= self.weights(before[lone], occurs[lone])
         # triples: the pair before this token is the pair that ends at the token before
         of_token = np.full(len(h), -1, np.int64)
         of_token[pair] = back
@@ -251,37 +348,47 @@ class Trie:
         seen = ids[cand] >= 0
         extra = np.zeros(len(cand))
         if seen.any():
-            key = context[seen] * (w.V + 1) + ids[cand[seen]]
+            key = context[seen] * n + np.searchsorted(names, ids[cand[seen]])
             distinct, back = np.unique(key, return_inverse=True)
-            c, word = distinct // (w.V + 1), distinct % (w.V + 1)
+            c, word = distinct // n, names[distinct % n]
             got = np.zeros(len(c))
-            at = cuts(shard[c], w.n)
-            for s in np.flatnonzero(np.diff(at)).tolist():
-                a, b = at[s], at[s + 1]
-                triples = self.shard(s)[1]
-                place = triples.find(hit[c[a:b]], word[a:b])
-                known = np.flatnonzero(place >= 0)
-                got[a:b][known] = DECODED[triples.codes[place[known]]]
+            for s, at in grouped(shard[c]):
+                triples = self.shards[s][3]
+                place = triples.find(hit[c[at]], word[at])
+                known = place >= 0
+                got[at[known]] = DECODED[triples.codes[place[known]]]
             extra[seen] = got[back]
         p[cand] = lower + extra
         return ids >= 0, base, np.log10(p)
 
-    def shards_of(self, u: np.ndarray) -> np.ndarray:
-        """Shard of each word id; the mark before documents goes with the last."""
-        return np.minimum(np.searchsorted(self.words.first, u, "right") - 1, self.words.n - 1)
-
-    def weights(self, u: np.ndarray) -> np.ndarray:
-        distinct, back = np.unique(u, return_inverse=True)
+    def weights(self, u: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Weight of the lower order after each word."""
+        distinct, first, back = np.unique(u, return_index=True, return_inverse=True)
+        c = count[first]
         out = np.ones(len(distinct))
-        at = cuts(self.shards_of(distinct), self.words.n)
-        for s in np.flatnonzero(np.diff(at)).tolist():
-            if s in self.numbers:
-                a, b = at[s], at[s + 1]
-                out[a:b] = DECODED[self.shard(s)[0].weights[distinct[a:b] - self.words.first[s]]]
+        split = self.t.parts(c) > 1
+        kinds = self.kinds(distinct[split])
+        out[split] = kinds / (c[split] + kinds)
+        single = np.flatnonzero(~split)
+        for s, at in grouped(distinct[single] >> self.t.bits):
+            if self.shards[s]:
+                out[single[at]] = DECODED[self.shards[s][2].weights[self.t.place(distinct[single[at]])]]
         return out[back]
 
 
-def count_words(docs: DataFrame, base: str, shards: int) -> list[tuple[int, int]]:
+def planes(x: np.ndarray, width: int) -> bytes:
+    """All first bytes, then all second ones, up to `width`: high bytes are mostly alike and compress."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def from_planes(blob: bytes, width: int) -> np.ndarray:
+    x = np.frombuffer(blob, np.uint8).reshape(width, -1)
+    out = np.zeros((x.shape[1], 8), np.uint8)
+    out[:, :width] = x.T
+    return out.view("<u8").reshape(-1).astype(np.int64)
+
+
+def count_words(docs: DataFrame, base: str, shards: int, hot: int) -> Totals:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, h, _ in token_runs(training(batch)):
@@ -296,47 +403,59 @@ def count_words(docs: DataFrame, base: str, shards: int) -> list[tuple[int, int]
             key, n = summed(np.concatenate(h), np.concatenate([widened(y, len(x)) for x, (_, y) in zip(h, rows, strict=True)]))
             seq = EliasFano.build(key)
             store.save(f"{base}/words-{s}", {"n": np.array([seq.n, seq.bits]), "low": seq.low, "high": seq.high, "zeros": seq.zeros, "counts": n.astype(np.uint32) if n.max() < 2**32 else n})
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(key)]), pa.array([int(n.sum())])], names=["shard", "v", "n"])
+            row = (s, len(key), int(n.sum()), int(n[key == END].sum()))
+            yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *[pa.array([x]) for x in row[1:]]], names=["shard", "v", "n", "ends"])
 
-    rows = docs.mapInArrow(gather, "shard int, h binary, n binary").repartition(shards, "shard").mapInArrow(reduce, "shard int, v long, n long").collect()
-    found = {r.shard: (r.v, r.n) for r in rows}
-    return [found.get(s, (0, 0)) for s in range(shards)]
+    rows = docs.mapInArrow(gather, "shard int, h binary, n binary").repartition(shards, "shard").mapInArrow(reduce, "shard int, v long, n long, ends long")
+    x = rows.agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.max("v").alias("most"), F.sum("ends").alias("docs"), F.max(F.when(F.col("shard") == 0, F.col("v"))).alias("first")).first()
+    return Totals(shards, ((x.most or 0) + 1).bit_length(), x.v or 0, x.n or 0, x.docs or 0, x["first"] or 0, hot)
 
 
-def count_runs(docs: DataFrame, base: str, sizes: list[tuple[int, int]]) -> tuple[int, ...]:
-    """Writes the pairs and triples of each shard; returns the shards that have some."""
-    shards = len(sizes)
+def count_runs(docs: DataFrame, base: str, t: Totals) -> None:
+    """Writes the pairs and triples of each shard, and the table of hot words."""
+    nothing = (1 << 8 * t.width) - 1
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Words(base, sizes)
-        trie = Trie(base, sizes, ())
+        vocabulary = Words(base, t.shards, t.bits)
         for batch in batches:
             for _, h, to in token_runs(training(batch)):
-                w = vocabulary.of(h)[0]
-                u = np.concatenate([[0], w[:-1]])
-                u[to[:-1]] = vocabulary.V
-                after = np.concatenate([w[1:], [0]])
-                after[to[1:] - 1] = NONE  # nothing follows the end
+                w, counts = vocabulary.of(h)
+                names = np.unique(np.concatenate([w, [t.mark]]))
+                place = np.searchsorted(names, w)
+                n = len(names) + 1
+                u, occurs = np.concatenate([[0], place[:-1]]), np.concatenate([[0], counts[:-1]])
+                u[to[:-1]], occurs[to[:-1]] = np.searchsorted(names, t.mark), t.docs
+                after = np.concatenate([place[1:], [0]])
+                after[to[1:] - 1] = n - 1  # nothing follows the end
                 # runs (u, w, after) as two sorted keys
-                pair, back = np.unique((u << 32) | w, return_inverse=True)
-                key, n = np.unique((back.astype(np.int64) << 32) | after, return_counts=True)
-                pair = pair[key >> 32]
-                u = pair >> 32
-                at = cuts(trie.shards_of(u), shards)
+                pair, first, back = np.unique(u * n + place, return_index=True, return_inverse=True)
+                key, times = np.unique(back * n + after, return_counts=True)
+                of = key // n
+                u, v = names[pair // n], names[pair % n]
+                shard = t.shard(u, v, occurs[first])[of]
+                order = np.argsort(shard, kind="stable")
+                last = key % n
+                columns = [u[of], v[of], np.where(last == n - 1, nothing, names[np.minimum(last, n - 2)])]
+                at = cuts(shard[order], t.shards)
                 some = np.flatnonzero(np.diff(at)).tolist()
-                cols = [u.astype(np.uint32), (pair & 0xFFFFFFFF).astype(np.uint32), (key & 0xFFFFFFFF).astype(np.uint32)]
-                blobs = [pa.array([x[at[s] : at[s + 1]].tobytes() for s in some], pa.binary()) for x in cols]
-                blobs.append(pa.array([narrow(n[at[s] : at[s + 1]]).tobytes() for s in some], pa.binary()))
+                blobs = [pa.array([planes(x[order[at[s] : at[s + 1]]], t.width) for s in some], pa.binary()) for x in columns]
+                blobs.append(pa.array([narrow(times[order[at[s] : at[s + 1]]]).tobytes() for s in some], pa.binary()))
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *blobs], names=["shard", "u", "v", "w", "n"])
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = Words(base, sizes).first
+        vocabulary = Words(base, t.shards, t.bits)
         for s, rows in by_shard(batches):
-            u, v, w = (np.concatenate([np.frombuffer(r[k], np.uint32) for r in rows]) for k in range(3))
-            n = np.concatenate([widened(r[3], len(r[0]) // 4) for r in rows])
+            n = np.concatenate([widened(r[3], len(r[0]) // t.width) for r in rows])
+            u = np.concatenate([from_planes(r[0], t.width) for r in rows])
+            mine = vocabulary.shards[s]
+            own = (mine[0].n if mine else 0) + 1  # and the mark, which is shard 0's
+            foreign = np.unique(u[u >> t.bits != s])
+            parent = np.where(u >> t.bits == s, t.place(u), own + np.searchsorted(foreign, u))
+            del u
+            pair = parent << t.id_bits | np.concatenate([from_planes(r[1], t.width) for r in rows])
+            del parent
+            w = np.concatenate([from_planes(r[2], t.width) for r in rows])
             del rows
-            pair = (u.astype(np.uint64) << np.uint64(32)) | v
-            del u, v
             order = np.lexsort((w, pair))
             pair, w, n = pair[order], w[order], n[order]
             del order
@@ -347,36 +466,54 @@ def count_runs(docs: DataFrame, base: str, sizes: list[tuple[int, int]]) -> tupl
             pairs = pair[first_of]
             index = np.repeat(np.arange(len(pairs)), np.diff(np.concatenate([first_of, [len(pair)]])))
             # triples
-            real = w != NONE
+            real = w != nothing
             kinds = np.bincount(index[real], minlength=len(pairs))
             mass = total + kinds
-            triples = Level.arrays("triple", len(pairs), index[real], w[real].astype(np.int64), code(n[real] / mass[index[real]]), code(np.where(kinds > 0, kinds / mass, 1.0)))
-            # pairs
-            parents = int(first[s + 1] - first[s]) + (s == shards - 1)
-            parent = (pairs >> np.uint64(32)).astype(np.int64) - int(first[s])
+            triples = Level.arrays("triple", len(pairs), index[real], w[real], code(n[real] / mass[index[real]]), code(np.where(kinds > 0, kinds / mass, 1.0)))
+            # pairs: of split parents as shares of all their occurrences
+            parents = own + len(foreign)
+            parent = pairs >> t.id_bits
+            occurs = np.zeros(parents, np.int64)
+            if mine:
+                occurs[: own - 1] = mine[1]
+            if s == 0:
+                occurs[own - 1] = t.docs
+            elsewhere = foreign != t.mark
+            occurs[own:][elsewhere] = vocabulary.counts(foreign[elsewhere])
+            occurs[own:][~elsewhere] = t.docs
+            split = t.parts(occurs) > 1
             kinds = np.bincount(parent, minlength=parents)
-            mass = np.bincount(parent, weights=total, minlength=parents) + kinds
-            share = np.divide(kinds, mass, out=np.ones(parents), where=kinds > 0)
-            store.save(f"{base}/runs-{s}", Level.arrays("pair", parents, parent, (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), code(total / mass[parent]), code(share)) | triples)
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(pairs)]), pa.array([int(real.sum())])], names=["shard", "pairs", "triples"])
-
-    rows = docs.mapInArrow(gather, "shard int, u binary, v binary, w binary, n binary").repartition(shards, "shard").mapInArrow(reduce, "shard int, pairs long, triples long").collect()
-    return tuple(sorted(r.shard for r in rows))
-
-
-def score(docs: DataFrame) -> DataFrame:
+            mass = np.where(split, occurs, np.bincount(parent, weights=total, minlength=parents) + kinds)
+            share = np.divide(kinds, mass, out=np.ones(parents), where=(kinds > 0) & ~split)
+            level = Level.arrays("pair", parents, parent, pairs & ((1 << t.id_bits) - 1), code(total / mass[parent]), code(share))
+            store.save(f"{base}/runs-{s}", {"own": np.array([own]), "foreign": foreign} | level | triples)
+            hot = np.flatnonzero(split & (kinds > 0))
+            names = np.where(hot < own, s << t.bits | hot, foreign[np.maximum(hot - own, 0)] if len(foreign) else 0)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(kinds[hot], pa.int64())], names=["u", "kinds"])
+
+    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        u, kinds = (np.concatenate([np.zeros(0, np.int64), *[x[k] for x in got]]) for k in range(2))
+        order = np.argsort(u)
+        store.save(f"{base}/hot", {"u": u[order], "kinds": kinds[order]})
+        yield pa.RecordBatch.from_arrays([pa.array([len(u)])], names=["words"])
+
+    rows = docs.mapInArrow(gather, "shard int, u binary, v binary, w binary, n binary").repartition(t.shards, "shard").mapInArrow(reduce, "u long, kinds long")
+    rows.groupBy("u").agg(F.sum("kinds").alias("kinds")).coalesce(1).mapInArrow(table, "words long").collect()
+
+
+def score(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Learn from the training documents and score all. The trie's files go with the checkpoint folder's other content once the scores are there."""
+    importable(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     shards = max(16, -(-chars // SHARD_CHARS))
     base = f"{shared_dir(docs.sparkSession).rstrip('/')}/ngrams-{uuid.uuid4().hex}"
-    sizes = count_words(docs, base, shards)
-    if sum(v for v, _ in sizes) >= 2**32 - 1:
-        raise ValueError("more distinct words than 32-bit ids")
-    numbers = count_runs(docs, base, sizes)
+    totals = count_words(docs, base, shards, hot)
+    count_runs(docs, base, totals)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(base, sizes, numbers)
+        trie = Trie(base, totals)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for at, h, to in token_runs(batch.column(1)):
@@ -386,7 +523,7 @@ def score(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, n), pa.array([is_held_out(d) for d in ids[at : at + n]]), pa.array(np.diff(to)), pa.array(sums[0]),
-                        pa.array(np.full(n, trie.words.N, np.int64)), pa.array(sums[1]), pa.array(sums[2]),
+                        pa.array(np.full(n, totals.N, np.int64)), pa.array(sums[1]), pa.array(sums[2]),
                     ],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )

@@ -1,4 +1,4 @@
-"""Arrays in files of the shared folder: written once, by rename; mapped where the folder is a file system, else read."""
+"""Arrays in files of the shared folder: written aside and renamed; mapped where the folder is a file system, else read."""
 
 from __future__ import annotations
 
@@ -29,7 +29,8 @@ def save(uri: str, arrays: dict[str, np.ndarray]) -> None:
         from pyarrow import fs
 
         system, target = fs.FileSystem.from_uri(uri)
-        stream = system.open_output_stream(target)
+        temporary = f"{target}.{uuid.uuid4().hex}"
+        stream = system.open_output_stream(temporary)
     else:
         os.makedirs(os.path.dirname(path), exist_ok=True)
         temporary = f"{path}.{uuid.uuid4().hex}"
@@ -41,6 +42,16 @@ def save(uri: str, arrays: dict[str, np.ndarray]) -> None:
             stream.write(data + b"\0" * (-len(data) % 64))
     if path is not None:
         os.replace(temporary, path)
+        return
+    there = lambda: system.get_file_info(target).type != fs.FileType.NotFound
+    try:  # another attempt of the task may have been faster; its content is the same
+        if there():
+            system.delete_file(temporary)
+        else:
+            system.move(temporary, target)
+    except OSError:
+        if not there():
+            raise
 
 
 def load(uri: str) -> dict[str, np.ndarray]:

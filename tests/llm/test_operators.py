@@ -678,6 +678,14 @@ def test_lm_scores(spark, docs, rows):
     assert held[2] > held[1]
 
 
+def test_lm_of_hot_words(spark, docs, rows):
+    """With most words split over shards the scores are those of a plain model."""
+    model = plain.Bigrams([t for d, t in rows if not lm_score.is_held_out(d)])
+    for r in lm_score.score(docs, hot=40).collect():
+        n, known, base, score = model.score(dict(rows)[r.doc_id])
+        assert (r.n_tokens, r.n_known) == (n, known) and abs(r.score - score) <= 0.02 * n
+
+
 def test_lm_odd(spark, odd, empty):
     got = lm_score.score(odd.withColumn("score", F.lit("clash"))).collect()
     assert len(got) == len(ODD) and all(r.n_tokens == 1 for r in got if r.doc_id in (1, 2, 3)) and all(np.isfinite([r.score, r.base_score]).all() for r in got)
