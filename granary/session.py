@@ -41,8 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Spark's own setting: shuffle files go once the query that wrote them has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy that survives the loss of executors.
+    """Cut the lineage with a copy that survives the loss of executors. The shuffle files behind it go at once.
 
     A checkpoint also hands on the size and the constraints that Spark infers for its plan. In loops over joins these
     multiply from round to round (the size of a join is the product of its sides) until planning outgrows the driver,
@@ -50,5 +54,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     importable(spark)
     shared_dir(spark)
-    kept = df.checkpoint(eager=True)._jdf
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        kept = df.select("*").checkpoint(eager=True)._jdf
+    finally:
+        spark.conf.set(CLEAN_UP, before) if before is not None else spark.conf.unset(CLEAN_UP)
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
