@@ -38,15 +38,23 @@ def _alias(url: str) -> str:
 OP2 = rf"""
 with recursive p as (
   select page_id, url, html, translate(coalesce(regexp_extract(url, {_PARTS}, 1), ''), {LOWER}) as host, coalesce(regexp_extract(url, {_PARTS}, 2), '') as path, {_alias("url")} as alias from pages),
-tags as (select url, alias, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) as tag from p),
+tags as (select url, path, alias, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) as tag from p where contains(url, '://')),
 raw as (
-  select url, alias, replace(trim(case when regexp_matches(tag, '(?is)^<link') then concat(
-           regexp_extract(tag, '(?is)\bhref\s*=\s*"([^"]*)"', 1), regexp_extract(tag, '(?is)\bhref\s*=\s*''([^'']*)''', 1), regexp_extract(tag, '(?is)\bhref\s*=\s*([^\s"''>]+)', 1))
+  select url, path, alias, replace(trim(case when regexp_matches(tag, '(?is)^<link') then concat(
+           regexp_extract(tag, '(?is)\shref\s*=\s*"([^"]*)"', 1), regexp_extract(tag, '(?is)\shref\s*=\s*''([^'']*)''', 1), regexp_extract(tag, '(?is)\shref\s*=\s*([^\s"''>]+)', 1))
          else regexp_extract(tag, '(?is)\burl\s*=\s*[''"]?([^''"\s>;]+)', 1) end), '&amp;', '&') as target
-  from tags where regexp_matches(tag, '(?is)rel\s*=\s*["'']?canonical\b|http-equiv\s*=\s*["'']?refresh\b')),
+  from tags where regexp_matches(tag, '(?is)^<link\b.*\srel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|''(?:[^'']*\s)?canonical(?:\s[^'']*)?''|canonical[\s/>])') or regexp_matches(tag, '(?is)^<meta\b.*\shttp-equiv\s*=\s*["'']?refresh\b')),
+based as (
+  select *, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) as origin,
+         case when starts_with(target, '/') then target else coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || target end as joined
+  from raw where target <> '' and not starts_with(target, '#')),
+clean as (
+  select *, list_reduce(list_transform(string_split(regexp_extract(joined, '(?s)^[^?#]*', 0), '/'), lambda s: [s]), lambda a, x: case when x[1] = '..' then a[1 : greatest(len(a) - 1, 1)] when x[1] = '.' then a else list_concat(a, x) end) as segments
+  from based),
 whole as (
-  select alias as a, case when contains(target, '://') then target when starts_with(target, '//') then regexp_extract(url, '(?s)^(.*?:)//', 1) || target
-         when starts_with(target, '/') then regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || target end as t from raw),
+  select alias as a, case when regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') then target when starts_with(target, '//') then regexp_extract(url, '(?s)^(.*?:)//', 1) || target
+         when starts_with(target, '?') then origin || path || target when not starts_with(target, '/') and regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') then null
+         else origin || array_to_string(segments, '/') || regexp_extract(joined, '(?s)^[^?#]*(.*)$', 1) end as t from clean),
 edges as (select a, {_alias("t")} as b from whole where a is not null and t is not null),
 both_ways as (select a, b from edges where a <> b union select b, a from edges where a <> b),
 reach(a, b) as (select a, a from both_ways union select r.a, e.b from reach r join both_ways e on e.a = r.b),

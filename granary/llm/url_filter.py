@@ -8,8 +8,8 @@ with a block decision is blocked, unless it also has an explicit allow decision,
 else is allowed. A rule on the url itself always stands.
 
 Defined results: a null url or one without `://` has empty host and path, fits no rule and has no aliases; repeated rows are each
-judged; an empty table gives an empty one; null html has no edges. Relative link targets are resolved against the page's own
-scheme and host.
+judged; an empty table gives an empty one; null html has no edges. Relative link targets (of a host, a path or a query; with `.` and `..`) are resolved
+against the page's own url; fragments alone and other schemes (mailto:) are no links.
 """
 
 from __future__ import annotations
@@ -49,18 +49,40 @@ def alias_key(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host_of(url), F.regexp_replace(path_of(url), "/+$", ""), query))
 
 
+#: A link tag whose rel holds canonical, alone or among others; a meta tag that refreshes.
+CANONICAL = r"(?is)^<link\b.*\srel\s*=\s*(?:\"(?:[^\"]*\s)?canonical(?:\s[^\"]*)?\"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical[\s/>])"
+REFRESH = r"(?is)^<meta\b.*\shttp-equiv\s*=\s*[\"']?refresh\b"
+
+
+def without_dots(path: Column) -> Column:
+    """A path that starts with a slash, its `.` and `..` taken away; what follows it (query, fragment) stays."""
+    parts = F.split(F.regexp_extract(path, r"(?s)^[^?#]*", 0), "/")
+    step = lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).when(x == ".", a).otherwise(F.concat(a, F.array(x)))
+    clean = F.array_join(F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), step), "/")
+    return F.concat(clean, F.regexp_extract(path, r"(?s)^[^?#]*(.*)$", 1))
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """Absolute url of a link target in a page; null for what is no link."""
+    scheme, origin = F.regexp_extract(url, r"(?s)^(.*?:)//", 1), F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = F.regexp_extract(url, PARTS, 2)
+    folder = F.concat(F.regexp_extract(path, r"(?s)^(.*/)", 1), F.when(path.contains("/"), "").otherwise("/"))
+    return (
+        F.when(~url.contains("://") | (target == "") | target.startswith("#"), None)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(scheme, target)).when(target.startswith("/"), F.concat(origin, without_dots(target)))
+        .when(target.startswith("?"), F.concat(origin, path, target)).when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None).otherwise(F.concat(origin, without_dots(F.concat(folder, target))))
+    )
+
+
 def links(html: Column, url: Column) -> Column:
     """Absolute targets of canonical links and meta refreshes in a page."""
-    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), 1), lambda t: t.rlike(r"(?is)rel\s*=\s*[\"']?canonical\b|http-equiv\s*=\s*[\"']?refresh\b"))
-    quoted = r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), 1), lambda t: t.rlike(CANONICAL) | t.rlike(REFRESH))
+    quoted = r"(?is)\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
     refresh = r"(?is)\burl\s*=\s*['\"]?([^'\"\s>;]+)"
     def target(t: Column) -> Column:
         href = F.concat(F.regexp_extract(t, quoted, 1), F.regexp_extract(t, quoted, 2), F.regexp_extract(t, quoted, 3))
         return F.replace(F.trim(F.when(t.rlike("(?is)^<link"), href).otherwise(F.regexp_extract(t, refresh, 1))), F.lit("&amp;"), F.lit("&"))
-    origin = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    scheme = F.regexp_extract(url, r"(?s)^(.*?:)//", 1)
-    whole = lambda x: F.when(x.contains("://"), x).when(x.startswith("//"), F.concat(scheme, x)).when(x.startswith("/"), F.concat(origin, x))
-    return F.filter(F.transform(F.transform(tags, target), whole), lambda x: x.isNotNull())
+    return F.filter(F.transform(tags, lambda t: resolved(target(t), url)), lambda x: x.isNotNull())
 
 
 def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html") -> DataFrame:

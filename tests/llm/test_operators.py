@@ -126,6 +126,49 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_url_link_targets(spark):
+    url = "https://a.io/x/y/z.html?q=1#f"
+    cases = {
+        "page2.html": "https://a.io/x/y/page2.html", "../a": "https://a.io/x/a", "./b/../c?d=/../e": "https://a.io/x/y/c?d=/../e", "/../../k/./l": "https://a.io/k/l", "?p=1": "https://a.io/x/y/z.html?p=1", "//b.io/m": "https://b.io/m",
+        "http://c.io/../n": "http://c.io/../n", "#top": None, "": None, "mailto:x@y.z": None, "../../../../o": "https://a.io/o", "/p?to=http://d.io/": "https://a.io/p?to=http://d.io/",
+    }
+    df = spark.createDataFrame(list(cases.items()), "t string, want string")
+    assert {r.t: r.got for r in df.select("t", url_filter.resolved(F.col("t"), F.lit(url)).alias("got")).collect()} == cases
+    df = spark.createDataFrame([("page", "https://a.io"), ("?q", "https://a.io"), ("b", "https://a.io?x=/y")], "t string, url string")
+    assert [r.got for r in df.select(url_filter.resolved(F.col("t"), F.col("url")).alias("got")).collect()] == ["https://a.io/page", "https://a.io?q", "https://a.io/b"]
+    tags = """<link rel="alternate CANONICAL" href=a><link href='b' rel='canonical'><LINK rel=canonical href="c" /><link rel="noncanonical" href=d><link rel="canonical-x" href=e><meta content="0; URL='f'" http-equiv="Refresh"><a href=g rel=canonical>"""
+    got = spark.createDataFrame([(tags, "https://a.io/x/")], "h string, u string").select(url_filter.links(F.col("h"), F.col("u")).alias("x")).first().x
+    assert got == [f"https://a.io/x/{c}" for c in "abcf"]
+
+
+def test_url_equals_its_sql_on_linked_pages(spark, sf):
+    """The table's pages with links between them: chains, stars and loops over all rules, in all ways to write a target."""
+    import duckdb
+
+    from granary.llm.sql import OP2
+
+    r = random.Random(7)
+    pages = [(x.page_id, x.url, x.html) for x in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    hosts = ["example.com", "a.example.net", "b.org", "c.io", "d.io", "www.e.net"]
+    urls = [u for _, u, _ in pages] + [f"https://{r.choice(hosts)}/{r.choice(['en', 'de', 'es', 'fr'])}/{k % 90}" for k in range(1500)]
+
+    def link(url):
+        to = r.choice(urls)
+        to = r.choice([to, to, to.split(":", 1)[1], "/en/7" + str(r.randrange(30)), f"../es/{r.randrange(30)}", f"{r.randrange(40)}?p=1", "?p=2", "#x", "./", "mailto:a@b.c", ""])
+        return r.choice([f'<link rel="canonical" href="{to}">', f"<link href='{to}' rel='shortlink canonical'>", f'<meta http-equiv="refresh" content="3; url={to}">', f'<link rel="next" href="{to}">'])
+
+    rows = [(k, u, "<head>" + (link(u) if r.random() < 0.35 else "") + "</head>") for k, u in enumerate(urls)] + [(-1, None, link("")), (-2, "no scheme", link("")), (-3, "https://c.io", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    cur = con.execute(OP2)
+    names = [x[0] for x in cur.description]
+    want = sorted(map(str, (tuple(x[names.index(c)] for c in ("page_id", "host", "path", "rule", "verdict")) for x in cur.fetchall())))
+    got = url_filter.judge(df).select("row.page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(str(tuple(x)) for x in got) == want
+    assert sum(x.rule is None and x.verdict == "block" for x in got) > 20
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(100, 160)] + [(1000, 1000 + k) for k in range(1, 300)] + [(r.randrange(2000, 2100), r.randrange(2000, 2100)) for _ in range(60)] + [(7, 7)]
