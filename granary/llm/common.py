@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.session import checkpoint, importable, shared_dir, table
 
-__all__ = ["checkpoint", "components", "importable", "shared_dir", "table"]
+__all__ = ["MAX_PARTS", "by_number", "checkpoint", "components", "dealt", "importable", "shared_dir", "table"]
+
+#: Partitions of a shuffle at most. Beyond, a partition has several shards, sorted, and a task works on one after the other.
+MAX_PARTS = 20_000
+
+
+def dealt(df: DataFrame, column: str, numbers: int, most: int = MAX_PARTS) -> DataFrame:
+    """Rows by the number (a shard) in a column: about one shard a partition, or where there are too many, several in order."""
+    out = df.repartition(min(numbers, most), column)
+    return out.sortWithinPartitions(column) if numbers > most else out
+
+
+def by_number(batches: Iterator[pa.RecordBatch], ordered: bool) -> Iterator[tuple[int, list[list]]]:
+    """(number, rows) of each shard in a partition, the number being the first column; in order, one shard is held at a time."""
+    found: dict[int, list] = {}
+    for batch in batches:
+        for s, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if ordered and found and s not in found:
+                yield found.popitem()
+            found.setdefault(s, []).append(row)
+    for s in sorted(found):
+        yield s, found.pop(s)
 
 
 def components(edges: DataFrame) -> DataFrame:

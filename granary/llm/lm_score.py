@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import store
-from granary.llm.common import checkpoint, importable, shared_dir
+from granary.llm.common import MAX_PARTS, by_number, checkpoint, dealt, importable, shared_dir
 from granary.llm.elias_fano import EliasFano
 from granary.llm.text import mix, runs, words
 
@@ -101,15 +101,6 @@ def cuts(sorted_shards: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted(sorted_shards, np.arange(shards + 1))
 
 
-def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    found: dict[int, list] = {}
-    for batch in batches:
-        for s, *blobs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            found.setdefault(s, []).append(blobs)
-    for s in sorted(found):
-        yield s, found.pop(s)
-
-
 def narrow(x: np.ndarray) -> np.ndarray:
     """Counts as bytes where they fit, else as 8-byte integers."""
     return x.astype(np.uint8) if not len(x) or x.max() < 256 else x.astype(np.uint64)
@@ -388,7 +379,7 @@ def from_planes(blob: bytes, width: int) -> np.ndarray:
     return out.view("<u8").reshape(-1).astype(np.int64)
 
 
-def count_words(docs: DataFrame, base: str, shards: int, hot: int) -> Totals:
+def count_words(docs: DataFrame, base: str, shards: int, hot: int, parts: int = MAX_PARTS) -> Totals:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, h, _ in token_runs(training(batch)):
@@ -398,7 +389,7 @@ def count_words(docs: DataFrame, base: str, shards: int, hot: int) -> Totals:
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array([f(x[at[s] : at[s + 1]]).tobytes() for s in some], pa.binary()) for x, f in ((h, np.asarray), (n, narrow))]], names=["shard", "h", "n"])
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, rows in by_shard(batches):
+        for s, rows in by_number(batches, shards > parts):
             h = [np.frombuffer(x, np.uint64) for x, _ in rows]
             key, n = summed(np.concatenate(h), np.concatenate([widened(y, len(x)) for x, (_, y) in zip(h, rows, strict=True)]))
             seq = EliasFano.build(key)
@@ -406,12 +397,12 @@ def count_words(docs: DataFrame, base: str, shards: int, hot: int) -> Totals:
             row = (s, len(key), int(n.sum()), int(n[key == END].sum()))
             yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *[pa.array([x]) for x in row[1:]]], names=["shard", "v", "n", "ends"])
 
-    rows = docs.mapInArrow(gather, "shard int, h binary, n binary").repartition(shards, "shard").mapInArrow(reduce, "shard int, v long, n long, ends long")
+    rows = dealt(docs.mapInArrow(gather, "shard int, h binary, n binary"), "shard", shards, parts).mapInArrow(reduce, "shard int, v long, n long, ends long")
     x = rows.agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.max("v").alias("most"), F.sum("ends").alias("docs"), F.max(F.when(F.col("shard") == 0, F.col("v"))).alias("first")).first()
     return Totals(shards, ((x.most or 0) + 1).bit_length(), x.v or 0, x.n or 0, x.docs or 0, x["first"] or 0, hot)
 
 
-def count_runs(docs: DataFrame, base: str, t: Totals) -> None:
+def count_runs(docs: DataFrame, base: str, t: Totals, parts: int = MAX_PARTS) -> None:
     """Writes the pairs and triples of each shard, and the table of hot words."""
     nothing = (1 << 8 * t.width) - 1
 
@@ -444,7 +435,7 @@ def count_runs(docs: DataFrame, base: str, t: Totals) -> None:
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Words(base, t.shards, t.bits)
-        for s, rows in by_shard(batches):
+        for s, rows in by_number(batches, t.shards > parts):
             n = np.concatenate([widened(r[3], len(r[0]) // t.width) for r in rows])
             u = np.concatenate([from_planes(r[0], t.width) for r in rows])
             mine = vocabulary.shards[s]
@@ -498,19 +489,19 @@ def count_runs(docs: DataFrame, base: str, t: Totals) -> None:
         store.save(f"{base}/hot", {"u": u[order], "kinds": kinds[order]})
         yield pa.RecordBatch.from_arrays([pa.array([len(u)])], names=["words"])
 
-    rows = docs.mapInArrow(gather, "shard int, u binary, v binary, w binary, n binary").repartition(t.shards, "shard").mapInArrow(reduce, "u long, kinds long")
+    rows = dealt(docs.mapInArrow(gather, "shard int, u binary, v binary, w binary, n binary"), "shard", t.shards, parts).mapInArrow(reduce, "u long, kinds long")
     rows.groupBy("u").agg(F.sum("kinds").alias("kinds")).coalesce(1).mapInArrow(table, "words long").collect()
 
 
-def score(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def score(docs: DataFrame, hot: int = HOT, parts: int = MAX_PARTS) -> DataFrame:
     """Learn from the training documents and score all. The trie's files go with the checkpoint folder's other content once the scores are there."""
     importable(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     shards = max(16, -(-chars // SHARD_CHARS))
     base = f"{shared_dir(docs.sparkSession).rstrip('/')}/ngrams-{uuid.uuid4().hex}"
-    totals = count_words(docs, base, shards, hot)
-    count_runs(docs, base, totals)
+    totals = count_words(docs, base, shards, hot, parts)
+    count_runs(docs, base, totals, parts)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(base, totals)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import importable
+from granary.llm.common import MAX_PARTS, dealt, importable
 
 CAPACITY = 1024
 END = 2
@@ -291,17 +291,11 @@ def complete(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) -
     return best
 
 
-def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces with sequence_id and offset; the pieces are dealt to that many groups, one for each task."""
+def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY, most: int = MAX_PARTS) -> DataFrame:
+    """The pieces with sequence_id and offset; the pieces are dealt to that many groups, one for each task, or several one after the other beyond `most` tasks."""
     width = 2**40
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        got = list(batches)
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
+    def packed_group(t: pa.Table, group: int) -> pa.Table:
         lengths = t.column("length").to_numpy()
         order = np.lexsort((t.column("ids_crc32").to_numpy(), t.column("piece").to_numpy(), t.column("doc_id").fill_null(-1).to_numpy(), lengths))
         stock: dict[int, list[int]] = {}
@@ -310,7 +304,7 @@ def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
         full = stock.get(capacity, [])
         bins = complete([x for x in lengths.tolist() if x < capacity], capacity)
         seq, off = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        first = TaskContext.get().partitionId() * width
+        first = group * width
         seq[full] = first + np.arange(len(full))
         for k, b in enumerate(bins, len(full)):
             at = 0
@@ -318,10 +312,34 @@ def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
                 i = stock[x].pop()
                 seq[i], off[i] = first + k, at
                 at += x
-        out = t.append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
-        yield from out.to_batches()
+        return t.append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
 
-    return pieces.repartition(groups, "doc_id", "piece").mapInArrow(work, PLACED)
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        got = list(batches)
+        if got:
+            yield from packed_group(pa.Table.from_batches(got), TaskContext.get().partitionId()).to_batches()
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = -1, []
+        for batch in batches:
+            numbers = batch.column(batch.num_columns - 1).to_numpy()
+            rest = batch.select(range(batch.num_columns - 1))
+            ends = [*(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for a, b in zip([0, *ends], ends, strict=False):
+                if held and int(numbers[a]) != group:
+                    yield from packed_group(pa.Table.from_batches(held), group).to_batches()
+                    held = []
+                group = int(numbers[a])
+                held.append(rest.slice(a, b - a))
+        if held:
+            yield from packed_group(pa.Table.from_batches(held), group).to_batches()
+
+    if groups <= most:
+        return pieces.repartition(groups, "doc_id", "piece").mapInArrow(one, PLACED)
+    numbered = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    return dealt(numbered, "__group", groups, most).mapInArrow(several, PLACED)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:

@@ -247,6 +247,18 @@ def test_substring_passage_at_several_places(spark):
     assert not set(base) & set(left[2]) and left[1] == data[0][1] and left[5] == data[4][1]
 
 
+def test_substring_with_several_shards_a_task(spark, docs, rows, monkeypatch):
+    want = sorted(substring_dedup.repeats(docs).collect(), key=lambda r: r.doc_id)
+    monkeypatch.setattr(substring_dedup, "dealt", lambda df, column, numbers: common.dealt(df, column, numbers, 3))
+    assert sorted(substring_dedup.repeats(docs).collect(), key=lambda r: r.doc_id) == want
+
+
+def test_shards_in_order():
+    batches = [pa.RecordBatch.from_arrays([pa.array([1, 1, 2]), pa.array(["a", "b", "c"])], names=["s", "x"]), pa.RecordBatch.from_arrays([pa.array([2, 5]), pa.array(["d", "e"])], names=["s", "x"])]
+    want = [(1, [["a"], ["b"]]), (2, [["c"], ["d"]]), (5, [["e"]])]
+    assert list(common.by_number(iter(batches), True)) == want and [s for s, _ in common.by_number(iter(batches[::-1]), False)] == [1, 2, 5]
+
+
 def test_substring_odd(spark, odd, empty):
     got = [(r.doc_id, len(r.spans)) for r in substring_dedup.repeats(odd.withColumn("spans", F.lit(1)).withColumn("doc", F.lit(2))).collect()]
     assert len(got) == len(ODD) and dict(got)[5] >= 1 and dict(got)[1] == dict(got)[4] == 0
@@ -613,6 +625,9 @@ def test_packing(spark, docs, rows, odd, empty):
     assert bins <= packing.least(counts, 1024) + 3
     assert check_packing(packing.pack_documents(odd.withColumn("piece", F.lit(1)), tokenizer_path()).collect(), 1024) > 0
     assert packing.pack_documents(empty, tokenizer_path()).count() == 0
+    many = packing.pack(packing.tokenise(docs, tokenizer_path()), 9, most=2).collect()  # several groups a task
+    assert {(r.doc_id, r.piece, r.ids_crc32) for r in many} == {(r.doc_id, r.piece, r.ids_crc32) for r in out} and check_packing(many, 1024) <= bins + 9
+    assert len({r.sequence_id >> 40 for r in many}) == 9
 
 
 def test_bin_completion_is_optimal_on_small_cases():
@@ -724,7 +739,7 @@ def test_lm_scores(spark, docs, rows):
 def test_lm_of_hot_words(spark, docs, rows):
     """With most words split over shards the scores are those of a plain model."""
     model = plain.Bigrams([t for d, t in rows if not lm_score.is_held_out(d)])
-    for r in lm_score.score(docs, hot=40).collect():
+    for r in lm_score.score(docs, hot=40, parts=3).collect():
         n, known, base, score = model.score(dict(rows)[r.doc_id])
         assert (r.n_tokens, r.n_known) == (n, known) and abs(r.score - score) <= 0.02 * n
 
