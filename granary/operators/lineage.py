@@ -29,32 +29,53 @@ def ancestors(start: DataFrame, backups: DataFrame) -> DataFrame:
 def restore_plans(backups: DataFrame, wanted: DataFrame) -> DataFrame:
     """Steps of the restore of each wanted backup (column backup_id), root first: (backup_id, step_no, id, type, parent_id, manifest_id, problem).
 
-    problem: '' or `missing` (not there), `missing_parent`, `cycle`. Path doubling as in `ancestors`, with depths: a chain of n needs
-    log2(n) rounds, however long it is, and a cycle ends with no new pairs.
+    problem: '' or `missing` (not there), `missing_parent`, `cycle`. Path doubling with depths: a chain of n needs log2(n) rounds, however long it
+    is. In each round some backup of a chain runs out of ancestors, so once none does, those that are left lead into cycles; their steps are
+    each backup once, by its least depth.
     """
     edges = backups.where("parent_id is not null").select("id", F.col("parent_id").alias("up"))
-    jump = checkpoint(edges.join(backups.select(F.col("id").alias("up")), "up", "left_semi").select("id", "up"))  # the ancestor `far` steps up
-    linked = jump.select("id", F.lit(True).alias("linked"))
-    rows = checkpoint(wanted.select("backup_id").distinct().join(backups.select(F.col("id").alias("backup_id")), "backup_id").select("backup_id", F.col("backup_id").alias("id"), F.lit(0).cast("long").alias("depth")))
+    jump = checkpoint(edges.join(backups.select(F.col("id").alias("up")), "up", "left_semi").select("id", "up"))  # the ancestor 2**k steps up
+    jumps, left = [jump], jump.count()
+    while left:
+        jump = checkpoint(jump.toDF("id", "mid").join(jump.toDF("mid", "up"), "mid").select("id", "up"))
+        before, left = left, jump.count()
+        if left == before:
+            break
+        jumps.append(jump)
+    asked = wanted.select("backup_id").distinct()
+    rows = asked.join(backups.select(F.col("id").alias("backup_id")), "backup_id").select("backup_id", F.col("backup_id").alias("id"), F.lit(0).cast("long").alias("depth"))
+    if left:
+        endless = jump.select(F.col("id").alias("backup_id"))
+        turning = rows.join(endless, "backup_id", "left_semi")
+        rows = rows.join(endless, "backup_id", "left_anti")
+    rows = checkpoint(rows)
+    for k, jump in enumerate(jumps):
+        rows = checkpoint(rows.union(rows.join(jump, "id").select("backup_id", F.col("up").alias("id"), (F.col("depth") + (1 << k)).alias("depth"))))
+    steps = rows.withColumn("cycle", F.lit(False))
+    if left:
+        steps = steps.union(_around(checkpoint(turning), jumps[0]).withColumn("cycle", F.lit(True)))
+    linked = jumps[0].select("id", F.lit(True).alias("linked"))
+    steps = steps.join(backups.select("id", "type", "parent_id", "manifest_id").join(linked, "id", "left"), "id")
+    of = Window.partitionBy("backup_id")
+    open_ = F.max(F.col("linked").isNull() & F.col("parent_id").isNotNull()).over(of)
+    problem = F.when(F.col("cycle"), "cycle").when(open_, "missing_parent").otherwise("")
+    steps = steps.select("backup_id", (F.max("depth").over(of) - F.col("depth") + 1).alias("step_no"), "id", "type", "parent_id", "manifest_id", problem.alias("problem"))
+    missing = asked.join(backups.select(F.col("id").alias("backup_id")), "backup_id", "left_anti")
+    none = F.lit(None).cast("string")
+    lost = missing.select("backup_id", F.lit(0).cast("long").alias("step_no"), none.alias("id"), none.alias("type"), none.alias("parent_id"), none.alias("manifest_id"), F.lit("missing").alias("problem"))
+    return steps.unionByName(lost)
+
+
+def _around(rows: DataFrame, jump: DataFrame) -> DataFrame:
+    """(backup_id, id, depth) of backups whose ancestors run in a cycle, each ancestor once."""
     far = 1
     while True:
-        # Only in a cycle is one met again; the least depth is its place.
         more = rows.join(jump, "id").groupBy("backup_id", F.col("up").alias("id")).agg((F.min("depth") + far).alias("depth"))
         more = checkpoint(more.join(rows.select("backup_id", "id"), ["backup_id", "id"], "left_anti"))
         if more.isEmpty():
-            break
+            return rows
         rows = checkpoint(rows.union(more))
         jump, far = checkpoint(jump.toDF("id", "mid").join(jump.toDF("mid", "up"), "mid").select("id", "up")), 2 * far
-    rows = rows.join(backups.select("id", "parent_id"), "id").join(linked, "id", "left")
-    top = Window.partitionBy("backup_id")
-    rows = rows.withColumn("deepest", F.max("depth").over(top))
-    last = F.col("depth") == F.col("deepest")
-    rows = rows.withColumn("cycle", F.max(last & F.col("linked").isNotNull()).over(top)).withColumn("open", F.max(last & F.col("parent_id").isNotNull()).over(top))
-    steps = rows.select("backup_id", (F.col("deepest") - F.col("depth") + 1).alias("step_no"), "id", F.when(F.col("cycle"), "cycle").when(F.col("open"), "missing_parent").otherwise("").alias("problem"))
-    steps = steps.join(backups.select("id", "type", "parent_id", "manifest_id"), "id")
-    missing = wanted.select("backup_id").distinct().join(backups.select(F.col("id").alias("backup_id")), "backup_id", "left_anti")
-    lost = missing.select("backup_id", F.lit(0).cast("long").alias("step_no"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("string").alias("manifest_id"), F.lit("missing").alias("problem"))
-    return steps.select(lost.columns).unionByName(lost)
 
 
 def point_in_time_warning(at: str) -> F.Column:
