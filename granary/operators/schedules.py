@@ -31,34 +31,65 @@ def minute_runs(schedules: DataFrame, expression: str, start: str, end: str) ->
     return active.select("*", F.explode("runs").alias("due_at")).drop("runs").where("due_at > created_at")
 
 
+class Runs:
+    """Runs of one expression after rising instants: what an instant needs is kept for the next one."""
+
+    def __init__(self, expression: str):
+        self.window = cron.parse_window(expression) if expression.strip().startswith("@between") else None
+        self.cron = None if self.window else cron.parse(expression)
+        self.known: list[datetime] = []
+        self.at = 0
+
+    def step(self, after: datetime, key: str) -> datetime:
+        return cron.next_window(self.window, after, key) if self.window else cron.next_run(self.cron, after)
+
+    def due(self, key: str, after: datetime, now: datetime, limit: int) -> tuple[list[datetime], datetime]:
+        """Runs after an instant up to now, `limit` + 1 at most, and the first one that is not among them."""
+        if self.window and self.window.random or self.known and self.known[0] > after:
+            self.known, self.at = [], 0  # drawn for each key; or an instant before what is known
+        while self.at < len(self.known) and self.known[self.at] <= after:
+            self.at += 1
+        if self.at == len(self.known):
+            self.known, self.at = [self.step(after, key)], 0
+        i = self.at
+        while self.known[i] <= now and i - self.at <= limit:
+            i += 1
+            if i == len(self.known):
+                self.known.append(self.step(self.known[-1], key))
+        out = self.known[self.at : i], self.known[i]
+        if self.at > 10_000:
+            self.known, self.at = self.known[self.at - 1 :], 1
+        return out
+
+
 def due(states: DataFrame, now: datetime, limit: int = MAX_CATCH_UP) -> DataFrame:
     """states (id, expression, paused, created_at, last_run, next_run) to due instants up to now: (id, due_at, place, n, next_run, problem).
 
-    Each expression is parsed in the task that has it (a run of rows keeps its parsed forms). A schedule with more than `limit` due
-    instants, or one that can't be read, gives one row with a problem."""
+    Each expression is parsed once in the task that has it, and its runs are stepped through once for all schedules that share it. A schedule with
+    more than `limit` due instants, or one that can't be read, gives one row with a problem."""
     importable(states.sparkSession)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parsed: dict[str, object] = {}
+        parsed: dict[str, Runs] = {}
         for frame in frames:
             rows = []
-            for r in frame.itertuples():
-                if r.paused:
-                    continue
+            frame = frame[~frame["paused"].astype(bool)]
+            seed = frame["next_run"].fillna(frame["last_run"]).fillna(frame["created_at"])
+            for r, at in _by_seed(frame, seed):
                 try:
                     if r.expression not in parsed:
-                        parsed[r.expression] = cron.parse_window(r.expression) if r.expression.strip().startswith("@between") else cron.parse(r.expression)
-                    p = parsed[r.expression]
-                    step = (lambda t, p=p, k=r.id: cron.next_window(p, t, k)) if isinstance(p, cron.Window) else (lambda t, p=p: cron.next_run(p, t))
-                    known = [x for x in (r.next_run, r.last_run, r.created_at) if not pd.isna(x)]
-                    at = r.next_run.to_pydatetime() if not pd.isna(r.next_run) else step(known[0].to_pydatetime() if known else now)
-                    found = []
-                    while at <= now:
-                        found.append(at)
-                        if len(found) > limit:
-                            raise ValueError(f"more than {limit} runs to catch up")
-                        at = step(at)
-                    rows += [(r.id, t, i, len(found), at, None) for i, t in enumerate(found)] or [(r.id, None, None, 0, at, None)]
+                        parsed[r.expression] = Runs(r.expression)
+                    runs = parsed[r.expression]
+                    after = now if pd.isna(at) else at.to_pydatetime()
+                    first = [] if pd.isna(r.next_run) else [after]
+                    if first and after > now:
+                        found, following = [], after
+                    else:
+                        found, following = runs.due(r.id, after, now, limit)
+                        found = first + found
+                    if len(found) > limit:
+                        raise ValueError(f"more than {limit} runs to catch up")
+                    rows += [(r.id, t, i, len(found), following, None) for i, t in enumerate(found)] or [(r.id, None, None, 0, following, None)]
                 except ValueError as e:
                     rows.append((r.id, None, None, 0, None, str(e)))
             yield pd.DataFrame(rows, columns=["id", "due_at", "place", "n", "next_run", "problem"]).astype({"due_at": "datetime64[us]", "next_run": "datetime64[us]", "place": "Int32", "n": "Int32"})
@@ -66,6 +97,12 @@ def due(states: DataFrame, now: datetime, limit: int = MAX_CATCH_UP) -> DataFram
     return states.select("id", "expression", "paused", "created_at", "last_run", "next_run").mapInPandas(work, DUE)
 
 
+def _by_seed(frame: pd.DataFrame, seed: pd.Series) -> Iterator[tuple]:
+    """Rows with their seeds, in order of the seeds."""
+    order = seed.argsort(kind="stable").to_numpy()
+    return zip(frame.iloc[order].itertuples(), seed.iloc[order], strict=True)
+
+
 def catch_up(runs: DataFrame, now: str) -> DataFrame:
     """runs (id, due_at, catch_up_policy, ...) by policy: queue keeps all, run_once one at now, skip (and anything else) the last."""
     last = runs.groupBy("id").agg(F.max("due_at").alias("__last"))
