@@ -12,11 +12,11 @@ class EliasFano:
     """A rising sequence of unsigned integers (equal neighbours allowed). `parts` are plain arrays and can be mapped from files.
 
     The low `bits` bits of each value stand packed one after another. The high parts are one bit string: a one
-    for each value, a zero for each step of the high part. `zeros` counts the zeros before each word of it.
+    for each value, a zero for each step of the high part. `zeros` and `ones` count the zeros and ones before each word of it.
     """
 
-    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
-        self.n, self.bits, self.low, self.high, self.zeros = n, bits, low, high, zeros
+    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
+        self.n, self.bits, self.low, self.high, self.zeros, self.ones = n, bits, low, high, zeros, ones
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -42,21 +42,21 @@ class EliasFano:
         flags[steps + np.arange(n)] = 1
         high = np.packbits(flags, bitorder="little").view(np.uint64)
         counts = 64 - np.bitwise_count(high).astype(np.int64)
-        zeros = np.concatenate([[0], np.cumsum(counts)]).astype(np.uint32 if size < 2**31 else np.uint64)
-        return cls(n, bits, low, high, zeros)
+        zeros = np.concatenate([[0], np.cumsum(counts)])
+        kind = np.uint32 if size < 2**31 else np.uint64
+        return cls(n, bits, low, high, zeros.astype(kind), (64 * np.arange(len(zeros)) - zeros).astype(kind))
 
-    @property
-    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self.low, self.high, self.zeros
+    def arrays(self, name: str = "") -> dict[str, np.ndarray]:
+        return {f"{name}n": np.array([self.n, self.bits]), f"{name}low": self.low, f"{name}high": self.high, f"{name}zeros": self.zeros, f"{name}ones": self.ones}
+
+    @classmethod
+    def of(cls, x: dict[str, np.ndarray], name: str = "") -> EliasFano:
+        """What `arrays` has given, read or mapped."""
+        return cls(*map(int, x[f"{name}n"]), *(x[f"{name}{k}"] for k in ("low", "high", "zeros", "ones")))
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
         """Place of the k-th (from 0) one or zero."""
-        if ones:
-            count = getattr(self, "_ones", None)
-            if count is None:
-                count = self._ones = np.arange(len(self.zeros), dtype=self.zeros.dtype) * self.zeros.dtype.type(64) - self.zeros
-        else:
-            count = self.zeros
+        count = self.ones if ones else self.zeros
         k = k.astype(count.dtype)
         word = np.searchsorted(count, k, "right") - 1
         x = self.high[word]

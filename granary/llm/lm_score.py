@@ -17,7 +17,7 @@ h. The lowest order is (c + 0.1) / (N + 0.1 (V + 1)). Nothing is pruned. A docum
 and closed by an end that is predicted as a token.
 
 Scoring maps the files, works on batches of documents and looks up each distinct pair and triple of a batch once, by a search
-relative to the parent's run. A worker holds the shards it used last, up to ROOM bytes; the driver holds a few totals, no list of shards. Shuffled are n-grams that are counted
+relative to the parent's run. A worker holds the shards it used last, OPEN of them and ROOM bytes at most of what is not mapped; the driver holds a few totals, no list of shards. Shuffled are n-grams that are counted
 within a task first, one row for each shard and run of texts; a hot n-gram is one entry of it. Shards hold about SHARD_CHARS characters' n-grams, whatever the
 input's size. The shared folder should be mounted on the workers; where it is not, shards are read whole.
 
@@ -48,8 +48,10 @@ from granary.llm.text import mix, runs, words
 
 FOLDS, STEPS = 10, 28
 SHARD_CHARS, TOKENS = 8_000_000, 1_000_000
-#: Occurrences of a first word from which its successors are dealt over several shards, and bytes of shards that a worker holds open.
-HOT, ROOM = 500_000, 200_000_000
+#: Occurrences of a first word from which its successors are dealt over several shards.
+HOT = 500_000
+#: Shards that a worker holds open, and bytes of those that it had to read; pages of mapped files come and go by themselves.
+OPEN, ROOM = 10_000, 200_000_000
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -153,12 +155,15 @@ class Totals:
 
     def shard(self, u: np.ndarray, v: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Where the run (u, v) is; count: occurrences of u."""
-        part = (mix(v.astype(np.uint64)) % self.parts(count).astype(np.uint64)).astype(np.int64)
-        return ((u >> self.bits) + part) % self.shards
+        out = u >> self.bits
+        parts = self.parts(count)
+        some = np.flatnonzero(parts > 1)
+        out[some] = (out[some] + (mix(v[some].astype(np.uint64)) % parts[some].astype(np.uint64)).astype(np.int64)) % self.shards
+        return out
 
 
 class Recent:
-    """What was loaded last, up to ROOM bytes; None for what isn't there."""
+    """What was loaded last; None for what isn't there."""
 
     def __init__(self, load: Callable):
         self.load, self.held, self.size = load, OrderedDict(), 0
@@ -173,13 +178,15 @@ class Recent:
             x, size = None, 0
         self.held[s] = x, size
         self.size += size
-        while self.size > ROOM and len(self.held) > 1:
+        while (self.size > ROOM or len(self.held) > OPEN) and len(self.held) > 1:
             self.size -= self.held.popitem(last=False)[1][1]
         return x
 
 
-def weight_of(x: dict[str, np.ndarray]) -> int:
-    return sum(a.nbytes for a in x.values())
+def opened(uri: str) -> tuple[dict[str, np.ndarray], int]:
+    """Arrays of a file and the bytes of memory they take."""
+    x = store.load(uri)
+    return x, 0 if store.is_mapped(uri) else sum(a.nbytes for a in x.values())
 
 
 def grouped(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -200,11 +207,11 @@ class Words:
         self.shards = Recent(self.load)
 
     def load(self, s: int):
-        x = store.load(f"{self.base}/words-{s}")
-        return (EliasFano(int(x["n"][0]), int(x["n"][1]), x["low"], x["high"], x["zeros"]), x["counts"]), weight_of(x)
+        x, size = opened(f"{self.base}/words-{s}")
+        return (EliasFano.of(x), x["counts"]), size
 
-    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: unknown) and counts of hashes."""
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the distinct words: ids (-1: unknown), rising as their hashes do, and counts; and which of them each word is."""
         distinct, back = np.unique(h, return_inverse=True)
         ids, counts = np.full(len(distinct), -1, np.int64), np.zeros(len(distinct), np.int64)
         for s, at in grouped(shard_of(distinct, self.n)):
@@ -214,7 +221,7 @@ class Words:
                 known = place >= 0
                 ids[at] = np.where(known, (s << self.bits) | place, -1)
                 counts[at[known]] = n[place[known]]
-        return ids[back], counts[back]
+        return ids, counts, back
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids), np.int64)
@@ -227,11 +234,7 @@ class Level:
     """Successors of the parents 0 .. n-1 with their codes, and the weight codes of the parents."""
 
     def __init__(self, x: dict[str, np.ndarray], name: str):
-        def sequence(part: str) -> EliasFano:
-            n = x[f"{name}{part}n"]
-            return EliasFano(int(n[0]), int(n[1]), x[f"{name}{part}low"], x[f"{name}{part}high"], x[f"{name}{part}zeros"])
-
-        self.pointers, self.successors = sequence("p"), sequence("s")
+        self.pointers, self.successors = EliasFano.of(x, f"{name}p"), EliasFano.of(x, f"{name}s")
         self.codes, self.weights = x[f"{name}codes"], x[f"{name}weights"]
 
     @staticmethod
@@ -243,9 +246,7 @@ class Level:
         base = np.concatenate([[0], np.cumsum(word[ends - 1] + 1)]) if len(ends) else np.zeros(1, np.int64)
         run = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends]))) if len(ends) else np.zeros(0, np.int64)
         out = {f"{name}codes": codes, f"{name}weights": weights}
-        for part, seq in (("p", EliasFano.build(pointers)), ("s", EliasFano.build(base[run] + word + 1))):
-            out |= {f"{name}{part}n": np.array([seq.n, seq.bits]), f"{name}{part}low": seq.low, f"{name}{part}high": seq.high, f"{name}{part}zeros": seq.zeros}
-        return out
+        return out | EliasFano.build(pointers).arrays(f"{name}p") | EliasFano.build(base[run] + word + 1).arrays(f"{name}s")
 
     def find(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Places of the words among their parents' successors, or -1: a search from what the run before ends with."""
@@ -270,8 +271,8 @@ class Trie:
             self.hot = {"u": np.zeros(0, np.int64), "kinds": np.zeros(0, np.int64)}
 
     def load(self, s: int):
-        x = store.load(f"{self.base}/runs-{s}")
-        return (int(x["own"][0]), x["foreign"], Level(x, "pair"), Level(x, "triple")), weight_of(x)
+        x, size = opened(f"{self.base}/runs-{s}")
+        return (int(x["own"][0]), x["foreign"], Level(x, "pair"), Level(x, "triple")), size
 
     def parents(self, s: int, u: np.ndarray) -> np.ndarray:
         """Places of u among the parents of a shard, or -1."""
@@ -288,20 +289,20 @@ class Trie:
     def score(self, h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token: known, base and model log10 probability."""
         t = self.t
-        ids, counts = self.words.of(h)
-        low = (counts + 0.1) / (t.N + 0.1 * (t.V + 1))
+        names, counts, word = self.words.of(h)
+        low = ((counts + 0.1) / (t.N + 0.1 * (t.V + 1)))[word]
         base = np.log10(low)
-        # the word before, and its occurrences; before a document the mark
-        before, occurs = np.concatenate([[-1], ids[:-1]]), np.concatenate([[0], counts[:-1]])
-        before[off[:-1]], occurs[off[:-1]] = t.mark if t.docs else -1, t.docs
+        # by their place in the batch: the words, and those before; before a document the mark
+        n = len(names) + 1
+        names, counts = np.append(names, t.mark if t.docs else -1), np.append(counts, t.docs)
+        before = np.concatenate([[0], word[:-1]])
+        before[off[:-1]] = n - 1
+        seen, after_seen = (names >= 0)[word], (names >= 0)[before]
         p = low.copy()
         # distinct pairs of known words
-        pair = np.flatnonzero((ids >= 0) & (before >= 0))
-        names = np.unique(np.concatenate([ids[pair], before[pair]]))
-        n = max(1, len(names))
-        key = np.searchsorted(names, before[pair]) * n + np.searchsorted(names, ids[pair])
-        distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
-        u, v, c = names[distinct // n], names[distinct % n], occurs[pair][first]
+        pair = np.flatnonzero(seen & after_seen)
+        distinct, back = np.unique(before[pair] * n + word[pair], return_inverse=True)
+        u, v, c = names[distinct // n], names[distinct % n], counts[distinct // n]
         hit, weight, prob = np.full(len(u), -1, np.int64), np.ones(len(u)), np.zeros(len(u))
         onward = np.ones(len(u))  # weight of the lower order after the pair
         shard = t.shard(u, v, c)
@@ -323,9 +324,9 @@ class Trie:
             weight[split] = kinds / (c[split] + kinds)
         p[pair] = prob[back] + weight[back] * low[pair]
         # an unknown word after a known one still pays the weight
-        lone = np.flatnonzero((ids < 0) & (before >= 0))
+        lone = np.flatnonzero(~seen & after_seen)
         if len(lone):
-            p[lone] *= self.weights(before[lone], occurs[lone])
+            p[lone] *= self.weights(names[before[lone]], counts[before[lone]])
         # triples: the pair before this token is the pair that ends at the token before
         of_token = np.full(len(h), -1, np.int64)
         of_token[pair] = back
@@ -336,21 +337,20 @@ class Trie:
         ok = hit[context] >= 0
         cand, context = cand[ok], context[ok]
         lower = p[cand] * onward[context]
-        seen = ids[cand] >= 0
+        known = seen[cand]
         extra = np.zeros(len(cand))
-        if seen.any():
-            key = context[seen] * n + np.searchsorted(names, ids[cand[seen]])
-            distinct, back = np.unique(key, return_inverse=True)
-            c, word = distinct // n, names[distinct % n]
+        if known.any():
+            distinct, back = np.unique(context[known] * n + word[cand[known]], return_inverse=True)
+            c, third = distinct // n, names[distinct % n]
             got = np.zeros(len(c))
             for s, at in grouped(shard[c]):
                 triples = self.shards[s][3]
-                place = triples.find(hit[c[at]], word[at])
-                known = place >= 0
-                got[at[known]] = DECODED[triples.codes[place[known]]]
-            extra[seen] = got[back]
+                place = triples.find(hit[c[at]], third[at])
+                there = place >= 0
+                got[at[there]] = DECODED[triples.codes[place[there]]]
+            extra[known] = got[back]
         p[cand] = lower + extra
-        return ids >= 0, base, np.log10(p)
+        return seen, base, np.log10(p)
 
     def weights(self, u: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Weight of the lower order after each word."""
@@ -393,7 +393,7 @@ def count_words(docs: DataFrame, base: str, shards: int, hot: int, parts: int =
             h = [np.frombuffer(x, np.uint64) for x, _ in rows]
             key, n = summed(np.concatenate(h), np.concatenate([widened(y, len(x)) for x, (_, y) in zip(h, rows, strict=True)]))
             seq = EliasFano.build(key)
-            store.save(f"{base}/words-{s}", {"n": np.array([seq.n, seq.bits]), "low": seq.low, "high": seq.high, "zeros": seq.zeros, "counts": n.astype(np.uint32) if n.max() < 2**32 else n})
+            store.save(f"{base}/words-{s}", seq.arrays() | {"counts": n.astype(np.uint32) if n.max() < 2**32 else n})
             row = (s, len(key), int(n.sum()), int(n[key == END].sum()))
             yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *[pa.array([x]) for x in row[1:]]], names=["shard", "v", "n", "ends"])
 
@@ -410,20 +410,19 @@ def count_runs(docs: DataFrame, base: str, t: Totals, parts: int = MAX_PARTS) ->
         vocabulary = Words(base, t.shards, t.bits)
         for batch in batches:
             for _, h, to in token_runs(training(batch)):
-                w, counts = vocabulary.of(h)
-                names = np.unique(np.concatenate([w, [t.mark]]))
-                place = np.searchsorted(names, w)
+                names, counts, w = vocabulary.of(h)
+                names, counts = np.append(names, t.mark), np.append(counts, t.docs)
                 n = len(names) + 1
-                u, occurs = np.concatenate([[0], place[:-1]]), np.concatenate([[0], counts[:-1]])
-                u[to[:-1]], occurs[to[:-1]] = np.searchsorted(names, t.mark), t.docs
-                after = np.concatenate([place[1:], [0]])
+                u = np.concatenate([[0], w[:-1]])
+                u[to[:-1]] = n - 2
+                after = np.concatenate([w[1:], [0]])
                 after[to[1:] - 1] = n - 1  # nothing follows the end
                 # runs (u, w, after) as two sorted keys
-                pair, first, back = np.unique(u * n + place, return_index=True, return_inverse=True)
+                pair, back = np.unique(u * n + w, return_inverse=True)
                 key, times = np.unique(back * n + after, return_counts=True)
                 of = key // n
                 u, v = names[pair // n], names[pair % n]
-                shard = t.shard(u, v, occurs[first])[of]
+                shard = t.shard(u, v, counts[pair // n])[of]
                 order = np.argsort(shard, kind="stable")
                 last = key % n
                 columns = [u[of], v[of], np.where(last == n - 1, nothing, names[np.minimum(last, n - 2)])]

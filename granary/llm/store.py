@@ -54,6 +54,10 @@ def save(uri: str, arrays: dict[str, np.ndarray]) -> None:
             raise
 
 
+def is_mapped(uri: str) -> bool:
+    return _local(uri) is not None
+
+
 def load(uri: str) -> dict[str, np.ndarray]:
     path = _local(uri)
     if path is None:
