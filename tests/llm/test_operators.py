@@ -295,6 +295,18 @@ def test_quality_learns_rules(spark, empty):
     assert quality_rules.learn(df, labels) == rules  # the same rows give the same rules
 
 
+def test_quality_rules_on_held_out_labels(spark):
+    """Learnt from one half of the labels, held against the other."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    rules = quality_rules.learn(docs, labels.where(half))
+    judged = quality_rules.judge(docs, rules).where("not base_failed").select("row.doc_id", "kept").join(labels.where(~half), "doc_id")
+    n = {(r.quality, r.kept): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
+    assert n.get((0, False), 0) > 0.9 * (n.get((0, False), 0) + n.get((0, True), 0)) > 100
+    assert n.get((1, False), 0) < 0.01 * n[1, True]
+
+
 # 5
 
 
@@ -736,6 +748,24 @@ def test_lm_scores(spark, docs, rows):
     assert held[2] > held[1]
 
 
+def test_lm_keeps_few_shards_open(monkeypatch):
+    monkeypatch.setattr(lm_score, "OPEN", 3)
+    loads = []
+
+    def load(s):
+        loads.append(s)
+        if s == 9:
+            raise FileNotFoundError
+        return f"shard {s}", 60_000_000
+
+    held = lm_score.Recent(load)
+    assert [held[s] for s in (1, 2, 1, 3, 9)] == ["shard 1", "shard 2", "shard 1", "shard 3", None] and loads == [1, 2, 3, 9]
+    assert set(held.held) == {1, 3, 9} and held.size == 120_000_000
+    assert held[2] == "shard 2" and set(held.held) == {3, 9, 2}
+    big = lm_score.Recent(lambda s: (s, 150_000_000))
+    assert [big[s] for s in (1, 2)] == [1, 2] and list(big.held) == [2] and big.size == 150_000_000
+
+
 def test_lm_of_hot_words(spark, docs, rows):
     """With most words split over shards the scores are those of a plain model."""
     model = plain.Bigrams([t for d, t in rows if not lm_score.is_held_out(d)])

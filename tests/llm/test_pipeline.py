@@ -62,6 +62,17 @@ def test_stages_on_odd_and_empty_tables(spark, sf):
         assert {r.doc_id for r in docs.collect()} == ({5, 50} if data else set())
 
 
+def test_run_leaves_the_last_stage_only(spark, sf):
+    from pathlib import Path
+
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, sf)
+    assert out.count() > 100
+    folder = Path(out.inputFiles()[0].removeprefix("file:")).parents[1]
+    assert [p.name for p in folder.iterdir()] == ["packing"]
+
+
 def test_near_dedup_from_four_fifths(spark, sf):
     import corpus_pipeline
 
