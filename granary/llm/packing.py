@@ -49,7 +49,7 @@ PLACED = PIECES + ", sequence_id long, offset long"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-LONG_SPACE = re.compile(r"\s{50000}")
+LONG_SPACE = re.compile(r"(?<!\s)\s{50000}")
 
 
 class Encoder:
