@@ -89,3 +89,24 @@ links as materialized (
 reach(a, b) as (select doc_id, doc_id from n union select r.a, l.b from reach r join links l on l.a = r.b),
 c as (select a as doc_id, min(b) as component_id from reach group by a)
 select doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.component_id, doc_id) as component_id, coalesce(c.component_id, doc_id) = doc_id as kept from d left join n using (doc_id) left join c using (doc_id)"""
+
+OP12 = r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+l as (select doc_id, coalesce(max(quality = 1), false) as good, coalesce(max(toxic = 1), false) as toxic from labels where doc_id is not null group by doc_id),
+f as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, (case when len(w) < 50 then 1 else 0 end) + (case when 100 * len(list_distinct(w)) < 65 * len(w) then 2 else 0 end)
+         + (case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) then 4 else 0 end) + (case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end)
+         + (case when doc_id > min(doc_id) over (partition by t) then 16 else 0 end) as mask
+  from d left join l using (doc_id)),
+m as (select part, mask, count(*) as n, count(*) filter (where good) as g, count(*) filter (where toxic) as x from f group by part, mask),
+c as (select unnest(string_split('ABCDE', '')) as c),
+o as (select a.c || b.c || c.c || d.c || e.c as filter_order from c a, c b, c c, c d, c e where len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s as (select filter_order, step, substr(filter_order, step, 1) as filter, cast(coalesce(list_sum([1 << (instr('ABCDE', substr(filter_order, k, 1)) - 1) for k in range(1, step)]), 0) as bigint) as before, 1 << (instr('ABCDE', substr(filter_order, step, 1)) - 1) as bit
+      from o, (select unnest(range(1, 6)) as step)),
+r as (
+  select part, filter_order, cast(step as int) as step, filter, sum(case when mask & (before | bit) = 0 then n else 0 end) as kept, sum(case when mask & before = 0 and mask & bit > 0 then n else 0 end) as removed,
+         sum(case when mask & before > 0 and mask & bit > 0 then n else 0 end) as redundant, sum(case when mask = bit then n else 0 end) as unique_fails,
+         sum(case when mask & before = 0 and mask & bit > 0 then g else 0 end) as good_lost, sum(case when mask & before = 0 and mask & bit > 0 then x else 0 end) as toxic_lost
+  from s, m group by part, filter_order, step, filter)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+       cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, filter) as bigint) as shapley from r"""
