@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.session import checkpoint, importable, shared_dir, table
 
-__all__ = ["MAX_PARTS", "by_number", "checkpoint", "components", "dealt", "importable", "shared_dir", "table"]
+__all__ = ["MAX_PARTS", "by_number", "checkpoint", "components", "dealt", "importable", "lookup", "shared_dir", "table"]
 
 #: Partitions of a shuffle at most. Beyond, a partition has several shards, sorted, and a task works on one after the other.
 MAX_PARTS = 20_000
@@ -34,6 +34,27 @@ def by_number(batches: Iterator[pa.RecordBatch], ordered: bool) -> Iterator[tupl
         yield s, found.pop(s)
 
 
+#: A key is hot if it has more than one row in so many; there are fewer such keys than this.
+HOT = 1000
+
+
+def lookup(rows: DataFrame, values: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
+    """rows with the other columns of values (one row a key), null where there is none. counts: (keys, n), how many rows a key has, at least of those with many.
+
+    The values of hot keys are broadcast: under HOT rows, whatever the size of the tables. All other keys are joined by a shuffle, in which rows that have
+    their value already, and rows with a null key, go by numbers of their own."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    more = [c for c in values.columns if c not in keys]
+    hot = values.join(F.broadcast(counts.where(F.col("n") * HOT > total).select(keys)), keys, "left_semi")
+    hot = hot.select(*keys, F.struct(*more).alias("__hot"))
+    known = rows.join(F.broadcast(hot), keys, "left")
+    free = F.col("__hot").isNotNull() | F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    known = known.withColumn("__to", F.when(free, F.monotonically_increasing_id() + 1).otherwise(0))
+    cold = values.select(*keys, F.struct(*more).alias("__cold"), F.lit(0).cast("long").alias("__to"))
+    value = F.coalesce("__hot", "__cold")
+    return known.join(cold, [*keys, "__to"], "left").select(*rows.columns, *[value[c].alias(c) for c in more])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected links (u, v), longs: rows (node, component), component the least node.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import chat_format, decontaminate, filter_audit, html_extract, line_dedup, lm_score, near_dup, packing, quality_rules, sql, substring_dedup, url_filter
-from granary.llm.common import table
+from granary.llm import chat_format, decontaminate, filter_audit, html_extract, line_dedup, lm_score, near_dup, packing, quality_rules, sql, store, substring_dedup, url_filter, warc
+from granary.llm.common import shared_dir, table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -64,12 +66,24 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+#: Blocks of pages longer than this go to several records, so that a good part of the pages are put together again.
+WARC_SEGMENT = 8 << 10
+
+
+def op11_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    archives = warc.write(warc.page_records(table(spark, sf_dir, "pages")), folder, segment=WARC_SEGMENT)
+    found = warc.read_pages(archives)  # read by now
+    store.remove(folder)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {"op1_chat_prefix_targets": op1_chat_prefix_targets, "op2_url_redirects": op2_url_redirects, "op3_substring_dedup": op3_substring_dedup, "op4_quality_rules": op4_quality_rules,
     "op5_decontaminate": op5_decontaminate, "op6_html_main_text": op6_html_main_text, "op7_line_dedup": op7_line_dedup, "op8_pack": op8_pack,
-    "op9_near_dup": op9_near_dup, "op10_lm_score": op10_lm_score, "op12_filter_audit": op12_filter_audit,
+    "op9_near_dup": op9_near_dup, "op10_lm_score": op10_lm_score, "op11_warc_segments": op11_warc_segments, "op12_filter_audit": op12_filter_audit,
 }
-SQL: dict[str, str] = {"op1_chat_prefix_targets": sql.OP1, "op2_url_redirects": sql.OP2, "op5_decontaminate": sql.OP5, "op9_near_dup": sql.OP9, "op12_filter_audit": sql.OP12}
+SQL: dict[str, str] = {"op1_chat_prefix_targets": sql.OP1, "op2_url_redirects": sql.OP2, "op5_decontaminate": sql.OP5, "op9_near_dup": sql.OP9, "op11_warc_segments": sql.OP11, "op12_filter_audit": sql.OP12}

@@ -90,6 +90,13 @@ reach(a, b) as (select doc_id, doc_id from n union select r.a, l.b from reach r
 c as (select a as doc_id, min(b) as component_id from reach group by a)
 select doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.component_id, doc_id) as component_id, coalesce(c.component_id, doc_id) = doc_id as kept from d left join n using (doc_id) left join c using (doc_id)"""
 
+OP11 = """
+with p as (select page_id, encode(coalesce(html, '')) as payload, min(page_id) over (partition by coalesce(html, '')) as least from pages),
+d as (select *, sha1(payload) as h, coalesce(page_id <> least, least is not null) as again from p)
+select page_id, octet_length(payload) as payload_bytes,
+       list_reduce(list_transform(range(0, 8), lambda k: list_reduce(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(((cast('0x' || substr(h, 5 * k + 1, 5) as bigint) >> s) & 31) + 1 as bigint), 1)), lambda a, b: a || b)), lambda a, b: a || b) as payload_digest,
+       case when again then 'revisit' else 'response' end as record_type, case when again then least end as refers_to from d"""
+
 OP12 = r"""
 with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 l as (select doc_id, coalesce(max(quality = 1), false) as good, coalesce(max(toxic = 1), false) as toxic from labels where doc_id is not null group by doc_id),
