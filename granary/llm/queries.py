@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import chat_format, decontaminate, filter_audit, html_extract, line_dedup, lm_score, near_dup, packing, quality_rules, sql, store, substring_dedup, url_filter, warc
+from granary.llm import chat_format, decontaminate, filter_audit, html_extract, line_dedup, lm_score, near_dup, packing, periodic, quality_rules, sql, store, substring_dedup, url_filter, warc
 from granary.llm.common import shared_dir, table
 
 
@@ -82,8 +82,30 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _planted(text: str = "text", id: str = "doc_id") -> F.Column:
+    """A text of its words; where the id's checksum ends in 0 they repeat from some word on. A null id plants nothing."""
+    trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    words = F.split(trimmed, r"[\x20\x09-\x0D]+")
+    n = F.size(words)
+    h = F.crc32(F.col(id).cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = F.lit(1) + F.floor((n - a) / (3 + g % 8)).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    return F.when((h % 10 == 0) & (trimmed != ""), F.array_join(F.concat(F.slice(words, F.lit(1), a), again), " ")).otherwise(F.col(text))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find(table(spark, sf_dir, "documents").select("doc_id", _planted().alias("text")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    out = found.select("row.doc_id", F.size("runs").cast("long").alias("n_runs"), periodic.strongest().alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long")
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {"op1_chat_prefix_targets": op1_chat_prefix_targets, "op2_url_redirects": op2_url_redirects, "op3_substring_dedup": op3_substring_dedup, "op4_quality_rules": op4_quality_rules,
     "op5_decontaminate": op5_decontaminate, "op6_html_main_text": op6_html_main_text, "op7_line_dedup": op7_line_dedup, "op8_pack": op8_pack,
     "op9_near_dup": op9_near_dup, "op10_lm_score": op10_lm_score, "op11_warc_segments": op11_warc_segments, "op12_filter_audit": op12_filter_audit,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 SQL: dict[str, str] = {"op1_chat_prefix_targets": sql.OP1, "op2_url_redirects": sql.OP2, "op5_decontaminate": sql.OP5, "op9_near_dup": sql.OP9, "op11_warc_segments": sql.OP11, "op12_filter_audit": sql.OP12}
