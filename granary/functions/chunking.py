@@ -7,15 +7,18 @@ and only the walk from cut to cut is a loop. The table of 256 values is drawn fr
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.functions.blake3 import blake3, digest_column
 from granary.session import importable
 
 MIN, AVERAGE, MAX = 512 << 10, 2 << 20, 8 << 20
@@ -72,22 +75,49 @@ def cuts(data: bytes, low: int = MIN, average: int = AVERAGE, high: int = MAX) -
     return ends
 
 
-def chunks(df: DataFrame, key: str, data: str, low: int = MIN, average: int = AVERAGE, high: int = MAX) -> DataFrame:
-    """(key, sequence, offset, size, data) of each row's stream."""
+#: Digests that name contents.
+DIGESTS = ("sha256", "blake3")
+
+
+def _digests(parts: list, algo: str) -> list[str]:
+    if algo == "blake3":
+        return digest_column(pa.array(parts, pa.large_binary()))
+    return [hashlib.sha256(p).hexdigest() for p in parts]
+
+
+def content_id(data: Column, algo: Column) -> Column:
+    """The content id by its `algo`, sha256 or blake3; null for any other."""
+    return F.when(algo == "sha256", F.sha2(data, 256)).when(algo == "blake3", blake3(data))
+
+
+def chunks(df: DataFrame, key: str, data: str, low: int = MIN, average: int = AVERAGE, high: int = MAX, algo: str | None = None) -> DataFrame:
+    """Chunks of each row's stream: (key, sequence, offset, size, data), or with `algo` their content ids instead of the bytes: (key, sequence, offset, size, hash, algo).
+
+    The ids are worked out where the chunks are cut, so that what is decided on them moves no bytes of the streams."""
     check_sizes(low, average, high)
+    if algo not in (None, *DIGESTS):
+        raise ValueError(f"unknown digest {algo}")
     importable(df.sparkSession)
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for k, d in zip(frame["key"], frame["data"], strict=True):
-                at = 0
-                for i, end in enumerate(cuts(d, low, average, high) if d is not None else []):
-                    rows.append((k, i, at, end - at, d[at:end]))
-                    at = end
-            yield pd.DataFrame(rows, columns=["key", "sequence", "offset", "size", "data"])
-
-    return df.select(F.col(key).cast("string").alias("key"), F.col(data).cast("binary").alias("data")).mapInPandas(work, "key string, sequence int, offset long, size long, data binary")
+    columns = ["key", "sequence", "offset", "size", *(["hash", "algo"] if algo else ["data"])]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, places, starts, sizes, parts = [], [], [], [], []
+            for k, d in zip(*batch.columns, strict=True):
+                k, d = k.as_py(), d.as_py()
+                ends = cuts(d, low, average, high) if d is not None else []
+                first = [0, *ends][: len(ends)]
+                keys += [k] * len(ends)
+                places += range(len(ends))
+                starts += first
+                sizes += [b - a for a, b in zip(first, ends, strict=True)]
+                parts += [d[a:b] for a, b in zip(first, ends, strict=True)]
+            rows = [keys, places, starts, sizes, *([_digests(parts, algo), [algo] * len(parts)] if algo else [parts])]
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), *([pa.string(), pa.string()] if algo else [pa.binary()])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=columns)
+
+    schema = "key string, sequence int, offset long, size long, " + ("hash string, algo string" if algo else "data binary")
+    return df.select(F.col(key).cast("string").alias("key"), F.col(data).cast("binary").alias("data")).mapInArrow(work, schema)
 
 
 @F.pandas_udf(T.BinaryType())
