@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.functions import ed25519
 from granary.operators.folds import scan
-from granary.session import checkpoint
+from granary.session import checkpoint, importable
 
 FIELDS = ("id", "actor_id", "action", "resource_type", "resource_id", "metadata_json")
 
@@ -121,6 +122,34 @@ def canonical(*fields: str) -> Column:
     return F.to_json(F.struct(*fields))
 
 
+def _spread(df: DataFrame, by: Column) -> DataFrame:
+    """Rows that cost far more to work on than to move, over all tasks of a shuffle, however few bytes they are."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(by))
+
+
+def signed(manifests: DataFrame, seeds: DataFrame, body: Column) -> DataFrame:
+    """manifests with `signature` (algorithm and hex value) of the canonical body under the secret seed of their key; seeds: (key_id, seed)."""
+    importable(manifests.sparkSession)
+    df = _spread(manifests.withColumn("__body", body).join(seeds.select("key_id", "seed"), "key_id", "left"), F.col("__body"))
+    value = F.lower(F.hex(ed25519.signatures("seed", "__body")))
+    return df.withColumn("signature", F.when(F.col("seed").isNotNull(), F.struct(F.lit("ed25519").alias("algorithm"), value.alias("value")))).drop("__body", "seed")
+
+
+def signature_problems(manifests: DataFrame, keys: DataFrame, body: Column) -> DataFrame:
+    """manifests with `problem`: no signature, unknown algorithm, unknown key, or bad signature; null only where the signature of the canonical body is right.
+
+    manifests has signature (algorithm, value in hex) and key_id; keys: (key_id, public_key). A key that is listed with two values is no key. Those that fail
+    otherwise are not verified."""
+    importable(manifests.sparkSession)
+    known = keys.groupBy("key_id").agg(F.min("public_key").alias("__public"), F.countDistinct("public_key").alias("__n")).where("__n = 1 and key_id is not null").drop("__n")
+    df = manifests.join(known, "key_id", "left").withColumn("__body", body)
+    value, name = F.col("signature.value"), F.col("signature.algorithm")
+    early = F.when(value.isNull() | name.isNull(), "no signature").when(name != "ed25519", "unknown algorithm").when(F.col("__public").isNull(), "unknown key")
+    df = _spread(df.withColumn("__early", early), F.col("__body"))
+    good = ed25519.signed_by(F.when(F.col("__early").isNull(), F.col("__public")), F.col("__body"), F.try_to_binary(value, F.lit("hex")))
+    return df.withColumn("__good", good).withColumn("problem", F.coalesce("__early", F.when(~F.col("__good"), "bad signature"))).drop("__public", "__body", "__early", "__good")
+
+
 def dedup(refs: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """refs with `duplicate`: another one with the same hash comes first (by manifest, sequence). A minimum per hash, aggregated before the
     shuffle, and a join: no sort of a hot hash's references."""

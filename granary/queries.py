@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import shutil
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions import chunking, cron, durations, statements
+from granary.functions import chunking, cron, durations, ed25519, statements
 from granary.operators import admission, catalog, integrity, jobs, lineage, metrics, replay, retention, schedules
 from granary.plans import backup, restore
 from granary.plans.fixtures import NOW, RETENTION_NOW, load, with_tables
-from granary.session import table
-from granary.sources import stores
+from granary.session import shared_dir, table
+from granary.sources import objects, stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -847,6 +849,29 @@ def i2_manifest_digest(spark, d):
     return b.withColumn("id", F.col("manifest_id")).select("manifest_id", F.sha2(body, 256).alias("digest"))
 
 
+def _seeds(spark, n=3):
+    return spark.range(n).select(F.concat(F.lit("key-"), F.col("id").cast("string")).alias("key_id"), F.unhex(F.sha2(F.concat(F.lit("seed"), F.col("id").cast("string")), 256)).alias("seed"))
+
+
+@query(
+    """select manifest_id, case chunk_count when 7 then 'bad signature' when 9 then 'no signature' when 11 then 'unknown key' when 13 then 'unknown algorithm' when 15 then 'bad signature' when 17 then 'bad signature' end as problem from backups""",
+    "backups",
+)
+def i2_signed_manifests(spark, d):
+    """All manifests signed by one of three keys and verified; by their count of chunks some are changed, unsigned or under another key since."""
+    backups = load(spark, d, "backups").withColumn("key_id", F.concat(F.lit("key-"), F.substring("storage_id", 3, 9)))
+    body = integrity.canonical("manifest_id", "job_id", "target_id", "storage_id", "type", "parent_id", "size_bytes")
+    seeds = _seeds(spark)
+    m, n = integrity.signed(backups, seeds, body), F.col("chunk_count")
+    value = F.when(n == 17, F.concat(F.substring("signature.value", 1, 100), F.lit("zz"))).otherwise(F.col("signature.value"))
+    changed = m.withColumns({
+        "target_id": F.when(n == 7, "t-other").otherwise(F.col("target_id")), "size_bytes": F.col("size_bytes") + F.when(n == 15, 1).otherwise(0), "key_id": F.when(n == 11, "key-9").otherwise(F.col("key_id")),
+        "signature": F.when(n != 9, F.struct(F.when(n == 13, "rsa").otherwise("ed25519").alias("algorithm"), value.alias("value"))),
+    })
+    keys = seeds.select("key_id", ed25519.public_keys("seed").alias("public_key"))
+    return integrity.signature_problems(changed, keys, body).select("manifest_id", "problem")
+
+
 @query(
     """select object_key, case when substr(object_key, 6, 1) in ('0', '1') then 'exists' else 'written' end as outcome from (select distinct 'data/' || substr(hash, 1, 2) || '/' || substr(hash, 3, 2) || '/' || hash as object_key from chunk_refs) x""",
     "chunk_refs",
@@ -857,6 +882,17 @@ def sk3_put_if_absent(spark, d):
     return fresh.select("object_key", F.lit("written").alias("outcome")).unionByName(refused.select("object_key", F.lit("exists").alias("outcome")))
 
 
+@query("select 'data/' || substr(h, 1, 2) || '/' || substr(h, 3, 2) || '/' || h as object_key, 1 as written, count(*) - 1 as refused, max(size) as size from (select sha256(text) as h, strlen(text) as size from documents where text is not null) x group by h")
+def sk3_objects_put(spark, d):
+    """Each document put under its digest: of equal ones one is written, the others find the key taken."""
+    docs = table(spark, d, "documents").where("text is not null").select(F.sha2("text", 256).alias("h"), F.col("text").cast("binary").alias("content"))
+    root = f"{shared_dir(spark).rstrip('/')}/objects-{uuid.uuid4().hex}"
+    outcome = objects.put_objects(docs.select(integrity.object_key(F.col("h")).alias("object_key"), "content"), root)
+    shutil.rmtree(objects.local_root(root))
+    counted = outcome.groupBy("object_key").agg(F.count_if(F.col("outcome") == "written").cast("int").alias("written"), F.count_if(F.col("outcome") == "exists").alias("refused"), F.max("size").alias("size"))
+    return counted
+
+
 @query("select cast(doc_id as varchar) as name, algorithm, sha256(text) as digest from documents, (values ('none'), ('gzip'), ('zstd')) v(algorithm) where text is not null")
 def c8_codecs(spark, d):
     """Through each codec and back."""

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from granary.operators import integrity
 
 MANIFEST = (
     "id string, job_id string, target_id string, storage_id string, type string, parent_id string, started_at timestamp_ntz, finished_at timestamp_ntz, version int, "
-    "objects array<struct<schema:string,name:string,chunks:array<struct<key:string,hash:string,size:bigint,stored_size:bigint,algo:string>>>>, signature string"
+    "objects array<struct<schema:string,name:string,chunks:array<struct<key:string,hash:string,size:bigint,stored_size:bigint,algo:string>>>>, key_id string, signature struct<algorithm:string,value:string>"
 )
 RECORD = "Object struct<Schema:string,Name:string,Kind:string>, Payload string, Rows bigint, Done boolean"
 MAX_MANIFEST_BYTES = 64 << 20
 
 
 def objects(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
-    """(object_key, size, modified) below a folder, without reading contents."""
+    """(object_key, size, modified) below a folder, without reading contents. What is still being written (.tmp, .lock, hidden) is no object; Spark's file sources pass over objects without bytes."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     base = F.regexp_extract("path", rf"{_tail(root)}/(.*)$", 1)
-    out = df.select(base.alias("object_key"), "size", "modified").orderBy("object_key")
+    out = df.select(base.alias("object_key"), "size", "modified").where(~F.col("object_key").rlike(r"\.(tmp|lock)$")).orderBy("object_key")
     return out.where(F.col("object_key").startswith(prefix)) if prefix else out
 
 
@@ -44,8 +49,37 @@ def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     return short.union(long).select("path", "m.*", problem.alias("problem"))
 
 
+def manifest_body() -> F.Column:
+    """The canonical form that is signed: all fields of a manifest but its signature, in their order, without blanks; null fields are left out."""
+    names = [f.name for f in T._parse_datatype_string(MANIFEST).fields if f.name != "signature"]
+    return F.to_json(F.struct(*names))
+
+
+def load_manifests(spark: SparkSession, root: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(manifests that may be trusted, (path, problem) of all others): readable, of the right version, and signed by a key of `keys` (key_id, public_key)."""
+    read = read_manifests(spark, root)
+    judged = integrity.signature_problems(read.withColumnRenamed("problem", "__read"), keys, manifest_body())
+    judged = judged.withColumn("problem", F.coalesce("__read", "problem")).drop("__read")
+    return judged.where("problem is null").drop("problem"), judged.where("problem is not null").select("path", "problem")
+
+
+def _path(spark: SparkSession, root: str, key: str):
+    """(file system, path) of an object."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{key}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def head(spark: SparkSession, root: str, key: str) -> tuple[int, datetime] | None:
+    """(size, time of the last change) of one object, asked for by its own path; None if it isn't there or is a folder."""
+    system, path = _path(spark, root, key)
+    if not system.exists(path):
+        return None
+    found = system.getFileStatus(path)
+    return (found.getLen(), datetime.fromtimestamp(found.getModificationTime() / 1000, UTC)) if found.isFile() else None
+
+
 def exists(spark: SparkSession, root: str, key: str) -> bool:
-    return not objects(spark, root).where(F.col("object_key") == key).isEmpty()
+    return head(spark, root, key) is not None
 
 
 def manifest_refs(manifests: DataFrame) -> DataFrame:
