@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import cron
@@ -62,6 +62,17 @@ class Runs:
         return out
 
 
+def cursor_runs(runs: Runs, key: str, cursor: datetime | None, seed: datetime, now: datetime, limit: int) -> tuple[list[datetime], datetime]:
+    """(runs due up to now, the next one) of a schedule that waits for the run at `cursor`, or without one starts after `seed`."""
+    if cursor is not None and cursor > now:
+        return [], cursor
+    found, following = runs.due(key, seed if cursor is None else cursor, now, limit)
+    found = ([] if cursor is None else [cursor]) + found
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} runs to catch up")
+    return found, following
+
+
 def due(states: DataFrame, now: datetime, limit: int = MAX_CATCH_UP) -> DataFrame:
     """states (id, expression, paused, created_at, last_run, next_run) to due instants up to now: (id, due_at, place, n, next_run, problem).
 
@@ -79,16 +90,8 @@ def due(states: DataFrame, now: datetime, limit: int = MAX_CATCH_UP) -> DataFram
                 try:
                     if r.expression not in parsed:
                         parsed[r.expression] = Runs(r.expression)
-                    runs = parsed[r.expression]
                     after = now if pd.isna(at) else at.to_pydatetime()
-                    first = [] if pd.isna(r.next_run) else [after]
-                    if first and after > now:
-                        found, following = [], after
-                    else:
-                        found, following = runs.due(r.id, after, now, limit)
-                        found = first + found
-                    if len(found) > limit:
-                        raise ValueError(f"more than {limit} runs to catch up")
+                    found, following = cursor_runs(parsed[r.expression], r.id, None if pd.isna(r.next_run) else after, after, now, limit)
                     rows += [(r.id, t, i, len(found), following, None) for i, t in enumerate(found)] or [(r.id, None, None, 0, following, None)]
                 except ValueError as e:
                     rows.append((r.id, None, None, 0, None, str(e)))
@@ -112,9 +115,9 @@ def catch_up(runs: DataFrame, now: str) -> DataFrame:
     return df.withColumn("due_at", F.when(F.col("catch_up_policy") == "run_once", F.lit(now).cast("timestamp_ntz")).otherwise(F.col("due_at"))).drop("__last")
 
 
-def enqueue(runs: DataFrame, now: str) -> DataFrame:
+def enqueue(runs: DataFrame, now: str | Column) -> DataFrame:
     """Queued jobs; ids follow from schedule and instant, so that a repeated run of the plan gives the same ones."""
     return runs.select(
         F.concat(F.lit("j-"), F.substring(F.sha2(F.concat_ws("|", "id", F.col("due_at").cast("string")), 256), 1, 24)).alias("job_id"), F.col("id").alias("schedule_id"), "target_id", "storage_id",
-        F.col("backup_type").alias("type"), F.lit("backup").alias("operation"), F.lit("queued").alias("status"), "due_at", F.lit(now).cast("timestamp_ntz").alias("queued_at"),
+        F.col("backup_type").alias("type"), F.lit("backup").alias("operation"), F.lit("queued").alias("status"), "due_at", (F.lit(now) if isinstance(now, str) else now).cast("timestamp_ntz").alias("queued_at"),
     )

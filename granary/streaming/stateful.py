@@ -1,36 +1,9 @@
-"""Stateful streams: agent registry, anchored rate limit, change application, scheduler loop.
-
-State is keyed (agent or client) and bounded by what a key needs: one row. Arrival order within a batch is the order of `arrival`."""
+"""Change events folded into a table, and what a snapshot of agents says. Keyed states with timers are in `scheduler` and `expiring`."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from granary.session import importable
-
-REGISTRY = "agent_id string, capacity int, heartbeat_at timestamp_ntz"
-DECIDED = "client string, id long, at timestamp_ntz, allowed boolean"
-
-
-def registry(heartbeats: DataFrame) -> DataFrame:
-    """The last heartbeat to arrive of each agent, whatever its instant says; one row for each batch that has some of the agent."""
-    importable(heartbeats.sparkSession)
-
-    def last(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        arrival, capacity, at = state.get if state.exists else (-1, 0, pd.Timestamp(0))
-        for f in frames:
-            top = f.loc[f["arrival"].idxmax()]
-            if top["arrival"] > arrival:
-                arrival, capacity, at = int(top["arrival"]), int(top["capacity"]), top["heartbeat_at"]
-        state.update((arrival, capacity, at))
-        yield pd.DataFrame({"agent_id": [key[0]], "capacity": [capacity], "heartbeat_at": [at]})
-
-    return heartbeats.groupBy("agent_id").applyInPandasWithState(last, REGISTRY, "arrival long, capacity int, heartbeat_at timestamp_ntz", "update", GroupStateTimeout.NoTimeout)
 
 
 def liveness(snapshot: DataFrame, now: str, seconds: int = 30) -> DataFrame:
@@ -42,28 +15,6 @@ def pruned(snapshot: DataFrame, now: str, max_age_seconds: int) -> DataFrame:
     return snapshot.where(F.col("heartbeat_at") >= F.lit(now).cast("timestamp_ntz") - F.expr(f"interval '{max_age_seconds}' second"))
 
 
-def rate_limit(requests: DataFrame, window_seconds: int, limit: int) -> DataFrame:
-    """requests (client, id, at) with `allowed`; a client's state is the start of its window and how many it let through."""
-    importable(requests.sparkSession)
-    width = pd.Timedelta(seconds=window_seconds)
-
-    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, n = state.get if state.exists else (None, 0)
-        whole = pd.concat(list(frames)).sort_values(["at", "id"])
-        out = []
-        for t in whole["at"]:
-            if start is None or t - start >= width:
-                start, n = t, 1
-                out.append(True)
-            else:
-                out.append(n < limit)
-                n += n < limit
-        state.update((start, n))
-        yield pd.DataFrame({"client": key[0], "id": whole["id"], "at": whole["at"], "allowed": out})
-
-    return requests.groupBy("client").applyInPandasWithState(decide, DECIDED, "start timestamp_ntz, n int", "append", GroupStateTimeout.NoTimeout)
-
-
 def apply_changes(stream: DataFrame, path: str, key: list[str], order: str, checkpoint: str, compact: int = 50):
     """Fold change events into a table: the last change of a key wins, deletes remove. Read it with `current`.
 
@@ -103,8 +54,3 @@ def _folded(spark, path: str, key: list[str], order: str, upto: int | None = Non
 def current(spark, path: str, key: list[str], order: str) -> DataFrame:
     """The table that `apply_changes` keeps: the newest base and the changes since."""
     return _folded(spark, path, key, order).where("operation <> 'delete'")
-
-
-def scheduler_loop(ticks: DataFrame, tick: Callable[[DataFrame, int], None], checkpoint: str):
-    """Run a tick for each batch of a (rate or file) source."""
-    return ticks.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint)
