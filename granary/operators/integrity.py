@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,67 @@ def chain_violations(events: DataFrame) -> DataFrame:
     return df.select("seq", problem.alias("problem")).where("problem is not null")
 
 
+def segment(size: int) -> Column:
+    """The segment of an event: `size` sequence numbers each, from 0."""
+    return F.floor((F.col("seq") - 1) / size).cast("long")
+
+
+def segment_start(number: Column) -> Column:
+    """What stands for the digest before a segment's first event."""
+    return F.sha2(F.concat_ws("|", F.lit("segment"), number.cast("string")), 256)
+
+
+def chained_segments(events: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(events with segment, prev_hash and hash; heads (segment, first_seq, last_seq, digest, prev_head, head)).
+
+    Another form of the log: each segment is a chain of its own from a fixed start, so segments are chained by as many tasks; the last digests of the segments
+    are chained in order by their heads, one row a segment. A change of any event changes its segment's digest and all heads from there on."""
+    if size < 1:
+        raise ValueError("a segment has at least one event")
+
+    def step(last: str | None, body: str, start: str) -> tuple[str, tuple[str, str]]:
+        before = start if last is None else last
+        digest = hashlib.sha256(f"{body}|{before}".encode()).hexdigest()
+        return digest, (before, digest)
+
+    numbered = events.withColumn("segment", segment(size))
+    chains = scan(numbered, ["segment"], [F.col("seq")], {"body": event_body(), "start": segment_start(F.col("segment"))}, None, step, {"prev_hash": T.StringType(), "hash": T.StringType()})
+    ends = chains.groupBy("segment").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.max_by("hash", "seq").alias("digest"))
+
+    def head(last: str, body: str) -> tuple[str, tuple[str, str]]:
+        digest = hashlib.sha256(f"{body}|{last}".encode()).hexdigest()
+        return digest, (last, digest)
+
+    body = F.concat_ws("|", *[F.col(c).cast("string") for c in ("segment", "first_seq", "last_seq", "digest")])
+    return chains, scan(ends, [], [F.col("segment")], {"body": body}, "", head, {"prev_head": T.StringType(), "head": T.StringType()})
+
+
+def segment_violations(events: DataFrame, heads: DataFrame, size: int) -> DataFrame:
+    """(segment, seq, problem): of events those that break their segment's order, links or digests; of heads (seq null) those whose place, end or digest isn't the events', or that break their own chain.
+
+    Everything is an equi-join on the number before, or an aggregate; no task has the whole log."""
+    df = events.where("segment is not null")
+    first = F.col("seq") == F.col("segment") * size + 1
+    before = df.select((F.col("seq") + 1).alias("__seq"), F.col("hash").alias("__hash"))
+    df = df.join(before, df["seq"] == before["__seq"], "left")
+    problem = (
+        F.when(F.col("segment") != segment(size), "segment").when(~first & F.col("__hash").isNull(), "gap")
+        .when(~F.col("prev_hash").eqNullSafe(F.when(first, segment_start(F.col("segment"))).otherwise(F.col("__hash"))), "link").when(F.col("hash") != event_digest(F.col("prev_hash")), "digest")
+    )
+    bad = df.select("segment", "seq", problem.alias("problem")).where("problem is not null")
+    ends = events.groupBy("segment").agg(F.min("seq").alias("__first"), F.max("seq").alias("__last"), F.max_by("hash", "seq").alias("__digest"))
+    last = heads.select((F.col("segment") + 1).alias("segment"), F.col("head").alias("__head"), F.lit(True).alias("__follows"))
+    h = heads.join(ends, "segment", "full").join(last, "segment", "left")
+    body = F.concat_ws("|", *[F.col(c).cast("string") for c in ("segment", "first_seq", "last_seq", "digest")])
+    start = F.col("segment") == 0
+    wrong = (
+        F.when(F.col("head").isNull(), "no head").when(F.col("__digest").isNull(), "no events").when(~start & F.col("__follows").isNull(), "gap")
+        .when((F.col("first_seq") != F.col("__first")) | (F.col("last_seq") != F.col("__last")) | (F.col("digest") != F.col("__digest")), "end")
+        .when(~F.col("prev_head").eqNullSafe(F.when(start, F.lit("")).otherwise(F.col("__head"))), "link").when(F.col("head") != F.sha2(F.concat_ws("|", body, "prev_head"), 256), "digest")
+    )
+    return bad.unionByName(h.select("segment", F.lit(None).cast(events.schema["seq"].dataType).alias("seq"), wrong.alias("problem")).where("problem is not null"))
+
+
 def object_key(digest: Column) -> Column:
     return F.concat_ws("/", F.lit("data"), F.substring(digest, 1, 2), F.substring(digest, 3, 2), digest)
 
@@ -92,29 +154,51 @@ def verify_chunks(refs: DataFrame, stored: DataFrame, key: Column, opened) -> Da
     return df.select("manifest_id", "sequence", "hash", problem.alias("problem")).where("problem is not null")
 
 
-#: Bits for each entry of a Bloom filter, and probes of each look-up. Fixed values.
-BLOOM_BITS, BLOOM_PROBES = 10, 7
+#: Bits for each entry of a Bloom filter, probes of each look-up, and bits of a block. Fixed values.
+BLOOM_BITS, BLOOM_PROBES, BLOOM_BLOCK = 10, 7, 512
+#: A filter of up to so many blocks (some 100 bytes each) is broadcast.
+BROADCAST_BLOCKS = 400_000
+
+
+WORDS = BLOOM_BLOCK // 64
+
 
+def _placed(df: DataFrame, blocks: int) -> DataFrame:
+    """df with the block that holds all of a hash's bits, by its first 60 bits, and the places of these in it: seven times 9 bits, from three hex digits each."""
+    number = lambda at, n: F.conv(F.substring("hash", at, n), 16, 10).cast("long")
+    place = lambda column, digits: F.shiftright(column, 4 * digits).bitwiseAND(F.lit(BLOOM_BLOCK - 1)).cast("int")
+    parts = df.select("*", F.pmod(number(1, 15), F.lit(blocks)).alias("block"), number(16, 15).alias("__a"), number(31, 6).alias("__b"))
+    places = [place("__a", 12 - 3 * i) for i in range(5)] + [place("__b", 3), place("__b", 0)]
+    return parts.select(*df.columns, "block", *[p.alias(f"__p{i}") for i, p in enumerate(places)])
 
-def _probes(digest: Column, bits: Column) -> Column:
-    """Places of a digest's bits: two numbers of 60 bits of the digest, the second added again and again."""
-    part = lambda at: F.pmod(F.conv(F.substring(digest, at, 15), 16, 10).cast("long"), bits)
-    return F.transform(F.sequence(F.lit(0), F.lit(BLOOM_PROBES - 1)), lambda i: F.pmod(part(1) + i.cast("long") * part(16), bits))
+
+def bloom_filter(entries: DataFrame) -> tuple[DataFrame, int]:
+    """(block, words) over distinct hashes, the words an array of eight longs, and the number of blocks (at least one)."""
+    blocks = max(1, -(-BLOOM_BITS * entries.count() // BLOOM_BLOCK))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.col(f"__p{i}") % 64)
+    none = F.lit(0).cast("long")
+    words = [reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.shiftright(f"__p{i}", 6) == w, bit(i)).otherwise(none) for i in range(BLOOM_PROBES)]) for w in range(WORDS)]
+    marked = _placed(entries.select("hash"), blocks).groupBy("block").agg(*[F.bit_or(word).alias(f"w{w}") for w, word in enumerate(words)])
+    return marked.select("block", F.array(*[f"w{w}" for w in range(WORDS)]).alias("words")), blocks
+
+
+def maybe_in(lookups: DataFrame, filter_: DataFrame, blocks: int) -> DataFrame:
+    """lookups with `maybe`: false only for hashes that the filter's entries don't have. One row a look-up, one join; the filter is broadcast while it has few blocks."""
+    df = _placed(lookups, blocks).join(F.broadcast(filter_) if blocks <= BROADCAST_BLOCKS else filter_, "block", "left")
+    bit = lambda i: F.call_function("shiftright", F.get("words", F.shiftright(f"__p{i}", 6)), F.col(f"__p{i}") % 64).bitwiseAND(F.lit(1).cast("long"))
+    hit = reduce(lambda a, b: a & b, [bit(i) == 1 for i in range(BLOOM_PROBES)])
+    return df.select(*lookups.columns, F.coalesce(hit, F.lit(False)).alias("maybe"))
 
 
 def membership(lookups: DataFrame, entries: DataFrame) -> DataFrame:
-    """Distinct hashes of `lookups` with `maybe` (Bloom filter over `entries`: never false for a member) and `present` (exact).
+    """lookups (hash, ...) with `maybe` (a blocked Bloom filter over `entries`: never false for a member) and `present` (exact).
 
-    The filter is a table of 64-bit words; a look-up meets the words of its probes, and only those that pass go on to the exact join."""
-    held = checkpoint(entries.select("hash").distinct())
-    bits = F.lit(max(1, BLOOM_BITS * held.count())).cast("long")
-    word, bit = F.shiftright("place", 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(64)).cast("int"))
-    filter_ = held.select(F.explode(_probes(F.col("hash"), bits)).alias("place")).groupBy(word.alias("word")).agg(F.bit_or(bit).alias("set"))
-    asked = lookups.select("hash").distinct()
-    places = asked.select("hash", F.explode(_probes(F.col("hash"), bits)).alias("place")).select("hash", word.alias("word"), bit.alias("bit"))
-    hit = places.join(filter_, "word", "left").groupBy("hash").agg(F.bool_and(F.coalesce(F.col("set").bitwiseAND(F.col("bit")) != 0, F.lit(False))).alias("maybe"))
-    present = held.join(hit.where("maybe").select("hash"), "hash", "left_semi").withColumn("present", F.lit(True))
-    return hit.join(present, "hash", "left").select("hash", "maybe", F.coalesce("present", F.lit(False)).alias("present"))
+    Only look-ups that pass the filter are exchanged, for the exact join; those that miss stay where they are. A null hash is no member."""
+    held = checkpoint(entries.select("hash").where("hash is not null").distinct())
+    filter_, blocks = bloom_filter(held)
+    judged = maybe_in(lookups, checkpoint(filter_), blocks)
+    passed = judged.where("maybe").join(held.withColumn("present", F.lit(True)), "hash", "left").select(*judged.columns, F.coalesce("present", F.lit(False)).alias("present"))
+    return passed.unionByName(judged.where("not maybe").withColumn("present", F.lit(False)))
 
 
 def canonical(*fields: str) -> Column:
@@ -168,6 +252,18 @@ def dedup_stats(flagged: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("dedup_ratio", F.coalesce(F.try_divide(F.col("deduped_chunks"), F.col("chunks")), F.lit(0.0)))
 
 
+def dedup_totals(refs: DataFrame) -> DataFrame:
+    """The figures of `dedup_stats` for each manifest_id of refs (manifest_id, sequence, hash, size), without marking references.
+
+    A hash is uploaded once, by its first place: so one aggregate by hash says what each manifest uploads, another by manifest what it has. No join on hashes, and
+    references that repeat a place count as duplicates."""
+    uploads = refs.groupBy("hash").agg(F.min(F.struct("manifest_id", "sequence", "size")).alias("first"))
+    uploads = uploads.groupBy(F.col("first.manifest_id").alias("manifest_id")).agg(F.count("*").alias("uploaded_chunks"), F.sum("first.size").alias("bytes_uploaded"))
+    out = refs.groupBy("manifest_id").agg(F.count("*").alias("chunks"), F.sum("size").alias("bytes_in")).join(uploads, "manifest_id", "left").fillna(0, ["uploaded_chunks", "bytes_uploaded"])
+    out = out.withColumn("deduped_chunks", F.col("chunks") - F.col("uploaded_chunks"))
+    return out.withColumn("dedup_ratio", F.coalesce(F.try_divide(F.col("deduped_chunks"), F.col("chunks")), F.lit(0.0)))
+
+
 def evidence(jobs: DataFrame) -> DataFrame:
     """Content-addressed evidence of finished restore jobs: payload, sha256 and id."""
     payload = F.to_json(F.struct(F.col("id").alias("job_id"), "status", "target_id", "storage_id"))

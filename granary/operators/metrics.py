@@ -36,8 +36,7 @@ def _by_sets(df: DataFrame, keys: list[str], aggregates: list, names: dict[str,
     out += [entry(everything, metric, F.lit(""), column) for column, metric in totals.items()]
     long = sets.select(F.explode(F.filter(F.array(*out), lambda x: x.isNotNull())).alias("x")).select("x.*").where("value is not null")
     zero = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(m) for m in totals.values()])).alias("metric"), F.lit("").alias("label"), F.lit(0).cast("long").alias("value"))
-    whole = long.where(F.col("metric").isin(*totals.values())).unionByName(zero).groupBy("metric", "label").agg(F.max("value").alias("value"))
-    return long.where(~F.col("metric").isin(*totals.values())).unionByName(whole)
+    return long.unionByName(zero).groupBy("metric", "label").agg(F.max("value").alias("value"))
 
 
 def backup_metrics(backups: DataFrame) -> DataFrame:

@@ -10,11 +10,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions import chunking, cron, durations, ed25519, statements
+from granary.functions import chunking, cron, durations, ed25519, positions, statements
 from granary.operators import admission, catalog, integrity, jobs, lineage, metrics, replay, retention, schedules
 from granary.plans import backup, restore
 from granary.plans.fixtures import NOW, RETENTION_NOW, load, with_tables
-from granary.session import shared_dir, table
+from granary.session import checkpoint, shared_dir, table
 from granary.sources import objects, stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -379,14 +379,7 @@ def a7_overview(spark, d):
     "chunk_refs",
 )
 def a9_a10_c5_dedup_stats(spark, d):
-    return integrity.dedup_stats(_flagged(spark, d), ["manifest_id"])
-
-
-def _flagged(spark, d):
-    """References with duplicates marked; (manifest, sequence) repeats in the test table, so of equal places one more is counted out by a number of its own."""
-    refs = load(spark, d, "chunk_refs").groupBy("manifest_id", "sequence", "hash", "size").agg(F.count("*").alias("times"))
-    flagged = integrity.dedup(refs.withColumn("sequence", F.struct("sequence", "size")))
-    return flagged.withColumn("sequence", F.col("sequence.sequence")).select("*", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("__time")).withColumn("duplicate", F.col("duplicate") | (F.col("__time") > 1)).drop("times", "__time")
+    return integrity.dedup_totals(load(spark, d, "chunk_refs"))
 
 
 @query(
@@ -729,6 +722,33 @@ def i1_tampered_chain(spark, d):
     return integrity.chain_violations(bad)
 
 
+SEGMENT = 500
+
+_SEGMENTS = f"""e as (select (seq - 1) // {SEGMENT} as segment, seq, concat_ws('|', cast(seq as varchar), id, actor_id, action, resource_type, resource_id, metadata_json, cast(epoch_us(occurred_at) as varchar)) as body from audit_events),
+            h as (select segment, min(seq) as first_seq, max(seq) as last_seq, list_reduce(list([body] order by seq), lambda a, x: list_append(a, sha256(x[1] || '|' || a[len(a)])), [sha256('segment|' || segment)]) as hashes from e group by segment),
+            k as (select list_reduce(list([segment || '|' || first_seq || '|' || last_seq || '|' || hashes[len(hashes)]] order by segment), lambda a, x: list_append(a, sha256(x[1] || '|' || a[len(a)])), ['']) as heads from h)"""
+
+
+@query(f"with {_SEGMENTS} select segment, first_seq, last_seq, hashes[len(hashes)] as digest, heads[segment + 1] as prev_head, heads[segment + 2] as head from h, k", "audit_events")
+def i1_segment_heads(spark, d):
+    return integrity.chained_segments(load(spark, d, "audit_events"), SEGMENT)[1]
+
+
+@query(
+    f"""select segment, seq, case when seq % 1000 = 500 then 'digest' else 'link' end as problem from (select (seq - 1) // {SEGMENT} as segment, seq from audit_events) e where seq % 1000 in (500, 901)
+        union all select segment, null, case when segment % 7 = 3 then 'end' else 'link' end from (select distinct (seq - 1) // {SEGMENT} as segment from audit_events) s where segment % 7 = 3 or segment % 7 = 5""",
+    "audit_events",
+)
+def i1_tampered_segments(spark, d):
+    """Some events are changed, of some heads the end or the link."""
+    events, heads = integrity.chained_segments(load(spark, d, "audit_events"), SEGMENT)
+    events, heads = checkpoint(events), checkpoint(heads)
+    bad = events.withColumn("action", F.when(F.col("seq") % 1000 == 500, "job.other").otherwise(F.col("action")))
+    bad = bad.withColumn("prev_hash", F.when(F.col("seq") % 1000 == 901, "0").otherwise(F.col("prev_hash")))
+    wrong = heads.withColumn("last_seq", F.col("last_seq") + F.when(F.col("segment") % 7 == 3, 1).otherwise(0)).withColumn("prev_head", F.when(F.col("segment") % 7 == 5, "0").otherwise(F.col("prev_head")))
+    return integrity.segment_violations(bad, wrong, SEGMENT)
+
+
 @query(
     """select job_id, 'restore-evidence-' || sha256(payload) as id from (select id as job_id, '{"job_id":"' || id || '","status":"' || status || '","target_id":"' || target_id || '","storage_id":"' || storage_id || '"}' as payload
        from jobs where operation = 'restore' and status in ('succeeded', 'failed')) x""",
@@ -772,15 +792,15 @@ def _seal():
 
 
 @query(
-    """with e as (select distinct hash from chunk_refs c join backups b on b.manifest_id = c.manifest_id where b.type = 'full' and b.protected), m as (select greatest(1, 10 * count(*)) as bits from e),
-            p as (select hash, bits, cast('0x' || substr(hash, 1, 15) as bigint) % bits as p, cast('0x' || substr(hash, 16, 15) as bigint) % bits as q from (select distinct hash from chunk_refs) x, m),
-            a as (select hash, (p + i * q) % bits as place from p, range(7) r(i)), f as (select distinct place from a where hash in (select hash from e))
+    """with e as (select distinct hash from chunk_refs c join backups b on b.manifest_id = c.manifest_id where b.type = 'full' and b.protected), m as (select greatest(1, (10 * count(*) + 511) // 512) as blocks from e),
+            p as (select hash, cast('0x' || substr(hash, 1, 15) as bigint) % blocks * 512 as base from (select distinct hash from chunk_refs) x, m),
+            a as (select hash, base + cast('0x' || substr(hash, cast(16 + 3 * i as bigint), 3) as bigint) % 512 as place from p, range(7) r(i)), f as (select distinct place from a where hash in (select hash from e))
        select hash, bool_and(f.place is not null) as maybe, hash in (select hash from e) as present from a left join f using (place) group by hash""",
     "chunk_refs backups",
 )
 def c6_membership(spark, d):
-    """Look-ups of all hashes in an index of those that protected full backups hold: a Bloom filter, then exactly."""
-    return integrity.membership(load(spark, d, "chunk_refs"), _held_refs(spark, d))
+    """Look-ups of all hashes in an index of those that protected full backups hold: a blocked Bloom filter, then exactly."""
+    return integrity.membership(load(spark, d, "chunk_refs").select("hash"), _held_refs(spark, d)).distinct()
 
 
 def _text_chunks(spark, d):
@@ -942,11 +962,17 @@ _CRONS = {
 }
 
 
-@query(" union all ".join(f"select '{e}' as expression, t as at from (select unnest(generate_series(timestamp '2024-01-01 00:00:00', timestamp '2024-01-31 23:59:00', interval 1 minute)) as t) g where {c}" for e, c in _CRONS.items()))
+_MINUTES = "select unnest(generate_series(timestamp '2024-01-05 00:00:00', timestamp '2024-01-05 23:59:00', interval 1 minute)) as t"
+
+
+@query(" union all ".join(f"select id, '{e}' as expression, t as due_at from schedules, ({_MINUTES}) g where not paused and cast(substr(id, 4) as bigint) % {len(_CRONS)} = {i} and {c}" for i, (e, c) in enumerate(_CRONS.items())), "schedules")
 def t1_cron_minutes(spark, d):
-    grid = spark.range(1).select(F.explode(F.expr("sequence(timestamp_ntz '2024-01-01 00:00:00', timestamp_ntz '2024-01-31 23:59:00', interval 1 minute)")).alias("at"))
-    fits = F.array_compact(F.array(*[F.when(cron.minute_fits(cron.parse(e), F.col("at")), F.lit(e)) for e in _CRONS]))
-    return grid.select(F.explode(fits).alias("expression"), "at")
+    """The runs on one day of all schedules, each under one of the expressions: runs are worked out for each expression, schedules are joined to theirs."""
+    grid = spark.range(1).select(F.explode(F.expr("sequence(timestamp_ntz '2024-01-05 00:00:00', timestamp_ntz '2024-01-05 23:59:00', interval 1 minute)")).alias("due_at"))
+    fits = F.array_compact(F.array(*[F.when(cron.minute_fits(cron.parse(e), F.col("due_at")), F.lit(e)) for e in _CRONS]))
+    runs = grid.select(F.explode(fits).alias("expression"), "due_at")
+    which = F.get(F.array(*map(F.lit, _CRONS)), (F.substring("id", 4, 99).cast("long") % len(_CRONS)).cast("int"))
+    return load(spark, d, "schedules").where("not paused").withColumn("expression", which).join(runs, "expression").select("id", "expression", "due_at")
 
 
 def _states(spark, d):
@@ -1099,6 +1125,44 @@ def w9_resume_points(spark, d):
     return replay.resumed(records, points, ["stream"], "id").select("id", "stream")
 
 
+_AFTER, _UPTO = 1500, 7000
+
+
+def _captured(spark, d, kind, written, after, upto):
+    """Records behind one position of a source up to another, as its text says them; those that are no positions are told apart."""
+    records = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 4).alias("stream"), F.when(F.col("event_id") % 97 == 0, "none").otherwise(written(F.col("event_id"))).alias("position"))
+    keyed, _ = positions.with_keys(records, kind)
+    key = lambda p: positions.position_key(kind, F.lit(p))
+    fresh = keyed.where(F.col("position_key") > key(after))
+    return replay.until(fresh, ["stream"], ["position_key"], F.col("position_key") >= key(upto)).select("id", "position")
+
+
+_CAPTURED = "select event_id as id, {} as position from events where event_id > 1500 and event_id < 7000 and event_id % 97 <> 0"
+
+
+@query(_CAPTURED.format("printf('%x/%X', event_id // 16, event_id % 16 * 268435456)"))
+def w5_lsn_changes(spark, d):
+    """High halves of one to three hex digits: as text they would be in another order."""
+    return _captured(spark, d, "lsn", lambda n: F.format_string("%x/%X", F.floor(n / 16), n % 16 * 268435456), f"{_AFTER // 16:x}/{_AFTER % 16 * 268435456:X}", f"{_UPTO // 16:x}/{_UPTO % 16 * 268435456:X}")
+
+
+@query(_CAPTURED.format("printf('bin.%03d:%d', event_id // 5, event_id % 5 * 777)"))
+def w6_binlog_changes(spark, d):
+    """Files of three and four digits."""
+    return _captured(spark, d, "binlog", lambda n: F.format_string("bin.%03d:%d", F.floor(n / 5), n % 5 * 777), f"bin.{_AFTER // 5:03d}:{_AFTER % 5 * 777}", f"bin.{_UPTO // 5:03d}:{_UPTO % 5 * 777}")
+
+
+@query(_CAPTURED.format("printf('Timestamp(%d, %d)', 1704067200 + event_id // 13, event_id % 13)"))
+def w7_oplog_changes(spark, d):
+    at = lambda n: f"Timestamp({1704067200 + n // 13}, {n % 13})"
+    return _captured(spark, d, "oplog", lambda n: F.format_string("Timestamp(%d, %d)", F.floor(n / 13) + 1704067200, n % 13), at(_AFTER), at(_UPTO))
+
+
+@query(_CAPTURED.format("'8371b4fb:' || event_id * 1024"))
+def w8_offset_changes(spark, d):
+    return _captured(spark, d, "offset", lambda n: F.concat(F.lit("8371b4fb:"), (n * 1024).cast("string")), f"8371b4fb:{_AFTER * 1024}", f"8371b4fb:{_UPTO * 1024}")
+
+
 @query("select user_id as \"key\", value from (select *, row_number() over (partition by user_id order by event_id desc) as n from events) x where n = 1 and event_type <> 'error'")
 def w11_apply_changes(spark, d):
     changes = table(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "insert").otherwise("update").alias("operation"), "value")
