@@ -1,7 +1,8 @@
 """Words and shingles of whole batches of texts, as arrays of 64-bit hashes.
 
 A batch is worked on as one byte array: a table maps each byte (lower case, separators to spaces), and a word's
-hash comes from differences of one running polynomial sum. Different words or shingles that share a hash are
+hash comes from differences of one running polynomial sum. Such sums, modulo a power of two, meet for long words of certain patterns
+(1,024 bytes and more), so words of more than LONG_WORD bytes are hashed by their bytes instead. Different words or shingles that share a hash are
 taken for equal; for n of them that has odds of about n * n / 2**65.
 """
 
@@ -13,10 +14,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Bytes of the longest word whose hash is a polynomial sum.
+LONG_WORD = 255
 #: Texts are worked on in runs of about so many bytes (a longer text is a run of its own).
 RUN = 1_000_000
 
@@ -90,6 +94,8 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACED) ->
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=total[1:])
     h = mix((total[ends] - total[starts]) * powers(INVERSE, n)[starts])
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        h[i] = xxhash.xxh3_64_intdigest(b[starts[i] : ends[i]], seed=LONG_WORD)
     return h, starts, ends, np.searchsorted(starts, offsets)
 
 
