@@ -6,11 +6,12 @@ a trie of three levels to the shared folder, cut by the first word into shards:
 - words: the sorted hashes of a shard's training words as one Elias-Fano sequence, with exact counts; a word's id is its shard and its place there;
 - pairs and triples: for each parent a monotone pointer (Elias-Fano) to its run of successors; successor ids are made
   monotone across runs by adding the last value of the run before, and stored as Elias-Fano; each n-gram has its
-  smoothed probability and each parent the weight of its lower order, both in steps of 1/STEPS of a log10 in one byte.
+  smoothed probability and each parent the weight of its lower order, both in steps of 1/STEPS of a log10 in one byte; what is below the last
+  step (8e-10) stands beside as a float, so no probability is raised to a floor.
 
 A word with more than HOT occurrences is split: its successors are dealt by a hash over as many further shards as it has multiples of HOT, where they have a
-parent of their own. Its pairs keep their share of the word's occurrences, and how many different successors it has in all shards is put together in one
-small table of such words. So no shard grows with one word's share of the corpus.
+parent of their own. Its pairs keep their share of the word's occurrences, and how many different successors it has in all shards is put together in a
+table of such words, in shards as well. So no shard grows with one word's share of the corpus.
 
 Smoothing is Witten-Bell: P(w | h) = (c(hw) + T(h) P(w | shorter h)) / (c(h) + T(h)), T(h) being the number of words seen after
 h. The lowest order is (c + 0.1) / (N + 0.1 (V + 1)). Nothing is pruned. A document is preceded by a mark that is only context
@@ -60,12 +61,32 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % FOLDS == 0
 
 
-def code(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-np.log10(p) * STEPS), 0, 255).astype(np.uint8)
+#: The code of a probability that is too small for a step: it stands in a list beside the codes.
+SMALL = 255
+#: Probability of each other code.
+DECODED = 10.0 ** (-np.arange(SMALL + 1) / STEPS)
 
 
-#: Probability of each code.
-DECODED = 10.0 ** (-np.arange(256) / STEPS)
+def coded(name: str, p: np.ndarray) -> dict[str, np.ndarray]:
+    """Probabilities in steps, in a byte each; those below the last step by their place, as floats."""
+    codes = np.minimum(np.rint(-np.log10(p) * STEPS), SMALL).astype(np.uint8)
+    small = np.flatnonzero(codes == SMALL)
+    return {name: codes, f"{name}_at": small, f"{name}_small": p[small].astype(np.float32)}
+
+
+class Codes:
+    """What `coded` has stored."""
+
+    def __init__(self, x: dict[str, np.ndarray], name: str):
+        self.codes, self.at, self.small = x[name], x[f"{name}_at"], x[f"{name}_small"]
+
+    def __getitem__(self, place: np.ndarray) -> np.ndarray:
+        codes = self.codes[place]
+        out = DECODED[codes]
+        some = np.flatnonzero(codes == SMALL)
+        if len(some):
+            out[some] = self.small[np.searchsorted(self.at, place[some])]
+        return out
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,22 +255,32 @@ class Level:
     """Successors of the parents 0 .. n-1 with their codes, and the weight codes of the parents."""
 
     def __init__(self, x: dict[str, np.ndarray], name: str):
+        self.names = x.get("names", np.zeros(0, np.int64))
         self.pointers, self.successors = EliasFano.of(x, f"{name}p"), EliasFano.of(x, f"{name}s")
-        self.codes, self.weights = x[f"{name}codes"], x[f"{name}weights"]
+        self.prob, self.weight = Codes(x, f"{name}codes"), Codes(x, f"{name}weights")
 
     @staticmethod
-    def arrays(name: str, parents: int, parent: np.ndarray, word: np.ndarray, codes: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
+    def arrays(name: str, parents: int, parent: np.ndarray, word: np.ndarray, prob: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         """parent and word rise together."""
         pointers = np.searchsorted(parent, np.arange(parents + 1))
         ends = pointers[1:][np.diff(pointers) > 0]
         # what each run adds: the last value of the run before, in monotone form
         base = np.concatenate([[0], np.cumsum(word[ends - 1] + 1)]) if len(ends) else np.zeros(1, np.int64)
         run = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends]))) if len(ends) else np.zeros(0, np.int64)
-        out = {f"{name}codes": codes, f"{name}weights": weights}
+        out = coded(f"{name}codes", prob) | coded(f"{name}weights", weight)
         return out | EliasFano.build(pointers).arrays(f"{name}p") | EliasFano.build(base[run] + word + 1).arrays(f"{name}s")
 
     def find(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Places of the words among their parents' successors, or -1: a search from what the run before ends with."""
+        if len(self.names):
+            at = np.minimum(np.searchsorted(self.names, word), len(self.names) - 1)
+            word, known = at, self.names[at] == word
+            parent, whole = parent[known], np.full(len(known), -1, np.int64)
+            whole[known] = self._find(parent, word[known])
+            return whole
+        return self._find(parent, word)
+
+    def _find(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
         begin, end = self.pointers.get(parent).astype(np.int64), self.pointers.get(parent + 1).astype(np.int64)
         out = np.full(len(parent), -1, np.int64)
         some = np.flatnonzero(begin < end)
@@ -265,10 +296,7 @@ class Trie:
     def __init__(self, base: str, totals: Totals):
         self.base, self.t, self.words = base, totals, Words(base, totals.shards, totals.bits)
         self.shards = Recent(self.load)
-        try:
-            self.hot = store.load(f"{base}/hot")
-        except FileNotFoundError:  # no word is split
-            self.hot = {"u": np.zeros(0, np.int64), "kinds": np.zeros(0, np.int64)}
+        self.hot = Recent(lambda s: opened(f"{base}/hot-{s}"))
 
     def load(self, s: int):
         x, size = opened(f"{self.base}/runs-{s}")
@@ -284,7 +312,11 @@ class Trie:
 
     def kinds(self, u: np.ndarray) -> np.ndarray:
         """Different successors of hot words."""
-        return self.hot["kinds"][np.searchsorted(self.hot["u"], u)]
+        out = np.zeros(len(u), np.int64)
+        for s, at in grouped(u >> self.t.bits):
+            hot = self.hot[s]
+            out[at] = hot["kinds"][np.searchsorted(hot["u"], u[at])]
+        return out
 
     def score(self, h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token: known, base and model log10 probability."""
@@ -313,10 +345,10 @@ class Trie:
             parent = self.parents(s, u[at])
             at, parent = at[parent >= 0], parent[parent >= 0]
             place = hit[at] = pairs.find(parent, v[at])
-            weight[at] = DECODED[pairs.weights[parent]]
+            weight[at] = pairs.weight[parent]
             known = place >= 0
-            prob[at[known]] = DECODED[pairs.codes[place[known]]]
-            onward[at[known]] = DECODED[triples.weights[place[known]]]
+            prob[at[known]] = pairs.prob[place[known]]
+            onward[at[known]] = triples.weight[place[known]]
         split = np.flatnonzero(t.parts(c) > 1)
         if len(split):  # shares of the occurrences, not yet of occurrences and kinds
             kinds = self.kinds(u[split])
@@ -347,7 +379,7 @@ class Trie:
                 triples = self.shards[s][3]
                 place = triples.find(hit[c[at]], third[at])
                 there = place >= 0
-                got[at[there]] = DECODED[triples.codes[place[there]]]
+                got[at[there]] = triples.prob[place[there]]
             extra[known] = got[back]
         p[cand] = lower + extra
         return seen, base, np.log10(p)
@@ -363,7 +395,7 @@ class Trie:
         single = np.flatnonzero(~split)
         for s, at in grouped(distinct[single] >> self.t.bits):
             if self.shards[s]:
-                out[single[at]] = DECODED[self.shards[s][2].weights[self.t.place(distinct[single[at]])]]
+                out[single[at]] = self.shards[s][2].weight[self.t.place(distinct[single[at]])]
         return out[back]
 
 
@@ -442,10 +474,15 @@ def count_runs(docs: DataFrame, base: str, t: Totals, parts: int = MAX_PARTS) ->
             foreign = np.unique(u[u >> t.bits != s])
             parent = np.where(u >> t.bits == s, t.place(u), own + np.searchsorted(foreign, u))
             del u
-            pair = parent << t.id_bits | np.concatenate([from_planes(r[1], t.width) for r in rows])
-            del parent
-            w = np.concatenate([from_planes(r[2], t.width) for r in rows])
+            second, w = (np.concatenate([from_planes(r[k], t.width) for r in rows]) for k in (1, 2))
             del rows
+            bits, none, names = t.id_bits, nothing, {}
+            if (len(n) + own + len(foreign)).bit_length() + bits > 63:  # sums of as many ids don't fit: words by their number in the shard
+                kept = np.unique(np.concatenate([second, w[w != nothing]]))
+                second, w = np.searchsorted(kept, second), np.where(w == nothing, len(kept), np.searchsorted(kept, w))
+                bits, none, names = len(kept).bit_length(), len(kept), {"names": kept}
+            pair = parent << bits | second
+            del parent, second
             order = np.lexsort((w, pair))
             pair, w, n = pair[order], w[order], n[order]
             del order
@@ -456,13 +493,13 @@ def count_runs(docs: DataFrame, base: str, t: Totals, parts: int = MAX_PARTS) ->
             pairs = pair[first_of]
             index = np.repeat(np.arange(len(pairs)), np.diff(np.concatenate([first_of, [len(pair)]])))
             # triples
-            real = w != nothing
+            real = w != none
             kinds = np.bincount(index[real], minlength=len(pairs))
             mass = total + kinds
-            triples = Level.arrays("triple", len(pairs), index[real], w[real], code(n[real] / mass[index[real]]), code(np.where(kinds > 0, kinds / mass, 1.0)))
+            triples = Level.arrays("triple", len(pairs), index[real], w[real], n[real] / mass[index[real]], np.where(kinds > 0, kinds / mass, 1.0))
             # pairs: of split parents as shares of all their occurrences
             parents = own + len(foreign)
-            parent = pairs >> t.id_bits
+            parent, seconds = pairs >> bits, pairs & ((1 << bits) - 1)
             occurs = np.zeros(parents, np.int64)
             if mine:
                 occurs[: own - 1] = mine[1]
@@ -475,21 +512,21 @@ def count_runs(docs: DataFrame, base: str, t: Totals, parts: int = MAX_PARTS) ->
             kinds = np.bincount(parent, minlength=parents)
             mass = np.where(split, occurs, np.bincount(parent, weights=total, minlength=parents) + kinds)
             share = np.divide(kinds, mass, out=np.ones(parents), where=(kinds > 0) & ~split)
-            level = Level.arrays("pair", parents, parent, pairs & ((1 << t.id_bits) - 1), code(total / mass[parent]), code(share))
-            store.save(f"{base}/runs-{s}", {"own": np.array([own]), "foreign": foreign} | level | triples)
+            level = Level.arrays("pair", parents, parent, seconds, total / mass[parent], share)
+            store.save(f"{base}/runs-{s}", {"own": np.array([own]), "foreign": foreign} | names | level | triples)
             hot = np.flatnonzero(split & (kinds > 0))
-            names = np.where(hot < own, s << t.bits | hot, foreign[np.maximum(hot - own, 0)] if len(foreign) else 0)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(kinds[hot], pa.int64())], names=["u", "kinds"])
+            ids = np.where(hot < own, s << t.bits | hot, foreign[np.maximum(hot - own, 0)] if len(foreign) else 0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds[hot], pa.int64())], names=["u", "kinds"])
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        u, kinds = (np.concatenate([np.zeros(0, np.int64), *[x[k] for x in got]]) for k in range(2))
-        order = np.argsort(u)
-        store.save(f"{base}/hot", {"u": u[order], "kinds": kinds[order]})
-        yield pa.RecordBatch.from_arrays([pa.array([len(u)])], names=["words"])
+        for s, rows in by_number(batches, t.shards > parts):
+            rows.sort()
+            store.save(f"{base}/hot-{s}", {"u": np.array([u for u, _ in rows], np.int64), "kinds": np.array([k for _, k in rows], np.int64)})
+            yield pa.RecordBatch.from_arrays([pa.array([len(rows)])], names=["words"])
 
     rows = dealt(docs.mapInArrow(gather, "shard int, u binary, v binary, w binary, n binary"), "shard", t.shards, parts).mapInArrow(reduce, "u long, kinds long")
-    rows.groupBy("u").agg(F.sum("kinds").alias("kinds")).coalesce(1).mapInArrow(table, "words long").collect()
+    hot = rows.groupBy("u").agg(F.sum("kinds").alias("kinds")).select(F.shiftright("u", t.bits).cast("int").alias("shard"), "u", "kinds")
+    dealt(hot, "shard", t.shards, parts).mapInArrow(table, "words long").agg(F.sum("words")).collect()
 
 
 def score(docs: DataFrame, hot: int = HOT, parts: int = MAX_PARTS) -> DataFrame:
