@@ -1,23 +1,22 @@
 """Line dedup by pairwise alignment.
 
-Lines are told by a hash of the line without outer white space. What two documents share is looked for in windows of one to BLOCK lines
-that follow each other (lines without text not counted). A window is evidence of an overlap if it is rare (at most RARE documents hold
-it), or has BLOCK lines, LONG words (or 16 * LONG bytes), or all the text of a document; then however many hold it. The first
+Lines are told by a hash of the line without outer white space. Overlapping documents are looked for by what they share and few lines are: windows of one to BLOCK
+lines that follow each other (lines without text not counted) and have BLOCK lines, or LONG words (or 16 * LONG bytes), or all the text of a document. Shorter
+windows, such as a single short line, are no overlap, however few or many documents hold them. The first
 document (least id) that holds a window is its anchor, and every other one that holds it is paired with the anchor: one pair for each window and
 document at most, never all pairs. So of two documents that share a block, the later one meets a document that holds each window of
 the block, be it the other or one before both.
 
 A pair is aligned with patience diff: lines that occur once in both documents and in the same order are
-fixed points, the stretches between them are aligned in turn, and equal lines next to fixed points join them. Runs of
-aligned lines are common blocks, and those that hold evidence are deleted from the later document. Where the anchor has a block in another order
-or at several places, alignment can leave it out; so windows of evidence that it left are then looked up in the anchor, and are deleted as well.
+fixed points, the stretches between them are aligned in turn, and equal lines next to fixed points join them; where that finds no common block any more, the first places of shared windows
+are the fixed points. Runs of aligned lines that are as long as a window must be are common blocks: these are deleted from the later document, and with them their windows wherever else
+it repeats them. What is left of it is aligned again until there is no common block, as blocks can come in another order than in the anchor.
 
-All told, a line with text is deleted exactly if it lies in a window of evidence that a document with a lesser id holds too. What stays is a
-block of fewer than BLOCK lines and LONG words that more than RARE documents hold: such are short phrases that everyone uses, and the method looks for
-shared lines that are rare. Lines of white space alone fall between two lines of one deleted window, and with a copy of the whole text.
+The alignment of a document with its anchors deletes what the alignment with all earlier documents would (tested): lines are deleted exactly if they
+lie in a window that a document with a lesser id holds too. Lines of white space alone go between two lines of one common block, and with a copy of the whole text.
 
-Only hashes of lines are shuffled for the search; texts move once, to meet the lists of deleted lines. The lines of an anchor
-go once to each group of SPLIT pairs, not to each pair.
+Only hashes of lines are shuffled for the search; texts move once, to meet the lists of deleted lines. A window that many hold meets its anchor by broadcast (`lookup`), so its holders
+stay where they are. The lines of an anchor go once to each group of SPLIT pairs, not to each pair.
 
 Defined results: null and empty texts have no line and stay as they are; lines of white space alone are no
 evidence; of rows that repeat an id the one with the least list of line hashes is
@@ -38,10 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import checkpoint, importable
+from granary.llm.common import checkpoint, importable, lookup
 from granary.llm.text import mix
 
-RARE, BLOCK = 100, 3
+#: Lines of a window at most, and of a block that needs no words to be one.
+BLOCK = 3
 #: Words of a long window; scripts without spaces count by bytes. At most 15.
 LONG = 10
 #: Pairs of one anchor that are aligned together.
@@ -72,99 +72,125 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").mapInArrow(work, "doc_id long, lines array<long>")
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned places (i, j), rising in both."""
-    found: list[tuple[int, int]] = []
-    todo = [(0, len(a), 0, len(b))]
-    while todo:
-        i0, i1, j0, j1 = todo.pop()
-        while i0 < i1 and j0 < j1 and a[i0] == b[j0]:
-            found.append((i0, j0))
-            i0, j0 = i0 + 1, j0 + 1
-        while i0 < i1 and j0 < j1 and a[i1 - 1] == b[j1 - 1]:
-            i1, j1 = i1 - 1, j1 - 1
-            found.append((i1, j1))
-        if i0 == i1 or j0 == j1:
-            continue
-        in_a, in_b = Counter(a[i0:i1]), Counter(b[j0:j1])
-        at = {x: i for i, x in enumerate(a[i0:i1], i0) if in_a[x] == 1 and x}
-        # longest rising run of the places in a, in the order of b
-        tops: list[int] = []
-        ends: list[tuple[int, int, int]] = []  # (i, j, entry before)
-        last: list[int] = []
-        for j in range(j0, j1):
-            x = b[j]
-            if in_b[x] == 1 and x in at:
-                i = at[x]
-                k = bisect_left(tops, i)
-                ends.append((i, j, last[k - 1] if k else -1))
-                if k == len(tops):
-                    tops.append(i)
-                    last.append(len(ends) - 1)
-                else:
-                    tops[k], last[k] = i, len(ends) - 1
-        if not tops:
-            continue
-        chain, e = [], last[-1]
-        while e >= 0:
-            chain.append(ends[e][:2])
-            e = ends[e][2]
-        chain.reverse()
-        found += chain
-        for (i, j), (k, m) in zip([(i0 - 1, j0 - 1), *chain], [*chain, (i1, j1)], strict=True):
-            todo.append((i + 1, k, j + 1, m))
-    return sorted(found)
+Window = tuple[int, ...]
 
 
-def is_strong(window: tuple[int, ...], block: int = BLOCK) -> bool:
-    """Evidence however many documents hold it."""
-    return len(window) >= block or sum(x & 15 for x in window) >= LONG
+def is_strong(run: list[int] | Window, block: int = BLOCK) -> bool:
+    """Whether lines that follow each other are enough for a common block."""
+    return len(run) >= block or sum(x & 15 for x in run) >= LONG
 
 
-def windows(lines: list[int], block: int = BLOCK) -> Iterator[tuple[int, tuple[int, ...]]]:
-    """(place among the lines with text, window) of all windows of up to `block` lines."""
-    text = [x for x in lines if x]
+def strong_windows(text: list[int], block: int = BLOCK) -> Iterator[tuple[int, Window]]:
+    """(place, window) of windows of up to `block` lines that are enough; negative numbers stand for lines out of question."""
     for i in range(len(text)):
         for size in range(1, min(block, len(text) - i) + 1):
-            yield i, tuple(text[i : i + size])
-
-
-def evidence(a: list[int], b: list[int], rare: set[tuple[int, ...]], block: int, held: set[tuple[int, ...]]) -> list[tuple[int, int]]:
-    """Windows of b that are evidence and that a, whose windows are `held`, has too: (first, last) places of their lines."""
-    place = [j for j, x in enumerate(b) if x]
-    whole = [b[j] for j in place]
-    if whole == [x for x in a if x] and len(whole) < block:
-        return [(place[0], place[-1])] if whole else []
-    return [(place[i], place[i + len(w) - 1]) for i, w in windows(b, block) if (w in rare or is_strong(w, block)) and w in held]
+            w = tuple(text[i : i + size])
+            if w[-1] < 0:
+                break
+            if is_strong(w, block):
+                yield i, w
+
+
+class Anchor:
+    """A document that others are aligned with: its lines, those with text, and the first places of its windows among these."""
+
+    def __init__(self, lines: list[int], block: int = BLOCK):
+        self.lines, self.block, self.text = lines, block, [x for x in lines if x]
+        self.held: dict[Window, int] = {}
+        for i, w in strong_windows(self.text, block):
+            self.held.setdefault(w, i)
+
+
+def rising(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest chain of points that rises in both; the points come in order of j."""
+    tops: list[int] = []
+    ends: list[int] = []
+    before: list[int] = []
+    for e, (i, _) in enumerate(points):
+        k = bisect_left(tops, i)
+        before.append(ends[k - 1] if k else -1)
+        if k == len(tops):
+            tops.append(i)
+            ends.append(e)
+        else:
+            tops[k], ends[k] = i, e
+    chain, e = [], ends[-1] if ends else -1
+    while e >= 0:
+        chain.append(points[e])
+        e = before[e]
+    return chain[::-1]
+
+
+def patience(a: list[int], b: list[int], wanted: set[Window] | None = None) -> list[tuple[int, int]]:
+    """Aligned places (i, j), rising in both. With `wanted` the fixed points between all of a and b are first places of these windows, else lines that occur once in both."""
+    found: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i0, i1, j0, j1 = todo.pop()
+        if wanted:
+            sizes = range(max(map(len, wanted)), 0, -1)
+            first = {tuple(a[i : i + n]): i for n in sizes for i in range(len(a) - n, -1, -1)}
+            meets = [(j, next((first[w] for n in sizes if (w := tuple(b[j : j + n])) in wanted and w in first), -1)) for j in range(len(b))]
+            points, wanted = [(i, j) for j, i in meets if i >= 0], None
+        else:
+            while i0 < i1 and j0 < j1 and a[i0] == b[j0]:
+                found.append((i0, j0))
+                i0, j0 = i0 + 1, j0 + 1
+            while i0 < i1 and j0 < j1 and a[i1 - 1] == b[j1 - 1]:
+                i1, j1 = i1 - 1, j1 - 1
+                found.append((i1, j1))
+            if i0 == i1 or j0 == j1:
+                continue
+            in_a, in_b = Counter(a[i0:i1]), Counter(b[j0:j1])
+            at = {x: i for i, x in enumerate(a[i0:i1], i0) if in_a[x] == 1 and in_b[x] == 1}
+            points = [(at[x], j) for j, x in enumerate(b[j0:j1], j0) if x in at]
+        if chain := rising(points):
+            found += chain
+            for (i, j), (k, m) in zip([(i0 - 1, j0 - 1), *chain], [*chain, (i1, j1)], strict=True):
+                todo.append((i + 1, k, j + 1, m))
+    return sorted(found)
 
 
-def blocks(a: list[int], b: list[int], rare: set[tuple[int, ...]], block: int, held: set[tuple[int, ...]]) -> list[int]:
-    """Places in b of the common blocks to delete."""
-    if a == b and a:
-        return list(range(len(b)))
-    marks = evidence(a, b, rare, block, held)
-    left = set(marks)
-    out: set[int] = set()
-    aligned = patience(a, b)
+def runs_of(aligned: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """[from, to) in b of the runs of aligned lines."""
     at = 0
-    while at < len(aligned):  # runs of aligned lines
+    while at < len(aligned):
         to = at + 1
         while to < len(aligned) and aligned[to] == (aligned[to - 1][0] + 1, aligned[to - 1][1] + 1):
             to += 1
-        lo, hi = aligned[at][1], aligned[to - 1][1]
-        inside = marks[bisect_left(marks, (lo, -1)) : bisect_left(marks, (hi + 1, -1))]
-        for window in inside:
-            if window[1] <= hi:
-                out.update(range(window[0], window[1] + 1))
-                left.discard(window)
+        yield aligned[at][1], aligned[to - 1][1] + 1
         at = to
-    for lo, hi in left:  # in another order in a, or at several places
-        out.update(range(lo, hi + 1))
+
+
+def blocks(a: Anchor, b: list[int]) -> list[int]:
+    """Places in the lines b of the common blocks to delete."""
+    place = [k for k, x in enumerate(b) if x]
+    rest = [b[k] for k in place]
+    if rest and rest == a.text:
+        return list(range(len(b))) if a.lines == b else list(range(place[0], place[-1] + 1))
+    out: set[int] = set()
+    shared = [(i, w) for i, w in strong_windows(rest, a.block) if w in a.held]
+    by_windows = False
+    while shared:
+        # what is in no shared window that is left can't be in another common block; each such line gets a number of its own
+        inside = {k for i, w in shared for k in range(i, i + len(w))}
+        open_ = [x if k in inside else ~k for k, x in enumerate(rest)]
+        aligned = patience(a.text, open_, {w for _, w in shared} if by_windows else None)
+        common = [(lo, hi) for lo, hi in runs_of(aligned) if is_strong(rest[lo:hi], a.block)]
+        taken = {w for lo, hi in common for _, w in strong_windows(rest[lo:hi], a.block)}
+        common += [(i, i + len(w)) for i, w in shared if w in taken]
+        for lo, hi in common:
+            out.update(range(place[lo], place[hi - 1] + 1))
+        left = [(i, w) for i, w in shared if w not in taken]
+        if len(left) == len(shared) and by_windows:
+            break
+        by_windows = len(left) == len(shared)
+        shared = left
     return sorted(out)
 
 
 def held_windows(seen: DataFrame, block: int) -> DataFrame:
-    """doc_id, window (hash), at (its first place in the document * 16 + its size), strong: each window of a document once."""
+    """doc_id, window (hash): each window of a document that is enough for an overlap, once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +204,7 @@ def held_windows(seen: DataFrame, block: int) -> DataFrame:
                 n = len(lines)
                 first = np.searchsorted(row, np.arange(len(part)))
                 place = np.arange(n) - first[row]
-                found: list[list[np.ndarray]] = [[], [], [], []]
+                found: list[list[np.ndarray]] = [[], []]
                 key = np.zeros(n, np.uint64)
                 weight = np.zeros(n, np.int64)
                 size_of = np.bincount(row, minlength=len(part))
@@ -187,52 +213,46 @@ def held_windows(seen: DataFrame, block: int) -> DataFrame:
                     key[k] = mix(key[k] * np.uint64(0xD6E8FEB86659FD93) + lines[k + size - 1])
                     weight[k] += (lines[k + size - 1] & np.uint64(15)).astype(np.int64)
                     whole = (size < block) & (place[k] == 0) & (size_of[row[k]] == size)
-                    for column, x in zip(found, (row[k], key[k], place[k] * 16 + size, (weight[k] >= LONG) | (size == block)), strict=True):
-                        column.append(x)
-                    # all the text of a document is evidence against an equal one only
+                    enough = k[(weight[k] >= LONG) | (size == block)]
+                    # all the text of a document is an overlap with an equal one only
                     w = k[whole]
-                    for column, x in zip(found, (row[w], mix(key[w] + np.uint64(size)), place[w] * 16 + size, np.ones(len(w), bool)), strict=True):
-                        column.append(x)
-                rows, keys, places, strong = (np.concatenate(x) for x in found)
-                order = np.lexsort((places, keys, rows))
-                rows, keys, places, strong = rows[order], keys[order], places[order], strong[order]
+                    for column, x in zip(found, ([row[enough], row[w]], [key[enough], mix(key[w] + np.uint64(size))]), strict=True):
+                        column += x
+                rows, keys = (np.concatenate(x) for x in found)
+                order = np.lexsort((keys, rows))
+                rows, keys = rows[order], keys[order]
                 new = np.concatenate([[True], (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])]) if len(rows) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + rows[new]]), pa.array(keys[new].view(np.int64)), pa.array(places[new]), pa.array(strong[new])], names=["doc_id", "window", "at", "strong"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + rows[new]]), pa.array(keys[new].view(np.int64))], names=["doc_id", "window"])
 
-    return seen.mapInArrow(work, "doc_id long, window long, at long, strong boolean")
+    return seen.mapInArrow(work, "doc_id long, window long")
 
 
-def repeated_lines(docs: DataFrame, rare: int = RARE, block: int = BLOCK) -> DataFrame:
+def repeated_lines(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """later, gone: the (place, line hash) of lines to delete from document `later`."""
     seen = checkpoint(line_hashes(docs).groupBy("doc_id").agg(F.min("lines").alias("lines")))
     held = held_windows(seen, block)
-    firsts = held.groupBy("window").agg(F.min("doc_id").alias("anchor"), F.count("*").alias("n"), F.max("strong").alias("strong")).where("n > 1")
-    firsts = checkpoint(firsts.where(F.col("strong") | (F.col("n") <= rare)).select("window", "anchor"))
-    pairs = held.join(firsts, "window").where("doc_id <> anchor")
-    # Strong windows are told from the lines themselves.
-    pairs = checkpoint(pairs.groupBy("anchor", F.col("doc_id").alias("later")).agg(F.collect_list(F.when(~F.col("strong"), F.col("at"))).alias("rare")))
+    firsts = checkpoint(held.groupBy("window").agg(F.min("doc_id").alias("anchor"), F.count("*").alias("n")).where("n > 1"))
+    met = lookup(held, firsts.select("window", "anchor"), ["window"], firsts.select("window", "n")).where("doc_id <> anchor")
+    pairs = checkpoint(met.select("anchor", F.col("doc_id").alias("later")).distinct())
     parts = F.ceil(F.col("n") / SPLIT).cast("int")
     groups = pairs.groupBy("anchor").agg(F.count("*").alias("n")).select("anchor", parts.alias("parts"))
     groups = checkpoint(groups)
     at = F.struct("anchor", F.pmod(F.xxhash64("later"), F.col("parts")).cast("int").alias("part"))
     # The lines of both sides, the anchor's once for each of its parts; a part is worked on from its anchor's row on.
-    later = pairs.join(groups, "anchor").select(at.alias("at"), "later", "rare").join(seen.toDF("later", "lines"), "later").select("at", "later", "rare", "lines")
+    later = pairs.join(groups, "anchor").select(at.alias("at"), "later").join(seen.toDF("later", "lines"), "later").select("at", "later", "lines")
     firsts = seen.toDF("anchor", "lines").join(groups, "anchor").select("anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "lines")
-    firsts = firsts.select(F.struct("anchor", "part").alias("at"), F.lit(None).cast("long").alias("later"), F.lit(None).cast("array<long>").alias("rare"), "lines")
-    both = firsts.union(later).repartition("at").sortWithinPartitions("at", F.col("later").asc_nulls_first()).select("later", "rare", "lines")
+    firsts = firsts.select(F.struct("anchor", "part").alias("at"), F.lit(None).cast("long").alias("later"), "lines")
+    both = firsts.union(later).repartition("at").sortWithinPartitions("at", F.col("later").asc_nulls_first()).select("later", "lines")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: list[int] = []
-        held: set[tuple[int, ...]] = set()
+        a = Anchor([], block)
         for batch in batches:
             later, found = [], []
             for row in range(batch.num_rows):
-                d, r, b = (c[row].as_py() for c in batch.columns)
+                d, b = (c[row].as_py() for c in batch.columns)
                 if d is None:
-                    a, held = b, {w for _, w in windows(b, block)}
-                    continue
-                text = [x for x in b if x] if r else []
-                if gone := blocks(a, b, {tuple(text[x >> 4 : (x >> 4) + (x & 15)]) for x in r}, block, held):
+                    a = Anchor(b, block)
+                elif gone := blocks(a, b):
                     later.append(d)
                     found.append([{"place": k, "line": b[k]} for k in gone])
             yield pa.RecordBatch.from_arrays([pa.array(later, pa.int64()), pa.array(found, pa.list_(pa.struct([("place", pa.int32()), ("line", pa.int64())])))], names=["later", "gone"])
@@ -241,11 +261,11 @@ def repeated_lines(docs: DataFrame, rare: int = RARE, block: int = BLOCK) -> Dat
     return gone.groupBy("later").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
-def dedup(docs: DataFrame, rare: int = RARE, block: int = BLOCK) -> DataFrame:
+def dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """docs with the text that is left, and `deleted_lines`: places (from 0) of the deleted lines, null for none."""
     importable(docs.sparkSession)
     docs = docs.drop("deleted_lines")
-    gone = checkpoint(repeated_lines(docs.select("doc_id", "text"), rare, block).toDF("__later", "deleted_lines"))
+    gone = checkpoint(repeated_lines(docs.select("doc_id", "text"), block).toDF("__later", "deleted_lines"))
     joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("__later"), "left").drop("__later")
     place, at = joined.columns.index("text"), joined.columns.index("deleted_lines")
     schema = T.StructType([*docs.schema.fields, T.StructField("deleted_lines", T.ArrayType(T.IntegerType()))])

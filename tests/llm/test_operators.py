@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm import chat_format, common, decontaminate, html_extract, line_dedup, lm_score, near_dup, packing, quality_rules, substring_dedup, url_filter
+from granary.llm import chat_format, common, decontaminate, html_extract, line_dedup, lm_score, near_dup, packing, quality_rules, substring_dedup, text, url_filter
 from granary.llm.elias_fano import EliasFano
 from granary.llm.queries import QUERIES, tokenizer_path
 from tests.llm import plain
@@ -455,7 +455,7 @@ def test_main_text_of_deep_and_long_pages():
 # 7
 
 
-def line_plain(rows, rare=100, block=3, long=10):
+def line_plain(rows, block=3, long=10):
     """By all windows of all documents, without pairs or alignment: {doc_id: places of the deleted lines}."""
     strip = lambda x: x.strip(" \t\n\x0b\x0c\r")
     lines = {d: [strip(x) for x in t.split("\n")] for d, t in rows if d is not None and t is not None}
@@ -477,7 +477,7 @@ def line_plain(rows, rare=100, block=3, long=10):
     for d, ws in of.items():
         for first, last, w in ws:
             strong = w[0] == "all" or len(w) == block or sum(map(size, w)) >= long
-            if min(holders[w]) < d and (strong or len(holders[w]) <= rare):
+            if min(holders[w]) < d and strong:
                 gone[d].update(range(first, last + 1))
     copies = {}
     for d, ls in sorted(lines.items()):
@@ -495,21 +495,52 @@ def test_line_dedup(spark, docs, rows):
         assert got[d].text == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d])
 
 
+def line_pairs(rows):
+    """Every document aligned with every earlier one: {doc_id: places of the deleted lines}."""
+    lines = {d: [line_dedup.digest(x.encode()) for x in t.split("\n")] for d, t in rows}
+    anchors = {d: line_dedup.Anchor(x) for d, x in lines.items()}
+    return {d: set().union(*[line_dedup.blocks(anchors[e], x) for e in lines if e < d]) for d, x in lines.items()}
+
+
+def few_lines(seed, n, most=12):
+    r = random.Random(seed)
+    kinds = [*"abcdefgh", "", " ", "three words here", "nine words in a line of text that is", "this line of text has ten words or even more of them"]
+    rows = [(d, "\n".join(r.choice(kinds) for _ in range(r.randrange(1, most)))) for d in range(n)]
+    return rows + [(n + d, "\n".join([*t.split("\n")[len(t) % 3 :], "tail", *t.split("\n")[:5]])) for d, t in rows[:20]]
+
+
 def test_line_dedup_loses_no_link(spark):
-    """A block that many hold, each of its lines also alone in an earlier document; random documents of few lines against all windows."""
-    five = [f"line {x} of the block" for x in "abcde"]
-    for copies in (90, 102, 300):
-        data = [(k, f"before {k}\n{x}\nafter {k}") for k, x in enumerate(five)] + [(100 + i, "\n".join([f"top {i}", *five, f"end {i}"])) for i in range(copies)]
+    """A block that many hold, each of its lines also alone in an earlier document: the number of holders changes nothing."""
+    five, short = [f"line {x} of the block" for x in "abcde"], "no overlap alone"
+    for copies in (2, 99, 100, 101, 3000):
+        data = [(k, f"before {k}\n{x}\nafter {k}") for k, x in enumerate(five)] + [(100 + i, "\n".join([f"top {i}", *five, f"end {i}", short, f"foot {i}"])) for i in range(copies)]
         got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(data, DOC)).collect()}
-        assert all(got[100 + i] == f"top {i}\nend {i}" for i in range(1, copies)) and got[100] == (data[5][1] if copies > 100 else "top 0\nend 0")
-    r = random.Random(12)
-    kinds = [*"abcdefgh", "", " ", "nine words in a line of text that is", "this line of text has ten words or even more of them"]
-    data = [(d, "\n".join(r.choice(kinds) for _ in range(r.randrange(1, 9)))) for d in range(250)]
-    want = line_plain(data, rare=20)
-    for x in line_dedup.dedup(spark.createDataFrame(data, DOC), rare=20).collect():
-        lines = dict(data)[x.doc_id].split("\n")
-        assert {k for k in x.deleted_lines or [] if lines[k].strip()} == {k for k in want[x.doc_id] if lines[k].strip()}, x.doc_id
-    assert any(want.values())
+        assert all(got[100 + i] == f"top {i}\nend {i}\n{short}\nfoot {i}" for i in range(1, copies)) and all(got[d] == t for d, t in data[:6])
+
+
+def test_line_dedup_is_the_alignment_of_all_pairs(spark):
+    data = few_lines(12, 230)
+    got = {r.doc_id: set(r.deleted_lines or []) for r in line_dedup.dedup(spark.createDataFrame(data, DOC)).collect()}
+    want, windows = line_pairs(data), line_plain(data)
+    text = lambda d, places: {k for k in places if dict(data)[d].split("\n")[k].strip()}
+    assert all(text(d, got[d]) == text(d, want[d]) == text(d, windows[d]) for d, _ in data) and sum(map(bool, want.values())) > 100
+
+
+def test_line_dedup_deletes_what_is_aligned(monkeypatch):
+    data = few_lines(7, 60)
+    full = line_pairs(data)
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b, wanted=None: [])
+    words_of = {d: t.split("\n") for d, t in data}
+    bare = {d: [x for x in ls if x.strip()] for d, ls in words_of.items()}
+    left = {d for d, x in line_pairs(data).items() if x}
+    assert sum(map(bool, full.values())) > len(left) and all(any(bare[e] == bare[d] for e in bare if e < d) for d in left)  # copies need no alignment
+    lines = lambda t: [line_dedup.digest(x.encode()) for x in t.split("\n")]
+    a, b = line_dedup.Anchor(lines("one\ntwo\nthree\nfour")), lines("x\none\ntwo\nthree\nfour\ny")
+    assert line_dedup.blocks(a, b) == []
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b, wanted=None: [(0, 1), (1, 2), (3, 4)])  # three without its line
+    assert line_dedup.blocks(a, b) == []
+    monkeypatch.undo()
+    assert line_dedup.blocks(a, b) == [1, 2, 3, 4]
 
 
 def test_patience():
@@ -524,7 +555,7 @@ def test_patience():
 
 
 def test_line_dedup_odd(spark, odd, empty):
-    data = [(1, "head\nalpha beta\ngamma\nfoot"), (2, "own\nalpha beta\ngamma\n\nend"), (2, "own\nalpha beta\ngamma\n\nend"), (5, "other"), (5, "none"), (3, None), (4, ""), (None, "alpha beta\ngamma"), *[(10 + i, f"menu\nstory {i}") for i in range(150)]]
+    data = [(1, "head\nalpha beta\ngamma\ndelta\nfoot"), (2, "own\nalpha beta\ngamma\ndelta\n\nend"), (2, "own\nalpha beta\ngamma\ndelta\n\nend"), (5, "other"), (5, "none"), (3, None), (4, ""), (None, "alpha beta\ngamma"), *[(10 + i, f"menu\nstory {i}") for i in range(150)]]
     df = spark.createDataFrame(data, DOC).withColumn("deleted_lines", F.lit("clash")).withColumn("later", F.lit(1))
     got = sorted(((r.doc_id, r.text) for r in line_dedup.dedup(df).collect()), key=str)
     assert len(got) == len(data) and got.count((2, "own\n\nend")) == 2 and (5, "other") in got and (5, "none") in got and (1, data[0][1]) in got and (None, "alpha beta\ngamma") in got
@@ -545,8 +576,9 @@ def test_line_dedup_of_frequent_lines(spark):
 
 
 def test_line_dedup_of_moved_and_repeated_lines(spark):
-    data = [(1, "a1\nY line\nX line\nb1"), *[(i, f"a{i}\nX line\nY line\nb{i}") for i in range(2, 91)]]
-    data += [(101, "c101\ntwice\nd101\ntwice\ne101"), *[(i, f"c{i}\ntwice\nd{i}") for i in range(102, 191)]]
+    x, y, twice = (f"{name} line " + " ".join(words(9, k)) for k, name in enumerate(("X", "Y", "a")))
+    data = [(1, f"a1\n{y}\n{x}\nb1"), *[(i, f"a{i}\n{x}\n{y}\nb{i}") for i in range(2, 91)]]
+    data += [(101, f"c101\n{twice}\nd101\n{twice}\ne101"), *[(i, f"c{i}\n{twice}\nd{i}") for i in range(102, 191)]]
     # a run of frequent lines behind the one that aligns
     run, head = "p\nq\n\nr", "\n".join(f"h{i}" for i in range(9))
     data += [(1000, f"f1000\n{run}\ng1000\n{head}\nend"), *[(i, f"f{i}\n{head}\ng{i}\n{run}\nk{i}") for i in range(1001, 1150)]]
@@ -748,6 +780,44 @@ def test_lm_scores(spark, docs, rows):
     assert held[2] > held[1]
 
 
+def test_lm_of_tiny_probabilities():
+    """No floor: what is stored comes back within a step, and over the successors of a word with 1e10 occurrences the probabilities sum to one."""
+    n = np.concatenate([[4 * 10**9, 5 * 10**9, 10**9 - 5000], np.ones(5000, np.int64)])
+    kinds, total = len(n), n.sum()
+    level = lm_score.Level(lm_score.Level.arrays("pair", 2, np.zeros(kinds, np.int64), np.arange(kinds), n / (total + kinds), np.array([kinds / (total + kinds), 1e-12])), "pair")
+    place = level.find(np.zeros(kinds, np.int64), np.arange(kinds))
+    p, weight = level.prob[place], level.weight[np.array([0, 1])]
+    step = 10 ** (0.5 / lm_score.STEPS)
+    assert (p < 1.0000001 * step * n / (total + kinds)).all() and (p > n / (total + kinds) / step / 1.0000001).all() and 1 / step < p.sum() + weight[0] < step
+    assert p[4] == pytest.approx(1e-10, rel=1e-3) and weight[1] == pytest.approx(1e-12, rel=1e-6)
+
+
+def test_lm_of_wide_ids(spark, docs, monkeypatch):
+    """Ids that don't fit beside their parents in 63 bits give the same scores."""
+    import dataclasses
+
+    want = {r.doc_id: r.score for r in lm_score.score(docs).collect()}
+    count = lm_score.count_words
+    monkeypatch.setattr(lm_score, "count_words", lambda *a: dataclasses.replace(count(*a), bits=54))
+    got = {r.doc_id: r.score for r in lm_score.score(docs).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_words_of_patterns_have_hashes_of_their_own(spark):
+    """Thue-Morse words and their complements meet under polynomials modulo a power of two."""
+    w = "a"
+    while len(w) < 4096:
+        w += w.translate({97: 98, 98: 97})
+        if len(w) >= 256:
+            data = np.frombuffer(f"{w} {w.translate({97: 98, 98: 97})} {w.upper()}".encode(), np.uint8)
+            h, _, _, _ = text.words(data, np.array([0, len(data)]))
+            assert h[0] != h[1] and h[0] == h[2]
+    other = w.translate({97: 98, 98: 97})
+    rows = [(1, f"one two three four {w}"), (2, f"one two three four {other}"), (3, f"one two three four {w.upper()}")]
+    got = {r.doc_id: r.component_id for r in near_dup.classes(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_lm_keeps_few_shards_open(monkeypatch):
     monkeypatch.setattr(lm_score, "OPEN", 3)
     loads = []
