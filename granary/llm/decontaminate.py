@@ -1,9 +1,10 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-The automaton is built on the driver over the normalised words of test items and accepts every run of words of any item. A benchmark of more than
-PART_CHARS characters is dealt to several automata (items longer than that in pieces that overlap by a window less a word), which are broadcast and
-streamed one after the other; what they find is joined for each document, so memory does not grow with the benchmark and the result does not depend
-on the parts. Training words are streamed through it; it tracks the length of
+The automaton is built on the driver over the normalised words of test items and accepts every run of words of any item; it is broadcast. A benchmark of more than
+PART_CHARS characters is dealt to several automata (items longer than that in pieces that overlap by a window less a word), which are written to the shared folder.
+A task then reads some texts (GROUP bytes), hashes their words once, and takes them through one automaton after the other, holding one at a
+time. So the texts are read once and never rewritten, memory does not grow with the benchmark, and the result does not depend on the parts; an automaton is loaded
+once for GROUP bytes of text. Training words are streamed through it; it tracks the length of
 the longest run of item words that ends at each word. A window is `window` consecutive words of an item, or a
 shorter item as a whole; every word inside an occurrence of a window is hit.
 
@@ -13,12 +14,15 @@ Words: A to Z in lower case, then runs of 0-9, a-z and characters beyond ASCII.
 
 Defined results: null and empty texts have no words and no hits; an item without words has no window; repeated
 items each count by their item_id (repeated ids count once); an empty benchmark hits nothing; an empty table
-gives an empty one; further columns stay (`clean`) or are left out (`find`); a null item_id counts as "null".
+gives an empty one; further columns stay (`clean`) or are left out (`find`); a null item_id counts as "null". The files of several automata stay in the shared
+folder, as results are lazy.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,14 +30,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from granary.llm.common import checkpoint, importable
+from granary.llm import store
+from granary.llm.common import checkpoint, importable, shared_dir
 from granary.llm.text import ALNUM, runs, words
 
 WINDOW = 10
 #: Characters of the items of one automaton; it takes about 170 bytes for each on the driver while it is built.
 PART_CHARS = 1_000_000
+#: Bytes of the texts that go through several automata together.
+GROUP = 32_000_000
 FOUND = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_from array<int>, hit_to array<int>"
 
 
@@ -183,8 +189,8 @@ def pieces(benchmark: DataFrame, window: int, part_chars: int) -> DataFrame:
     return rows.mapInArrow(work, "item_id string, text string, n long")
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, part_chars: int = PART_CHARS) -> Iterator[tuple[Automaton, bool]]:
-    """(automaton, whether it is the last) of each part of the benchmark."""
+def automata(benchmark: DataFrame, window: int = WINDOW, part_chars: int = PART_CHARS) -> Iterator[tuple[Automaton, int]]:
+    """(automaton, number of parts) of each part of the benchmark."""
     importable(benchmark.sparkSession)
     rows = pieces(benchmark, window, part_chars)
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
@@ -193,52 +199,46 @@ def automata(benchmark: DataFrame, window: int = WINDOW, part_chars: int = PART_
         rows = checkpoint(rows.withColumn("part", F.pmod(F.xxhash64("item_id", "n"), F.lit(parts))))
     for k in range(parts):
         mine = rows.where(F.col("part") == k) if parts > 1 else rows
-        yield build([(r.item_id, r.text) for r in mine.select("item_id", "text").collect()], window), k == parts - 1
-
-
-STATE = T.StructType([T.StructField("__from", T.ArrayType(T.IntegerType())), T.StructField("__to", T.ArrayType(T.IntegerType())), T.StructField("__items", T.ArrayType(T.StringType()))])
+        yield build([(r.item_id, r.text) for r in mine.select("item_id", "text").collect()], window), parts
 
 
 def streamed(docs: DataFrame, benchmark: DataFrame, window: int, text: str, finish, schema, part_chars: int = PART_CHARS) -> DataFrame:
-    """docs through all automata. The last one's tasks hand each run of texts to `finish`: (batch of all columns, first row, bytes, offsets, starts and ends
+    """docs through all automata. Tasks hand each run of texts to `finish`: (batch of all columns, first row, bytes, offsets, starts and ends
     of the words, offsets in words, which words are hit, items of each text); what it yields are the rows."""
-    place, width = docs.columns.index(text), len(docs.columns)
-    spark = docs.sparkSession
-
-    def merged(batch: pa.RecordBatch, at: int, n: int, to: np.ndarray, hit: np.ndarray, items: dict[int, set]) -> None:
-        if batch.num_columns > width:  # what the automata before have found
-            before = [batch.column(width + k).slice(at, n).to_pylist() for k in range(3)]
-            for i, (from_, end, names) in enumerate(zip(*before, strict=True)):
-                for x, y in zip(from_, end, strict=True):
-                    hit[to[i] + x : to[i] + y] = True
-                if names:
-                    items.setdefault(i, set()).update(names)
-
-    def stage(auto, last: bool):
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at, data, off in runs(batch.column(place)):
-                    h, starts, ends, to = words(data, off, ALNUM)
-                    hit, items = hits(auto.value, h, to)
-                    n = len(off) - 1
-                    merged(batch, at, n, to, hit, items)
-                    if last:
-                        yield from finish(batch.slice(at, n).select(range(width)), data, off, starts, ends, to, hit, items)
-                        continue
-                    spans = [span(hit[a:b]) for a, b in zip(to[:-1], to[1:], strict=True)]
-                    found = [pa.array([x for x, _ in spans], pa.list_(pa.int32())), pa.array([x for _, x in spans], pa.list_(pa.int32())), pa.array([sorted(items.get(i, ())) for i in range(n)], pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([*batch.slice(at, n).columns[:width], *found], names=[*batch.schema.names[:width], *STATE.names])
-
-        return work
-
-    df = docs
-    for auto, last in automata(benchmark, window, part_chars):
-        shared = spark.sparkContext.broadcast(auto)
-        if last:
-            return df.mapInArrow(stage(shared, True), schema)
-        df = checkpoint(df.mapInArrow(stage(shared, False), T.StructType([*docs.schema.fields, *STATE.fields])))
-        shared.unpersist()
-    raise AssertionError("a benchmark has at least one part")
+    place, spark = docs.columns.index(text), docs.sparkSession
+    parts, folder, shared = 1, f"{shared_dir(spark).rstrip('/')}/automata-{uuid.uuid4().hex}", None
+    for k, (auto, parts) in enumerate(automata(benchmark, window, part_chars)):
+        if parts == 1:
+            shared = spark.sparkContext.broadcast(auto)
+        else:
+            store.save(f"{folder}/{k}", {"automaton": np.frombuffer(pickle.dumps(auto, 5), np.uint8)})
+
+    def groups(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+        held, size = [], 0
+        for at, data, off in runs(batch.column(place)):
+            held.append((at, data, off, *words(data, off, ALNUM)))
+            size += len(data)
+            if parts == 1 or size >= GROUP:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group in groups(batch):
+                found: list[tuple[np.ndarray, dict[int, set]]] = [(np.zeros(len(x[3]), bool), {}) for x in group]
+                for k in range(parts):
+                    auto = shared.value if shared else pickle.loads(store.load(f"{folder}/{k}")["automaton"].tobytes())
+                    for (_, _, _, h, _, _, to), (hit, items) in zip(group, found, strict=True):
+                        more, names = hits(auto, h, to)
+                        hit |= more
+                        for i, x in names.items():
+                            items.setdefault(i, set()).update(x)
+                for (at, data, off, _, starts, ends, to), (hit, items) in zip(group, found, strict=True):
+                    yield from finish(batch.slice(at, len(off) - 1), data, off, starts, ends, to, hit, items)
+
+    return docs.mapInArrow(work, schema)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_chars: int = PART_CHARS) -> DataFrame:

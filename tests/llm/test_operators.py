@@ -9,6 +9,7 @@ import time
 import zlib
 from collections import defaultdict
 from html import unescape
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -323,7 +324,7 @@ def test_decontamination(spark, docs, rows, sf, odd, empty):
     assert decontaminate.find(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
-def test_decontamination_in_parts(spark, docs, sf):
+def test_decontamination_in_parts(spark, docs, sf, monkeypatch):
     """A benchmark dealt to many automata, with items longer than a part, gives what one automaton gives."""
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     long = docs.select((F.col("doc_id") + 10**6).alias("item_id"), "text").where("doc_id % 40 = 0")
@@ -334,6 +335,17 @@ def test_decontamination_in_parts(spark, docs, sf):
     assert sum(r.contaminated for r in one) > 5
     assert sorted(decontaminate.find(docs, bench, part_chars=size // 4).collect(), key=key) == one
     assert decontaminate.clean(docs, bench, part_chars=size // 3).orderBy("doc_id").collect() == decontaminate.clean(docs, bench).orderBy("doc_id").collect()
+    # many parts: the texts are neither rewritten nor exchanged, and columns of any name stay
+    clash = docs.withColumns({"__from": F.lit(1), "__to": F.lit("x"), "__items": F.col("doc_id")})
+    monkeypatch.setattr(decontaminate, "GROUP", 40_000)
+    assert sorted(decontaminate.find(docs, bench, part_chars=size // 50).collect(), key=key) == one
+    shared = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(shared.rglob("*"))
+    many = decontaminate.clean(clash, bench, part_chars=size // 50)
+    assert many.drop("__from", "__to", "__items").orderBy("doc_id").collect() == decontaminate.clean(docs, bench).orderBy("doc_id").collect() and many.where("`__to` <> 'x' or `__items` <> doc_id").count() == 0
+    written = [p for p in shared.rglob("*") if p.is_file() and p not in before]
+    assert len([p for p in written if p.parent.name.startswith("automata")]) >= 50 and "Exchange" not in many._jdf.queryExecution().executedPlan().toString()
+    assert sum(p.stat().st_size for p in written if not p.parent.name.startswith("automata")) < 3 * size  # the items, dealt to their parts
     w = words(300, 77)
     item = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
     df = spark.createDataFrame([(k, " ".join(["x", *w[k : k + 10], "y"])) for k in range(291)], DOC)
