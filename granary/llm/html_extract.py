@@ -52,10 +52,17 @@ BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 BAD_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adv banner promo promotion promoted sponsor sponsored sponsors cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations sidebar rail widget widgets menu nav navbar navigation navigate breadcrumb breadcrumbs "
-    "footer foot copyright comment comments commentlist reply replies respond disqus pagination pager toolbar search masthead topbar skip tags header head".split()
+    "footer foot copyright comment comments commentlist reply replies respond disqus pagination pager toolbar search masthead topbar skip tags header head "
+    "discussion discussions guestbook kommentar kommentare commentaire commentaires comentario comentarios seitenleiste randspalte werbung anzeige anzeigen fusszeile kopfzeile "
+    "publicite pied entete publicidad lateral cabecera".split()
 )
 GOOD_WORDS = frozenset("article content main post entry story body text maincontent articlebody".split())
-COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus".split())
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion discussions guestbook kommentar kommentare commentaire commentaires comentario comentarios".split())
+#: Words for the shape of an element: behind another word they leave it what it is (share-buttons); other words make it theirs (share-prices).
+SHAPES = frozenset(
+    "box block bar area section panel pane wrap wrapper container inner outer left right top bottom list item items slot unit link links button buttons icon icons form field fields group row rows "
+    "col column columns title label text body content posts stories articles count meta zone region holder module message info line strip".split()
+)
 #: What follows these in a name says what the element comes with, not what it is.
 MODIFIERS = frozenset("with has no without hide show is".split())
 FEATURES = ("one", "length", "short", "linked", "closed", "paragraph", "heading", "item", "landmark", "landmark_around", "name_within", "name_same", "name_around", "comment")
@@ -87,16 +94,19 @@ class Element:
 
 
 def name_value(name: str) -> float:
-    """-1 to 1 for one name: the share of its words that tell; what holds good and bad words is bad by half (comment-content)."""
+    """-1 to 1 for one name: the share of its words that tell; what holds good and bad words is bad by half (comment-content). A name is about its last words: a bad
+    word before others tells only if these are shapes (menu-bar, not menu-planning), unless it is about readers."""
     words = [x.lower() for x in WORD.findall(name)]
     for k, w in enumerate(words):
         if w in MODIFIERS:
             words = words[:k]
             break
-    good, bad = sum(w in GOOD_WORDS for w in words), sum(w in BAD_WORDS for w in words)
+    good, bad = [k for k, w in enumerate(words) if w in GOOD_WORDS], [k for k, w in enumerate(words) if w in BAD_WORDS]
+    if bad and not any(w in COMMENT_WORDS for w in words) and any(w not in SHAPES and not w.isdigit() for w in words[bad[-1] + 1 :]):
+        return 0.0  # the last word says what it is, and it is none of these
     if good and bad:
         return -0.5
-    return (good - bad) / len(words) if words else 0.0
+    return (len(good) - len(bad)) / len(words) if words else 0.0
 
 
 @lru_cache(maxsize=4096)
@@ -139,6 +149,25 @@ class Piece:
 
 
 def pieces(html: str) -> list[Piece]:
+    """The page's stretches of text. A form that holds most of the text is the page's frame, not a form."""
+    out, forms = _pieces(html, frozenset())
+    if forms:
+        size = {id(e): 0 for e in forms}
+        for p in out:
+            e = p.element
+            while e is not None:
+                if id(e) in size:
+                    size[id(e)] += len(p.text)
+                e = e.parent
+        frames = frozenset(k for k, e in enumerate(forms) if 2 * size[id(e)] > sum(len(p.text) for p in out))
+        if frames:
+            return _pieces(html, frames)[0]
+    return out
+
+
+def _pieces(html: str, frames: frozenset[int]) -> tuple[list[Piece], list[Element]]:
+    """Pieces and the forms of the page; those with a number in `frames` tell nothing."""
+    forms: list[Element] = []
     out: list[Piece] = []
     root = top = Element("", None)
     text: list[str] = []
@@ -232,10 +261,14 @@ def pieces(html: str) -> list[Piece]:
         landmark, name, comment, hidden = telling(tag, m[3])
         if tag == "header" and top.landmark <= 0:
             landmark = -1
+        if tag == "form" and len(forms) in frames:
+            landmark, name = 0, 0.0
         top = Element(tag, top, landmark, name, comment, hidden)
+        if tag == "form":
+            forms.append(top)
         open_[tag] = open_.get(tag, 0) + 1
     flush()
-    return out
+    return out, forms
 
 
 def features(p: Piece) -> list[float]:

@@ -453,6 +453,16 @@ def test_main_text_of_names_that_mislead():
     for page in ('<article class="post has-sidebar">%s</article>', '<div class="post-with-comments">%s</div>', '<article class="post tag-news category-tags">%s</article>', '<main class="social-policy">%s</main>', '<div class="article notice-board">%s</div>'):
         assert html_extract.main_text(page % (3 * f"<p>{long}</p>")) == " ".join(3 * [long])
     assert html_extract.main_text(f'<div class="section-head"><h2>Head</h2></div><div><p>{long}</p></div>') == f"Head {long}"
+    two = "Another paragraph follows it, which is no shorter than the one before and has a good deal to say about the same matter."
+    inside = f"<h1>A heading</h1><p>{long}</p><p>{two}</p>"
+    for frame in ('section class="menu-planning"', 'div class="header-story"', 'div id="login-guide"', 'div class="social-history"', 'div class="advertising-law"', 'form id="aspnetForm"', 'article class="comments-policy"', 'div class="searchEngineHistory"'):
+        page = f'<body><nav><a>Home</a></nav><{frame}>{inside}</{frame.split()[0]}><footer>Imprint</footer></body>'
+        assert html_extract.main_text(page) == f"A heading {long} {two}", frame
+    for frame in ('div class="share-buttons"', 'div class="discussion"', 'div class="seitenleiste"', 'div class="sidebar-right"', 'div class="ad-slot-3"', 'div id="related_posts"', 'div class="menu-bar-2"', 'section class="comment-content"', 'section class="kommentare"', "form"):
+        page = f'<body><nav><a>Home</a></nav><article>{inside}</article><{frame}><h3>Extra</h3><p>{two}</p></{frame.split()[0]}><footer>Imprint</footer></body>'
+        assert html_extract.main_text(page) == f"A heading {long} {two}", frame
+    framed = f'<body><form id="f"><nav><a>Home</a></nav><div>{inside}</div><form><label>Your mail</label><p>{two[:40]}.</p></form></form></body>'
+    assert html_extract.main_text(framed).startswith(f"A heading {long} {two}")
     page = f'<article><p>{long} <span class="advert">Buy <span>it</span> now!</span> With <math><mi>x</mi></math> and <i class="term">gl</i>ued.</p><p hidden>Not shown.</p></article>'
     assert html_extract.main_text(page) == f"{long} With x and glued."
 
