@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.session import importable
@@ -21,9 +20,9 @@ def scan(df: DataFrame, keys: list[str], order: list[Column], read: dict[str, Co
     """df with the columns of `out` appended: step(state, values of `read`) gives the next state and the row's values, from `start` on for each key."""
     importable(df.sparkSession)
     names = df.columns
-    given = df.select("*", *[c.alias(f"__read_{n}") for n, c in read.items()], F.struct(*(keys or [F.lit(0)])).alias("__key"))
-    dealt = given.repartition("__key") if keys else given.repartition(1)
-    dealt = dealt.sortWithinPartitions("__key", *order)
+    given = df.select("*", *[c.alias(f"__read_{n}") for n, c in read.items()])
+    dealt = given.repartition(*keys) if keys else given.repartition(1)
+    dealt = dealt.sortWithinPartitions(*keys, *order)
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in out.items()]])
     kinds = [pa_type(t) for t in out.values()]
     columns = [f"__read_{n}" for n in read]
@@ -33,7 +32,8 @@ def scan(df: DataFrame, keys: list[str], order: list[Column], read: dict[str, Co
         for batch in batches:
             found: list[list] = [[] for _ in kinds]
             at = batch.schema.names.index
-            for k, *values in zip(batch.column(at("__key")).to_pylist(), *[batch.column(at(c)).to_pylist() for c in columns], strict=True):
+            of = zip(*[batch.column(at(c)).to_pylist() for c in keys], strict=True) if keys else [()] * batch.num_rows
+            for k, *values in zip(of, *[batch.column(at(c)).to_pylist() for c in columns], strict=True):
                 if k != key:
                     key, state = k, start
                 state, row = step(state, *values)

@@ -10,7 +10,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions import chunking, cron, durations, ed25519, positions, statements
+from granary.functions import chunking, cron, durations, ed25519, ids, positions, statements
 from granary.operators import admission, catalog, integrity, jobs, lineage, metrics, replay, retention, schedules
 from granary.plans import backup, restore
 from granary.plans.fixtures import NOW, RETENTION_NOW, load, with_tables
@@ -140,11 +140,15 @@ def sk11_insert_statements(spark, d):
     return rows.select(F.col("n_nationkey").alias("id"), statements.insert("nation", ["n_name", "comment"]).alias("statement"))
 
 
-@query("select cast(doc_id as varchar) as \"key\", cast(2 as int) as n from documents")
+@query(
+    """with p as (select doc_id, unnest([0, 1]) as place, text from documents where text is not null)
+       select cast(doc_id as varchar) as "key", cast(place as int) as place, sha256(case place when 0 then 'insert into t values (''' || replace(text, '''', '''''') || ''');' else '-- a; b' || chr(10) || '/* c; */ select $x$;$x$;' end) as digest from p"""
+)
 def sk12_split_statements(spark, d):
+    """Each document quoted in a statement, and one more behind it: both come out as they went in."""
     script = F.concat(F.lit("insert into t values ('"), F.replace("text", F.lit("'"), F.lit("''")), F.lit("'); -- a; b\n/* c; */ select $x$;$x$;"))
-    parts = statements.statements(table(spark, d, "documents").select("doc_id", script.alias("s")), "doc_id", "s")
-    return parts.groupBy("key").agg(F.count("statement").cast("int").alias("n"))
+    parts = statements.statements(table(spark, d, "documents").where("text is not null").select("doc_id", script.alias("s")), "doc_id", "s")
+    return parts.select("key", F.col("place").cast("int").alias("place"), F.sha2("statement", 256).alias("digest"))
 
 
 # filters
@@ -176,7 +180,10 @@ def f8_inactive_tokens(spark, d):
     return catalog.inactive_tokens(load(spark, d, "tokens"), RETENTION_NOW).select("id")
 
 
-@query("select id, scopes in ('backup:*, audit:read', ' *', 'job:read,, job:read,backup:read', 'admin:*') as allowed from tokens", "tokens")
+@query(
+    """select id, len(list_filter(list_transform(string_split(scopes, ','), lambda s: trim(s)), lambda s: s in ('*', 'admin:*', 'backup:read') or (ends_with(s, ':*') and starts_with('backup:read', substr(s, 1, length(s) - 1))))) > 0 as allowed from tokens""",
+    "tokens",
+)
 def f9_scope_match(spark, d):
     return load(spark, d, "tokens").select("id", catalog.allows(F.split("scopes", ","), "backup:read").alias("allowed"))
 
@@ -892,6 +899,35 @@ def i2_signed_manifests(spark, d):
     return integrity.signature_problems(changed, keys, body).select("manifest_id", "problem")
 
 
+@query("select id, case storage_id when 's-2' then 'unknown key' end as problem from backups where type = 'full' and protected", "backups")
+def sc18_loaded_manifests(spark, d):
+    """Manifests of protected full backups committed as objects and loaded with the keys of two of three storages: those of the third are refused."""
+    b = load(spark, d, "backups").where("type = 'full' and protected").withColumn("key_id", F.concat(F.lit("key-"), F.substring("storage_id", 3, 9)))
+    fields = stores.T._parse_datatype_string(stores.MANIFEST).fields
+    given = {"version": F.lit(1), "finished_at": F.col("ended_at")}
+    rows = b.select(*[given.get(f.name, F.col(f.name) if f.name in b.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields if f.name != "signature"])
+    signed = integrity.signed(rows, _seeds(spark), stores.manifest_body())
+    root = f"{shared_dir(spark).rstrip('/')}/manifests-{uuid.uuid4().hex}"
+    objects.put_manifests(signed, F.to_json(F.struct(*[f.name for f in fields])), root)
+    keys = _seeds(spark, 2).select("key_id", ed25519.public_keys("seed").alias("public_key"))
+    good, bad = stores.load_manifests(spark, root, keys)
+    id = F.regexp_extract("path", r"([^/]+)\.manifest$", 1)
+    out = checkpoint(good.select("id", F.lit(None).cast("string").alias("problem")).unionByName(bad.select(id.alias("id"), "problem")))
+    shutil.rmtree(objects.local_root(root))
+    return out
+
+
+_V7 = "substr(t, 1, 8) || '-' || substr(t, 9, 4) || '-7' || substr(h, 1, 3) || '-' || substr('89ab', cast(cast('0x' || substr(h, 4, 1) as int) % 4 + 1 as int), 1) || substr(h, 5, 3) || '-' || substr(h, 8, 12)"
+
+
+@query(f"select id, {_V7} as job_id, date_trunc('millisecond', queued_at) as made_at from (select id, queued_at, printf('%012x', epoch_us(queued_at) // 1000) as t, sha256(id) as h from jobs) j where queued_at >= timestamp '2024-01-10 00:00:00'", "jobs")
+def id1_time_ordered(spark, d):
+    """Ids of all jobs by when they were queued; those of a time on are a range of ids."""
+    jobs_ = load(spark, d, "jobs").select("id", ids.time_ordered_id(F.col("queued_at"), F.col("id")).alias("job_id"))
+    since = jobs_.where(F.col("job_id") >= ids.first_id(F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")))
+    return since.select("id", "job_id", ids.made_at(F.col("job_id")).alias("made_at"))
+
+
 @query(
     """select object_key, case when substr(object_key, 6, 1) in ('0', '1') then 'exists' else 'written' end as outcome from (select distinct 'data/' || substr(hash, 1, 2) || '/' || substr(hash, 3, 2) || '/' || hash as object_key from chunk_refs) x""",
     "chunk_refs",

@@ -160,3 +160,23 @@ def test_head_asks_for_one_path(spark, tmp_path):
     assert stores.head(spark, str(tmp_path), "data/a")[0] == 3 and stores.head(spark, str(tmp_path), "data") is None and stores.head(spark, str(tmp_path), "z") is None
     assert stores.exists(spark, str(tmp_path), "data/a") and not stores.exists(spark, str(tmp_path), "data")
     assert [r.object_key for r in stores.objects(spark, str(tmp_path)).collect()] == ["data/a"]
+
+
+# ids
+
+
+def test_time_ordered_ids(spark):
+    from granary.functions import ids
+
+    at = lambda s: F.lit(s).cast("timestamp_ntz")
+    rows = spark.range(500).select((at("2026-04-24 12:00:00") + F.expr("make_interval(0, 0, 0, 0, 0, 0, id / 1000)")).alias("t"), "id")
+    made = rows.select("t", ids.time_ordered_id(F.col("t"), F.col("id")).alias("v"), ids.time_ordered_id(F.col("t")).alias("r")).orderBy("t").collect()
+    for column in ("v", "r"):
+        texts = [x[column] for x in made]
+        assert texts == sorted(texts) and len(set(texts)) == 500  # a millisecond apart
+        assert all(len(x) == 36 and x[14] == "7" and x[19] in "89ab" for x in texts)
+    assert {x.v[19] for x in made} == set("89ab") and {x.r[19] for x in made} == set("89ab")
+    back = spark.createDataFrame(made).select(ids.made_at(F.col("v")).alias("a"), "t", (F.col("v") >= ids.first_id(F.col("t"))).alias("ok")).collect()
+    assert all(x.a == x.t and x.ok for x in back)
+    odd = spark.range(1).select(ids.time_ordered_id(at("1969-12-31 23:59:59")).alias("a"), ids.time_ordered_id(F.lit(None).cast("timestamp_ntz")).alias("b"), ids.made_at(F.lit("no id")).alias("c")).first()
+    assert tuple(odd) == (None, None, None)
