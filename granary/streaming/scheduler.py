@@ -36,7 +36,8 @@ def instant(ms: int) -> datetime:
 
 
 def millis(at: datetime) -> int:
-    return -(-(at - EPOCH) // timedelta(milliseconds=1)) if (at - EPOCH) % timedelta(milliseconds=1) else (at - EPOCH) // timedelta(milliseconds=1)
+    """The first whole millisecond not before an instant."""
+    return -((EPOCH - at) // timedelta(milliseconds=1))
 
 
 class Scheduler(StatefulProcessor):
