@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from datetime import datetime
 
@@ -32,33 +33,31 @@ def minute_runs(schedules: DataFrame, expression: str, start: str, end: str) ->
 
 
 class Runs:
-    """Runs of one expression after rising instants: what an instant needs is kept for the next one."""
+    """Runs of one expression after any instants: what one instant needs is kept for the next ones."""
 
     def __init__(self, expression: str):
         self.window = cron.parse_window(expression) if expression.strip().startswith("@between") else None
         self.cron = None if self.window else cron.parse(expression)
-        self.known: list[datetime] = []
-        self.at = 0
+        self.known: list[datetime] = []  # all runs after `since`, up to the last of them
+        self.since: datetime | None = None
 
     def step(self, after: datetime, key: str) -> datetime:
         return cron.next_window(self.window, after, key) if self.window else cron.next_run(self.cron, after)
 
     def due(self, key: str, after: datetime, now: datetime, limit: int) -> tuple[list[datetime], datetime]:
         """Runs after an instant up to now, `limit` + 1 at most, and the first one that is not among them."""
-        if self.window and self.window.random or self.known and self.known[0] > after:
-            self.known, self.at = [], 0  # drawn for each key; or an instant before what is known
-        while self.at < len(self.known) and self.known[self.at] <= after:
-            self.at += 1
-        if self.at == len(self.known):
-            self.known, self.at = [self.step(after, key)], 0
-        i = self.at
-        while self.known[i] <= now and i - self.at <= limit:
+        known = self.known
+        if self.window and self.window.random or self.since is None or after < self.since or not known or after >= known[-1]:
+            known, self.since = [self.step(after, key)], after  # drawn for each key; or an instant outside what is known
+        first = i = bisect_right(known, after)
+        while known[i] <= now and i - first <= limit:
             i += 1
-            if i == len(self.known):
-                self.known.append(self.step(self.known[-1], key))
-        out = self.known[self.at : i], self.known[i]
-        if self.at > 10_000:
-            self.known, self.at = self.known[self.at - 1 :], 1
+            if i == len(known):
+                known.append(self.step(known[-1], key))
+        out = known[first:i], known[i]
+        if first > 10_000:
+            self.since, known = known[first - 1], known[first:]
+        self.known = known
         return out
 
 
