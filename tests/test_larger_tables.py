@@ -25,3 +25,17 @@ def test_known_runs_serve_earlier_instants_too():
         for hours in (1, 30, 9, 31, 3, 60, 2, 40, 90, 1):
             after = now - timedelta(hours=hours, minutes=7)
             assert kept.due("a", after, now, 1000) == schedules.Runs(expression).due("a", after, now, 1000)
+
+
+def hourly(spark, n):
+    """n schedules of one expression in one task; seeds rise within five rows and start anew behind them."""
+    s = spark.range(n).coalesce(1).select(F.concat(F.lit("s"), F.col("id")).alias("id"), F.lit("5 * * * *").alias("expression"), F.lit(False).alias("paused"), F.timestamp_add("HOUR", F.when(F.col("id") == 0, 0).otherwise(F.col("id") % 5 * 4 + 4).cast("int"), F.lit("2024-01-04 00:30:00").cast("timestamp")).cast("timestamp_ntz").alias("created_at"))
+    none = F.lit(None).cast("timestamp_ntz")
+    return s.withColumns({"last_run": none, "next_run": none, "catch_up_policy": F.lit("queue")})
+
+
+def test_catch_up_over_several_batches(small_batches):
+    s = hourly(small_batches, 20)
+    runs = schedules.due(s, datetime(2024, 1, 5)).where("due_at is not null").join(s.select("id", "catch_up_policy"), "id")
+    found = {r.id: r.n for r in schedules.catch_up(runs, "2024-01-05 00:00:00").groupBy("id").agg(F.count("*").alias("n")).collect()}
+    assert found == {f"s{i}": 23 - (i % 5 * 4 + 4 if i else 0) for i in range(20)}
