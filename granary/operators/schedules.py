@@ -6,15 +6,16 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from datetime import datetime
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.functions import cron
 from granary.session import importable
 
 MAX_CATCH_UP = 1000
-DUE = "id string, due_at timestamp_ntz, place int, n int, next_run timestamp_ntz, problem string"
 
 
 def with_cursors(schedules: DataFrame, states: DataFrame) -> DataFrame:
@@ -72,45 +73,65 @@ def cursor_runs(runs: Runs, key: str, cursor: datetime | None, seed: datetime, n
     return found, following
 
 
-def due(states: DataFrame, now: datetime, limit: int = MAX_CATCH_UP) -> DataFrame:
-    """states (id, expression, paused, created_at, last_run, next_run) to due instants up to now: (id, due_at, place, n, next_run, problem).
-
-    Each expression is parsed once in the task that has it, and its runs are stepped through once for all schedules that share it. A schedule with
-    more than `limit` due instants, or one that can't be read, gives one row with a problem."""
-    importable(states.sparkSession)
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def due(states: DataFrame, now: datetime, limit: int = MAX_CATCH_UP, keep: tuple[str, ...] = ()) -> DataFrame:
+    """states (id, expression, paused, created_at, last_run, next_run) to due instants up to now: (id, due_at, place, n, next_run, problem), and the columns
+    of states that `keep` names (so that runs need no join to their schedules).
+
+    Schedules are spread over all tasks, as stepping through runs costs more than moving them. Each expression is parsed once in the task that has it, and its
+    runs are stepped through once for all schedules that share it. A schedule with more than `limit` due instants, or one that can't be read, gives one row with a problem."""
+    spark = states.sparkSession
+    importable(spark)
+    given = states.where("not coalesce(paused, false)").select("id", "expression", "created_at", "last_run", "next_run", *[F.col(c).alias(f"__{c}") for c in keep])
+    spread = given.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("id"))
+    stamp = pa.timestamp("us")
+    kept = [f for c in keep for f in states.schema.fields if f.name == c]
+    schema = T.StructType([*T._parse_datatype_string("id string, due_at timestamp_ntz, place int, n int, next_run timestamp_ntz, problem string").fields, *kept])
+
+    def flat(batch: pa.RecordBatch, rows: list, dues: list, counts: list, following: list, problems: list) -> pa.RecordBatch:
+        n = np.array(counts, np.int64)
+        times = np.maximum(n, 1)
+        of = np.repeat(np.arange(len(n)), times)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+        at = pa.array(np.array(rows, np.int64)[of])
+        by_row = lambda values, kind: pa.array(values, kind).take(pa.array(of))
+        columns = [batch.column(0).take(at), pa.array(dues, stamp), pa.array(place, pa.int32(), mask=n[of] == 0), pa.array(n[of], pa.int32()), by_row(following, stamp), by_row(problems, pa.string())]
+        return pa.RecordBatch.from_arrays([*columns, *[c.take(at) for c in batch.columns[5:]]], names=schema.names)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed: dict[str, Runs] = {}
-        for frame in frames:
-            rows = []
-            frame = frame[~frame["paused"].astype(bool)]
-            seed = frame["next_run"].fillna(frame["last_run"]).fillna(frame["created_at"])
-            for r, at in _by_seed(frame, seed):
+        for batch in batches:
+            ids, expressions, *times = [c.to_pylist() for c in batch.columns[:5]]
+            seeds = [next_run or last or created or now for created, last, next_run in zip(*times, strict=True)]
+            order = sorted(range(len(ids)), key=seeds.__getitem__)
+            rows, dues, counts, following, problems = [], [], [], [], []
+            for i in order:
                 try:
-                    if r.expression not in parsed:
-                        parsed[r.expression] = Runs(r.expression)
-                    after = now if pd.isna(at) else at.to_pydatetime()
-                    found, following = cursor_runs(parsed[r.expression], r.id, None if pd.isna(r.next_run) else after, after, now, limit)
-                    rows += [(r.id, t, i, len(found), following, None) for i, t in enumerate(found)] or [(r.id, None, None, 0, following, None)]
+                    if expressions[i] not in parsed:
+                        parsed[expressions[i]] = Runs(expressions[i])
+                    found, next_, problem = *cursor_runs(parsed[expressions[i]], ids[i], times[2][i], seeds[i], now, limit), None
                 except ValueError as e:
-                    rows.append((r.id, None, None, 0, None, str(e)))
-            yield pd.DataFrame(rows, columns=["id", "due_at", "place", "n", "next_run", "problem"]).astype({"due_at": "datetime64[us]", "next_run": "datetime64[us]", "place": "Int32", "n": "Int32"})
-
-    return states.select("id", "expression", "paused", "created_at", "last_run", "next_run").mapInPandas(work, DUE)
+                    found, next_, problem = [], None, str(e)
+                rows.append(i)
+                dues += found or [None]
+                counts.append(len(found))
+                following.append(next_)
+                problems.append(problem)
+                if len(dues) > 100_000:  # a schedule may have `limit` of them
+                    yield flat(batch, rows, dues, counts, following, problems)
+                    rows, dues, counts, following, problems = [], [], [], [], []
+            if rows:
+                yield flat(batch, rows, dues, counts, following, problems)
 
-
-def _by_seed(frame: pd.DataFrame, seed: pd.Series) -> Iterator[tuple]:
-    """Rows with their seeds, in order of the seeds."""
-    order = seed.argsort(kind="stable").to_numpy()
-    return zip(frame.iloc[order].itertuples(), seed.iloc[order], strict=True)
+    return spread.mapInArrow(work, schema)
 
 
 def catch_up(runs: DataFrame, now: str) -> DataFrame:
-    """runs (id, due_at, catch_up_policy, ...) by policy: queue keeps all, run_once one at now, skip (and anything else) the last."""
-    last = runs.groupBy("id").agg(F.max("due_at").alias("__last"))
-    df = runs.join(last, "id")
-    queue = F.col("catch_up_policy") == "queue"
-    df = df.where(queue | (F.col("due_at") == F.col("__last")))
+    """runs (id, due_at, catch_up_policy, ...) by policy: queue keeps all, run_once one at now, skip (and anything else) the last.
+
+    Of runs with the places that `due` gives (place, n) only those that may stay are exchanged."""
+    queue = F.coalesce(F.col("catch_up_policy") == "queue", F.lit(False))
+    df = runs.where(queue | (F.col("place") == F.col("n") - 1)) if {"place", "n"} <= set(runs.columns) else runs
+    df = df.withColumn("__last", F.max("due_at").over(Window.partitionBy("id"))).where(queue | (F.col("due_at") == F.col("__last")))
     return df.withColumn("due_at", F.when(F.col("catch_up_policy") == "run_once", F.lit(now).cast("timestamp_ntz")).otherwise(F.col("due_at"))).drop("__last")
 
 

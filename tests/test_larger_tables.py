@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from granary import queries
 from granary.operators import schedules
 
 
@@ -39,3 +40,8 @@ def test_catch_up_over_several_batches(small_batches):
     runs = schedules.due(s, datetime(2024, 1, 5)).where("due_at is not null").join(s.select("id", "catch_up_policy"), "id")
     found = {r.id: r.n for r in schedules.catch_up(runs, "2024-01-05 00:00:00").groupBy("id").agg(F.count("*").alias("n")).collect()}
     assert found == {f"s{i}": 23 - (i % 5 * 4 + 4 if i else 0) for i in range(20)}
+
+
+def test_enqueue_joins_nothing(spark, sf):
+    plan = queries.QUERIES["t7_enqueue"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "Broadcast" not in plan
