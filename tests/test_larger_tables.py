@@ -45,3 +45,8 @@ def test_catch_up_over_several_batches(small_batches):
 def test_enqueue_joins_nothing(spark, sf):
     plan = queries.QUERIES["t7_enqueue"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Join" not in plan and "Broadcast" not in plan
+
+
+def test_due_is_spread_however_few_files_hold_schedules(spark):
+    due = schedules.due(hourly(spark, 20), datetime(2024, 1, 5))
+    assert due.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
