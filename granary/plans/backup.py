@@ -62,13 +62,21 @@ def run(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(manifests, references, objects to write) of backup requests (id, target_id, storage_id, type) over streams (target_id, name, data).
 
-    An incremental or differential one without a parent becomes full, and the manifest records what it was. Places in a manifest follow the names of its streams."""
+    An incremental or differential one without a parent becomes full, and the manifest records what it was. Places in a manifest follow the names of its streams. Ids of requests are distinct.
+
+    All requests of a target have the same chunks at the same places, so of a target's manifests only the first can hold a chunk's first place: that one alone is looked up in the
+    index, the others' chunks are duplicates. Totals are counted for each target; what grows with requests times chunks are the references alone, where they are asked for."""
     actual = lineage.attach_parents(requests.select("id", "target_id", "storage_id", "type"), backups).withColumn("manifest_id", F.concat(F.lit("m-"), "id"))
     named = streams.select(F.to_json(F.struct("target_id", "name")).alias("stream"), "data")
+    wanted = checkpoint(actual.groupBy("target_id").agg(F.min("manifest_id").alias("manifest_id")))
     parts = references(named, algo)
-    parts = placed(parts.select("*", F.from_json("stream", "target_id string, name string").alias("s")).select("s.*", "part", "stream", "offset", "size", "hash", "algo"))
-    chunks = parts.join(actual.select("manifest_id", "target_id"), "target_id").select("manifest_id", "sequence", "hash", "algo", "size", "stream", "offset")
-    refs, objects = uploaded(chunks, named, existing, key, key_id, algorithm)
-    totals = refs.groupBy("manifest_id").agg(F.count("*").alias("chunks"), F.sum("size").alias("bytes_in"), F.count_if(~F.col("duplicate")).alias("uploaded_chunks"))
-    manifests = actual.join(totals, "manifest_id", "left").fillna(0, ["chunks", "bytes_in", "uploaded_chunks"])
+    parts = checkpoint(placed(parts.select("*", F.from_json("stream", "target_id string, name string").alias("s")).select("s.*", "part", "stream", "offset", "size", "hash", "algo")))
+    columns = ["manifest_id", "sequence", "hash", "algo", "size", "stream", "offset"]
+    first, objects = uploaded(parts.join(wanted, "target_id").select(*columns), named, existing, key, key_id, algorithm)
+    others = parts.join(actual.select("target_id", "manifest_id").join(wanted, ["target_id", "manifest_id"], "left_anti"), "target_id").select(*columns)
+    again = others.withColumns({"object_key": integrity.object_key(F.col("hash")), "duplicate": F.lit(True), "stored_size": F.lit(0).cast("long")})
+    refs = first.unionByName(again.select(*first.columns))
+    sizes = parts.groupBy("target_id").agg(F.count("*").alias("chunks"), F.sum("size").alias("bytes_in"))
+    fresh = first.groupBy("manifest_id").agg(F.count_if(~F.col("duplicate")).alias("uploaded_chunks"))
+    manifests = actual.join(sizes, "target_id", "left").join(fresh, "manifest_id", "left").fillna(0, ["chunks", "bytes_in", "uploaded_chunks"])
     return manifests, refs, objects

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granary import queries
 from granary.operators import schedules
+from granary.plans import backup
 
 
 @pytest.fixture
@@ -50,3 +51,20 @@ def test_enqueue_joins_nothing(spark, sf):
 def test_due_is_spread_however_few_files_hold_schedules(spark):
     due = schedules.due(hourly(spark, 20), datetime(2024, 1, 5))
     assert due.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_backup_run_counts_a_targets_chunks_once(spark, monkeypatch):
+    """Thirty requests of a target: one manifest is looked up, and references are those of all."""
+    asked = []
+    whole = backup.uploaded
+    monkeypatch.setattr(backup, "uploaded", lambda refs, *a: (asked.append(refs.count()), whole(refs, *a))[1])
+    requests = spark.range(30).select(F.format_string("%02d", "id").alias("id"), F.concat(F.lit("t"), F.col("id") % 2).alias("target_id"), F.lit("s").alias("storage_id"), F.lit("full").alias("type"))
+    streams = spark.createDataFrame([("t0", "a", b"one"), ("t0", "b", b"two"), ("t0", "c", b"one"), ("t1", "a", b"two"), ("t2", "a", b"three")], "target_id string, name string, data binary")
+    none = spark.createDataFrame([], "id string, target_id string, storage_id string, type string, ended_at timestamp_ntz, manifest_id string")
+    manifests, refs, objects = backup.run(requests, streams, none, spark.createDataFrame([], "object_key string"), F.lit(b"0123456789abcdef"), F.lit("k"), F.lit("none"))
+    got = {r.manifest_id: (r.chunks, r.bytes_in, r.uploaded_chunks) for r in manifests.collect()}
+    assert got == {f"m-{i:02d}": (1, 3, 0) if i % 2 else (3, 9, 0 if i else 2) for i in range(30)}
+    assert asked == [4] and objects.count() == 2
+    rows = refs.collect()
+    assert sorted((r.manifest_id, r.sequence) for r in rows) == sorted((f"m-{i:02d}", n) for i in range(30) for n in range(1 if i % 2 else 3))
+    assert sorted((r.manifest_id, r.sequence) for r in rows if not r.duplicate) == [("m-00", 0), ("m-00", 1)] and all((r.stored_size > 0) != r.duplicate for r in rows)
