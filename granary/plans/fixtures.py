@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from granary.session import table
 
@@ -119,12 +120,28 @@ def _engine(sql: str, spark: bool) -> str:
     return out.replace("varchar(20)", "string") if spark else out
 
 
+#: How the texts number a log; Spark does that without sorting all of it in one task.
+NUMBER = "row_number() over (order by ts, event_id)"
+
+
+def numbered(events: DataFrame) -> DataFrame:
+    """events with `__number`, their place by ts and event_id from 1 on: within each minute, behind all that the minutes before hold. Only the counts of minutes are put in one order."""
+    minute = F.date_trunc("minute", "ts")
+    counts = events.groupBy(minute.alias("__at")).agg(F.count("*").alias("__n"))
+    before = counts.select("__at", (F.sum("__n").over(Window.orderBy("__at")) - F.col("__n")).alias("__before"))
+    within = events.withColumns({"__minute": minute, "__within": F.row_number().over(Window.partitionBy(minute).orderBy("ts", "event_id"))})
+    return within.join(before, F.col("__minute").eqNullSafe(F.col("__at"))).withColumn("__number", F.col("__before") + F.col("__within")).drop("__minute", "__at", "__before", "__within")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as DataFrame."""
     text = _engine(SQL[name], spark=True)
+    given = {s: table(spark, sf_dir, s) for s in SOURCES[name]}
+    if NUMBER in text:
+        text, given["events"] = text.replace(NUMBER, "__number"), numbered(given["events"])
     for source in SOURCES[name]:
         text = re.sub(rf"\b(from|join) {source}\b", rf"\1 {{{source}}}", text)
-    df = spark.sql(text, **{s: table(spark, sf_dir, s) for s in SOURCES[name]})
+    df = spark.sql(text, **given)
     return df.withColumns({c: df[c].cast("timestamp_ntz") for c, kind in df.dtypes if kind == "timestamp"})
 
 

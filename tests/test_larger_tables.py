@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from granary import queries
 from granary.operators import schedules
-from granary.plans import backup
+from granary.plans import backup, fixtures
 
 
 @pytest.fixture
@@ -68,3 +69,11 @@ def test_backup_run_counts_a_targets_chunks_once(spark, monkeypatch):
     rows = refs.collect()
     assert sorted((r.manifest_id, r.sequence) for r in rows) == sorted((f"m-{i:02d}", n) for i in range(30) for n in range(1 if i % 2 else 3))
     assert sorted((r.manifest_id, r.sequence) for r in rows if not r.duplicate) == [("m-00", 0), ("m-00", 1)] and all((r.stored_size > 0) != r.duplicate for r in rows)
+
+
+def test_a_log_is_numbered_in_many_tasks(spark, sf):
+    plan = fixtures.load(spark, sf, "audit_events")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.findall(r"row_number\(\) windowspecdefinition\((\w+?)#", plan) == ["__minute"] or "row_number() windowspecdefinition(date_trunc" in plan or "row_number() windowspecdefinition(_w" in plan
+    events = spark.createDataFrame([(i, f"2024-01-0{i % 3 + 1} 00:0{i % 2}:0{i % 4 // 2}") for i in range(50)] + [(99, None)], "event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = [r.event_id for r in sorted(fixtures.numbered(events).collect(), key=lambda r: r["__number"])]
+    assert got == [r.event_id for r in events.orderBy("ts", "event_id").collect()] and sorted(r["__number"] for r in fixtures.numbered(events).collect()) == list(range(1, 52))
