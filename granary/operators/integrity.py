@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from granary.functions import ed25519
 from granary.operators.folds import scan
-from granary.session import checkpoint, importable
+from granary.session import checkpoint, importable, shared_dir
 
 FIELDS = ("id", "actor_id", "action", "resource_type", "resource_id", "metadata_json")
 
@@ -26,14 +27,34 @@ def event_digest(previous: Column) -> Column:
     return F.sha2(F.concat_ws("|", event_body(), previous), 256)
 
 
-def chained(events: DataFrame) -> DataFrame:
-    """events with prev_hash and hash. Each event needs the digest before it, so the log is one fold in order of seq."""
+#: Events that one task chains; behind them another one goes on.
+CHAINED = 1_000_000
+
+
+def chained(events: DataFrame, at_once: int = CHAINED) -> DataFrame:
+    """events with prev_hash and hash. Each event needs the digest before it, so the log is one fold in order of seq: serial, but no task has all of it.
+
+    A longer log is dealt once to ranges of seq in the shared folder; a task folds one range from the digest that the range before ended with."""
 
     def step(last: str, body: str) -> tuple[str, tuple[str, str]]:
         digest = hashlib.sha256(f"{body}|{last}".encode()).hexdigest()
         return digest, (last, digest)
 
-    return scan(events, [], [F.col("seq")], {"body": event_body()}, "", step, {"prev_hash": T.StringType(), "hash": T.StringType()})
+    fold = lambda part, last: scan(part, [], [F.col("seq")], {"body": event_body()}, last, step, {"prev_hash": T.StringType(), "hash": T.StringType()})
+    n, lo, hi = events.agg(F.count("*"), F.min("seq"), F.max("seq")).first()
+    if n <= at_once or lo == hi:
+        return fold(events, "")
+    spark = events.sparkSession
+    number = F.coalesce(F.floor((F.col("seq") - lo) / (-(-(hi - lo + 1) * at_once // n))), F.lit(0)).cast("int")
+    root = f"{shared_dir(spark).rstrip('/')}/chain-{uuid.uuid4().hex}"
+    events.withColumn("__range", number).repartition("__range").write.partitionBy("__range").parquet(root)
+    ranges = [r[0] for r in spark.read.parquet(root).select("__range").distinct().orderBy("__range").collect()]
+    done, last = [], ""
+    for k in ranges:
+        part = checkpoint(fold(spark.read.schema(events.schema).parquet(f"{root}/__range={k}"), last))
+        last = part.orderBy(F.desc_nulls_last("seq")).select("hash").first()[0]
+        done.append(part)
+    return reduce(DataFrame.unionAll, done)
 
 
 def chain_violations(events: DataFrame) -> DataFrame:

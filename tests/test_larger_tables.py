@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary import queries
-from granary.operators import schedules
+from granary.operators import integrity, schedules
 from granary.plans import backup, fixtures
 
 
@@ -77,3 +77,12 @@ def test_a_log_is_numbered_in_many_tasks(spark, sf):
     events = spark.createDataFrame([(i, f"2024-01-0{i % 3 + 1} 00:0{i % 2}:0{i % 4 // 2}") for i in range(50)] + [(99, None)], "event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     got = [r.event_id for r in sorted(fixtures.numbered(events).collect(), key=lambda r: r["__number"])]
     assert got == [r.event_id for r in events.orderBy("ts", "event_id").collect()] and sorted(r["__number"] for r in fixtures.numbered(events).collect()) == list(range(1, 52))
+
+
+def test_a_long_chain_is_handed_on_from_range_to_range(spark, sf):
+    log = fixtures.load(spark, sf, "audit_events")
+    log = log.where("seq % 7 <> 3 and (seq < 300 or seq > 600)")
+    whole, handed = integrity.chained(log), integrity.chained(log, at_once=100)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, handed.collect()))
+    plan = handed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") >= 5 and "MapInArrow" not in plan
