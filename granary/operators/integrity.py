@@ -136,6 +136,13 @@ def object_key(digest: Column) -> Column:
     return F.concat_ws("/", F.lit("data"), F.substring(digest, 1, 2), F.substring(digest, 3, 2), digest)
 
 
+def _brief(key: str) -> Column:
+    """An object key in bytes: those of a digest of 64 lower-case hex digits, which its key repeats, take 33; others stay as they are, behind another first byte."""
+    digest = F.substring(key, 12, 64)
+    fits = digest.rlike("^[0-9a-f]{64}$") & (F.col(key) == object_key(digest))
+    return F.when(fits, F.concat(F.lit(b"\1"), F.unhex(digest))).otherwise(F.concat(F.lit(b"\0"), F.col(key).cast("binary")))
+
+
 def orphans(objects: DataFrame, refs: DataFrame) -> DataFrame:
     """Stored objects under data/ that no reference names."""
     marked = refs.select(object_key(F.col("hash")).alias("object_key"))
@@ -146,10 +153,13 @@ def garbage_totals(objects: DataFrame, refs: DataFrame, bad_manifests: int = 0)
     """scanned, referenced, orphans and their bytes; one unreadable manifest refuses it all."""
     if bad_manifests:
         raise ValueError(f"{bad_manifests} manifests could not be read; nothing is collected")
-    scanned = objects.where(F.col("object_key").startswith("data/")).agg(F.count("*").alias("scanned_chunks"))
-    referenced = refs.where("coalesce(hash, '') <> ''").agg(F.countDistinct("hash").alias("referenced_chunks"))
-    lost = orphans(objects, refs).agg(F.count("*").alias("orphan_chunks"), F.coalesce(F.sum("size"), F.lit(0)).alias("orphan_bytes"))
-    return scanned.crossJoin(referenced).crossJoin(lost)
+    stored = objects.where(F.col("object_key").startswith("data/")).select("object_key", "size", F.lit(1).alias("stored"), F.lit(False).alias("marked"), F.lit(False).alias("named"))
+    marks = refs.select(object_key(F.col("hash")).alias("object_key"), F.lit(None).cast("long").alias("size"), F.lit(0).alias("stored"), F.lit(True).alias("marked"), (F.coalesce("hash", F.lit("")) != "").alias("named"))
+    # objects and references meet once, by key, each read once and aggregated before the exchange
+    keys = stored.unionByName(marks).groupBy(_brief("object_key").alias("key")).agg(F.sum("stored").alias("n"), F.sum("size").alias("bytes"), F.bool_or("marked").alias("marked"), F.bool_or("named").alias("named"))
+    lost = ~F.col("marked")
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return keys.agg(count("n").alias("scanned_chunks"), F.count_if("named").alias("referenced_chunks"), count(F.when(lost, F.col("n"))).alias("orphan_chunks"), count(F.when(lost, F.col("bytes"))).alias("orphan_bytes"))
 
 
 def verify_manifests(refs: DataFrame, objects: DataFrame) -> DataFrame:
@@ -264,6 +274,12 @@ def dedup(refs: DataFrame, scope: list[str] | None = None) -> DataFrame:
     return refs.join(first, keys).withColumn("duplicate", place != F.col("__first")).drop("__first")
 
 
+def dedup_counts(refs: DataFrame) -> DataFrame:
+    """(hash, refs, duplicates) of refs (manifest_id, sequence, hash), a place counted once: all but the first place of a hash are duplicates, so counting needs no join and no marks."""
+    counted = refs.groupBy("hash").agg(F.countDistinct(F.struct("manifest_id", "sequence")).alias("refs"))
+    return counted.withColumn("duplicates", F.col("refs") - 1)
+
+
 def dedup_stats(flagged: DataFrame, by: list[str]) -> DataFrame:
     fresh = ~F.col("duplicate")
     out = flagged.groupBy(*by).agg(

@@ -86,3 +86,21 @@ def test_a_long_chain_is_handed_on_from_range_to_range(spark, sf):
     assert sorted(map(str, whole.collect())) == sorted(map(str, handed.collect()))
     plan = handed._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") >= 5 and "MapInArrow" not in plan
+
+
+def test_duplicates_by_hash_are_counted_without_a_join(spark):
+    refs = spark.createDataFrame([("m1", 0, "a"), ("m1", 0, "a"), ("m1", 1, "a"), ("m0", 5, "a"), ("m1", 2, "b"), ("m2", 0, None)], "manifest_id string, sequence long, hash string")
+    counted = integrity.dedup_counts(refs)
+    assert {tuple(r) for r in counted.collect()} == {("a", 3, 2), ("b", 1, 0), (None, 1, 0)}
+    assert "Join" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_garbage_totals_reads_objects_and_references_once(spark):
+    h = ["%064x" % i for i in range(6)]
+    key = lambda x: f"data/{x[:2]}/{x[2:4]}/{x}"
+    objects = spark.createDataFrame([(key(h[0]), 5), (key(h[1]), 7), (key(h[2]), 11), ("data/zz", 13), ("tmp/x", 17), (key("AB" * 32), 19)], "object_key string, size long")
+    refs = spark.createDataFrame([(h[0],), (h[0],), (h[5],), ("",), (None,), ("ab" * 32,)], "hash string")
+    totals = integrity.garbage_totals(objects, refs)
+    assert tuple(totals.first()) == (5, 3, 4, 50)
+    assert totals._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+    assert tuple(integrity.garbage_totals(objects.where("false"), refs.where("false")).first()) == (0, 0, 0, 0)
