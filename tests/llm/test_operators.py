@@ -233,6 +233,20 @@ def test_substring_near_and_hot_passages(spark):
     assert got[1006].spans and got[1007].spans  # the two long texts
 
 
+def test_substring_pairs_around_a_hot_phrase(spark):
+    """Two documents, far apart by their ids, share five words more around a phrase that many hold."""
+    phrase = words(45, 6)  # its least hashes lie away from its middle
+    data = [(1000 + i, words(30, 100_000 + i) + phrase + words(30, 200_000 + i)) for i in range(1500)]
+    for i in range(40):
+        n = i % 6
+        before, after = words(n, 300_000 + i), words(5 - n, 400_000 + i)
+        data += [(d, words(30, 500_000 + d) + before + phrase + after + words(30, 600_000 + d)) for d in (i, 9000 - i)]
+    got = {r.doc_id: r for r in substring_dedup.repeats(spark.createDataFrame([(d, " ".join(t)) for d, t in data], DOC)).collect()}
+    found = [[tuple(s) for s in got[d].spans] == [(30, 80)] and (got[d].component_id, got[d].n_links) == (i, 1) for i in range(40) for d in (i, 9000 - i)]
+    assert sum(found) == 80
+    assert all(not got[1000 + i].spans for i in range(1500))
+
+
 def test_substring_passage_at_several_places(spark):
     base, other = words(60, 21), words(80, 22)
     data = [(1, words(20, 23) + base + words(20, 24)), (2, words(30, 25) + base + words(40, 26) + base + words(30, 27) + base + words(5, 28))]
