@@ -51,6 +51,25 @@ def test_batches_find_the_wrong_ones():
     assert not any(ed25519.verify([(p, m, items[i - 1][2]) for i, (p, m, _) in enumerate(items[:40])])) and ed25519.verify([]) == []
 
 
+
+def test_signatures_with_and_without_libcrypto(monkeypatch):
+    seed, message = b"\x07" * 32, b"manifest"
+    public, signature = ed25519.public_key(seed), ed25519.sign(seed, message)
+    # R with a point of order two added: right by the equation with the cofactor only
+    a, _ = ed25519._secret(seed)
+    point = ed25519.encode(ed25519.add(ed25519.times_base(5), (0, ed25519.P - 1, 1, 0)))
+    shifted = point + ((5 + ed25519._number(point, public, message) * a) % ed25519.L).to_bytes(32, "little")
+    items = [(public, message, signature), (public, b"other", signature), (public, message, shifted)]
+    assert ed25519.verify(items) == [True, False, True]
+    if ed25519._crypto() is not None:
+        with monkeypatch.context() as m:  # what libcrypto accepts costs no arithmetic in Python
+            m.setattr(ed25519, "combine", None)
+            m.setattr(ed25519, "times_base", None)
+            assert ed25519.sign(seed, message) == signature and ed25519.verify(items[:1]) == [True]
+    monkeypatch.setattr(ed25519, "_crypto", lambda: None)
+    assert ed25519.sign(seed, message) == signature and ed25519.verify(items) == [True, False, True]
+
+
 def test_manifests_load_closed(spark, tmp_path):
     seed, other = b"\x01" * 32, b"\x02" * 32
     seeds = spark.createDataFrame([("k", seed), ("o", other)], "key_id string, seed binary")
