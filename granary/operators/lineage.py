@@ -26,40 +26,49 @@ def ancestors(start: DataFrame, backups: DataFrame) -> DataFrame:
     return found.join(edges, "id").select(F.col("up").alias("id")).distinct()
 
 
-def restore_plans(backups: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Steps of the restore of each wanted backup (column backup_id), root first: (backup_id, step_no, id, type, parent_id, manifest_id, problem).
+def _jumps(backups: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """([(id, up), ...], endless): the k-th pairs each backup with the ancestor 2**k steps up, if it has so many; `endless` has those whose ancestors run in a cycle.
 
-    problem: '' or `missing` (not there), `missing_parent`, `cycle`. Path doubling with depths: a chain of n needs log2(n) rounds, however long it
-    is. In each round some backup of a chain runs out of ancestors, so once none does, those that are left lead into cycles; their steps are
-    each backup once, by its least depth.
-    """
+    In each round some backup of a chain runs out of ancestors, so once none does, those that are left lead into cycles."""
     edges = backups.where("parent_id is not null").select("id", F.col("parent_id").alias("up"))
-    jump = checkpoint(edges.join(backups.select(F.col("id").alias("up")), "up", "left_semi").select("id", "up"))  # the ancestor 2**k steps up
-    jumps, left = [jump], jump.count()
+    jump = checkpoint(edges.join(backups.select(F.col("id").alias("up")), "up", "left_semi").select("id", "up"))
+    jumps, left = [], jump.count()
     while left:
+        jumps.append(jump)
         jump = checkpoint(jump.toDF("id", "mid").join(jump.toDF("mid", "up"), "mid").select("id", "up"))
         before, left = left, jump.count()
         if left == before:
-            break
-        jumps.append(jump)
+            return jumps, jump
+    return jumps, None
+
+
+def restore_plans(backups: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Steps of the restore of each wanted backup (column backup_id), root first: (backup_id, step_no, id, type, parent_id, manifest_id, problem).
+
+    problem: '' or `missing` (not there), `missing_parent`, `cycle`. Path doubling: a chain of n needs log2(n) rounds, however long it is. The longest jumps come first, so
+    all but the last rounds hold few of the steps. A backup's step and what its chain lacks are the same in all chains that hold it: they are worked out once for each backup, not for each step.
+    Steps of a cycle are each backup once, by its least depth.
+    """
+    backups = checkpoint(backups.select("id", "type", "parent_id", "manifest_id"))
+    jumps, endless = _jumps(backups)
     asked = wanted.select("backup_id").distinct()
-    rows = asked.join(backups.select(F.col("id").alias("backup_id")), "backup_id").select("backup_id", F.col("backup_id").alias("id"), F.lit(0).cast("long").alias("depth"))
-    if left:
-        endless = jump.select(F.col("id").alias("backup_id"))
-        turning = rows.join(endless, "backup_id", "left_semi")
-        rows = rows.join(endless, "backup_id", "left_anti")
-    rows = checkpoint(rows)
-    for k, jump in enumerate(jumps):
-        rows = checkpoint(rows.union(rows.join(jump, "id").select("backup_id", F.col("up").alias("id"), (F.col("depth") + (1 << k)).alias("depth"))))
-    steps = rows.withColumn("cycle", F.lit(False))
-    if left:
-        steps = steps.union(_around(checkpoint(turning), jumps[0]).withColumn("cycle", F.lit(True)))
-    linked = jumps[0].select("id", F.lit(True).alias("linked"))
-    steps = steps.join(backups.select("id", "type", "parent_id", "manifest_id").join(linked, "id", "left"), "id")
-    of = Window.partitionBy("backup_id")
-    open_ = F.max(F.col("linked").isNull() & F.col("parent_id").isNotNull()).over(of)
-    problem = F.when(F.col("cycle"), "cycle").when(open_, "missing_parent").otherwise("")
-    steps = steps.select("backup_id", (F.max("depth").over(of) - F.col("depth") + 1).alias("step_no"), "id", "type", "parent_id", "manifest_id", problem.alias("problem"))
+    rows = asked.join(backups.select(F.col("id").alias("backup_id")), "backup_id").select("backup_id", F.col("backup_id").alias("id"))
+    if endless is not None:
+        turning = rows.join(endless.select(F.col("id").alias("backup_id")), "backup_id", "left_semi").withColumn("depth", F.lit(0).cast("long"))
+        rows = rows.join(endless.select(F.col("id").alias("backup_id")), "backup_id", "left_anti")
+    ends = backups.select("id", F.col("id").alias("end"), F.lit(1).cast("long").alias("step_no"))
+    for k in reversed(range(len(jumps))):
+        rows = rows.join(jumps[k], "id", "left").select("backup_id", F.explode(F.array_compact(F.array("id", "up"))).alias("id"))
+        above = F.when(F.col("up").isNull(), 0).otherwise(1 << k)
+        ends = ends.join(jumps[k].toDF("end", "up"), "end", "left").select("id", F.coalesce("up", "end").alias("end"), (F.col("step_no") + above).alias("step_no"))
+        if k and k % 4 == 0:
+            rows, ends = checkpoint(rows), checkpoint(ends)
+    beyond = backups.select(F.col("id").alias("end"), F.when(F.col("parent_id").isNotNull(), "missing_parent").otherwise("").alias("problem"))
+    columns = ["backup_id", "step_no", "id", "type", "parent_id", "manifest_id", "problem"]
+    steps = rows.join(backups.join(ends, "id").join(beyond, "end"), "id").select(*columns)
+    if endless is not None:
+        around = _around(checkpoint(turning), jumps[0]).withColumn("step_no", F.max("depth").over(Window.partitionBy("backup_id")) - F.col("depth") + 1)
+        steps = steps.unionByName(around.join(backups, "id").withColumn("problem", F.lit("cycle")).select(*columns))
     missing = asked.join(backups.select(F.col("id").alias("backup_id")), "backup_id", "left_anti")
     none = F.lit(None).cast("string")
     lost = missing.select("backup_id", F.lit(0).cast("long").alias("step_no"), none.alias("id"), none.alias("type"), none.alias("parent_id"), none.alias("manifest_id"), F.lit("missing").alias("problem"))
@@ -107,3 +116,27 @@ def attach_parents(due: DataFrame, backups: DataFrame, as_of: bool = False) -> D
 def chain_refs(steps: DataFrame, refs: DataFrame) -> DataFrame:
     """References of the manifests of a chain, in order of step and place."""
     return steps.where("problem = ''").select("backup_id", "step_no", "manifest_id").join(refs, "manifest_id").orderBy("backup_id", "step_no", "sequence")
+
+
+def chain_totals(backups: DataFrame, wanted: DataFrame, refs: DataFrame) -> DataFrame:
+    """(backup_id, chunks, bytes, steps) of the references of each wanted backup's chain, where it is whole and has any; steps: those with references.
+
+    References are summed up for each manifest, and chains by path doubling: a round adds what the next 2**k steps hold, so rows are as many as backups, however long their chains are."""
+    backups = checkpoint(backups.select("id", "parent_id", "manifest_id"))
+    jumps, endless = _jumps(backups)
+    own = refs.groupBy("manifest_id").agg(F.count("*").alias("chunks"), F.sum("size").alias("bytes"), F.lit(1).cast("long").alias("steps"))
+    lacks = F.col("parent_id").isNotNull()
+    if jumps:
+        backups = backups.join(jumps[0].select("id", F.lit(True).alias("linked")), "id", "left")
+        lacks = lacks & F.col("linked").isNull()
+    sums = backups.join(own, "manifest_id", "left").select("id", "chunks", "bytes", "steps", lacks.alias("open"))
+    totals = ("chunks", "bytes", "steps")
+    for jump in jumps:
+        sums = checkpoint(sums)
+        more = jump.join(sums.select(F.col("id").alias("up"), *[F.col(c).alias(f"more_{c}") for c in totals], F.col("open").alias("more_open")), "up").drop("up")
+        both = [F.coalesce(F.col(c) + F.col(f"more_{c}"), f"more_{c}", c).alias(c) for c in totals]
+        sums = sums.join(more, "id", "left").select("id", *both, (F.col("open") | F.coalesce("more_open", F.lit(False))).alias("open"))
+    if endless is not None:
+        sums = sums.join(endless, "id", "left_anti")
+    asked = wanted.select(F.col("backup_id").alias("id")).distinct()
+    return sums.where("not open and chunks > 0").join(asked, "id", "left_semi").select(F.col("id").alias("backup_id"), *totals)

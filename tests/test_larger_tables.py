@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary import queries
-from granary.operators import integrity, schedules
+from granary.operators import integrity, lineage, schedules
 from granary.plans import backup, fixtures
 
 
@@ -104,3 +104,46 @@ def test_garbage_totals_reads_objects_and_references_once(spark):
     assert tuple(totals.first()) == (5, 3, 4, 50)
     assert totals._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
     assert tuple(integrity.garbage_totals(objects.where("false"), refs.where("false")).first()) == (0, 0, 0, 0)
+
+
+def tangled(spark):
+    """Chains that end, lack a parent, or lead into a cycle; one of 40 steps."""
+    pairs = [("r", None), ("a", "r"), ("b", "a"), ("c", "a"), ("lost", "gone"), ("d", "lost"), ("x", "y"), ("y", "x"), ("z", "x"), ("k0", None)] + [(f"k{i}", f"k{i - 1}") for i in range(1, 40)]
+    return pairs, spark.createDataFrame([(i, "incr", p, f"m-{i}") for i, p in pairs], "id string, type string, parent_id string, manifest_id string")
+
+
+def test_restore_plans_read_backups_once_and_sort_no_steps(spark):
+    pairs, backups = tangled(spark)
+    whole = [(i, p) for i, p in pairs if i not in "xyz"]
+    plan = lineage.restore_plans(backups.where("id not in ('x', 'y', 'z')"), backups.selectExpr("id as backup_id").where("backup_id not in ('x', 'y', 'z')"))
+    up, want = dict(whole), []
+    for i, _ in whole:
+        path, at = [], i
+        while at in up:
+            path, at = [at, *path], up[at]
+        want += [(i, n, x, "missing_parent" if at else "") for n, x in enumerate(path, 1)]
+    assert sorted((r.backup_id, r.step_no, r.id, r.problem) for r in plan.collect()) == sorted(want)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in text
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    once = backups.mapInArrow(counted, backups.schema)
+    lineage.restore_plans(once, backups.selectExpr("id as backup_id")).collect()
+    assert calls.value == len(pairs)
+
+
+def test_chain_totals_hold_a_row_for_each_backup(spark):
+    pairs, backups = tangled(spark)
+    refs = spark.createDataFrame([(f"m-{i}", n, None if i == "a" else n + 1) for i, _ in pairs if i not in ("r", "k3") for n in range(2)], "manifest_id string, sequence long, size long")
+    wanted = backups.selectExpr("id as backup_id").unionByName(spark.createDataFrame([("none",)], "backup_id string"))
+    steps = lineage.chain_refs(lineage.restore_plans(backups, wanted), refs)
+    want = steps.groupBy("backup_id").agg(F.count("*").alias("chunks"), F.sum("size").alias("bytes"), F.countDistinct("step_no").alias("steps")).collect()
+    got = lineage.chain_totals(backups, wanted, refs)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) == 43
+    assert got.columns == ["backup_id", "chunks", "bytes", "steps"]
+    assert lineage.chain_totals(backups.where("parent_id is null"), wanted.where("backup_id = 'k0'"), refs).collect()[0][1:] == (2, 3, 1)
