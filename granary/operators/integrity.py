@@ -143,10 +143,23 @@ def _brief(key: str) -> Column:
     return F.when(fits, F.concat(F.lit(b"\1"), F.unhex(digest))).otherwise(F.concat(F.lit(b"\0"), F.col(key).cast("binary")))
 
 
+def distinct_hashes(refs: DataFrame) -> DataFrame:
+    """(hash), each once. Digests of 64 lower-case hex digits are exchanged as 32 bytes, behind a first byte that tells them from others."""
+    digest = F.col("hash").rlike("^[0-9a-f]{64}$")
+    brief = F.when(digest, F.concat(F.lit(b"\1"), F.unhex("hash"))).otherwise(F.concat(F.lit(b"\0"), F.col("hash").cast("binary")))
+    short = refs.select(brief.alias("__brief")).distinct()
+    rest = F.expr("substring(__brief, 2)")
+    return short.select(F.when(F.hex(F.expr("substring(__brief, 1, 1)")) == "01", F.lower(F.hex(rest))).otherwise(rest.cast("string")).alias("hash"))
+
+
 def orphans(objects: DataFrame, refs: DataFrame) -> DataFrame:
-    """Stored objects under data/ that no reference names."""
-    marked = refs.select(object_key(F.col("hash")).alias("object_key"))
-    return objects.where(F.col("object_key").startswith("data/")).join(marked, "object_key", "left_anti")
+    """Stored objects under data/ that no reference names. Only those that pass a Bloom filter over the named keys are exchanged; the others are orphans where they are."""
+    marked = checkpoint(refs.select(object_key(F.col("hash")).alias("object_key")).distinct())
+    filter_, blocks = bloom_filter(marked.select(F.sha2("object_key", 256).alias("hash")))
+    stored = objects.where(F.col("object_key").startswith("data/")).withColumn("hash", F.sha2("object_key", 256))
+    judged = maybe_in(stored, checkpoint(filter_), blocks).drop("hash")
+    lost = judged.where("not maybe").drop("maybe")
+    return lost.unionByName(judged.where("maybe").drop("maybe").join(marked, "object_key", "left_anti"))
 
 
 def garbage_totals(objects: DataFrame, refs: DataFrame, bad_manifests: int = 0) -> DataFrame:
@@ -189,6 +202,8 @@ def verify_chunks(refs: DataFrame, stored: DataFrame, key: Column, opened) -> Da
 BLOOM_BITS, BLOOM_PROBES, BLOOM_BLOCK = 10, 7, 512
 #: A filter of up to so many blocks (some 100 bytes each) is broadcast.
 BROADCAST_BLOCKS = 400_000
+#: Of up to so many manifests the ids are broadcast (some 50 bytes each).
+BROADCAST_MANIFESTS = 500_000
 
 
 WORDS = BLOOM_BLOCK // 64
@@ -221,6 +236,12 @@ def maybe_in(lookups: DataFrame, filter_: DataFrame, blocks: int) -> DataFrame:
     return df.select(*lookups.columns, F.coalesce(hit, F.lit(False)).alias("maybe"))
 
 
+def held_refs(refs: DataFrame, manifests: DataFrame) -> DataFrame:
+    """refs of some manifests (manifest_id). The manifests are counted first: up to BROADCAST_MANIFESTS of them are broadcast, and no reference is exchanged."""
+    held = checkpoint(manifests.select("manifest_id").distinct())
+    return refs.join(F.broadcast(held) if held.count() <= BROADCAST_MANIFESTS else held, "manifest_id", "left_semi")
+
+
 def membership(lookups: DataFrame, entries: DataFrame) -> DataFrame:
     """lookups (hash, ...) with `maybe` (a blocked Bloom filter over `entries`: never false for a member) and `present` (exact).
 

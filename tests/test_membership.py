@@ -131,3 +131,35 @@ def test_dedup_totals(spark):
         up = [z for m, z in first.values() if m == row.manifest_id]
         assert (row.chunks, row.bytes_in, row.uploaded_chunks, row.bytes_uploaded, row.deduped_chunks) == (len(own), sum(x[3] for x in own), len(up), sum(up), len(own) - len(up))
     assert integrity.dedup_totals(df.limit(0)).collect() == []
+
+
+def test_orphans_are_not_exchanged(spark, monkeypatch):
+    key = integrity.object_key(F.col("hash"))
+    objects, refs = hashes(spark, 1000, 101_000).select(key.alias("object_key"), F.col("id").alias("size")).cache(), hashes(spark, 0, 2000)
+    objects.count()
+    run = lambda: integrity.orphans(objects, refs).write.format("noop").mode("overwrite").save()
+    exact = lambda: objects.join(refs.select(key.alias("object_key")).hint("merge"), "object_key", "left_anti").write.format("noop").mode("overwrite").save()
+    assert shuffled(spark, run) < shuffled(spark, exact) / 5
+    assert integrity.orphans(objects, refs).count() == 99_000
+    odd = spark.createDataFrame([("data/x", 1), ("data/AB/CD/ABCD", 2), ("tmp/x", 3), (None, 4), ("data/ab/cd/abcd", 5)], "object_key string, size long")
+    marks = spark.createDataFrame([("ABCD",), ("abcd",), (None,), ("abcd",)], "hash string")
+    for blocks in (integrity.BROADCAST_BLOCKS, 0):
+        monkeypatch.setattr(integrity, "BROADCAST_BLOCKS", blocks)
+        assert [tuple(r) for r in integrity.orphans(odd, marks).collect()] == [("data/x", 1)]
+    assert integrity.orphans(odd, marks.limit(0)).count() == 3
+    objects.unpersist()
+
+
+def test_references_of_few_manifests_are_not_exchanged(spark, monkeypatch):
+    refs = spark.range(1000).selectExpr("concat('m', id % 10) as manifest_id", "concat('h', id % 4) as hash")
+    some = spark.createDataFrame([("m1",), ("m2",), ("m2",), (None,)], "manifest_id string")
+    plan = lambda: integrity.held_refs(refs, some)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan() and integrity.held_refs(refs, some).count() == 200
+    monkeypatch.setattr(integrity, "BROADCAST_MANIFESTS", 1)
+    assert "BroadcastHashJoin" not in plan() and integrity.held_refs(refs, some).count() == 200
+
+
+def test_distinct_hashes_keep_every_text(spark):
+    texts = ["ab" * 32, "AB" * 32, "ab" * 31, "", None, "\1x", "é" * 64, "ab" * 32]
+    got = integrity.distinct_hashes(spark.createDataFrame([(t,) for t in texts], "hash string")).collect()
+    assert sorted((r.hash for r in got), key=str) == sorted(set(texts), key=str)
