@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ STRING = r"'(?:[^']|'')*(?:'(?!')|\Z)"
 POSTGRES = re.compile(rf"""(?s)(?P<string>{STRING})|(?P<name>"(?:[^"]|"")*(?:"(?!")|\Z))|(?P<line>--[^\n]*)|(?P<block>/\*.*?(?:\*/|\Z))|(?P<dollar>(?P<tag>\$(?:[A-Za-z_]\w*)?\$).*?(?:(?P=tag)|\Z))|(?P<end>;)""")
 MONGO = re.compile(rf"(?s)(?P<string>{STRING})|(?P<line>//[^\n]*)|(?P<block>/\*.*?(?:\*/|\Z))|(?P<end>;)")
 MYSQL = re.compile(r"(?s)(?P<string>'(?:[^'\\]|\\.|'')*(?:'(?!')|\Z))|(?P<end>;)")
+#: Characters of scripts whose statements are handed on together.
+BATCH_CHARS = 4_000_000
 OPEN = {"string": "'", "name": '"', "block": "*/"}
 
 
@@ -49,20 +51,33 @@ def split(sql: str, dialect: str = "postgres") -> list[str]:
 
 
 def statements(df: DataFrame, key: str, text: str, dialect: str = "postgres") -> DataFrame:
-    """(key, place, statement); a script that can't be split gives one row with a null statement."""
+    """(key, place, statement); a script that can't be split gives one row with a null statement. Statements are handed on after some BATCH_CHARS characters, so a task never holds those of a whole batch."""
     importable(df.sparkSession)
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for k, t in zip(frame["key"], frame["text"], strict=True):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, places, found, held = [], [], [], 0
+            for k, t in zip(*batch.columns, strict=True):
+                k, script = k.as_py(), t.as_py() or ""
                 try:
-                    rows += [(k, i, s) for i, s in enumerate(split(t or "", dialect))]
+                    parts = split(script, dialect)
+                    places += range(len(parts))
                 except ValueError:
-                    rows.append((k, -1, None))
-            yield pd.DataFrame(rows, columns=["key", "place", "statement"])
+                    parts = [None]
+                    places.append(-1)
+                keys += [k] * len(parts)
+                found += parts
+                held += len(script)
+                if held > BATCH_CHARS:
+                    yield _rows(keys, places, found)
+                    keys, places, found, held = [], [], [], 0
+            yield _rows(keys, places, found)
 
-    return df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(work, "key string, place int, statement string")
+    return df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInArrow(work, "key string, place int, statement string")
+
+
+def _rows(keys: list, places: list, found: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(places, pa.int32()), pa.array(found, pa.string())], names=["key", "place", "statement"])
 
 
 def quoted_name(name: str) -> str:
