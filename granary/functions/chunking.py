@@ -22,6 +22,8 @@ from granary.functions.blake3 import blake3, digest_column
 from granary.session import importable
 
 MIN, AVERAGE, MAX = 512 << 10, 2 << 20, 8 << 20
+#: Bytes of streams whose chunks are handed on together.
+BATCH_BYTES = 4_000_000
 
 
 def _table() -> np.ndarray:
@@ -100,9 +102,14 @@ def chunks(df: DataFrame, key: str, data: str, low: int = MIN, average: int = AV
     importable(df.sparkSession)
     columns = ["key", "sequence", "offset", "size", *(["hash", "algo"] if algo else ["data"])]
 
+    def rows(keys: list, places: list, starts: list, sizes: list, parts: list) -> pa.RecordBatch:
+        values = [keys, places, starts, sizes, *([_digests(parts, algo), [algo] * len(parts)] if algo else [parts])]
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), *([pa.string(), pa.string()] if algo else [pa.binary()])]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(values, kinds, strict=True)], names=columns)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, places, starts, sizes, parts = [], [], [], [], []
+            keys, places, starts, sizes, parts, held = [], [], [], [], [], 0
             for k, d in zip(*batch.columns, strict=True):
                 k, d = k.as_py(), d.as_py()
                 ends = cuts(d, low, average, high) if d is not None else []
@@ -112,9 +119,11 @@ def chunks(df: DataFrame, key: str, data: str, low: int = MIN, average: int = AV
                 starts += first
                 sizes += [b - a for a, b in zip(first, ends, strict=True)]
                 parts += [d[a:b] for a, b in zip(first, ends, strict=True)]
-            rows = [keys, places, starts, sizes, *([_digests(parts, algo), [algo] * len(parts)] if algo else [parts])]
-            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), *([pa.string(), pa.string()] if algo else [pa.binary()])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=columns)
+                held += len(d or b"")
+                if held > BATCH_BYTES:
+                    yield rows(keys, places, starts, sizes, parts)
+                    keys, places, starts, sizes, parts, held = [], [], [], [], [], 0
+            yield rows(keys, places, starts, sizes, parts)
 
     schema = "key string, sequence int, offset long, size long, " + ("hash string, algo string" if algo else "data binary")
     return df.select(F.col(key).cast("string").alias("key"), F.col(data).cast("binary").alias("data")).mapInArrow(work, schema)

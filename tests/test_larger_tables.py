@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from granary import queries
+from granary.functions import chunking, statements
 from granary.operators import integrity, lineage, schedules
 from granary.plans import backup, fixtures
 
@@ -147,3 +150,33 @@ def test_chain_totals_hold_a_row_for_each_backup(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) == 43
     assert got.columns == ["backup_id", "chunks", "bytes", "steps"]
     assert lineage.chain_totals(backups.where("parent_id is null"), wanted.where("backup_id = 'k0'"), refs).collect()[0][1:] == (2, 3, 1)
+
+
+def given_to_arrow(monkeypatch, df, make):
+    """What an operator runs on Arrow batches."""
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: f)
+    return make(df)
+
+
+def test_statements_of_a_batch_are_handed_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(statements, "BATCH_CHARS", 1000)
+    script = "select 1;" + "-" * 200 + "\nselect 2;"
+    batch = pa.RecordBatch.from_pydict({"key": [str(i) for i in range(100)], "text": [None if i == 7 else "select '" if i == 8 else script for i in range(100)]})
+    work = given_to_arrow(monkeypatch, spark.createDataFrame([("a", "b")], "k string, t string"), lambda df: statements.statements(df, "k", "t"))
+    out = list(work(iter([batch])))
+    assert len(out) > 10 and max(b.num_rows for b in out) < 20
+    rows = [tuple(r.values()) for r in pa.Table.from_batches(out).to_pylist()]
+    assert rows == [r for i in range(100) for r in ([] if i == 7 else [("8", -1, None)] if i == 8 else [(str(i), 0, "select 1;"), (str(i), 1, "-" * 200 + "\nselect 2;")])]
+
+
+def test_chunks_of_a_batch_are_handed_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(chunking, "BATCH_BYTES", 1000)
+    data = [None if i == 7 else b"" if i == 8 else bytes((i * j) % 251 for j in range(300)) for i in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(100)]), pa.array(data, pa.binary())], names=["key", "data"])
+    for algo in (None, "sha256"):
+        work = given_to_arrow(monkeypatch, spark.createDataFrame([("a", b"b")], "k string, d binary"), lambda df, algo=algo: chunking.chunks(df, "k", "d", 16, 64, 128, algo))
+        out = list(work(iter([batch])))
+        assert len(out) > 10
+        rows = pa.Table.from_batches(out).to_pylist()
+        assert [(r["key"], r["offset"], r["size"]) for r in rows] == [(str(i), a, b - a) for i, d in enumerate(data) if d for a, b in itertools.pairwise([0, *chunking.cuts(d, 16, 64, 128)])]
+        assert algo or b"".join(r["data"] for r in rows) == b"".join(d or b"" for d in data)
