@@ -13,6 +13,7 @@ The root is on a file system with hard links that all executors share. Listings
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import json
 import os
@@ -53,11 +54,33 @@ def _sync(folder: str) -> None:
         os.close(handle)
 
 
-def _write(path: str, data: bytes) -> None:
+def _write(path: str, data: bytes, sync: bool = True) -> None:
     with open(path, "xb") as f:
         f.write(data)
-        f.flush()
-        os.fsync(f.fileno())
+        if sync:
+            f.flush()
+            os.fsync(f.fileno())
+
+
+#: Files and folders whose file system is asked once to put them on disk, and bytes of such files.
+SYNCED, SYNCED_BYTES = 10_000, 256 << 20
+
+
+def _sync_all(root: str, paths: list[str]) -> None:
+    """All of the files and folders on disk: by one call for their file system, where the C library has it, else one by one."""
+    if not paths:
+        return
+    syncfs = getattr(ctypes.CDLL(None, use_errno=True), "syncfs", None)
+    if syncfs is None:
+        for path in paths:
+            _sync(path)
+        return
+    handle = os.open(root, os.O_RDONLY)
+    try:
+        if syncfs(handle):
+            raise OSError(ctypes.get_errno(), "what was written can't be put on disk", root)
+    finally:
+        os.close(handle)
 
 
 @dataclass
@@ -76,7 +99,7 @@ class Stage(DataSourceArrowWriter):
         """object_key, content and, where given, the size that the content must have."""
         os.makedirs(self.folder, exist_ok=True)
         listed = f"{self.folder}/{uuid.uuid4().hex}.list"
-        n = 0
+        n, fresh, held = 0, [], 0
         with open(listed, "x") as names:
             for batch in iterator:
                 columns = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
@@ -87,9 +110,15 @@ class Stage(DataSourceArrowWriter):
                     if size is not None and size != len(data):
                         raise ValueError(f"{key!r} has {len(data)} bytes, not {size}")
                     aside = f"{self.folder}/{uuid.uuid4().hex}.tmp"
-                    _write(aside, data)
+                    _write(aside, data, sync=False)
                     names.write(json.dumps([check_key(key), aside, len(data), hashlib.sha256(data).hexdigest()]) + "\n")
                     n += 1
+                    fresh.append(aside)
+                    held += len(data)
+                    if len(fresh) == SYNCED or held > SYNCED_BYTES:
+                        _sync_all(self.folder, fresh)
+                        fresh, held = [], 0
+            _sync_all(self.folder, fresh)
             names.flush()
             os.fsync(names.fileno())
         _sync(self.folder)
@@ -151,11 +180,11 @@ def publish(spark: SparkSession, root: str, job: str) -> DataFrame:
                         except FileExistsError:
                             outcome = "written" if os.path.samefile(aside, target) else "exists"
                         rows.append((key, outcome, size, digest))
-                        if len(rows) == 10_000:
-                            [_sync(x) for x in folders]  # what is told is on disk
+                        if len(rows) == SYNCED:
+                            _sync_all(base, list(folders))  # what is told is on disk
                             yield _rows(rows)
                             rows, folders = [], set()
-                [_sync(x) for x in folders]
+                _sync_all(base, list(folders))
                 yield _rows(rows)
 
     names = spark.createDataFrame([(p,) for p in lists], "path string").repartition(max(1, min(len(lists), 20_000)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import os
 import re
 from datetime import datetime, timedelta
 
@@ -14,6 +15,7 @@ from granary import queries
 from granary.functions import chunking, statements
 from granary.operators import integrity, lineage, schedules
 from granary.plans import backup, fixtures
+from granary.sources import objects
 
 
 @pytest.fixture
@@ -180,3 +182,11 @@ def test_chunks_of_a_batch_are_handed_on_in_parts(spark, monkeypatch):
         rows = pa.Table.from_batches(out).to_pylist()
         assert [(r["key"], r["offset"], r["size"]) for r in rows] == [(str(i), a, b - a) for i, d in enumerate(data) if d for a, b in itertools.pairwise([0, *chunking.cuts(d, 16, 64, 128)])]
         assert algo or b"".join(r["data"] for r in rows) == b"".join(d or b"" for d in data)
+
+
+def test_staged_objects_are_synced_together(tmp_path, monkeypatch):
+    calls, whole = [], os.fsync
+    monkeypatch.setattr(os, "fsync", lambda f: (calls.append(f), whole(f))[1])
+    batch = pa.RecordBatch.from_pydict({"object_key": [f"a/{i}" for i in range(50)], "content": [b"x"] * 50})
+    listed = objects.Stage({"path": str(tmp_path), "job": "j"}).write(iter([batch]))
+    assert listed.objects == 50 and len(calls) < 5 and len(list(tmp_path.rglob("*.tmp"))) == 50
