@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import defaultdict
 from html import unescape
@@ -274,6 +275,35 @@ def test_shards_in_order():
     assert list(common.by_number(iter(batches), True)) == want and [s for s, _ in common.by_number(iter(batches[::-1]), False)] == [1, 2, 5]
 
 
+def test_substring_joins_a_hot_shard_in_little_memory():
+    """Half a million windows in groups of 14: their 1.6 million pairs are never held together."""
+    rng = np.random.default_rng(3)
+    n = 500_000
+    w = {f: rng.integers(0, 9, n).astype(t) for f, t, _ in substring_dedup.FIELDS}
+    w |= {"v": rng.integers(0, n // 14, n).astype(np.uint64), "doc": rng.integers(0, 30_000, n), "left": rng.integers(0, 90, n).astype(np.uint32), "right": rng.integers(0, 90, n).astype(np.uint32)}
+    tracemalloc.start()
+    pairs = sum(len(p["a"]) for p, _ in substring_dedup.join_groups(w))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs > 1_000_000 and peak < 60e6
+
+
+def test_substring_common_passages_of_many_pairs():
+    rng = np.random.default_rng(4)
+    fresh = lambda n: rng.integers(0, 2**32, n).astype(np.uint32)
+    sides = []
+    for t in range(600):
+        x = fresh(int(rng.integers(0, 200))) if t % 3 else rng.integers(0, 400, 200).astype(np.uint32)
+        y = x.copy()
+        for k in rng.integers(0, max(1, len(x)), t % 7).tolist():
+            y[k : k + 5] = fresh(len(y[k : k + 5]))
+        cut = int(rng.integers(0, len(x) + 1)) if t % 5 == 4 else 0
+        sides.append((np.concatenate([fresh(t % 11), x, fresh(t % 4)]), np.concatenate([fresh(t % 4), y[cut:], y[:cut], fresh(t % 9)])))
+    flat = [(np.concatenate(v), np.cumsum([0, *map(len, v)])) for v in zip(*sides, strict=True)]
+    want = [(i, *found) for i, (x, y) in enumerate(sides) if len(x) and len(y) for found in substring_dedup.common_passages(x, y)]
+    assert sorted(substring_dedup.all_common_passages(*flat[0], *flat[1])) == want and len(want) > 300
+
+
 def test_substring_odd(spark, odd, empty):
     got = [(r.doc_id, len(r.spans)) for r in substring_dedup.repeats(odd.withColumn("spans", F.lit(1)).withColumn("doc", F.lit(2))).collect()]
     assert len(got) == len(ODD) and dict(got)[5] >= 1 and dict(got)[1] == dict(got)[4] == 0
