@@ -16,6 +16,7 @@ from granary.functions import cron
 from granary.session import importable
 
 MAX_CATCH_UP = 1000
+NEVER, DAY = np.iinfo(np.int64).min, 86_400_000_000  # no instant (numpy's NaT), and a day's microseconds
 
 
 def with_cursors(schedules: DataFrame, states: DataFrame) -> DataFrame:
@@ -73,12 +74,50 @@ def cursor_runs(runs: Runs, key: str, cursor: datetime | None, seed: datetime, n
     return found, following
 
 
+def window_runs(w: cron.Window, keys: list[str], cursor: np.ndarray, after: np.ndarray, now: datetime, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(places of keys, their counts of runs, all their runs in order, what follows for each) as `cursor_runs` gives them, for a window with instants drawn for each key.
+
+    Instants are microseconds; cursor: NEVER where there is none, after: the cursor or the seed. Keys are left out that have too many runs, or start far
+    from now, or have days on which clocks change about midnight."""
+    until = int(np.datetime64(now, "us").astype(np.int64))
+    waiting = np.flatnonzero(cursor > until)
+    if len(waiting):
+        yield waiting, np.zeros(len(waiting), np.int64), np.zeros(0, np.int64), cursor[waiting]
+    rest = np.flatnonzero((cursor <= until) & (after > until - (limit + 2) * DAY) & (after < until + 1000 * DAY))
+    if not len(rest):
+        return
+    span = np.array([after[rest].min(), max(until, after[rest].max())]).astype("datetime64[us]").tolist()
+    days = cron.WindowDays(w, *span)
+    first = days.day(after[rest])
+    last = np.maximum(first, days.day(np.array(until))) + 1
+    ok = days.plain(first, last)
+    rest, first, last = rest[ok], first[ok], last[ok]
+    drawn = cron.fnv1a_all([f"{keys[i]}:".encode() for i in rest])
+    total, at = np.cumsum(last - first + 1), 0
+    while at < len(rest):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 100_000, "right")))
+        n = (last - first + 1)[at:to]
+        of = np.repeat(np.arange(at, to), n)
+        day = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
+        runs = days.instants(drawn[of], day)
+        later = runs > after[rest[of]]
+        found = later & (runs <= until)
+        following = np.minimum.reduceat(np.where(later & ~found, runs, np.iinfo(np.int64).max), np.cumsum(n) - n)
+        starts = cursor[rest[at:to]] != NEVER
+        runs, of = np.concatenate([cursor[rest[at:to]][starts], runs[found]]), np.concatenate([np.arange(at, to)[starts], of[found]])
+        order = np.argsort(of, kind="stable")  # a cursor before what comes after it
+        count = np.bincount(of - at, minlength=to - at)
+        few = count <= limit
+        yield rest[at:to][few], count[few], runs[order][few[of[order] - at]], following[few]
+        at = to
+
+
 def due(states: DataFrame, now: datetime, limit: int = MAX_CATCH_UP, keep: tuple[str, ...] = ()) -> DataFrame:
     """states (id, expression, paused, created_at, last_run, next_run) to due instants up to now: (id, due_at, place, n, next_run, problem), and the columns
     of states that `keep` names (so that runs need no join to their schedules).
 
     Schedules are spread over all tasks, as stepping through runs costs more than moving them. Each expression is parsed once in the task that has it, and its
-    runs are stepped through once for all schedules that share it. A schedule with more than `limit` due instants, or one that can't be read, gives one row with a problem."""
+    runs are stepped through once for all schedules that share it; runs drawn for each schedule are worked out for a batch of schedules at once. A schedule with more than `limit` due instants, or one that can't be read, gives one row with a problem."""
     spark = states.sparkSession
     importable(spark)
     given = states.where("not coalesce(paused, false)").select("id", "expression", "created_at", "last_run", "next_run", *[F.col(c).alias(f"__{c}") for c in keep])
@@ -87,7 +126,7 @@ def due(states: DataFrame, now: datetime, limit: int = MAX_CATCH_UP, keep: tuple
     kept = [f for c in keep for f in states.schema.fields if f.name == c]
     schema = T.StructType([*T._parse_datatype_string("id string, due_at timestamp_ntz, place int, n int, next_run timestamp_ntz, problem string").fields, *kept])
 
-    def flat(batch: pa.RecordBatch, rows: list, dues: list, counts: list, following: list, problems: list) -> pa.RecordBatch:
+    def flat(batch: pa.RecordBatch, rows: list, dues: list | np.ndarray, counts: list, following: list, problems: list) -> pa.RecordBatch:
         n = np.array(counts, np.int64)
         times = np.maximum(n, 1)
         of = np.repeat(np.arange(len(n)), times)
@@ -97,12 +136,36 @@ def due(states: DataFrame, now: datetime, limit: int = MAX_CATCH_UP, keep: tuple
         columns = [batch.column(0).take(at), pa.array(dues, stamp), pa.array(place, pa.int32(), mask=n[of] == 0), pa.array(n[of], pa.int32()), by_row(following, stamp), by_row(problems, pa.string())]
         return pa.RecordBatch.from_arrays([*columns, *[c.take(at) for c in batch.columns[5:]]], names=schema.names)
 
+    def drawn(expressions: list[str], parsed: dict[str, Runs]) -> dict[str, list[int]]:
+        """Places of each expression whose runs are drawn for each key."""
+        out: dict[str, list[int]] = {}
+        for i, e in enumerate(expressions):
+            if e is not None and e.strip().startswith("@between"):
+                out.setdefault(e, []).append(i)
+        for e in list(out):
+            try:
+                if e not in parsed:
+                    parsed[e] = Runs(e)
+            except ValueError:
+                del out[e]
+        return {e: rows for e, rows in out.items() if parsed[e].window.random}
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed: dict[str, Runs] = {}
         for batch in batches:
             ids, expressions, *times = [c.to_pylist() for c in batch.columns[:5]]
             seeds = [next_run or last or created or now for created, last, next_run in zip(*times, strict=True)]
-            order = sorted(range(len(ids)), key=seeds.__getitem__)
+            done = set()
+            for expression, rows in drawn(expressions, parsed).items():
+                micros = lambda values: np.array(values, "datetime64[us]").astype(np.int64)
+                cursor, after = micros([times[2][i] for i in rows]), micros([seeds[i] for i in rows])
+                for of, counts, runs, following in window_runs(parsed[expression].window, [ids[i] for i in rows], cursor, after, now, limit):
+                    of = np.array(rows)[of]
+                    dues = np.full(np.maximum(counts, 1).sum(), np.datetime64("NaT"), "datetime64[us]")
+                    dues[np.repeat(counts > 0, np.maximum(counts, 1))] = runs.astype("datetime64[us]")
+                    done.update(of.tolist())
+                    yield flat(batch, of, dues, counts, following.astype("datetime64[us]"), [None] * len(of))
+            order = sorted((i for i in range(len(ids)) if i not in done), key=seeds.__getitem__)
             rows, dues, counts, following, problems = [], [], [], [], []
             for i in order:
                 try:

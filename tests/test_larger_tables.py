@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import itertools
 import os
+import random
 import re
 from datetime import datetime, timedelta
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +37,31 @@ def test_known_runs_serve_earlier_instants_too():
             assert kept.due("a", after, now, 1000) == schedules.Runs(expression).due("a", after, now, 1000)
 
 
+@pytest.mark.parametrize("zone", ["Europe/Paris", "America/Havana", "Pacific/Apia", "UTC"])
+def test_drawn_runs_of_many_schedules_at_once(zone):
+    """As stepped through one by one; only days on which the clocks change about midnight are left to that."""
+    rng = random.Random(zone)
+    for now in (datetime(2011, 12, 31, 5), datetime(2024, 4, 2, 21, 30), datetime(2024, 11, 4, 0, 0, 1)):
+        for span, limit in (("22:00-23:30", 1000), ("00:00-23:59", 1000), ("02:00-04:00", 3)):
+            runs = schedules.Runs(f"@between {span} {zone} random")
+            when = lambda: now + timedelta(seconds=rng.randrange(-86400 * 9, 86400 * 2), microseconds=rng.randrange(10**6))  # noqa: E731, B023
+            keys = [f"s-{rng.randrange(10**6)}" + "é" * (i % 3) for i in range(200)]
+            cursor = [when() if i % 3 == 0 else None for i in range(200)]
+            seed = [c or when() for c in cursor]
+            micros = [np.array(v, "datetime64[us]").astype(np.int64) for v in (cursor, seed)]
+            got = {}
+            for of, n, found, following in schedules.window_runs(runs.window, keys, *micros, now, limit):
+                parts = np.split(found.astype("datetime64[us]"), np.cumsum(n)[:-1])
+                got |= {i: (p.tolist(), f) for i, p, f in zip(of.tolist(), parts, following.astype("datetime64[us]").tolist(), strict=True)}
+            want = {}
+            for i in range(200):
+                try:
+                    want[i] = schedules.cursor_runs(runs, keys[i], cursor[i], seed[i], now, limit)
+                except ValueError:
+                    continue
+            assert all(want[i] == x for i, x in got.items()) and (len(got) == len(want) or zone in ("America/Havana", "Pacific/Apia") or span == "00:00-23:59")
+
+
 def hourly(spark, n):
     """n schedules of one expression in one task; seeds rise within five rows and start anew behind them."""
     s = spark.range(n).coalesce(1).select(F.concat(F.lit("s"), F.col("id")).alias("id"), F.lit("5 * * * *").alias("expression"), F.lit(False).alias("paused"), F.timestamp_add("HOUR", F.when(F.col("id") == 0, 0).otherwise(F.col("id") % 5 * 4 + 4).cast("int"), F.lit("2024-01-04 00:30:00").cast("timestamp")).cast("timestamp_ntz").alias("created_at"))
